@@ -1,6 +1,855 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the store operators, each with SQL that computes the same in another way."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import hashlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kvspace.functions import keys
+from kvspace.operators import audit, diff, evidence, logs, metrics, objects, physical, report, revisions
+from kvspace.plans import domain as d
+from kvspace.session import scratch_dir
+from kvspace.sources import readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+KEY = "/registry/pods/ns0/obj-35"
+KEY_HASH = hashlib.sha256(KEY.encode()).hexdigest()
+_W = f"BETWEEN TIMESTAMP '{d.FROM}' AND TIMESTAMP '{d.TO}'"
+_IN = f"ts > TIMESTAMP '{d.FROM}' AND ts <= TIMESTAMP '{d.TO}'"
+SECONDS = int((d.TO - d.FROM).total_seconds())
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name; ``sql`` goes after the common derivations."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            body = sql.strip()
+            ORACLE_SQL[f.__name__] = f"WITH {d.PRELUDE.strip()}" + (f",\n{body[5:]}" if body.startswith("WITH ") else f"\n{body}")
+        return f
+
+    return add
+
+
+def big(*names: str) -> str:
+    return ", ".join(f"CAST({n} AS BIGINT) AS {n}" for n in names)
+
+
+_RECORD = ("current_value_bytes", "current_stored_bytes", "historical_versions", "historical_bytes", "tombstone_count", "tombstone_bytes", "revision_count")
+_KR, _BASE_KR, _TARGET_KR = (d.key_records_sql(s) for s in ("revisions", "base_rev", "target_rev"))
+_OR = d.object_records_sql("revisions", "kube")
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    return revisions.key_records(d.revisions(spark, sf_dir))
+
+
+def _snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    base, target = d.snapshots(d.revisions(spark, sf_dir))
+    return revisions.key_records(base), revisions.key_records(target)
+
+
+def _objects(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(object revisions, object records)."""
+    revs = d.revisions(spark, sf_dir, with_value=True)
+    own = objects.object_revisions(revs)
+    return own, objects.object_records(own, revs.drop("value"))
+
+
+def _object_snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    out = []
+    for part in d.snapshots(d.revisions(spark, sf_dir, with_value=True)):
+        out.append(objects.object_records(objects.object_revisions(part), part.drop("value")))
+    return out[0], out[1]
+
+
+# --- sources and the revision log
+
+
+@query("SELECT key_hash, key_text, CAST(main_revision AS BIGINT) AS main_revision, CAST(0 AS BIGINT) AS sub_revision, tombstone, CAST(CASE WHEN tombstone THEN 18 ELSE 17 END + strlen(key_text) + coalesce(v, 0) AS BIGINT) AS stored_bytes, CAST(coalesce(v, 0) AS BIGINT) AS value_bytes FROM (SELECT ev.*, kube.value_bytes AS v FROM ev LEFT JOIN kube USING (key_hash, main_revision) WHERE event_id % 97 <> 0)")
+def decode_revisions(spark, sf_dir):
+    return revisions.decode_revisions(d.raw_revisions(spark, sf_dir), "store").select("key_hash", "key_text", "main_revision", "sub_revision", "tombstone", "stored_bytes", "value_bytes")
+
+
+@query("SELECT count(*) AS decode_errors FROM ev WHERE event_id % 97 = 0")
+def decode_errors(spark, sf_dir):
+    return revisions.decode_errors(d.raw_revisions(spark, sf_dir))
+
+
+@query("SELECT count(*) AS rows, count(DISTINCT key_hash) AS keys FROM ev")
+def read_kv_revisions(spark, sf_dir):
+    path = scratch_dir(spark, "kv")
+    d.raw_revisions(spark, sf_dir).write.parquet(path)
+    return readers.read_kv_revisions(spark, path).agg(F.count("*").alias("rows"), F.count_distinct("kv.key").alias("keys"))
+
+
+@query("SELECT count(*) AS lines, CAST(count(*) * (count(*) + 1) / 2 AS BIGINT) AS number_sum, CAST(0 AS BIGINT) AS overlong FROM ev")
+def read_log_lines(spark, sf_dir):
+    path = scratch_dir(spark, "log")
+    d.log_lines(spark, sf_dir).select("line").coalesce(1).write.text(path)
+    lines = readers.read_log_lines(spark, path)
+    return lines.agg(F.count("*").alias("lines"), F.sum("line_number").alias("number_sum"), F.count_if("overlong").alias("overlong"))
+
+
+@query("SELECT count(*) AS lines, count(*) FILTER (event_id % 97 = 0) AS bad FROM ev")
+def read_audit_lines(spark, sf_dir):
+    path = scratch_dir(spark, "audit")
+    d.audit_lines(spark, sf_dir).select("line").write.option("compression", "gzip").text(path)
+    rows = audit.audit_rows(readers.read_audit_lines(spark, path), "audit")
+    return rows.agg(F.count("*").alias("lines"), F.count_if(F.col("e").isNull()).alias("bad"))
+
+
+@query("SELECT CAST(3 * 11 AS BIGINT) AS series, CAST(11 * count(*) AS BIGINT) AS samples FROM grid")
+def read_metric_matrix(spark, sf_dir):
+    raw = d.raw_series(spark, sf_dir)
+    each = raw.groupBy(F.col("metric")["instance"].alias("instance")).agg(F.collect_list(F.struct("metric", "values")).alias("result"))
+    text = each.select(F.to_json(F.struct(F.lit("success").alias("status"), F.struct(F.lit("matrix").alias("resultType"), "result").alias("data"))).alias("value"), "instance")
+    path = scratch_dir(spark, "matrix")
+    text.write.partitionBy("instance").text(path)
+    return readers.read_metric_matrix(spark, path + "/*").agg(F.count("*").alias("series"), F.sum(F.size("values")).cast("bigint").alias("samples"))
+
+
+@query(f"SELECT 'base' AS task_id, count(*) AS keys, CAST(sum(historical_bytes) AS BIGINT) AS historical_bytes FROM {_BASE_KR} UNION ALL SELECT 'target', count(*), CAST(sum(historical_bytes) AS BIGINT) FROM {_TARGET_KR}")
+def write_tables(spark, sf_dir):
+    path = scratch_dir(spark, "tables")
+    base, target = (df.withColumn("task_id", F.lit(n)) for df, n in zip(_snapshots(spark, sf_dir), ("base", "target"), strict=True))
+    readers.write_tables({"key_records": base.unionByName(target)}, path)
+    readers.write_tables({"key_records": base}, path)  # one task anew
+    return readers.read_table(spark, path, "key_records").groupBy("task_id").agg(F.count("*").alias("keys"), F.sum("historical_bytes").alias("historical_bytes"))
+
+
+@query("""WITH p AS (SELECT DISTINCT regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+s AS (SELECT path, string_split(trim(path, '/'), '/') AS parts FROM p),
+a AS (SELECT path, CASE WHEN NOT starts_with(path, '/') THEN [path] WHEN trim(path, '/') = '' THEN ['/'] ELSE list_transform(range(1, len(parts) + 1), lambda i: '/' || array_to_string(parts[1:i], '/')) END AS up FROM s)
+SELECT path, array_to_string(up, '|') AS ancestors, CASE WHEN len(up) > 1 THEN up[-2] ELSE path END AS prefix FROM a""")
+def key_ancestors(spark, sf_dir):
+    path = F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1)
+    own = d.table(spark, sf_dir, "pages").select(path.alias("path")).distinct()
+    return own.select("path", F.array_join(keys.key_ancestors(F.col("path")), "|").alias("ancestors"), keys.primary_prefix(F.col("path")).alias("prefix"))
+
+
+@query("SELECT key_hash, key_text, present, historical_bytes / greatest(current_stored_bytes, 1) AS historical_amplification, " + big(*_RECORD) + f" FROM {_KR}")
+def key_records(spark, sf_dir):
+    return _records(spark, sf_dir).select("key_hash", "key_text", "present", "historical_amplification", *_RECORD)
+
+
+@query("SELECT key_hash, CAST(max(main_revision) AS BIGINT) AS main_revision, arg_max(tombstone, main_revision) AS tombstone FROM revisions GROUP BY key_hash")
+def latest_revision(spark, sf_dir):
+    return revisions.latest_revision(d.revisions(spark, sf_dir)).select("key_hash", "main_revision", "tombstone")
+
+
+_PREFIX = """SELECT prefix, CAST(i AS BIGINT) AS depth, CAST(count(*) FILTER (present) AS BIGINT) AS current_key_count, CAST(sum(current_value_bytes) AS BIGINT) AS current_bytes,
+ CAST(sum(historical_bytes) AS BIGINT) AS historical_bytes, CAST(sum(tombstone_count) AS BIGINT) AS tombstone_count, CAST(max(current_value_bytes) AS BIGINT) AS max_value_bytes
+ FROM (SELECT *, '/' || array_to_string(parts[1:i], '/') AS prefix FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(trim(key_text, '/'), '/') AS parts FROM {src}))) GROUP BY 1, 2"""
+
+
+@query(_PREFIX.format(src=_KR))
+def prefix_stats(spark, sf_dir):
+    return revisions.prefix_stats(_records(spark, sf_dir))
+
+
+@query(_PREFIX.format(src=_KR))
+def prefix_merge(spark, sf_dir):
+    """Statistics of two halves of the keys, added up."""
+    parts = revisions.prefix_parts(_records(spark, sf_dir))
+    halves = [revisions.prefix_merge(parts.filter(F.pmod(F.hash("current_bytes"), F.lit(2)) == k)) for k in (0, 1)]
+    return revisions.prefix_merge(halves[0].unionByName(halves[1]))
+
+
+@query(f"SELECT true AS semantic_available, {big('revision_count', 'current_key_count', 'current_stored_bytes', 'historical_versions', 'historical_bytes', 'tombstone_count', 'tombstone_bytes', 'key_count', 'decode_errors')} FROM (SELECT sum(revision_count) AS revision_count, count(*) FILTER (present) AS current_key_count, sum(current_stored_bytes) AS current_stored_bytes, sum(historical_versions) AS historical_versions, sum(historical_bytes) AS historical_bytes, sum(tombstone_count) AS tombstone_count, sum(tombstone_bytes) AS tombstone_bytes, count(*) AS key_count, (SELECT count(*) FROM ev WHERE event_id % 97 = 0) AS decode_errors FROM {_KR})")
+def mvcc_summary(spark, sf_dir):
+    return revisions.mvcc_summary(_records(spark, sf_dir), revisions.decode_errors(d.raw_revisions(spark, sf_dir)))
+
+
+_VERSIONS = "CASE user_id % 6 WHEN 0 THEN '3.4.13' WHEN 1 THEN 'v3.4.0' WHEN 2 THEN '3.5.1' WHEN 3 THEN '3.4' WHEN 4 THEN '3.4.x' ELSE '3.4.1.2' END"
+
+
+def _versions(spark, sf_dir) -> DataFrame:
+    user = F.col("user_id") % 6
+    named = F.get(F.array(*[F.lit(v) for v in ("3.4.13", "v3.4.0", "3.5.1", "3.4", "3.4.x", "3.4.1.2")]), user.cast("int"))
+    return d.table(spark, sf_dir, "events").select("user_id").distinct().select(F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("task_id"), named.alias("version"), F.when(F.col("user_id") % 4 == 0, "database_metadata").otherwise("manual").alias("source"))
+
+
+@query(f"SELECT 't' || user_id AS task_id, {_VERSIONS} AS version, CASE WHEN user_id % 6 IN (0, 1) THEN '3.4' ELSE '' END AS family, CASE WHEN user_id % 4 = 0 THEN user_id % 6 = 3 ELSE user_id % 6 IN (0, 1) END AS passes, user_id % 6 IN (0, 3, 4, 5) AS compatible FROM (SELECT DISTINCT user_id FROM events)")
+def semantic_gate(spark, sf_dir):
+    v, s = F.col("version"), F.col("source")
+    return _versions(spark, sf_dir).select("task_id", "version", keys.version_family(v).alias("family"), keys.semantic_gate(v, s).alias("passes"), keys.compatible_versions(v, F.lit("3.4.15")).alias("compatible"))
+
+
+@query("SELECT 't' || user_id AS task_id, false AS semantic_available, CAST(0 AS BIGINT) AS revision_count, 'semantic_decode_unavailable' AS rule, 'info' AS severity FROM (SELECT DISTINCT user_id FROM events) WHERE NOT CASE WHEN user_id % 4 = 0 THEN user_id % 6 = 3 ELSE user_id % 6 IN (0, 1) END")
+def semantic_unavailable(spark, sf_dir):
+    summary, finding = revisions.semantic_unavailable(_versions(spark, sf_dir))
+    return summary.join(finding, "task_id").select("task_id", "semantic_available", "revision_count", "rule", "severity")
+
+
+_KEYS = "SELECT key_hash, key_text, present, " + big(*_RECORD) + f" FROM {_KR}"
+
+
+@query(_KEYS + " ORDER BY historical_bytes DESC, key_hash LIMIT 100")
+def query_keys(spark, sf_dir):
+    return revisions.query_keys(_records(spark, sf_dir)).select("key_hash", "key_text", "present", *_RECORD)
+
+
+@query(_KEYS + " WHERE starts_with(key_text, '/registry/pods') AND current_stored_bytes + historical_bytes + tombstone_bytes >= 1000 AND revision_count >= 5 AND tombstone_count > 0 ORDER BY revision_count, key_hash LIMIT 10 OFFSET 10")
+def query_keys_filtered(spark, sf_dir):
+    own = revisions.query_keys(_records(spark, sf_dir), "revision_count", False, 2, 10, prefix="/registry/pods", min_total_bytes=1000, min_revisions=5, tombstones_only=True)
+    return own.select("key_hash", "key_text", "present", *_RECORD)
+
+
+@query(f"SELECT count(*) AS total FROM {_KR} WHERE starts_with(key_text, '/registry/pods')")
+def query_keys_total(spark, sf_dir):
+    return revisions.query_keys_total(_records(spark, sf_dir), prefix="/registry/pods")
+
+
+@query(f"SELECT {big('main_revision', 'stored_bytes')}, tombstone FROM revisions WHERE key_hash = '{KEY_HASH}' ORDER BY main_revision DESC LIMIT 100")
+def key_revisions(spark, sf_dir):
+    return revisions.key_revisions(d.revisions(spark, sf_dir), KEY_HASH).select("main_revision", "stored_bytes", "tombstone")
+
+
+@query(_KEYS + f" WHERE key_hash = '{KEY_HASH}'")
+def get_key(spark, sf_dir):
+    return revisions.get_key(_records(spark, sf_dir), KEY_HASH).select("key_hash", "key_text", "present", *_RECORD)
+
+
+@query(_PREFIX.format(src=_KR) + " ORDER BY historical_bytes DESC, current_bytes DESC, prefix LIMIT 20")
+def top_prefixes(spark, sf_dir):
+    return revisions.top_prefixes(revisions.prefix_stats(_records(spark, sf_dir)), 20)
+
+
+# --- registry identity, objects, fields
+
+
+@query("SELECT key_text, api_group, resource, namespace, name, display_name, resource = 'widgets' AS crd, resource = 'nodes' AS cluster_scoped, resource = 'secrets' AS sensitive, '/registry/' || CASE WHEN resource = 'widgets' THEN 'example.io/' ELSE '' END || resource AS storage_prefix FROM ident")
+def registry_identity(spark, sf_dir):
+    own = d.events(spark, sf_dir).select("key_text", F.sha2("key_text", 256).alias("h")).distinct()
+    return own.select("key_text", keys.registry_identity(F.col("key_text"), F.col("h")).alias("i")).select("key_text", "i.*")
+
+
+@query("SELECT key_hash, CASE WHEN resource = 'secrets' THEN '/registry/secrets/' || namespace || '/redacted:' || substr(key_hash, 1, 12) ELSE key_text END AS key_text FROM ident")
+def redact_report_keys(spark, sf_dir):
+    return report.redact_report_keys(_records(spark, sf_dir)).select("key_hash", "key_text")
+
+
+@query("SELECT key_hash, CASE WHEN resource = 'widgets' THEN '/registry/example.io/widgets/' || namespace || '/' || name ELSE key_text END AS rebuilt, display_name FROM ident")
+def object_key_hash(spark, sf_dir):
+    own = registry_identity(spark, sf_dir)
+    parts = [F.col(c) for c in ("api_group", "resource", "namespace", "name")]
+    made = own.select(keys.object_key_hash(*parts).alias("k"), keys.object_key(*parts).alias("rebuilt"))
+    return made.select(F.col("k.hash").alias("key_hash"), "rebuilt", F.col("k.display_name").alias("display_name"))
+
+
+@query("SELECT key_hash, CAST(main_revision AS BIGINT) AS main_revision, resource, namespace, display_name, CASE decode_status WHEN 'encrypted' THEN 'encrypted' WHEN 'decoded_json' THEN 'json' ELSE 'protobuf' END AS content_type, decode_status, CAST(value_bytes AS BIGINT) AS value_bytes FROM kube JOIN ident USING (key_hash)")
+def classify_value(spark, sf_dir):
+    return _objects(spark, sf_dir)[0].select("key_hash", "main_revision", "resource", "namespace", "display_name", "content_type", "decode_status", "value_bytes")
+
+
+@query("SELECT key_hash, " + big("main_revision", "byte_size") + ", path, type_class, hash FROM fields")
+def field_stats(spark, sf_dir):
+    own = objects.revisions_left_join_fields(_objects(spark, sf_dir)[0])
+    return own.filter("path is not null").select("key_hash", "main_revision", "path", "byte_size", "type_class", "hash")
+
+
+@query("SELECT key_hash, CAST(main_revision AS BIGINT) AS main_revision, count(path) AS n_fields FROM kube LEFT JOIN fields USING (key_hash, main_revision) GROUP BY ALL")
+def revisions_left_join_fields(spark, sf_dir):
+    return objects.revisions_left_join_fields(_objects(spark, sf_dir)[0]).groupBy("key_hash", "main_revision").agg(F.count("path").alias("n_fields"))
+
+
+_OBJECT = ("current_bytes", "historical_bytes", "revision_count")
+_LARGEST = "(SELECT key_hash, main_revision AS last_main, arg_max(path, (byte_size, -ascii(path))) AS p FROM fields GROUP BY 1, 2)"
+
+
+@query(f"""WITH big AS (SELECT * FROM fields QUALIFY row_number() OVER (PARTITION BY key_hash, main_revision ORDER BY byte_size DESC, path) = 1)
+SELECT o.key_hash, o.api_group, o.resource, o.namespace, o.display_name, o.decode_status, o.present, {big(*_OBJECT)}, coalesce(b.path, '') AS largest_field_path, CAST(coalesce(b.byte_size, 0) AS BIGINT) AS largest_field_bytes
+FROM {_OR} o LEFT JOIN big b ON b.key_hash = o.key_hash AND b.main_revision = o.last_main""")
+def object_records(spark, sf_dir):
+    return _objects(spark, sf_dir)[1].select("key_hash", "api_group", "resource", "namespace", "display_name", "decode_status", "present", *_OBJECT, "largest_field_path", "largest_field_bytes")
+
+
+_STAT = "CAST(count(*) FILTER (present) AS BIGINT) AS current_objects, CAST(sum(current_bytes) AS BIGINT) AS current_bytes, CAST(sum(historical_bytes) AS BIGINT) AS historical_bytes"
+
+
+@query(f"SELECT api_group, resource, {_STAT} FROM {_OR} GROUP BY 1, 2")
+def resource_stats(spark, sf_dir):
+    return objects.resource_stats(_objects(spark, sf_dir)[1])
+
+
+@query(f"SELECT namespace, {_STAT} FROM {_OR} GROUP BY 1")
+def namespace_stats(spark, sf_dir):
+    return objects.namespace_stats(_objects(spark, sf_dir)[1])
+
+
+@query(f"SELECT true AS semantic_available, {_STAT}, (SELECT count(*) FROM kube WHERE decode_status = 'decoded_json') AS decoded_json, CAST(0 AS BIGINT) AS decoded_protobuf, (SELECT count(*) FROM kube WHERE decode_status = 'encrypted') AS encrypted, (SELECT count(*) FROM kube WHERE decode_status = 'protobuf_unsupported') AS decode_failures FROM {_OR}")
+def kube_summary(spark, sf_dir):
+    own, records = _objects(spark, sf_dir)
+    return objects.kube_summary(records, own)
+
+
+@query("""WITH pairs AS (SELECT key_hash, lag(main_revision) OVER (PARTITION BY key_hash ORDER BY main_revision) AS prev, main_revision AS cur FROM kube),
+sides AS (SELECT p.key_hash, prev, cur, path, max(byte_size) FILTER (main_revision = prev) AS a, max(byte_size) FILTER (main_revision = cur) AS b, max(hash) FILTER (main_revision = prev) AS ha, max(hash) FILTER (main_revision = cur) AS hb
+  FROM pairs p LEFT JOIN fields f ON f.key_hash = p.key_hash AND f.main_revision IN (prev, cur) WHERE prev IS NOT NULL GROUP BY ALL),
+kinds AS (SELECT *, CASE WHEN path IS NULL THEN NULL WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'removed' WHEN a <> b OR ha <> hb THEN 'modified' END AS kind FROM sides)
+SELECT key_hash, CAST(prev AS BIGINT) AS previous_main_revision, CAST(cur AS BIGINT) AS current_main_revision,
+  coalesce(string_agg(path, ',' ORDER BY path) FILTER (kind = 'added'), '') AS added_paths, coalesce(string_agg(path, ',' ORDER BY path) FILTER (kind = 'removed'), '') AS removed_paths, coalesce(string_agg(path, ',' ORDER BY path) FILTER (kind = 'modified'), '') AS modified_paths,
+  CAST(coalesce(sum(coalesce(b, 0) - coalesce(a, 0)) FILTER (kind IS NOT NULL), 0) AS BIGINT) AS byte_delta,
+  false AS managed_fields_only, coalesce(bool_and(path = 'status' OR starts_with(path, 'status.')) FILTER (kind IS NOT NULL), false) AS status_only,
+  coalesce(bool_and(regexp_matches(path, '(^|[.])(creationTimestamp|renewTime)$')) FILTER (kind IS NOT NULL AND path NOT IN ('metadata', 'spec', 'status')), false) AS timestamp_only
+FROM kinds GROUP BY key_hash, prev, cur""")
+def adjacent_field_diff(spark, sf_dir):
+    own = objects.adjacent_field_diff(_objects(spark, sf_dir)[0])
+    return own.withColumns({c: F.array_join(c, ",") for c in ("added_paths", "removed_paths", "modified_paths")}).drop("task_id")
+
+
+@query(f"SELECT key_hash, display_name, {big(*_OBJECT)} FROM {_OR} WHERE resource = 'pods' AND namespace = 'ns1' ORDER BY current_bytes DESC, key_hash LIMIT 100")
+def query_objects(spark, sf_dir):
+    return objects.query_objects(_objects(spark, sf_dir)[1], None, "current_bytes", resource="pods", namespace="ns1").select("key_hash", "display_name", *_OBJECT)
+
+
+@query(f"SELECT key_hash FROM {_OR} WHERE key_hash IN (SELECT key_hash FROM fields WHERE path = 'spec' OR starts_with(path, 'spec.'))")
+def objects_with_field(spark, sf_dir):
+    own, records = _objects(spark, sf_dir)
+    return objects.objects_with_field(records, own, "spec").select("key_hash")
+
+
+@query(f"SELECT count(*) AS total FROM {_OR} WHERE decode_status = 'encrypted' AND current_bytes + historical_bytes >= 100 AND revision_count >= 2")
+def query_objects_total(spark, sf_dir):
+    own, records = _objects(spark, sf_dir)
+    return objects.query_objects_total(records, own, decode_status="encrypted", min_bytes=100, min_revisions=2, category="status")
+
+
+@query(f"SELECT CAST(main_revision AS BIGINT) AS main_revision, CAST(count(path) AS INTEGER) AS n_fields, coalesce(string_agg(path, ',' ORDER BY byte_size DESC, path), '') AS paths, CAST(lag(main_revision) OVER (ORDER BY main_revision) AS BIGINT) AS previous_main_revision FROM kube LEFT JOIN fields USING (key_hash, main_revision) WHERE key_hash = '{KEY_HASH}' GROUP BY main_revision")
+def object_history(spark, sf_dir):
+    own = objects.object_history(_objects(spark, sf_dir)[0], KEY_HASH)
+    return own.select("main_revision", F.size("fields").alias("n_fields"), F.array_join(F.transform("fields", lambda f: f["path"]), ",").alias("paths"), "previous_main_revision")
+
+
+@query(f"SELECT key_hash, display_name, {big(*_OBJECT)} FROM {_OR} WHERE key_hash = '{KEY_HASH}'")
+def get_object(spark, sf_dir):
+    return objects.get_object(_objects(spark, sf_dir)[1], KEY_HASH).select("key_hash", "display_name", *_OBJECT)
+
+
+@query(f"SELECT api_group, resource, {_STAT} FROM {_OR} GROUP BY 1, 2 ORDER BY current_bytes DESC, historical_bytes DESC, api_group, resource LIMIT 3")
+def top_resources(spark, sf_dir):
+    return objects.top_resources(resource_stats(spark, sf_dir), 3)
+
+
+@query(f"SELECT namespace, {_STAT} FROM {_OR} GROUP BY 1 ORDER BY current_bytes DESC, historical_bytes DESC, namespace LIMIT 5")
+def top_namespaces(spark, sf_dir):
+    return objects.top_namespaces(namespace_stats(spark, sf_dir), 5)
+
+
+@query(f"SELECT f.key_hash, o.display_name, f.path, CAST(f.byte_size AS BIGINT) AS byte_size FROM {_OR} o JOIN fields f ON f.key_hash = o.key_hash AND f.main_revision = o.last_main WHERE o.present ORDER BY byte_size DESC, path, f.key_hash LIMIT 20")
+def top_fields(spark, sf_dir):
+    return objects.top_fields(*_objects(spark, sf_dir), 20).select("key_hash", "display_name", "path", "byte_size")
+
+
+@query(f"SELECT key_hash, CASE WHEN resource = 'secrets' THEN '/registry/secrets/' || namespace || '/' || display_name ELSE key_text END AS key_text, CAST(historical_bytes AS BIGINT) AS historical_bytes FROM (SELECT * FROM {_KR} ORDER BY historical_bytes DESC, key_hash LIMIT 20) JOIN ident USING (key_hash, key_text)")
+def report_sections(spark, sf_dir):
+    own, records = _objects(spark, sf_dir)
+    found = _records(spark, sf_dir)
+    return report.report_sections(found, revisions.prefix_stats(found), records, own)["keys_by_history"].select("key_hash", "key_text", "historical_bytes")
+
+
+# --- physical
+
+
+_SPAN = "CASE WHEN page_type <> 'free' THEN overflow + 1 ELSE 1 END"
+_PAGES = f"""inv AS (SELECT *, {_SPAN} * 4096 AS total_bytes, {_SPAN} AS span FROM (SELECT page_id, n - 1 AS overflow, CASE WHEN page_id < 3 THEN 'meta' WHEN page_id % 50 = 7 THEN 'freelist' WHEN f = 'R' THEN 'free' WHEN f = 'A' THEN 'leaf' WHEN s = 'F' THEN 'other' ELSE 'branch' END AS page_type
+ FROM (SELECT l_orderkey AS page_id, count(*) AS n, min(l_returnflag) AS f, max(l_linestatus) AS s FROM lineitem GROUP BY 1)))"""
+_SPACE = """SELECT sum(span) AS page_count, sum(span) FILTER (page_type = 'meta') AS meta_pages, count(*) FILTER (page_type = 'branch') AS branch_pages, count(*) FILTER (page_type = 'leaf') AS leaf_pages, sum(span) FILTER (page_type = 'freelist') AS freelist_pages,
+ sum(overflow) FILTER (page_type IN ('branch', 'leaf')) AS overflow_pages, count(*) FILTER (page_type = 'free') AS free_pages, sum(span) FILTER (page_type = 'other') AS unknown_pages, sum(span) * 4096 AS physical_file_size, (count(*) FILTER (page_type = 'free')) * 4096 AS free_page_bytes FROM inv"""
+_SPACES = ("page_count", "meta_pages", "branch_pages", "leaf_pages", "freelist_pages", "overflow_pages", "free_pages", "unknown_pages", "physical_file_size", "free_page_bytes")
+
+
+@query(f"WITH {_PAGES} SELECT {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in _SPACES)}, free_page_bytes / physical_file_size AS fragmentation_ratio FROM ({_SPACE})")
+def space_summary(spark, sf_dir):
+    return physical.space_summary(d.pages_inv(spark, sf_dir), d.PAGE_SIZE).select(*_SPACES, "fragmentation_ratio")
+
+
+@query(f"WITH {_PAGES} SELECT count(*) AS pages, CAST(sum(total_bytes) AS BIGINT) AS total_bytes FROM inv")
+def read_page_inventory(spark, sf_dir):
+    path = scratch_dir(spark, "pages")
+    d.pages_inv(spark, sf_dir).write.parquet(path)
+    return readers.read_page_inventory(spark, path).agg(F.count("*").alias("pages"), F.sum("total_bytes").alias("total_bytes"))
+
+
+@query(f"WITH {_PAGES} SELECT {big('page_id', 'total_bytes')}, page_type FROM inv WHERE page_type = 'leaf' ORDER BY total_bytes DESC, page_id LIMIT 50 OFFSET 50")
+def query_pages(spark, sf_dir):
+    return physical.query_pages(d.pages_inv(spark, sf_dir), "leaf", "total_bytes", True, 2, 50).select("page_id", "total_bytes", "page_type")
+
+
+_BUCKETS = "b AS (SELECT 'key/' || o_orderstatus || '/' || replace(o_orderpriority, '/', '_') AS path, count(*) AS n, o_orderstatus AS st FROM orders GROUP BY o_orderstatus, o_orderpriority)"
+
+
+@query(f"WITH {_BUCKETS} SELECT bucket_path, CAST(depth AS BIGINT) AS depth, count(*) AS buckets, CAST(sum(n) AS BIGINT) AS key_count, CAST(sum(n) * 100 AS BIGINT) AS total_bytes FROM (SELECT path AS bucket_path, 3 AS depth, n FROM b UNION ALL SELECT 'key/' || st, 2, n FROM b UNION ALL SELECT 'key', 1, n FROM b) GROUP BY 1, 2")
+def bucket_rollup(spark, sf_dir):
+    path = scratch_dir(spark, "buckets")
+    d.buckets_inv(spark, sf_dir).write.parquet(path)
+    return physical.bucket_rollup(readers.read_bucket_inventory(spark, path)).select("bucket_path", "depth", "buckets", "key_count", "total_bytes")
+
+
+@query(f"WITH {_BUCKETS} SELECT path AS bucket_path, CAST(n * 100 AS BIGINT) AS total_bytes FROM b ORDER BY n DESC, path LIMIT 5")
+def top_buckets(spark, sf_dir):
+    return physical.top_buckets(d.buckets_inv(spark, sf_dir), 5).select("bucket_path", "total_bytes")
+
+
+@query(f"WITH {_PAGES}, half AS (SELECT * FROM inv WHERE page_id % 2 = 0) SELECT true AS physical_available, '' AS physical_unavailable_reason, CAST((SELECT sum(span) FROM inv) - (SELECT sum(span) FROM half) AS BIGINT) AS page_count_delta, CAST((SELECT count(*) FROM inv WHERE page_type = 'free') - (SELECT count(*) FROM half WHERE page_type = 'free') AS BIGINT) AS free_pages_delta")
+def diff_physical(spark, sf_dir):
+    own = d.pages_inv(spark, sf_dir)
+    base, target = (physical.space_summary(p, d.PAGE_SIZE) for p in (own.filter("page_id % 2 = 0"), own))
+    return diff.diff_physical(base, target).select("physical_available", "physical_unavailable_reason", "page_count_delta", "free_pages_delta")
+
+
+# --- differences of snapshots
+
+
+def _aligned_sql(base: str, target: str, on: str, measures: dict[str, str], present: str | None, identity: tuple[str, ...]) -> str:
+    """Aligned sides by union and conditional sums instead of a full join."""
+    there = present or "true"
+    cols = ", ".join(dict.fromkeys(measures.values()))
+    names = "".join(f", {c}" for c in identity)
+    sides = f"SELECT 'b' AS side, {on}{names}, {there} AS here, {cols} FROM {base} UNION ALL SELECT 't', {on}{names}, {there}, {cols} FROM {target}"
+    deltas = ", ".join(f"CAST(coalesce(sum({c}) FILTER (side = 't'), 0) - coalesce(sum({c}) FILTER (side = 'b'), 0) AS BIGINT) AS {n}" for n, c in measures.items())
+    kind = """CASE WHEN count(*) FILTER (side = 't') = 0 THEN 'deleted' WHEN count(*) FILTER (side = 'b') = 0 THEN CASE WHEN bool_or(here) FILTER (side = 't') THEN 'added' ELSE 'deleted' END
+ WHEN bool_or(here) FILTER (side = 'b') AND NOT bool_or(here) FILTER (side = 't') THEN 'deleted' WHEN NOT bool_or(here) FILTER (side = 'b') AND bool_or(here) FILTER (side = 't') THEN 'added' ELSE 'modified' END AS change_type"""
+    return f"(SELECT {on}{''.join(f', max({c}) AS {c}' for c in identity)}, {kind}, {deltas} FROM ({sides}) GROUP BY {on})"
+
+
+_KM = {"current_bytes_delta": "current_stored_bytes", "historical_bytes_delta": "historical_bytes", "tombstone_bytes_delta": "tombstone_bytes", "revision_count_delta": "revision_count"}
+_KD = f"(SELECT *, current_bytes_delta + historical_bytes_delta + tombstone_bytes_delta AS total_bytes_delta FROM {_aligned_sql(_BASE_KR, _TARGET_KR, 'key_hash', _KM, 'present', ('key_text',))} WHERE change_type <> 'modified' OR current_bytes_delta <> 0 OR historical_bytes_delta <> 0 OR tombstone_bytes_delta <> 0 OR revision_count_delta <> 0)"
+_KDC = ("key_hash", "key_text", "change_type", *_KM, "total_bytes_delta")
+
+
+def _key_deltas(spark, sf_dir) -> DataFrame:
+    return diff.diff_keys(*_snapshots(spark, sf_dir))
+
+
+@query(f"SELECT {', '.join(_KDC)} FROM {_KD}")
+def diff_keys(spark, sf_dir):
+    return _key_deltas(spark, sf_dir).select(*_KDC)
+
+
+@query(f"SELECT {', '.join(_KDC)} FROM {_KD} WHERE change_type = 'modified' AND starts_with(key_text, '/registry/') ORDER BY total_bytes_delta DESC, key_hash LIMIT 50")
+def query_key_deltas(spark, sf_dir):
+    return diff.query_key_deltas(_key_deltas(spark, sf_dir), "modified", "/registry/", size=50).select(*_KDC)
+
+
+@query(f"SELECT key_hash, key_text, revision_count_delta, revision_count_delta / {SECONDS} * 3600 AS revisions_per_hour FROM {_KD} ORDER BY revision_count_delta DESC, key_hash LIMIT 20")
+def churn_per_hour(spark, sf_dir):
+    return diff.churn_per_hour(_key_deltas(spark, sf_dir), 20, diff.validate_window(d.FROM, d.TO))
+
+
+_PM = {"current_bytes_delta": "current_bytes", "historical_bytes_delta": "historical_bytes", "current_key_count_delta": "current_key_count", "tombstone_count_delta": "tombstone_count"}
+_PD = f"(SELECT * EXCLUDE (change_type), current_bytes_delta + historical_bytes_delta AS total_bytes_delta FROM {_aligned_sql('(' + _PREFIX.format(src=_BASE_KR) + ')', '(' + _PREFIX.format(src=_TARGET_KR) + ')', 'prefix', _PM, None, ('depth',))})"
+
+
+def _prefix_deltas(spark, sf_dir) -> DataFrame:
+    return diff.diff_prefixes(*(revisions.prefix_stats(r) for r in _snapshots(spark, sf_dir)))
+
+
+@query(f"SELECT * FROM {_PD}")
+def diff_prefixes(spark, sf_dir):
+    return _prefix_deltas(spark, sf_dir)
+
+
+@query(f"SELECT * FROM {_PD} ORDER BY total_bytes_delta, prefix LIMIT 20")
+def top_prefix_deltas(spark, sf_dir):
+    return diff.top_prefix_deltas(_prefix_deltas(spark, sf_dir), 20, growth=False)
+
+
+_BKUBE = f"(SELECT * FROM kube WHERE ts <= TIMESTAMP '{d.BASE_AT}')"
+_TKUBE = "(SELECT kube.* FROM kube JOIN target_rev USING (key_hash, main_revision))"
+_BOR, _TOR = d.object_records_sql("base_rev", _BKUBE), d.object_records_sql("target_rev", _TKUBE)
+_OM = {"current_bytes_delta": "current_bytes", "historical_bytes_delta": "historical_bytes", "revision_count_delta": "revision_count"}
+_OD = f"(SELECT *, current_bytes_delta + historical_bytes_delta AS total_bytes_delta FROM {_aligned_sql(_BOR, _TOR, 'key_hash', _OM, 'present', ('api_group', 'resource', 'namespace', 'display_name'))} WHERE change_type <> 'modified' OR current_bytes_delta <> 0 OR historical_bytes_delta <> 0 OR revision_count_delta <> 0)"
+
+
+def _object_deltas(spark, sf_dir) -> DataFrame:
+    return diff.diff_objects(*_object_snapshots(spark, sf_dir))
+
+
+@query(f"SELECT * FROM {_OD}")
+def diff_objects(spark, sf_dir):
+    return _object_deltas(spark, sf_dir)
+
+
+@query(f"SELECT * FROM {_OD} WHERE resource = 'deployments' ORDER BY historical_bytes_delta, key_hash LIMIT 25")
+def query_object_deltas(spark, sf_dir):
+    return diff.query_object_deltas(_object_deltas(spark, sf_dir), resource="deployments", sort="history", descending=False, size=25)
+
+
+_RM = {"current_objects_delta": "current_objects", "current_bytes_delta": "current_bytes", "historical_bytes_delta": "historical_bytes"}
+
+
+def _rollup_sql(by: str) -> str:
+    sides = [f"(SELECT {by}, {_STAT} FROM {o} GROUP BY {by})" for o in (_BOR, _TOR)]
+    return f"(SELECT * EXCLUDE (change_type), current_bytes_delta + historical_bytes_delta AS total_bytes_delta FROM {_aligned_sql(*sides, by, _RM, None, ())})"
+
+
+_RD, _ND = _rollup_sql("api_group, resource"), _rollup_sql("namespace")
+
+
+@query(f"SELECT * FROM {_RD}")
+def diff_resources(spark, sf_dir):
+    return diff.diff_resources(*(objects.resource_stats(o) for o in _object_snapshots(spark, sf_dir)))
+
+
+@query(f"SELECT * FROM {_ND}")
+def diff_namespaces(spark, sf_dir):
+    return diff.diff_namespaces(*(objects.namespace_stats(o) for o in _object_snapshots(spark, sf_dir)))
+
+
+@query(f"SELECT * FROM {_RD} ORDER BY total_bytes_delta DESC, api_group, resource LIMIT 3")
+def top_resource_deltas(spark, sf_dir):
+    return diff.top_resource_deltas(diff_resources(spark, sf_dir), 3)
+
+
+@query(f"SELECT * FROM {_ND} ORDER BY total_bytes_delta DESC, namespace LIMIT 4")
+def top_namespace_deltas(spark, sf_dir):
+    return diff.top_namespace_deltas(diff_namespaces(spark, sf_dir), 4)
+
+
+@query(f"SELECT true AS mvcc_available, CAST(t.r - b.r AS BIGINT) AS revision_count_delta, CAST(t.h - b.h AS BIGINT) AS historical_bytes_delta, CAST({SECONDS} AS BIGINT) AS observation_window_seconds, (t.r - b.r) / {SECONDS} AS average_revisions_per_second FROM (SELECT sum(revision_count) AS r, sum(historical_bytes) AS h FROM {_BASE_KR}) b, (SELECT sum(revision_count) AS r, sum(historical_bytes) AS h FROM {_TARGET_KR}) t")
+def diff_mvcc_summary(spark, sf_dir):
+    base, target = (revisions.mvcc_summary(r) for r in _snapshots(spark, sf_dir))
+    out = diff.diff_mvcc_summary(base, target, "3.4.13", "3.4.15", SECONDS)
+    return out.select("mvcc_available", "revision_count_delta", "historical_bytes_delta", "observation_window_seconds", "average_revisions_per_second")
+
+
+@query(f"SELECT true AS kube_available, CAST(t.n - b.n AS BIGINT) AS current_objects_delta, CAST(t.c - b.c AS BIGINT) AS current_bytes_delta, CAST(t.h - b.h AS BIGINT) AS historical_bytes_delta FROM (SELECT count(*) FILTER (present) AS n, sum(current_bytes) AS c, sum(historical_bytes) AS h FROM {_BOR}) b, (SELECT count(*) FILTER (present) AS n, sum(current_bytes) AS c, sum(historical_bytes) AS h FROM {_TOR}) t")
+def diff_kube_summary(spark, sf_dir):
+    revs = d.snapshots(d.revisions(spark, sf_dir, with_value=True))
+    own = [objects.object_revisions(r) for r in revs]
+    base, target = (objects.kube_summary(objects.object_records(o, r.drop("value")), o) for o, r in zip(own, revs, strict=True))
+    return diff.diff_kube_summary(base, target, "3.4.13", "3.4.15")
+
+
+# --- logs
+
+
+_LOG = """events_of AS (SELECT main_revision AS line_number, ts, iso, event_id % 4 AS f, event_type AS e, event_id AS n,
+  CASE event_type WHEN 'click' THEN 'compacted revision ' || event_id WHEN 'view' THEN 'apply request took too long took=' || event_id || 'ms' WHEN 'signup' THEN 'leader changed from 1 to 2' WHEN 'purchase' THEN 'mvcc: database space exceeded' ELSE 'hello ' || event_id END AS m FROM ev),
+log AS (SELECT line_number, f = 2 OR e <> 'error' AS recognized,
+  CASE WHEN f = 1 OR (e = 'error' AND f <> 2) THEN NULL ELSE CAST(date_trunc('second', ts) AS TIMESTAMP) END AS observed_at,
+  CASE e WHEN 'click' THEN 'compaction' WHEN 'view' THEN 'slow_apply' WHEN 'signup' THEN 'leader_change' WHEN 'purchase' THEN 'nospace' ELSE 'unknown' END AS event_type,
+  CASE WHEN f = 2 THEN 'ERROR' WHEN e = 'error' THEN 'UNKNOWN' WHEN f = 0 THEN 'WARN' WHEN e IN ('view', 'purchase') THEN 'WARN' ELSE 'INFO' END AS severity,
+  CASE WHEN f = 2 THEN 'etcd' WHEN e = 'error' THEN 'unknown' WHEN f = 0 OR e = 'purchase' THEN 'mvcc' ELSE 'unknown' END AS source,
+  CASE WHEN e = 'view' AND n <= 86400000 THEN n END AS duration_ms, CASE WHEN (f = 0 AND e <> 'error') OR e = 'click' THEN n END AS revision,
+  sha256(CASE WHEN e = 'error' AND f = 0 THEN '{"ts":"' || iso || '","level":"warn","caller":"mvcc","msg":"' || m || '","revision":' || n || '}' ELSE m END) AS message_fingerprint FROM events_of)"""
+_LOGC = ("line_number", "observed_at", "event_type", "severity", "source", "duration_ms", "revision", "message_fingerprint", "recognized")
+_LOGS = "CAST(line_number AS BIGINT) AS line_number, observed_at, event_type, severity, source, CAST(duration_ms AS BIGINT) AS duration_ms, CAST(revision AS BIGINT) AS revision, message_fingerprint, recognized"
+_LIN = _IN.replace("ts ", "observed_at ")
+
+
+def _log(spark, sf_dir) -> DataFrame:
+    return logs.log_events(d.log_lines(spark, sf_dir), "log")
+
+
+@query(f"WITH {_LOG} SELECT {_LOGS} FROM log")
+def log_normalize(spark, sf_dir):
+    return _log(spark, sf_dir).select(*_LOGC)
+
+
+@query(f"WITH {_LOG} SELECT count(*) AS total_lines, count(*) FILTER (recognized) AS recognized_events, count(*) FILTER (NOT recognized) AS unknown_lines, CAST(0 AS BIGINT) AS parse_errors, min(observed_at) FILTER (recognized) AS first_observed_at, max(observed_at) FILTER (recognized) AS last_observed_at FROM log")
+def log_scan_summary(spark, sf_dir):
+    return logs.log_scan_summary(_log(spark, sf_dir))
+
+
+def _counts_sql(source: str, dims: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS dimension, {c} AS value, count(*) AS count FROM {source} GROUP BY 2" for n, c in dims.items())
+
+
+@query(f"WITH {_LOG} {_counts_sql(f'(SELECT * FROM log WHERE {_LIN})', {'event_type': 'event_type', 'severity': 'severity', 'source': 'source'})}")
+def log_counts(spark, sf_dir):
+    inside = logs.window_membership(F.col("observed_at"), d.FROM, d.TO)
+    return logs.log_counts(_log(spark, sf_dir).filter(inside))
+
+
+@query(f"WITH {_LOG} SELECT {_LOGS} FROM log WHERE severity = 'WARN' AND observed_at {_W} ORDER BY observed_at DESC, line_number DESC LIMIT 100")
+def log_timeline(spark, sf_dir):
+    return logs.log_timeline(_log(spark, sf_dir), d.FROM, d.TO, severity="WARN").select(*_LOGC)
+
+
+@query(f"WITH {_LOG} SELECT count(*) AS total, 'full' AS coverage, 'unverified' AS source_compatibility, true AS evidence_only FROM log WHERE {_LIN}")
+def log_evidence(spark, sf_dir):
+    own = _log(spark, sf_dir)
+    return evidence.log_evidence(own, logs.log_scan_summary(own), d.FROM, d.TO)["head"]
+
+
+@query(f"WITH {_LOG}, win AS (SELECT CAST(day AS VARCHAR) AS window_id, CAST(day AS TIMESTAMP) + INTERVAL 6 HOUR AS a, CAST(day AS TIMESTAMP) + INTERVAL 30 HOUR AS b FROM (SELECT DISTINCT CAST(ts AS DATE) AS day FROM ev)) SELECT window_id, count(*) AS events FROM win JOIN log ON observed_at > a AND observed_at <= b GROUP BY 1")
+def window_membership(spark, sf_dir):
+    """Events of one window a day, from 6 o'clock to 6 o'clock."""
+    days = d.events(spark, sf_dir).select(F.to_date("ts").alias("day")).distinct()
+    start = F.col("day").cast("timestamp")
+    windows = days.select(F.col("day").cast("string").alias("window_id"), (start + F.expr("INTERVAL 6 HOURS")).alias("from_at"), (start + F.expr("INTERVAL 30 HOURS")).alias("to_at"))
+    return logs.windows_join(_log(spark, sf_dir), windows).groupBy("window_id").agg(F.count("*").alias("events"))
+
+
+# --- requests
+
+
+_AUD = """aud AS (SELECT main_revision AS line_number, CASE WHEN event_id % 3 = 1 THEN event_id - 1 ELSE event_id END AS a, CAST(date_trunc('second', ts) AS TIMESTAMP) AS observed_at, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 4 END AS stage_rank,
+  CASE event_type WHEN 'click' THEN 'update' WHEN 'view' THEN 'get' WHEN 'signup' THEN 'create' WHEN 'purchase' THEN 'patch' ELSE 'delete' END AS verb, 'user-' || user_id AS username, 'agent/' || (user_id % 4) AS user_agent,
+  '10.0.' || (user_id % 8) || '.0/24' AS source_network, '10.0.' || (user_id % 8) || '.' || (event_id % 250) AS ip, 7 + length(CAST(k AS VARCHAR)) - 1 AS request_object_bytes, key_hash FROM ev WHERE event_id % 97 <> 0),
+req AS (SELECT aud.*, api_group, resource, namespace, display_name, key_hash AS object_key_hash FROM aud JOIN ident USING (key_hash)),
+one AS (SELECT * FROM req QUALIFY row_number() OVER (PARTITION BY a ORDER BY stage_rank DESC, line_number) = 1)"""
+_AC = ("line_number", "stage_rank", "verb", "username", "user_agent", "source_network", "api_group", "resource", "namespace", "display_name", "object_key_hash", "request_object_bytes", "observed_at")
+_AS = "CAST(line_number AS BIGINT) AS line_number, CAST(stage_rank AS INTEGER) AS stage_rank, verb, username, user_agent, source_network, api_group, resource, namespace, display_name, object_key_hash, CAST(request_object_bytes AS BIGINT) AS request_object_bytes, observed_at"
+
+
+def _audit(spark, sf_dir) -> DataFrame:
+    return audit.audit_events(audit.audit_rows(d.audit_lines(spark, sf_dir), "audit"))
+
+
+@query(f"WITH {_AUD} SELECT {_AS}, sha256(ip) AS source_ip_hash, sha256('a' || a) AS audit_id_hash FROM req")
+def audit_normalize(spark, sf_dir):
+    return _audit(spark, sf_dir).select(*_AC, "source_ip_hash", "audit_id_hash")
+
+
+@query(f"WITH {_AUD} SELECT {_AS} FROM one")
+def audit_dedup(spark, sf_dir):
+    return audit.audit_dedup(_audit(spark, sf_dir)).select(*_AC)
+
+
+@query(f"WITH {_AUD} SELECT (SELECT count(*) FROM ev) AS total_lines, count(*) AS valid_events, count(*) FILTER (verb <> 'get') AS write_events, (SELECT count(*) FROM ev WHERE event_id % 97 = 0) AS unknown_lines, (SELECT count(*) FROM ev WHERE event_id % 97 = 0) AS parse_errors, count(*) - count(DISTINCT a) AS duplicate_events, min(observed_at) AS first_observed_at, max(observed_at) AS last_observed_at FROM req")
+def audit_scan_summary(spark, sf_dir):
+    return audit.audit_scan_summary(audit.audit_rows(d.audit_lines(spark, sf_dir), "audit"))
+
+
+@query(f"WITH {_AUD} " + _counts_sql("one", {"username": "username", "user_agent": "user_agent", "network": "source_network", "verb": "verb", "resource": "CASE api_group WHEN '' THEN resource ELSE api_group || '/' || resource END", "namespace": "namespace"}))
+def audit_counts(spark, sf_dir):
+    return audit.audit_counts(audit.audit_dedup(_audit(spark, sf_dir)))
+
+
+@query(f"WITH {_AUD} SELECT {_AS} FROM one WHERE verb = 'update' AND namespace = 'ns2' AND observed_at {_W} ORDER BY observed_at DESC, line_number DESC LIMIT 100")
+def audit_timeline(spark, sf_dir):
+    return audit.audit_timeline(audit.audit_dedup(_audit(spark, sf_dir)), d.FROM, d.TO, verb="update", namespace="ns2").select(*_AC)
+
+
+_SETS = f"""so AS (SELECT key_hash, api_group, resource, namespace FROM {_OD} WHERE total_bytes_delta > 0 OR revision_count_delta > 0),
+sr AS (SELECT DISTINCT api_group, resource FROM {_RD} WHERE total_bytes_delta > 0 OR current_objects_delta > 0),
+sn AS (SELECT DISTINCT namespace FROM {_ND} WHERE total_bytes_delta > 0 OR current_objects_delta > 0)"""
+_LEVEL = """flagged AS (SELECT one.*, object_key_hash IN (SELECT key_hash FROM so) AS io, (api_group, resource, namespace) IN (SELECT (api_group, resource, namespace) FROM so) AS isc, (api_group, resource) IN (SELECT (api_group, resource) FROM sr) AS ir, namespace IN (SELECT namespace FROM sn) AS ins FROM one WHERE verb <> 'get' AND """ + _LIN + """),
+matched AS (SELECT *, CASE WHEN io THEN 'high' WHEN isc OR (ir AND ins AND namespace <> '') THEN 'medium' WHEN ir OR (ins AND namespace <> '') THEN 'low' ELSE 'unverified' END AS match_level FROM flagged)"""
+
+
+def _sets(spark, sf_dir) -> dict[str, DataFrame]:
+    base, target = _object_snapshots(spark, sf_dir)
+    parts = [(f(base), f(target)) for f in (objects.resource_stats, objects.namespace_stats)]
+    return evidence.growth_sets(diff.diff_objects(base, target), diff.diff_resources(*parts[0]), diff.diff_namespaces(*parts[1]))
+
+
+def _evidence(spark, sf_dir) -> dict[str, DataFrame]:
+    rows = audit.audit_rows(d.audit_lines(spark, sf_dir), "audit")
+    return evidence.audit_evidence(audit.audit_dedup(audit.audit_events(rows)), audit.audit_scan_summary(rows), _sets(spark, sf_dir), d.FROM, d.TO, size=500)
+
+
+@query(f"WITH {_SETS} SELECT 'objects' AS name, count(*) AS n FROM so UNION ALL SELECT 'scopes', count(*) FROM (SELECT DISTINCT api_group, resource, namespace FROM so) UNION ALL SELECT 'resources', count(*) FROM sr UNION ALL SELECT 'namespaces', count(*) FROM sn")
+def growth_sets(spark, sf_dir):
+    out = None
+    for name, df in _sets(spark, sf_dir).items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {_AUD}, {_SETS}, {_LEVEL} SELECT CAST(line_number AS BIGINT) AS line_number, username, match_level FROM matched ORDER BY observed_at DESC, line_number DESC LIMIT 500")
+def audit_match_level(spark, sf_dir):
+    return _evidence(spark, sf_dir)["items"].select("line_number", "username", "match_level")
+
+
+@query(f"""WITH {_AUD}, {_SETS}, {_LEVEL} SELECT username, sha256(ip) AS source_ip_hash, count(*) AS writes, CAST(sum(request_object_bytes) AS BIGINT) AS request_object_bytes,
+  CASE max(CASE match_level WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS highest_match_level, count(*) FILTER (match_level = 'high') AS exact_object_matches,
+  count(*) FILTER (match_level = 'medium' OR (match_level = 'low' AND ir)) AS resource_matches, count(*) FILTER (match_level = 'medium' OR (match_level = 'low' AND ins)) AS namespace_matches FROM matched WHERE match_level <> 'unverified' GROUP BY username, user_agent, ip""")
+def audit_candidates(spark, sf_dir):
+    return _evidence(spark, sf_dir)["candidates"].select("username", "source_ip_hash", "writes", "request_object_bytes", "highest_match_level", "exact_object_matches", "resource_matches", "namespace_matches")
+
+
+@query(f"WITH {_AUD} SELECT count(*) AS total, 'full' AS coverage FROM one WHERE verb <> 'get' AND {_LIN}")
+def audit_evidence(spark, sf_dir):
+    return _evidence(spark, sf_dir)["head"]
+
+
+# --- metrics
+
+
+_SAMP = """samp AS (SELECT instance, h AS observed_at, unnest([{'t': 'db_total_bytes', 'le': '', 'v': total}, {'t': 'db_in_use_bytes', 'le': '', 'v': used}, {'t': 'quota_bytes', 'le': '', 'v': 8000000000}, {'t': 'put_total', 'le': '', 'v': puts}, {'t': 'delete_total', 'le': '', 'v': deletes},
+ {'t': 'backend_commit_seconds', 'le': '10', 'v': CASE WHEN hour(h) = 0 THEN NULL ELSE b10 END}, {'t': 'backend_commit_seconds', 'le': '100', 'v': b100}, {'t': 'backend_commit_seconds', 'le': '+Inf', 'v': binf}], recursive := true) FROM grid),
+samples AS (SELECT instance, observed_at, t AS metric_type, le, CAST(v AS DOUBLE) AS value, sha256(t || chr(0) || instance || chr(0) || 'etcd' || chr(0) || chr(0) || le) AS series_hash FROM samp WHERE v IS NOT NULL),
+inside AS (SELECT * FROM samples WHERE observed_at """ + _W + """)"""
+
+
+def _series(spark, sf_dir) -> DataFrame:
+    return metrics.metric_series(d.raw_series(spark, sf_dir))
+
+
+def _samples(spark, sf_dir) -> DataFrame:
+    """Samples with the histogram bound of their series."""
+    own = _series(spark, sf_dir)
+    samples = metrics.sample_dedup(metrics.raw_samples(own))
+    return metrics.samples_join_series(samples, metrics.stable_alias_dedup(own).select("series_hash", "histogram_le"))
+
+
+def _inside(spark, sf_dir) -> DataFrame:
+    return metrics.samples_in_window(_samples(spark, sf_dir), d.FROM, d.TO)
+
+
+@query("SELECT 'm' || i AS instance, name, kept FROM (SELECT unnest(range(3)) AS i), (VALUES " + ", ".join(f"('{n}', '{le}', {str(k).lower()})" for (n, le, _), k in zip(d.SERIES, (True, False, True, True, True, True, True, True, True, False, False), strict=True)) + ") t(name, le, kept) WHERE (SELECT count(*) FROM grid) > 0")
+def normalize_metric(spark, sf_dir):
+    return _series(spark, sf_dir).select("instance", F.col("source_metric_name").alias("name"), "kept")
+
+
+@query(f"WITH {_SAMP} SELECT instance, metric_type, le, series_hash, count(*) AS samples, CAST(sum(value) AS BIGINT) AS total FROM samples GROUP BY ALL")
+def sample_dedup(spark, sf_dir):
+    own = _samples(spark, sf_dir)
+    le = F.when(F.col("histogram_le").isNull(), "").when(F.col("histogram_le") == float("inf"), "+Inf").otherwise(F.col("histogram_le").cast("bigint").cast("string"))
+    return own.groupBy("instance", "metric_type", le.alias("le"), "series_hash").agg(F.count("*").alias("samples"), F.sum("value").cast("bigint").alias("total"))
+
+
+@query(f"WITH {_SAMP} SELECT CAST(33 AS BIGINT) AS total_series, CAST(24 AS BIGINT) AS supported_series, CAST(6 AS BIGINT) AS unsupported_series, CAST((SELECT 11 * count(*) FROM grid) AS BIGINT) AS total_samples, CAST(3 AS BIGINT) AS instances, 'backend_commit_seconds,db_in_use_bytes,db_total_bytes,delete_total,put_total,quota_bytes' AS metric_types, count(*) AS valid_samples, (SELECT count(*) FROM grid WHERE hour(h) = 0) AS discarded_samples, min(observed_at) AS first_observed_at, max(observed_at) AS last_observed_at FROM samples")
+def metrics_scan_summary(spark, sf_dir):
+    return metrics.metrics_scan_summary(_series(spark, sf_dir)).withColumn("metric_types", F.array_join("metric_types", ","))
+
+
+@query(f"WITH {_SAMP} SELECT metric_type, observed_at, max(value) AS value FROM inside WHERE metric_type IN ('db_total_bytes', 'db_in_use_bytes') GROUP BY ALL UNION ALL SELECT metric_type, observed_at, min(value) FROM inside WHERE metric_type = 'quota_bytes' GROUP BY ALL")
+def cluster_gauge(spark, sf_dir):
+    own, out = _inside(spark, sf_dir), None
+    for name, most in (("db_total_bytes", True), ("db_in_use_bytes", True), ("quota_bytes", False)):
+        one = metrics.cluster_gauge(own, name, most).select(F.lit(name).alias("metric_type"), "observed_at", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_CURVE = "curve AS (SELECT observed_at, max(value) AS value FROM inside WHERE metric_type = 'db_total_bytes' GROUP BY 1)"
+_GAPS = "gaps AS (SELECT observed_at, value, epoch_us(observed_at) - epoch_us(lag(observed_at) OVER (ORDER BY observed_at)) AS gap, value - lag(value) OVER (ORDER BY observed_at) AS rise, lag(observed_at) OVER (ORDER BY observed_at) AS before FROM curve), med AS (SELECT quantile_disc(gap, 0.5) AS m FROM gaps WHERE gap > 0)"
+
+
+def _curve(spark, sf_dir) -> DataFrame:
+    return metrics.cluster_gauge(_inside(spark, sf_dir), "db_total_bytes")
+
+
+@query(f"WITH {_SAMP}, {_CURVE}, {_GAPS} SELECT CAST(m AS BIGINT) AS median_us, (SELECT bool_or(gap > 3 * m) FROM gaps) AS has_gap, (SELECT arg_max(value, observed_at) - arg_min(value, observed_at) FROM curve) AS delta FROM med")
+def median_interval(spark, sf_dir):
+    own = _curve(spark, sf_dir)
+    return metrics.median_interval(own).crossJoin(metrics.has_gap(own)).crossJoin(metrics.curve_delta(own))
+
+
+@query(f"WITH {_SAMP}, {_CURVE}, {_GAPS} SELECT before AS from_at, observed_at AS to_at, rise AS delta FROM gaps, med WHERE rise > 0 AND gap <= 3 * m ORDER BY rise DESC, observed_at LIMIT 1")
+def largest_growth(spark, sf_dir):
+    return metrics.largest_growth(_curve(spark, sf_dir))
+
+
+@query(f"WITH {_SAMP}, {_CURVE}, {_GAPS}, limits AS (SELECT arg_min(value, observed_at) * 1.01 AS t FROM curve), run AS (SELECT observed_at, value > t AS a0, lead(value > t, 1) OVER w AS a1, lead(value > t, 2) OVER w AS a2, lead(gap, 1) OVER w AS g1, lead(gap, 2) OVER w AS g2, m FROM gaps, med, limits WINDOW w AS (ORDER BY observed_at)) SELECT min(observed_at) AS growth_started_at FROM run WHERE a0 AND a1 AND a2 AND g1 <= 3 * m AND g2 <= 3 * m")
+def growth_start(spark, sf_dir):
+    own = _curve(spark, sf_dir)
+    base = own.agg((F.min_by("value", "observed_at") * 1.01).alias("threshold"))
+    return metrics.growth_start(own, base)
+
+
+@query(f"WITH {_SAMP}, {_CURVE} SELECT arg_min(observed_at, (-value, observed_at)) AS peak_at, max(value) AS peak_value FROM curve")
+def curve_peak(spark, sf_dir):
+    return metrics.curve_peak(_curve(spark, sf_dir))
+
+
+_RATE = f"""reach AS (SELECT * FROM inside UNION ALL SELECT * FROM samples WHERE observed_at < TIMESTAMP '{d.FROM}' QUALIFY row_number() OVER (PARTITION BY series_hash ORDER BY observed_at DESC) = 1),
+steps AS (SELECT series_hash, observed_at, metric_type, value - lag(value) OVER s AS rise, epoch_us(observed_at) - epoch_us(lag(observed_at) OVER s) AS gap FROM reach WINDOW s AS (PARTITION BY series_hash ORDER BY observed_at)),
+meds AS (SELECT series_hash, quantile_disc(gap, 0.5) AS m FROM steps WHERE gap > 0 GROUP BY 1)"""
+
+
+@query(f"WITH {_SAMP}, {_RATE} SELECT observed_at, max(rise / (gap / 1000000)) AS value FROM steps JOIN meds USING (series_hash) WHERE metric_type = 'put_total' AND rise > 0 AND gap <= 3 * m AND observed_at {_W} GROUP BY 1")
+def counter_rate(spark, sf_dir):
+    return metrics.counter_rate(metrics.boundary_union(_samples(spark, sf_dir), d.FROM, d.TO), "put_total", d.FROM, d.TO)
+
+
+@query(f"WITH {_SAMP} SELECT series_hash, observed_at, value FROM samples WHERE observed_at < TIMESTAMP '{d.FROM}' QUALIFY row_number() OVER (PARTITION BY series_hash ORDER BY observed_at DESC) = 1")
+def predecessor_sample(spark, sf_dir):
+    return metrics.predecessor_sample(_samples(spark, sf_dir), d.FROM).select("series_hash", "observed_at", "value")
+
+
+@query(f"WITH {_SAMP}, {_RATE} SELECT count(*) AS samples, count(DISTINCT series_hash) AS series FROM reach")
+def boundary_union(spark, sf_dir):
+    return metrics.boundary_union(_samples(spark, sf_dir), d.FROM, d.TO).agg(F.count("*").alias("samples"), F.count_distinct("series_hash").alias("series"))
+
+
+@query(f"WITH {_SAMP} SELECT count(DISTINCT series_hash) AS series FROM inside")
+def series_count(spark, sf_dir):
+    return metrics.series_count(_samples(spark, sf_dir), d.FROM, d.TO)
+
+
+_HIST = """rises AS (SELECT observed_at, CASE le WHEN '10' THEN 10.0::DOUBLE WHEN '100' THEN 100.0::DOUBLE ELSE 'Infinity'::DOUBLE END AS le, value - lag(value) OVER (PARTITION BY series_hash ORDER BY observed_at) AS rise FROM inside WHERE metric_type = 'backend_commit_seconds'),
+merged AS (SELECT observed_at, le, sum(rise) AS count FROM rises WHERE rise >= 0 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_SAMP}, {_HIST} SELECT observed_at, le, count FROM merged")
+def histogram_merge(spark, sf_dir):
+    return metrics.histogram_merge(_inside(spark, sf_dir), "backend_commit_seconds")
+
+
+@query(f"""WITH {_SAMP}, {_HIST}, walk AS (SELECT observed_at, le, count, coalesce(lag(le) OVER s, 0) AS lower, coalesce(lag(count) OVER s, 0) AS before, last_value(count) OVER (PARTITION BY observed_at ORDER BY le ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 0.99::DOUBLE AS target FROM merged WINDOW s AS (PARTITION BY observed_at ORDER BY le))
+SELECT observed_at, CASE WHEN le = 'Infinity'::DOUBLE THEN lower WHEN count <= before THEN le ELSE lower + (le - lower) * (target - before) / (count - before) END AS value FROM walk WHERE target > 0 AND count >= target QUALIFY row_number() OVER (PARTITION BY observed_at ORDER BY le) = 1""")
+def histogram_quantile(spark, sf_dir):
+    return metrics.histogram_quantile(_inside(spark, sf_dir), "backend_commit_seconds", 0.99)
+
+
+_DOWN = """numbered AS (SELECT *, row_number() OVER (ORDER BY observed_at) - 1 AS i, count(*) OVER () AS n FROM curve),
+runs AS (SELECT *, CASE WHEN n <= 40 THEN i ELSE ((i + 1) * 20 - 1) // n END AS r FROM numbered)"""
+
+
+@query(f"WITH {_SAMP}, {_CURVE}, {_DOWN} SELECT observed_at, value FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY value, observed_at) = 1 OR row_number() OVER (PARTITION BY r ORDER BY value DESC, observed_at) = 1")
+def downsample_minmax(spark, sf_dir):
+    return metrics.downsample_minmax(_curve(spark, sf_dir), 40)
+
+
+@query(f"WITH {_SAMP}, {_CURVE} SELECT greatest(max(curve.value / q.value), 0) AS quota_peak_ratio FROM curve JOIN (SELECT observed_at, min(value) AS value FROM inside WHERE metric_type = 'quota_bytes' GROUP BY 1) q USING (observed_at)")
+def quota_peak_ratio(spark, sf_dir):
+    own = _inside(spark, sf_dir)
+    return metrics.quota_peak_ratio(metrics.cluster_gauge(own, "db_total_bytes"), metrics.cluster_gauge(own, "quota_bytes", False))
+
+
+@query(f"WITH {_SAMP} SELECT greatest(max(a.value - b.value), 0) AS max_defrag_reclaimable_bytes FROM inside a JOIN inside b USING (instance, observed_at) WHERE a.metric_type = 'db_total_bytes' AND b.metric_type = 'db_in_use_bytes'")
+def reclaimable_max(spark, sf_dir):
+    return metrics.reclaimable_max(_inside(spark, sf_dir))
+
+
+@query(f"WITH {_SAMP}, {_CURVE}, {_GAPS} SELECT CASE WHEN min(observed_at) <= TIMESTAMP '{d.FROM}' AND max(observed_at) >= TIMESTAMP '{d.TO}' AND NOT bool_or(gap > 3 * m) THEN 'full' ELSE 'partial' END AS coverage FROM gaps, med")
+def metrics_coverage(spark, sf_dir):
+    samples = _samples(spark, sf_dir)
+    return metrics.metrics_coverage(_curve(spark, sf_dir), samples, _series(spark, sf_dir), d.FROM, d.TO)
+
+
+@query(f"WITH {_SAMP} SELECT TIMESTAMP '{d.FROM}' AS a, least(min(observed_at), TIMESTAMP '{d.FROM}') AS from_at, greatest(max(observed_at), TIMESTAMP '{d.TO}') AS to_at FROM samples")
+def timeline_bounds(spark, sf_dir):
+    return metrics.timeline_bounds(_samples(spark, sf_dir), d.FROM, d.TO).select(F.lit(d.FROM).alias("a"), "from_at", "to_at")
+
+
+@query(f"WITH {_SAMP} SELECT metric_type, instance, series_hash, count(*) AS samples, arg_max(value, observed_at) AS last_value FROM inside GROUP BY ALL ORDER BY metric_type, instance, series_hash LIMIT 10 OFFSET 10")
+def metrics_timeline(spark, sf_dir):
+    own = metrics.metrics_timeline(_samples(spark, sf_dir), d.FROM, d.TO, number=2, size=10)
+    return own.select("metric_type", "instance", "series_hash", F.size("samples").cast("bigint").alias("samples"), F.element_at("samples", -1)["value"].alias("last_value"))
+
+
+@query(f"WITH {_SAMP} SELECT series_hash, observed_at, value FROM inside WHERE instance = 'm1' ORDER BY observed_at, series_hash LIMIT 200")
+def metric_data(spark, sf_dir):
+    return metrics.metric_data(_samples(spark, sf_dir), d.FROM, d.TO, instance="m1", size=200).select("series_hash", "observed_at", "value")
+
+
+@query()
+def metric_curves(spark, sf_dir):
+    return metrics.metric_curves(_samples(spark, sf_dir), d.FROM, d.TO)
+
+
+@query(f"""WITH {_SAMP}, {_CURVE}, {_GAPS}, {_RATE}, rates AS (SELECT metric_type, observed_at, max(rise / (gap / 1000000)) AS v FROM steps JOIN meds USING (series_hash) WHERE metric_type IN ('put_total', 'delete_total') AND rise > 0 AND gap <= 3 * m AND observed_at {_W} GROUP BY 1, 2)
+SELECT 'db_total_bytes' AS growth_metric, arg_min(value, observed_at) AS growth_baseline_bytes, greatest(8388608, arg_min(value, observed_at) * 0.01::DOUBLE) AS growth_threshold_bytes, arg_max(value, observed_at) - arg_min(value, observed_at) AS db_total_delta_bytes,
+(SELECT max(v) FROM rates WHERE metric_type = 'put_total') AS peak_put_rate, (SELECT arg_min(observed_at, (-v, observed_at)) FROM rates WHERE metric_type = 'put_total') AS peak_put_rate_at, (SELECT max(v) FROM rates WHERE metric_type = 'delete_total') AS peak_delete_rate,
+(SELECT max(rise) FROM gaps, med WHERE gap <= 3 * m) AS largest_growth_bytes, CAST(0 AS DOUBLE) AS wal_fsync_p99 FROM curve""")
+def metrics_evidence(spark, sf_dir):
+    out = metrics.metrics_evidence(_samples(spark, sf_dir), _series(spark, sf_dir), d.FROM, d.TO)
+    return out.select("growth_metric", "growth_baseline_bytes", "growth_threshold_bytes", "db_total_delta_bytes", "peak_put_rate", "peak_put_rate_at", "peak_delete_rate", "largest_growth_bytes", "wal_fsync_p99")
+
+

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,3 +29,12 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for a table, in the folder that the cluster shares (spark.checkpoint.dir), or a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/kvspace-{name}-{uuid.uuid4().hex}"
