@@ -92,13 +92,12 @@ def maybe_listed(key: Column, filter_words: np.ndarray, spark) -> Column:
 
     @F.pandas_udf(t.BooleanType())
     def test(keys: pd.Series) -> pd.Series:
-        known = keys.notna().to_numpy()
-        block, bit = _places(keys.fillna(0).to_numpy(dtype=np.int64), blocks)
+        block, bit = _places(keys.to_numpy(dtype=np.int64), blocks)
         word = shared.value[block[:, None] * (_BLOCK // 64) + bit // 64].view(np.uint64)
-        hit = ((word >> (bit % 64).astype(np.uint64)) & np.uint64(1)).all(axis=1)
-        return pd.Series(hit & known)
+        return pd.Series(((word >> (bit % 64).astype(np.uint64)) & np.uint64(1)).all(axis=1))
 
-    return test(key)
+    # a batch with nulls would reach pandas as doubles, which cannot hold 64-bit keys
+    return key.isNotNull() & test(F.coalesce(key, F.lit(0).cast("long")))
 
 
 def listed_flag(pages: DataFrame, listed: DataFrame, max_listed: int = MAX_LISTED) -> DataFrame:
