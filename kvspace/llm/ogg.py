@@ -6,7 +6,7 @@ page's checksum is verified, packets are put together from the lacing values ove
 borders, streams are told apart by serial number, and times come from granule positions.
 
 Null texts count as empty. Equal payloads give equal bytes. Damaged pages are skipped, and
-packets that a lost page cuts are dropped; both are counted.
+packets that a lost page cuts are dropped; lost pages and cut packets are counted.
 """
 
 from __future__ import annotations
@@ -93,6 +93,7 @@ class Stream:
     ended: bool = False
     open: bytearray | None = None
     page: int = 0
+    lost: int = 0
     cut: int = 0
 
 
@@ -133,6 +134,7 @@ def decode(data: bytes) -> Media:
             if s.open is not None:  # the page that should go on with this packet is lost
                 s.cut += 1
                 s.open = None
+        s.lost += max(0, number - s.page)
         s.page = number + 1
         skip = bool(flags & 1) and s.open is None
         s.cut += skip
