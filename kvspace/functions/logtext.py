@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvspace.functions.steps import computed_once
 from kvspace.schemas import EVENT_TYPES
 
 MAX_LINE = 1 << 20
@@ -152,12 +153,12 @@ def log_normalize(lines: DataFrame, text: str, column: str = "e") -> DataFrame:
     stamped = "^([0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9:.+Z-]+)\\s+"
     c = F.col
     named = lambda *names: F.coalesce(*[F.trim(_json(c("_j"), n)) for n in names], F.lit(""))
-    out = lines.withColumn("_line", F.trim(F.regexp_replace(c(text), "\\r$", "")))
-    out = out.withColumn("_outer", F.when(c("_line").rlike(prefix), parse_log_time(F.substring_index("_line", " ", 1))))
-    out = out.withColumn("_body", F.when(c("_outer").isNotNull(), F.trim(F.regexp_replace("_line", prefix, ""))).otherwise(c("_line")))
-    out = out.withColumns({"_brace": c("_body").startswith("{"), "_own": F.when(c("_body").contains("MESSAGE="), _field(c("_body"), "MESSAGE")).otherwise("")})
-    out = out.withColumn("_j", F.when(c("_brace"), F.from_json("_body", "map<string,string>")))
-    out = out.withColumns({
+    out = computed_once(lines, {"_line": F.trim(F.regexp_replace(c(text), "\\r$", ""))})
+    out = computed_once(out, {"_outer": F.when(c("_line").rlike(prefix), parse_log_time(F.substring_index("_line", " ", 1)))})
+    out = computed_once(out, {"_body": F.when(c("_outer").isNotNull(), F.trim(F.regexp_replace("_line", prefix, ""))).otherwise(c("_line"))})
+    out = computed_once(out, {"_brace": c("_body").startswith("{"), "_own": F.when(c("_body").contains("MESSAGE="), _field(c("_body"), "MESSAGE")).otherwise("")})
+    out = computed_once(out, {"_j": F.when(c("_brace"), F.from_json("_body", "map<string,string>"))})
+    out = computed_once(out, {
         "_broken": F.when(c("_brace"), F.try_parse_json("_body").isNull()),
         "_message": named("msg", "message", "log"),
         "_explicit": log_event_type_value(named("event_type", "eventType", "type")),
@@ -165,14 +166,14 @@ def log_normalize(lines: DataFrame, text: str, column: str = "e") -> DataFrame:
     by_json = F.when(~c("_brace"), F.lit(None)).when(c("_broken"), "json_error").when(c("_message") == "", "json_missing_message").when((c("_explicit") != "unknown") | (log_event_type(c("_message")) != "unknown"), "json")
     by_journal = F.when(c("_own") != "", "journal")
     route = F.when(c("_line") == "", "empty").when(c("_outer").isNotNull(), F.coalesce(by_json, by_journal, F.lit("text"))).otherwise(F.coalesce(by_journal, by_json, F.lit("text")))
-    out = out.withColumns({"_route": route, "_stamp": F.regexp_extract("_body", stamped, 1), "_rest": F.trim(F.regexp_replace("_body", stamped, ""))})
+    out = computed_once(out, {"_route": route, "_stamp": F.regexp_extract("_body", stamped, 1), "_rest": F.trim(F.regexp_replace("_body", stamped, ""))})
     journal, json = c("_route") == "journal", c("_route") == "json"
     whole = F.when(c("_rest") == "", c("_body")).otherwise(c("_rest"))
     time_text = F.when(journal, _field(c("_body"), "__REALTIME_TIMESTAMP")).when(c("_route") == "text", c("_stamp"))
     json_time = F.coalesce(*[parse_log_time(_json(c("_j"), n)) for n in ("ts", "timestamp", "time", "observed_at", "observedAt")], c("_outer"))
     severity = F.when(json, severity_from_value(named("level", "severity", "priority"))).when(journal, severity_from_priority(_field(c("_body"), "PRIORITY")))
     unit = F.when(_field(c("_body"), "SYSLOG_IDENTIFIER") != "", _field(c("_body"), "SYSLOG_IDENTIFIER")).otherwise(_field(c("_body"), "_SYSTEMD_UNIT"))
-    out = out.withColumns({
+    out = computed_once(out, {
         "_text": F.when(json, c("_message")).when(journal, c("_own")).when(c("_route") == "text", whole).when(c("_route") == "empty", c("_line")).otherwise(c("_body")),
         "_at": F.when(json, json_time).otherwise(parse_log_time(time_text)),
         "_severity": severity,
@@ -182,9 +183,9 @@ def log_normalize(lines: DataFrame, text: str, column: str = "e") -> DataFrame:
         "_revision": F.when(json, first_safe_int(c("_j"), MAX_INTEGER, "revision", "rev", "revision_number", "revisionNumber")),
         "_size": F.when(json, first_safe_int(c("_j"), MAX_INTEGER, "db_size_bytes", "dbSizeBytes", "db_size", "database_size")),
     })
-    out = out.withColumn("_type", F.when(json & (c("_explicit") != "unknown"), c("_explicit")).otherwise(log_event_type(c("_text"))))
+    out = computed_once(out, {"_type": F.when(json & (c("_explicit") != "unknown"), c("_explicit")).otherwise(log_event_type(c("_text")))})
     good = json | journal | ((c("_route") == "text") & (c("_type") != "unknown"))
-    out = out.withColumn("_good", good)
+    out = computed_once(out, {"_good": good})
     known = lambda x: F.when(c("_good"), x)
     sure = F.when(c("_severity") != "UNKNOWN", c("_severity")).when(c("_level") != "UNKNOWN", c("_level"))
     event = F.struct(
@@ -200,4 +201,4 @@ def log_normalize(lines: DataFrame, text: str, column: str = "e") -> DataFrame:
         c("_good").alias("recognized"),
         c("_route").isin("json_error", "json_missing_message").alias("parse_error"),
     )
-    return out.select(*lines.columns, F.when(c(text).isNotNull(), event).alias(column))
+    return computed_once(out, {column: F.when(c(text).isNotNull(), event)}).select(*lines.columns, column)

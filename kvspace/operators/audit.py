@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kvspace import schemas
 from kvspace.functions.requests import audit_normalize, is_write_verb
+from kvspace.functions.steps import computed_once
 from kvspace.operators.logs import filter_timeline, grouped_counts, timeline_page
 
 DIMENSIONS = [("username", "username"), ("user_agent", "user_agent"), ("network", "source_network"), ("verb", "verb"), ("resource", "_resource"), ("namespace", "namespace")]
@@ -17,9 +18,10 @@ DIMENSIONS = [("username", "username"), ("user_agent", "user_agent"), ("network"
 def audit_rows(lines: DataFrame, task_id: str) -> DataFrame:
     """Every line of (line_number, line) with its event, null where the line is no JSON object of the schema."""
     parsed = F.from_json("line", schemas.AUDIT_JSON + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    named = lines.select("line_number", "line", parsed.alias("j")).withColumn("_ok", F.col("j").isNotNull() & F.col("j._bad").isNull() & F.trim("line").startswith("{"))
-    event = F.when(F.col("_ok"), audit_normalize(F.col("j"), F.col("line")))
-    return named.select(F.lit(task_id).alias("task_id"), "line_number", event.alias("e"))
+    read = computed_once(lines.select("line_number", "line"), {"_j": parsed})
+    good = F.col("_j").isNotNull() & F.col("_j._bad").isNull() & F.trim("line").startswith("{")
+    out = computed_once(read.withColumn("_ok", good), {"e": F.when(F.col("_ok"), audit_normalize(F.col("_j"), F.col("line")))})
+    return out.select(F.lit(task_id).alias("task_id"), "line_number", "e")
 
 
 def audit_events(rows: DataFrame) -> DataFrame:

@@ -64,10 +64,14 @@ def _objects(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def _object_snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    out = []
-    for part in d.snapshots(d.revisions(spark, sf_dir, with_value=True)):
-        out.append(objects.object_records(objects.object_revisions(part), part.drop("value")))
-    return out[0], out[1]
+    """Object records of both snapshots, as stored tables: several diffs read them."""
+    path = scratch_dir(spark, "objects")
+    tables = {}
+    for name, part in zip(("base", "target"), d.snapshots(d.revisions(spark, sf_dir, with_value=True)), strict=True):
+        tables[name] = objects.object_records(objects.object_revisions(part), part.drop("value")).withColumn("task_id", F.lit(name))
+    readers.write_tables({"object_records": tables["base"].unionByName(tables["target"])}, path)
+    base, target = (readers.read_table(spark, path, "object_records", name) for name in tables)
+    return base, target
 
 
 # --- sources and the revision log
