@@ -8,8 +8,9 @@ texts that share a band are candidates, and candidates are verified by the weigh
 similarity of their whole shingle multisets.
 
 Candidates are compared along stars, one leader for each band bucket, so a bucket of m texts
-costs m comparisons. Then every pair that shares a bucket and still lies in two components
-is compared as well, so no link between candidates is lost.
+that belong together costs m comparisons. Members that are not linked to their leader are
+compared with the other members that the distances to the leader do not rule out, so no
+link between candidates is lost.
 
 Null texts count as empty. Texts without a word belong together only if they are equal.
 Repeated rows and equal texts fall into one class. Extra columns are not read.
@@ -179,18 +180,18 @@ def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
     return both / (total - both)
 
 
-def _verify(pairs: DataFrame, grams: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity reaches the threshold."""
+def _compare(pairs: DataFrame, grams: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The pairs (a, b) with their weighted Jaccard distance."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
         for batch in batches:
             xs, ys = batch.column("x"), batch.column("y")
-            ok = [weighted_jaccard(xs[i].as_py(), ys[i].as_py(), shared.value) >= similarity for i in range(batch.num_rows)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            apart = [1 - weighted_jaccard(xs[i].as_py(), ys[i].as_py(), shared.value) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.float64())], names=["a", "b", "distance"])
 
     left, right = (grams.select(F.col("node").alias(n), F.col("grams").alias(g)) for n, g in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, distance double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,9 +205,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        large = both.join(least, "u").filter((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(low, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = cut(small.distinct())
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -215,62 +216,51 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
 
 
-def _rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return members.withColumn("root", F.col("node"))
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-
-
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, power: float = IDF_POWER, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, power: float = IDF_POWER) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (least doc_id of its class), class_size."""
     df, n = document_frequency(docs)
     idf = idf_weights(df, n, power)
     signed = materialize(signatures(docs, idf, bands, rows), "signatures")
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    members = signed.select("node", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("last")).filter(F.col("leader") != F.col("last"))
-    members = materialize(members.join(buckets.select("band", "leader"), "band").distinct(), "members")
-    wanted = members.select("node").distinct()
-    grams = materialize(_shingle_sets(docs, nodes.join(wanted, "node", "left_semi").select("doc_id", "node")).dropDuplicates(["node"]), "grams")
-    pairs = members.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_verify(pairs, grams, idf, similarity), "links")
+    links = candidate_links(docs, signed, nodes, idf, similarity)
     roots = components(links)
-    tried = pairs
-    size = signed.count()
-    for turn in range(rounds + 1):
-        inside = _rooted(members.select("node", "band"), roots)
-        parts = inside.groupBy("band", "root").agg(F.count("*").alias("k"), F.min("node").alias("head"))
-        mixed = parts.groupBy("band").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("same"), F.count("*").alias("roots")).filter(F.col("roots") > 1)
-        open_pairs = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0] or 0
-        if not open_pairs:
-            break
-        inside = inside.join(mixed.select("band"), "band", "left_semi")
-        last = turn == rounds or open_pairs <= 4 * size
-        if last:  # every pair of a bucket whose texts lie in two components
-            other = inside.select("band", F.col("node").alias("node2"), F.col("root").alias("root2"))
-            more = inside.join(other, "band").filter((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2"))).select(F.col("node").alias("a"), F.col("node2").alias("b"))
-        else:  # another leader for each bucket
-            lead = inside.groupBy("band").agg(F.min_by("node", F.xxhash64("node", "band", F.lit(turn))).alias("head"), F.min_by("root", F.xxhash64("node", "band", F.lit(turn))).alias("root2"))
-            more = inside.join(lead, "band").filter(F.col("root") != F.col("root2")).select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
-        more = materialize(more.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = materialize(_verify(more, grams, idf, similarity), "links")
-        links = links.unionByName(found)
-        if found.head(1):
-            roots = components(links)
-        if last:
-            break
-        tried = tried.unionByName(more)
-    named = _rooted(nodes, roots)
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
     named = named.select("node", "root").join(classes, "root").select("node", "class_id", "class_size")
     return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
 
 
+def candidate_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) that connect all candidates (texts with a band in common) of the similarity or more.
+
+    In each band bucket, the text that shares most with others leads; every member is compared
+    with it. Members that are linked to their leader are in one component. Any other member is
+    compared with the rest of its buckets, but for those that the distances to the leader rule
+    out: the weighted Jaccard distance is a metric, so two texts whose distances to the leader
+    differ by more than the allowed distance are no link.
+    """
+    every = signed.select("node", F.explode("bands").alias("band"))
+    buckets = every.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter(F.col("least") != F.col("most")).select("band", "n")
+    members = materialize(every.join(buckets, "band").distinct(), "members")
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    leaders = members.join(weights, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    members = materialize(members.join(leaders, "band").select("band", "node", "leader"), "members")
+    pairs = members.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    grams = materialize(_shingle_sets(docs, nodes.join(weights, "node", "left_semi").select("doc_id", "node")).dropDuplicates(["node"]), "grams")
+    first = materialize(_compare(pairs, grams, idf), "compared")
+    most = 1 - similarity
+    inside = members.join(first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance"), ["leader", "node"], "left").select("band", "node", F.coalesce("distance", F.lit(0.0)).alias("distance"))
+    x = inside.filter(F.col("distance") > most).select("band", F.col("node").alias("x"), F.col("distance").alias("dx"))
+    y = inside.filter(F.col("distance") > 0).select("band", F.col("node").alias("y"), F.col("distance").alias("dy"))
+    near = (F.col("x") != F.col("y")) & (F.abs(F.col("dx") - F.col("dy")) <= most + 1e-9) & ((F.col("dy") <= most) | (F.col("x") < F.col("y")))
+    rest = x.join(y, "band").filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    second = _compare(rest, grams, idf)
+    close = lambda df: df.filter(F.col("distance") <= most).select("a", "b")
+    return close(first).unionByName(close(second))
+
+
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs with the document of least doc_id of each class; of repeated rows of that doc_id, one."""
     kept = near_duplicates(docs, **options).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    picked = docs.join(kept, "doc_id", "left_semi")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    once = picked.join(twice, "doc_id", "left_anti")
-    again = picked.join(twice, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).filter("_n = 1").drop("_n")
-    return once.select(*docs.columns).unionByName(again.select(*docs.columns))
+    first = Window.partitionBy("doc_id").orderBy("text")
+    return docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(*docs.columns)
