@@ -700,6 +700,13 @@ def _samples(spark, sf_dir) -> DataFrame:
     return metrics.samples_join_series(samples, metrics.stable_alias_dedup(own).select("series_hash", "histogram_le"))
 
 
+def _stored_samples(spark, sf_dir) -> DataFrame:
+    """The samples as a stored table, for operators that read them many times."""
+    path = scratch_dir(spark, "samples")
+    _samples(spark, sf_dir).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _inside(spark, sf_dir) -> DataFrame:
     return metrics.samples_in_window(_samples(spark, sf_dir), d.FROM, d.TO)
 
@@ -790,9 +797,10 @@ _HIST = """rises AS (SELECT observed_at, CASE le WHEN '10' THEN 10.0::DOUBLE WHE
 merged AS (SELECT observed_at, le, sum(rise) AS count FROM rises WHERE rise >= 0 GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_SAMP}, {_HIST} SELECT observed_at, le, count FROM merged")
+@query(f"WITH {_SAMP}, {_HIST} SELECT observed_at, CASE WHEN le < 1e300 THEN CAST(CAST(le AS BIGINT) AS VARCHAR) ELSE '+Inf' END AS le, count FROM merged")
 def histogram_merge(spark, sf_dir):
-    return metrics.histogram_merge(_inside(spark, sf_dir), "backend_commit_seconds")
+    le = F.when(F.col("le") < 1e300, F.col("le").cast("bigint").cast("string")).otherwise("+Inf")
+    return metrics.histogram_merge(_inside(spark, sf_dir), "backend_commit_seconds").withColumn("le", le)
 
 
 @query(f"""WITH {_SAMP}, {_HIST}, walk AS (SELECT observed_at, le, count, coalesce(lag(le) OVER s, 0) AS lower, coalesce(lag(count) OVER s, 0) AS before, last_value(count) OVER (PARTITION BY observed_at ORDER BY le ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 0.99::DOUBLE AS target FROM merged WINDOW s AS (PARTITION BY observed_at ORDER BY le))
@@ -845,7 +853,7 @@ def metric_data(spark, sf_dir):
 
 @query()
 def metric_curves(spark, sf_dir):
-    return metrics.metric_curves(_samples(spark, sf_dir), d.FROM, d.TO)
+    return metrics.metric_curves(_stored_samples(spark, sf_dir), d.FROM, d.TO)
 
 
 @query(f"""WITH {_SAMP}, {_CURVE}, {_GAPS}, {_RATE}, rates AS (SELECT metric_type, observed_at, max(rise / (gap / 1000000)) AS v FROM steps JOIN meds USING (series_hash) WHERE metric_type IN ('put_total', 'delete_total') AND rise > 0 AND gap <= 3 * m AND observed_at {_W} GROUP BY 1, 2)
@@ -853,7 +861,8 @@ SELECT 'db_total_bytes' AS growth_metric, arg_min(value, observed_at) AS growth_
 (SELECT max(v) FROM rates WHERE metric_type = 'put_total') AS peak_put_rate, (SELECT arg_min(observed_at, (-v, observed_at)) FROM rates WHERE metric_type = 'put_total') AS peak_put_rate_at, (SELECT max(v) FROM rates WHERE metric_type = 'delete_total') AS peak_delete_rate,
 (SELECT max(rise) FROM gaps, med WHERE gap <= 3 * m) AS largest_growth_bytes, CAST(0 AS DOUBLE) AS wal_fsync_p99 FROM curve""")
 def metrics_evidence(spark, sf_dir):
-    out = metrics.metrics_evidence(_samples(spark, sf_dir), _series(spark, sf_dir), d.FROM, d.TO)
+    samples = _stored_samples(spark, sf_dir)
+    out = metrics.metrics_evidence(samples, samples.select("series_hash").distinct(), d.FROM, d.TO)
     return out.select("growth_metric", "growth_baseline_bytes", "growth_threshold_bytes", "db_total_delta_bytes", "peak_put_rate", "peak_put_rate_at", "peak_delete_rate", "largest_growth_bytes", "wal_fsync_p99")
 
 
