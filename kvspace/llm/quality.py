@@ -20,6 +20,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvspace.functions.steps import computed_once
 from kvspace.llm.store import cut
 from kvspace.llm.trees import Rule, rules_of, tree_of
 
@@ -124,4 +125,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, thr
     model = fit(docs, labels, limit)
     # the statistics' names could be names of document columns, so these travel in a struct
     packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text"))
-    return with_statistics(packed, ["_row"]).filter(model.score() >= threshold).select("_row.*")
+    # a filter on the score itself would be pushed below the statistics and repeat them for each rule
+    scored = computed_once(with_statistics(packed, ["_row"]), {"_score": model.score()})
+    return scored.filter(F.col("_score") >= threshold).select("_row.*")
