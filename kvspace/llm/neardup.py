@@ -13,7 +13,8 @@ compared with the other members that the distances to the leader do not rule out
 link between candidates is lost.
 
 Null texts count as empty. Texts without a word belong together only if they are equal.
-Repeated rows and equal texts fall into one class. Extra columns are not read.
+Repeated rows and equal texts fall into one class. Extra columns are not read. Rows of null
+doc_id take part like any other; a class whose ids are all null has a null class_id.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from kvspace.llm.store import cut, materialize
-from kvspace.llm.text import buffers, mix, slices, windows, words
+from kvspace.llm.text import buffers, extend, mix, slices, windows, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -149,7 +150,7 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
 
 
 def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, grams) of the documents in nodes (node, doc_id); grams packs sorted shingles and counts."""
+    """(node, grams) of each node in nodes (node, doc_id); grams packs sorted shingles and counts."""
 
     def run(batches):
         for batch in batches:
@@ -157,13 +158,13 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 row, shingle, count, prints = _shingles(part)
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
                 grams = [shingle[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints, pa.binary()), pa.array(grams, pa.binary())], names=["doc_id", "node", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(grams, pa.binary())], names=["node", "grams"])
 
-    schema = t.StructType([docs.schema["doc_id"], t.StructField("node", t.BinaryType()), t.StructField("grams", t.BinaryType())])
-    # documents by (doc_id, text): the node comes out of the text, so joining on doc_id first keeps the rest of the texts out of the shuffle
-    picked = docs.select("doc_id", "text").join(nodes.select("doc_id").distinct(), "doc_id", "left_semi")
-    made = picked.mapInArrow(run, schema)
-    return made.join(nodes, ["doc_id", "node"], "left_semi").select("node", "grams")
+    # the node comes out of the text, so joining on doc_id first keeps the rest of the texts out of the shuffle; a null doc_id joins nothing, so those rows are all read
+    known, unknown = docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), docs.select("doc_id", "text").filter("doc_id IS NULL")
+    picked = known.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(unknown)
+    made = picked.mapInArrow(run, "node binary, grams binary").dropDuplicates(["node"])
+    return made.join(nodes, "node", "left_semi")
 
 
 def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
@@ -218,6 +219,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, power: float = IDF_POWER) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (least doc_id of its class), class_size."""
+    signed, named = _classes(docs, similarity, bands, rows, power)
+    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
+
+
+def _classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, power: float = IDF_POWER) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs, and (node, root, class_id, class_size): root is the least node of the class."""
     df, n = document_frequency(docs)
     idf = idf_weights(df, n, power)
     signed = materialize(signatures(docs, idf, bands, rows), "signatures")
@@ -226,8 +233,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     roots = components(links)
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = named.select("node", "root").join(classes, "root").select("node", "class_id", "class_size")
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
+    return signed, named.select("node", "root").join(classes, "root").select("node", "root", "class_id", "class_size")
 
 
 def candidate_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -237,7 +243,7 @@ def candidate_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, idf: n
     with it. Members that are linked to their leader are in one component. Any other member is
     compared with the rest of its buckets, but for those that the distances to the leader rule
     out: the weighted Jaccard distance is a metric, so two texts whose distances to the leader
-    differ by more than the allowed distance are no link.
+    differ by more than the allowed distance are no link. A missing distance rules out nothing.
     """
     every = signed.select("node", F.explode("bands").alias("band"))
     buckets = every.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter(F.col("least") != F.col("most")).select("band", "n")
@@ -246,13 +252,13 @@ def candidate_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, idf: n
     leaders = members.join(weights, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
     members = materialize(members.join(leaders, "band").select("band", "node", "leader"), "members")
     pairs = members.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    grams = materialize(_shingle_sets(docs, nodes.join(weights, "node", "left_semi").select("doc_id", "node")).dropDuplicates(["node"]), "grams")
+    grams = materialize(_shingle_sets(docs, nodes.join(weights, "node", "left_semi").select("doc_id", "node")), "grams")
     first = materialize(_compare(pairs, grams, idf), "compared")
     most = 1 - similarity
-    inside = members.join(first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance"), ["leader", "node"], "left").select("band", "node", F.coalesce("distance", F.lit(0.0)).alias("distance"))
-    x = inside.filter(F.col("distance") > most).select("band", F.col("node").alias("x"), F.col("distance").alias("dx"))
-    y = inside.filter(F.col("distance") > 0).select("band", F.col("node").alias("y"), F.col("distance").alias("dy"))
-    near = (F.col("x") != F.col("y")) & (F.abs(F.col("dx") - F.col("dy")) <= most + 1e-9) & ((F.col("dy") <= most) | (F.col("x") < F.col("y")))
+    inside = members.join(first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance"), ["leader", "node"], "left").select("band", "node", "leader", "distance").filter(F.col("node") != F.col("leader"))
+    x = inside.filter(F.col("distance").isNull() | (F.col("distance") > most)).select("band", F.col("node").alias("x"), F.col("distance").alias("dx"))
+    y = inside.select("band", F.col("node").alias("y"), F.col("distance").alias("dy"))
+    near = (F.col("x") != F.col("y")) & F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= most + 1e-9, F.lit(True)) & (F.coalesce(F.col("dy") <= most, F.lit(False)) | (F.col("x") < F.col("y")))
     rest = x.join(y, "band").filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     second = _compare(rest, grams, idf)
     close = lambda df: df.filter(F.col("distance") <= most).select("a", "b")
@@ -260,7 +266,13 @@ def candidate_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, idf: n
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs with the document of least doc_id of each class; of repeated rows of that doc_id, one."""
-    kept = near_duplicates(docs, **options).filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(*docs.columns)
+    """docs with one document of each class: that of least doc_id; of repeated rows of that doc_id, one.
+
+    Of a class whose ids are all null, one row of the least node stays.
+    """
+    signed, named = _classes(docs, **options)
+    kept = signed.select("doc_id", "node").join(named, "node").filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    one = lambda df, key: df.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter("_row = 1").select(*docs.columns)
+    nameless = extend(docs.filter("doc_id IS NULL"), "text", [t.StructField("_node", t.BinaryType())], lambda part: [pa.array(_shingles(part)[3], pa.binary())])
+    alone = named.filter("class_id IS NULL AND node = root").select(F.col("node").alias("_node"))
+    return one(docs.join(kept, "doc_id", "left_semi"), "doc_id").unionByName(one(nameless.join(alone, "_node", "left_semi"), "_node"))

@@ -69,6 +69,36 @@ def test_classes(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
 
 
+def test_null_ids(spark):
+    """Every other text has no id, leaders of large buckets among them; classes must not depend on it."""
+    texts = corpus()
+    frame = spark.createDataFrame([(None if i % 2 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    root = brute(list(enumerate(texts)), neardup.idf_weights(*neardup.document_frequency(frame)))
+    members = {}
+    for i, r in root.items():
+        members.setdefault(r, []).append(i)
+    least = {r: min((i for i in m if i % 2 == 0), default=None) for r, m in members.items()}
+    assert None in least.values()
+    expected = [(None if i % 2 else i, least[r], len(members[r])) for i, r in root.items()]
+    assert sorted(map(tuple, neardup.near_duplicates(frame).collect()), key=repr) == sorted(expected, key=repr)
+    at = {t: root[i] for i, t in enumerate(texts)}
+    kept = neardup.deduplicate(frame).collect()
+    assert sorted(at[r.text] for r in kept) == sorted(members)
+    assert all(r.doc_id == least[at[r.text]] for r in kept)
+
+
+def test_null_id_leader(spark):
+    """The copied central text has no id, nor has a text of its own class."""
+    word = lambda i: f"w{i:04d}"
+    base = [word(i) for i in range(200)]
+    changed = lambda *at: " ".join(f"x{at[0]}" if i in at else w for i, w in enumerate(base))
+    texts = [" ".join(base)] * 3 + [changed(5), changed(60), changed(120)]
+    frame = spark.createDataFrame([(None, t) for t in texts[:3]] + [(i, t) for i, t in enumerate(texts[3:])] + [(None, "quite another text that stands alone")], "doc_id long, text string")
+    rows = neardup.near_duplicates(frame).collect()
+    assert sorted((r.doc_id is None, r.class_id is None, r.class_size) for r in rows) == [(False, False, 6)] * 3 + [(True, False, 6)] * 3 + [(True, True, 1)]
+    assert sorted((r.doc_id is None, r.text[:5]) for r in neardup.deduplicate(frame).collect()) == [(False, "w0000"), (True, "quite")]
+
+
 def test_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words are in this one"), (2, "A b, c d e f")], "doc_id long, text string")
     assert sorted(r.class_id for r in neardup.near_duplicates(docs).collect()) == [1, 1, 1, 1]
