@@ -9,7 +9,9 @@ No table marks personal data, so the trees learn from rules that are sure where
 (keyed secrets, vendor prefixes, validated formats; plain words and version numbers as
 counter-examples), on a bounded sample of candidates.
 
-Null texts count as empty. Very long texts are handled whole; all patterns are linear.
+Null texts count as empty. Very long texts are handled whole; all patterns are linear, and
+the runs of keys, secrets and handles have no upper length (numbers have the lengths of their
+formats).
 Ties between overlapping spans go to the longer one, then to the kind listed first.
 Repeated rows give repeated results.
 """
@@ -45,9 +47,9 @@ BASE = {
 }
 #: Generators of the kinds that the trees judge.
 GENERATED = {
-    "key": "(?<![A-Za-z0-9])[A-Za-z0-9_+/-]{16,128}+={0,2}(?![A-Za-z0-9])",
-    "secret": "(?i:password|passwd|pwd|secret|token|api_?key|access_?key|auth)[\"']?\\s{0,3}+[:=]\\s{0,3}+[\"']?[^\\s\"',;]{4,200}+",
-    "handle": f"(?i)(?<![{_LOCAL}])[a-z0-9._+-]{{2,64}}+ ?[\\[({{] ?at ?[\\])}}] ?[a-z0-9-]{{2,64}}+ ?(?:[\\[({{] ?dot ?[\\])}}]|\\.) ?[a-z]{{2,24}}+",
+    "key": "(?<![A-Za-z0-9])[A-Za-z0-9_+/-]{16,}+={0,2}(?![A-Za-z0-9])",
+    "secret": "(?i:password|passwd|pwd|secret|token|api_?key|access_?key|auth)[\"']?\\s{0,3}+[:=]\\s{0,3}+[\"']?[^\\s\"',;]{4,}+",
+    "handle": f"(?i)(?<![{_LOCAL}])[a-z0-9._+-]{{2,}}+ ?[\\[({{] ?at ?[\\])}}] ?[a-z0-9-]{{2,}}+ ?(?:[\\[({{] ?dot ?[\\])}}]|\\.) ?[a-z]{{2,}}+",
     "number": "(?<![0-9A-Za-z.+-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![0-9A-Za-z])",
 }
 KINDS = (*BASE, *GENERATED)
@@ -187,7 +189,7 @@ def _named(kind: str):
 def fit(docs: DataFrame, limit: int = MAX_CANDIDATES, documents: int = MAX_DOCUMENTS) -> Detector:
     """A detector from the candidates of at most ``documents`` documents (those of least text hash)."""
     least = docs.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(documents).agg(F.max("h")).first()[0]
-    some = docs.select("text").filter(F.xxhash64("text") <= F.lit(least)).filter(F.col("text").rlike("[0-9\\[({=]")) if least is not None else docs.select("text").limit(0)
+    some = docs.select("text").filter(F.xxhash64("text") <= F.lit(least)) if least is not None else docs.select("text").limit(0)
     text = F.col("_t")
     found = some.select(clean(F.col("text")).alias("_t")).select(F.explode(F.concat(*[F.transform(s, _named(k)) for k, s in candidate_spans(text).items()])).alias("c")).select("c.*")
     vector = features(F.col("kind"), F.col("value"), F.col("left"))
@@ -221,9 +223,7 @@ def with_spans(docs: DataFrame, detector: Detector, column: str = "_pii") -> Dat
     text = F.col("_t")
     named = docs.withColumn("_t", clean(F.col("text")))
     columns = {k: bare(s) for k, s in base_spans(text).items()}
-    some = F.col("_t").rlike("[0-9\\[({=]")
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    columns |= {k: F.when(some, bare(detector.chosen(k, s))).otherwise(none) for k, s in candidate_spans(text).items()}
+    columns |= {k: bare(detector.chosen(k, s)) for k, s in candidate_spans(text).items()}
     return named.withColumn(column, F.struct(*[c.alias(k) for k, c in columns.items()])).drop("_t")
 
 

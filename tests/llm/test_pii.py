@@ -74,6 +74,28 @@ def test_boosted_spans_and_redaction(spark):
     assert [r.text for r in pii.redact(some, detector).orderBy("doc_id").collect()] == ["write [EMAIL] or [PHONE] now", None]
 
 
+def test_long_values_are_whole(spark):
+    run = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(100))
+    values = {
+        "secret": ["token: " + run[:201], "password=" + run[:5000]],
+        "key": [run[:300], run[:100] + "/" + run[100:150] + "+" + run[:149], run],
+        "handle": [f"{'a' * 100} [at] {'b' * 100} [dot] {'c' * 30}"],
+    }
+    cases = [(kind, v) for kind, own in values.items() for v in own]
+    docs = spark.createDataFrame([(i, f"see {v}, then more") for i, (_, v) in enumerate(cases)], "doc_id long, text string").orderBy("doc_id")
+    found = docs.select("doc_id", F.struct(*[s.alias(k) for k, s in pii.candidate_spans(F.col("text")).items()]).alias("s")).orderBy("doc_id").collect()
+    assert [[x["value"] for x in r.s[kind]] for r, (kind, _) in zip(found, cases, strict=True)] == [[v] for _, v in cases]
+    detector = pii.fit(spark.createDataFrame(training(), "doc_id long, text string"))
+    red = [r.text for r in pii.redact(docs, detector).orderBy("doc_id").collect()]
+    assert red[:5] == ["see [SECRET], then more"] * 2 + ["see [KEY], then more"] * 3
+
+
+def test_secret_of_letters_after_a_colon(spark):
+    docs = spark.createDataFrame([(1, "auth: sk-abcdefghijklmnopqrst"), (2, "say sk-abcdefghijklmnopqrst now")], "doc_id long, text string")
+    found = {r.doc_id: r._pii for r in pii.with_spans(docs, pii.Detector([], {})).collect()}
+    assert [tuple(s) for s in found[1].key] == [(6, 29)] and [tuple(s) for s in found[2].key] == [(4, 27)]
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     plan = pii.with_spans(docs, pii.Detector([], {}))._jdf.queryExecution().executedPlan().toString()
