@@ -2,8 +2,15 @@
 
 The reader takes records one after the other. When a member does not inflate, a version line
 or length is wrong, or a digest does not match, it looks for the next gzip member or version
-line that does hold, goes on there, and logs the bytes between as a quarantined gap. No
-record after a damaged one is lost, and every byte of an archive lies in a record or a gap.
+line that does hold, goes on there, and logs the bytes between as a quarantined gap. The same
+is done inside a member of several records, and with what inflates of a damaged member before
+it breaks off; records and gaps of one member all have the member's offset. No record after a
+damaged one is lost, except in the part of a gzip member that no longer inflates, and every
+byte of an archive lies in a record or a gap.
+
+A record of a member that fails its checksum or is cut short has the member's failure as its
+reason: its block matches its digest, its headers could not be checked. Without a digest its
+kind is "unverified".
 
 Null html counts as an empty payload. Rows that repeat a page_id with an equal payload of
 the largest page_id are all responses.
@@ -29,6 +36,8 @@ from kvspace.llm.store import materialize, shared_dir
 ARCHIVE_BYTES = 4 << 20
 #: The least payload that is replaced by a revisit.
 REVISIT_BYTES = 1000
+#: Compressed bytes that are inflated at a time.
+BLOCK = 1 << 16
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
@@ -65,7 +74,7 @@ def record(kind: str, name: str, uri: str, payload: bytes, refers_to: str | None
 
 @dataclass
 class Found:
-    """A record, or (kind "gap") a span of bytes that holds none; offset and length are in the archive's bytes."""
+    """A record (kind "record" or "unverified"), or a span of bytes that holds none ("gap"); offset and length are in the archive's bytes."""
 
     kind: str
     offset: int
@@ -109,62 +118,92 @@ def _payload(headers: dict[str, str], block: bytes) -> bytes:
     return block
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int] | str:
-    """One gzip member: its content and end; zlib checks its CRC and length."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        return f"member does not inflate: {e}"
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str, bool]:
+    """One gzip member: its content as far as it inflates, its end or where it broke off, why it fails, whether all content came out.
+
+    zlib checks the CRC and length. The block in which an error lies is inflated again byte by
+    byte, so that all that comes out before the error is kept.
+    """
+    z, out, k = zlib.decompressobj(31), [], at
+    while not z.eof and k < len(data):
+        before = z.copy()
+        try:
+            out.append(z.decompress(data[k : k + BLOCK]))
+            k = min(k + BLOCK, len(data))
+        except zlib.error:
+            try:
+                while True:
+                    out.append(before.decompress(data[k : k + 1]))
+                    k += 1
+            except zlib.error as e:
+                trailer = re.search("incorrect (data|length) check", str(e))  # told at its fourth or eighth byte, which may be the next member's
+                end = k - {"data": 3, "length": 7}[trailer[1]] if trailer else k
+                return b"".join(out), end, f"member does not inflate: {e}", trailer is not None
     if not z.eof:
-        return "member is cut short"
-    return out, len(data) - len(z.unused_data)
+        return b"".join(out), k, "member is cut short", False
+    return b"".join(out), k - len(z.unused_data), "", True
+
+
+def _content(body: bytes, damage: str) -> list[tuple[str, str, dict[str, str] | None, bytes]]:
+    """(kind, reason, headers, block) of all records and gaps of a member's content; damage is why the member fails."""
+    out, k = [], 0
+    while k < len(body):
+        one = _plain(body, k)
+        if isinstance(one, str):
+            out.append(("gap", one, None, b""))
+            while isinstance(one, str):
+                m = _VERSION.search(body, k + 1)
+                if not m:
+                    return out
+                k = m.start()
+                one = _plain(body, k)
+        headers, block, k = one
+        checked = not damage or headers.get("warc-block-digest", "").lower().startswith("sha1:")
+        out.append(("record" if checked else "unverified", damage, headers, block))
+    return out
 
 
-def _records_of(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int] | str:
-    """All records of the member or plain record at ``at``, and its end."""
+def _records_of(data: bytes, at: int) -> tuple[list[tuple[str, str, dict[str, str] | None, bytes]], int, str]:
+    """What the member or plain record at ``at`` holds, its end, and why it breaks off there ("" if it does not)."""
     if data[at : at + 3] == _MEMBER:
-        got = _inflate(data, at)
-        if isinstance(got, str):
-            return got
-        body, end = got
-        out, k = [], 0
-        while k < len(body):
-            one = _plain(body, k)
-            if isinstance(one, str):
-                return one
-            out.append(one[:2])
-            k = one[2]
-        return out, end
+        body, end, damage, all_out = _inflate(data, at)
+        items = _content(body, damage)
+        if damage and all(kind == "gap" for kind, *_ in items):
+            return [], at, damage
+        return items, end, "" if all_out else damage
     one = _plain(data, at)
     if isinstance(one, str):
-        return one
-    return [one[:2]], one[2]
+        return [], at, one
+    return [("record", "", *one[:2])], one[2], ""
 
 
 _START = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]+\.[0-9]+\r?\n")
 
 
 def salvage(data: bytes) -> Iterator[Found]:
-    at = 0
+    at, got = 0, None
     while at < len(data):
-        got = _records_of(data, at)
-        if isinstance(got, str):
-            begin, reason = at, got
-            while isinstance(got, str):
-                m = _START.search(data, at + 1)
+        begin = at
+        items, end, broken = got or _records_of(data, at)
+        got = None
+        for kind, reason, headers, block in items:
+            yield Found(kind, begin, end - begin, reason, headers, _payload(headers, block) if headers else b"")
+        at = end
+        if broken:
+            # the next member or version line that holds; bytes that a broken member has taken in may belong to it
+            next_ = begin
+            while got is None:
+                m = _START.search(data, next_ + 1)
                 if not m:
-                    at = len(data)
+                    next_ = len(data)
                     break
-                at = m.start()
-                got = _records_of(data, at)
-            yield Found("gap", begin, at - begin, reason)
-            if isinstance(got, str):
-                return
-        records, end = got
-        for headers, block in records:
-            yield Found("record", at, end - at, "", headers, _payload(headers, block))
-        at = end
+                next_ = m.start()
+                found = _records_of(data, next_)
+                got = found if found[0] else None
+            gap = min(end, next_)
+            if next_ > gap or not items:
+                yield Found("gap", gap, next_ - gap, broken)
+            at = next_
 
 
 _RECORD = "archive string, kind string, offset long, length long, reason string, warc_type string, record_id string, uri string, refers_to string, digest_header string, length_header long, payload binary"

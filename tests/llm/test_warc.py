@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import random
+import re
 
 import pytest
 
@@ -56,6 +57,56 @@ def test_empty_and_junk():
     assert len(list(warc.salvage(both))) == 2
 
 
+def ids(found):
+    return [int(f.headers["warc-record-id"].split(":")[2][:-1]) for f in found if f.headers]
+
+
+def test_damaged_record_in_a_member():
+    payloads, records = archive(False)
+    bad = bytearray(records[7])
+    bad[-10] ^= 0x55
+    one, all_ = gzip.compress(records[0]), gzip.compress(b"".join([*records[1:7], bytes(bad), *records[8:]]))
+    found = list(warc.salvage(one + all_))
+    assert ids(found) == [i for i in range(30) if i != 7]
+    assert [f.payload for f in found if f.headers] == [p for i, p in enumerate(payloads) if i != 7]
+    assert [(f.offset, f.length, f.reason) for f in found if f.kind == "gap"] == [(len(one), len(all_), "block digest does not match")]
+
+
+def test_damaged_stream_of_records():
+    payloads, records = archive(False)
+    whole, last = gzip.compress(b"".join(records)), gzip.compress(warc.record("response", "urn:page:99", "u", b"x", compress=False))
+    crc = whole[:-8] + bytes([whole[-8] ^ 1]) + whole[-7:]
+    found = list(warc.salvage(crc + last))
+    assert ids(found) == [*range(30), 99] and all(f.reason for f in found[:-1]) and not found[-1].reason
+    for cut in (len(whole) // 2, len(whole) - 9, len(whole) - 6, len(whole) - 2):
+        for tail in (b"", last):
+            found = list(warc.salvage(whole[:cut] + tail))
+            got = ids(found)
+            assert got[: len(got) - bool(tail)] == list(range(len(got) - bool(tail))) and len(got) > 10
+            assert not tail or got[-1] == 99
+            assert [f.payload for f in found if f.headers and f.reason] == payloads[: len(got) - bool(tail)]
+            assert any(f.kind == "gap" for f in found) or len(got) >= 30
+    bare = re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", b"".join(records))
+    bad = gzip.compress(bare)
+    found = list(warc.salvage(bad[:-8] + bytes(8)))
+    assert ids(found) == list(range(30)) and {f.kind for f in found if f.headers} == {"unverified"}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_spans_of_a_damaged_stream(seed):
+    payloads, records = archive(False)
+    rng = random.Random(seed)
+    whole = bytearray(gzip.compress(b"".join(records)))
+    whole[rng.randrange(len(whole))] ^= 1 << rng.randrange(8)
+    last = warc.record("response", "urn:page:99", "u", b"x")
+    found, end = list(warc.salvage(bytes(whole) + last)), 0
+    for f in found:
+        assert f.offset <= end
+        end = max(end, f.offset + f.length)
+    assert end == len(whole) + len(last) and ids(found)[-1] == 99
+    assert all(f.payload in payloads for f in found[:-1] if f.kind == "record")
+
+
 def test_round_trip(spark):
     big = "é" * 700
     rows = [(1, "http://a/x", big), (5, "http://a/y", big), (3, None, big), (7, "u", None), (8, "u\r\nx", "a"), (9, "u", "a"), (10, "v", "z" * 3_000_000)]
