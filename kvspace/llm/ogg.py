@@ -175,7 +175,8 @@ def describe(media: Media) -> str:
 
 
 def padded(text: bytes) -> bytes:
-    return text + bytes(64 - len(text) % 64)
+    """text with bytes 0 up to the next multiple of 64 that is positive: none where its length is one."""
+    return text + bytes(-len(text) % 64 or 64 * (not text))
 
 
 def encode_column(df: DataFrame, text: str = "text", media: str = "media", keep: list[str] | None = None) -> DataFrame:

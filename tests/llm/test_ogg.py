@@ -35,7 +35,13 @@ def test_round_trip(n):
     assert all(s.ended and not s.cut for s in media.streams.values())
     last = max(t for s in media.streams.values() for t in s.times if t == t)
     assert last == len(payload) / ogg.RATE
-    assert len(payload) % 64 == 0 and len(payload) > n
+    assert len(payload) % 64 == 0 and n <= len(payload) < n + 64 or n == 0 and len(payload) == 64
+
+
+def test_padding():
+    sizes = {0: 64, 1: 64, 63: 64, 64: 64, 65: 128, 128: 128, 129: 192}
+    for n, size in sizes.items():
+        assert ogg.padded(b"x" * n) == b"x" * n + b"\0" * (size - n)
 
 
 def test_packets_over_page_borders():
@@ -59,7 +65,7 @@ def test_table(spark):
     found = {r.doc_id: r for r in ogg.media_table(docs).collect()}
     for i, t in texts:
         raw = (t or "").encode()
-        payload = ogg.padded(raw)
+        payload = raw + b"\0" * ({0: 64, 3: 61, 64: 0, 100_000: 32}[len(raw)])
         r = found[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r.media_sha256 == hashlib.sha256(ogg.encode(payload)).hexdigest() and r.media_bytes == len(ogg.encode(payload))
