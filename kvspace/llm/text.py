@@ -149,6 +149,14 @@ def count_before(data: np.ndarray, at: int, points: np.ndarray) -> np.ndarray:
     return total[points - at]
 
 
+def unused(df, name: str) -> str:
+    """name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def extend(df, column: str, fields, make, keep: list[str] | None = None):
     """df (or its columns ``keep``) with the columns ``fields`` that ``make`` adds.
 

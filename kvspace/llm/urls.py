@@ -24,6 +24,8 @@ from kvspace.llm.store import materialize
 #: Listed URLs of one filter: 2 bytes each, 32 MB at most.
 MAX_LISTED = 16_000_000
 _BITS_EACH, _BLOCK, _PROBES = 16, 512, 8
+#: Values that the join keys of passed rows are spread over.
+PASSED = 1 << 20
 
 #: (verdict, host, path): the rules of the registered query.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -86,15 +88,19 @@ def build_filter(listed: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def hit(keys: np.ndarray, filter_words: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold each 64-bit key."""
+    block, bit = _places(np.ascontiguousarray(keys, dtype=np.int64), len(filter_words) // (_BLOCK // 64))
+    word = filter_words[block[:, None] * (_BLOCK // 64) + bit // 64].view(np.uint64)
+    return ((word >> (bit % 64).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+
+
 def maybe_listed(key: Column, filter_words: np.ndarray, spark) -> Column:
     shared = spark.sparkContext.broadcast(filter_words)
-    blocks = len(filter_words) // (_BLOCK // 64)
 
     @F.pandas_udf(t.BooleanType())
     def test(keys: pd.Series) -> pd.Series:
-        block, bit = _places(keys.to_numpy(dtype=np.int64), blocks)
-        word = shared.value[block[:, None] * (_BLOCK // 64) + bit // 64].view(np.uint64)
-        return pd.Series(((word >> (bit % 64).astype(np.uint64)) & np.uint64(1)).all(axis=1))
+        return pd.Series(hit(keys.to_numpy(dtype=np.int64), shared.value))
 
     # a batch with nulls would reach pandas as doubles, which cannot hold 64-bit keys
     return key.isNotNull() & test(F.coalesce(key, F.lit(0).cast("long")))
@@ -112,9 +118,11 @@ def listed_flag(pages: DataFrame, listed: DataFrame, max_listed: int = MAX_LISTE
     for k in range(parts):
         own, mine = (keyed, listed) if parts == 1 else (keyed.filter(part("_key") == k if k else (part("_key") == 0) | F.col("_key").isNull()), listed.filter(part("key") == k))
         words = build_filter(mine, min(n, 2 * max_listed))
-        tested = own.withColumn("_maybe", maybe_listed(F.col("_key"), words, spark)).drop("_key")
-        hits = tested.filter("_maybe").drop("_maybe").join(mine.select("canonical", F.lit(True).alias("listed")), "canonical", "left")
-        done += [hits.withColumn("listed", F.coalesce("listed", F.lit(False))), tested.filter(~F.col("_maybe")).drop("_maybe").withColumn("listed", F.lit(False))]
+        # one left join for hits and passed rows; these get keys that no canonical URL has (a question mark), spread so that they do not meet in one task
+        passed = F.concat(F.lit("?"), F.pmod(F.coalesce("_key", F.monotonically_increasing_id()), F.lit(PASSED)).cast("string"))
+        tested = own.withColumn("_asked", F.when(maybe_listed(F.col("_key"), words, spark), F.col("canonical")).otherwise(passed)).drop("_key")
+        known = mine.select(F.col("canonical").alias("_asked"), F.lit(True).alias("listed"))
+        done.append(tested.join(known, "_asked", "left").drop("_asked").withColumn("listed", F.coalesce("listed", F.lit(False))))
     return functools.reduce(DataFrame.unionByName, done)
 
 
