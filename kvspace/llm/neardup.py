@@ -1,25 +1,37 @@
 """Near-duplicate classes by consistent weighted sampling of TF-IDF shingles.
 
-Shingles are five consecutive words (a text of one to four words is one shingle). Their
-weight is term count times a damped inverse document frequency over all documents, kept for
-hashed features as a table of fixed size. Each text gets one sample of improved consistent
-weighted sampling in each of ``bins`` bins of one permutation; runs of samples form bands,
-texts that share a band are candidates, and candidates are verified by the weighted Jaccard
-similarity of their whole shingle multisets.
-
-Candidates are compared along stars, one leader for each band bucket, so a bucket of m texts
-that belong together costs m comparisons. Members that are not linked to their leader are
-compared with the other members that the distances to the leader do not rule out, so no
-link between candidates is lost.
-
-Null texts count as empty. Texts without a word belong together only if they are equal.
-Repeated rows and equal texts fall into one class. Extra columns are not read. Rows of null
-doc_id take part like any other; a class whose ids are all null has a null class_id.
+Shingles are five consecutive words (a text of one to four words is one shingle), told apart
+by 32 bits of their hash. Their weight is term count times 1 + ln(N / max(df, floor * N)),
+with df counted exactly over all documents. The floor (one document in a thousand, more only
+where the mean text has over a million shingles times that) means that shingles rarer than it
+weigh alike: what decides there is how often a text was copied, which is the very thing
+looked for. It also bounds the table of weights, whatever the size of the corpus.
+
+Each text gets ``bands * rows`` samples of improved consistent weighted sampling, drawn in
+``PASSES`` passes over its shingles with a part of the samples each; runs of samples form
+bands, texts that share a band are candidates, and candidates are verified by the weighted
+Jaccard similarity of their whole shingle multisets.
+
+Work is done for distinct texts. Candidates are first compared along stars, one leader for
+each band bucket, so a bucket of m texts that belong together costs m comparisons. A text
+that does not come to be in the class of one of its leaders is looked up, with all texts of
+its buckets, by prefixes: shingles in order of rising frequency, where two texts of the
+similarity must share one before too little weight is left. Pairs of one class are left out
+there, and so are those whose remaining weights cannot reach the similarity. No link is lost.
+
+Null texts count as empty. Texts without a word belong together only if they are equal. Very
+long texts are read whole. Repeated rows and equal texts fall into one class; ties go to the
+lesser text fingerprint, then the lesser doc_id. Extra columns are not read. Rows of null
+doc_id take part like any other; a class whose ids are all null has a null class_id. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +40,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from kvspace.llm.store import cut, materialize
-from kvspace.llm.text import buffers, extend, mix, slices, windows, words
+from kvspace.llm.text import buffers, extend, mix, slices, unused, windows, words
+from kvspace.llm.urls import MAX_LISTED, build_filter, hit
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
-#: Hashed features of the document-frequency table: 2**FEATURE_BITS counts, whatever the corpus.
-FEATURE_BITS = 18
-#: The inverse document frequency is raised to this power: with the plain one, two texts of a
-#: large group of near copies, whose common shingles are frequent, would look unlike.
-IDF_POWER = 0.1
+#: Passes of the sampling; each has a bin for every sample it draws.
+PASSES = 12
+#: Shingles in fewer documents than this share weigh alike.
+FLOOR = 0.001
+#: Shingles with a weight of their own, at most; the floor rises for texts too long for it.
+MAX_FREQUENT = 1 << 20
+#: Shingle occurrences that a task counts at a time.
+BLOCK = 1 << 22
+#: Parts that the rows of one key are dealt to.
+SALTS = 64
 
 _U = np.uint64
 
 
-def _shingles(part: pa.RecordBatch, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """(row, shingle, count) of the distinct shingles of each row, sorted; and a fingerprint of each row."""
+def _shingles(part: pa.RecordBatch, size: int = SHINGLE, prints: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(row, shingle, count) of the distinct shingles of each row, sorted; and a fingerprint of each row, if asked for."""
     w = words(part.column("text"))
     counts = w.counts()
     at, hashes = windows(w, size)
@@ -57,90 +75,153 @@ def _shingles(part: pa.RecordBatch, size: int = SHINGLE) -> tuple[np.ndarray, np
     key = (row.astype(_U) << _U(32)) | (hashes >> _U(32))
     key, count = np.unique(key, return_counts=True)
     row, shingle = (key >> _U(32)).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.uint32)
+    if not prints:
+        return row, shingle, count, []
     first = np.searchsorted(row, np.arange(part.num_rows + 1))
     data, offsets = buffers(part.column("text"))
-    prints = []
+    marks = []
     for i in range(part.num_rows):
         a, b = first[i], first[i + 1]
         body = shingle[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() if b > a else b"text" + data[offsets[i] : offsets[i + 1]].tobytes()
-        prints.append(hashlib.blake2b(body, digest_size=16).digest())
-    return row, shingle, count, prints
+        marks.append(hashlib.blake2b(body, digest_size=16).digest())
+    return row, shingle, count, marks
 
 
-def document_frequency(docs: DataFrame, bits: int = FEATURE_BITS) -> tuple[np.ndarray, int]:
-    """Documents that hold each hashed feature, and the number of documents."""
+@dataclass(frozen=True)
+class Idf:
+    """Weights of the frequent shingles (sorted), and the weight of all others."""
 
-    def run(batches):
-        df, n = np.zeros(1 << bits, dtype=np.int64), 0
+    shingles: np.ndarray
+    weights: np.ndarray
+    rest: float
+
+    def of(self, shingle: np.ndarray) -> np.ndarray:
+        if not len(self.shingles):
+            return np.full(len(shingle), self.rest)
+        place = np.minimum(np.searchsorted(self.shingles, shingle), len(self.shingles) - 1)
+        return np.where(self.shingles[place] == shingle, self.weights[place], self.rest)
+
+
+def inverse_frequency(docs: DataFrame, floor: float = FLOOR, most: int = MAX_FREQUENT) -> Idf:
+    """Exact inverse document frequencies of all shingles that reach the floor.
+
+    A shingle of floor * N documents holds half the floor in some block of documents, so it is
+    enough that each block reports those; what they report in all, with what may be missing,
+    leaves at most 2 * most shingles, which are then counted exactly.
+    """
+
+    def report(batches):
+        held: list[np.ndarray] = []
+        n = size = 0
+
+        def close():
+            shingle, df = np.unique(np.concatenate(held), return_counts=True)
+            known = df >= floor / 2 * n
+            return pa.RecordBatch.from_arrays([pa.array(np.append(shingle[known].astype(np.int64), -1)), pa.array(np.append(df[known], size))], names=["shingle", "df"])
+
+        for batch in batches:
+            for part in slices(batch, "text"):
+                _, shingle, _, _ = _shingles(part, prints=False)
+                held.append(shingle)
+                n, size = n + part.num_rows, size + len(shingle)
+                if size >= BLOCK:
+                    yield close()
+                    held, n, size = [], 0, 0
+        if n:
+            yield close()
+
+    texts = docs.select("text")
+    n = texts.count()
+    grouped = cut(texts.mapInArrow(report, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).filter((F.col("shingle") < 0) | (F.col("df") >= floor / 2 * n)))
+    total = grouped.filter("shingle < 0").select("df").first()
+    if total is None:
+        return Idf(np.zeros(0, np.uint32), np.zeros(0), 1.0)
+    floor_ = max(floor, total[0] / n / most)
+    maybe = np.sort(grouped.filter((F.col("shingle") >= 0) & (F.col("df") >= floor_ * n - floor / 2 * n)).select("shingle").toArrow().column(0).to_numpy()).astype(np.uint32)  # 2 * most at most
+    shared = docs.sparkSession.sparkContext.broadcast(maybe)
+
+    def count(batches):
+        known = shared.value
+        df = np.zeros(len(known), dtype=np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                row, shingle, _, _ = _shingles(part)
-                feature = np.unique((row.astype(_U) << _U(bits)) | (shingle >> np.uint32(32 - bits)).astype(_U)) & _U((1 << bits) - 1)
-                df += np.bincount(feature.astype(np.int64), minlength=1 << bits)
-                n += part.num_rows
+                _, shingle, _, _ = _shingles(part, prints=False)
+                place = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
+                df += np.bincount(place[known[place] == shingle], minlength=len(known))
         held = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(held, -1)), pa.array(np.append(df[held], n))], names=["feature", "df"])
-
-    out, n = np.zeros(1 << bits, dtype=np.int64), 0
-    for r in docs.select("text").mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect():  # 2**bits + 1 rows at most
-        if r["feature"] < 0:
-            n = r["df"]
-        else:
-            out[r["feature"]] = r["df"]
-    return out, n
-
-
-def idf_weights(df: np.ndarray, n: int, power: float = IDF_POWER) -> np.ndarray:
-    return ((1 + np.log((1 + n) / (1 + df))) ** power).astype(np.float32)
-
-
-def _uniform(x: np.ndarray, salt: int) -> np.ndarray:
-    """In (0, 1], from a shingle and a salt."""
-    return ((mix(x ^ _U(salt * 0x9E3779B97F4A7C15 % (1 << 64))) >> _U(11)).astype(np.float64) + 1) / (1 << 53)
-
-
-def _bands(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: int, bands: int, each: int) -> np.ndarray:
-    """rows x bands band keys; improved consistent weighted sampling with one bin for each sample."""
-    bins = bands * each
-    x = mix(shingle.astype(_U) + _U(0x51ED270B))
-    r = -np.log(_uniform(x, 1) * _uniform(x, 2))
-    log_c = np.log(np.maximum(-np.log(_uniform(x, 3) * _uniform(x, 4)), 1e-300))
-    beta = _uniform(x, 5)
-    step = np.floor(np.log(weight) / r + beta)
-    log_a = log_c - r * (step - beta + 1)
-    cell = row * bins + (mix(x ^ _U(0xB5297A4D3F84D5B5)) % _U(bins)).astype(np.int64)
-    least = np.full(rows * bins, np.inf)
-    np.minimum.at(least, cell, log_a)
-    won = log_a == least[cell]
-    value = np.zeros(rows * bins, dtype=_U)
-    value[cell[won]] = mix(x[won] ^ mix(step[won].astype(np.int64).view(_U))) | _U(1)
-    value = value.reshape(rows, bins)
-    full = value.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held])], names=["at", "df"])
+
+    df = np.zeros(len(maybe), dtype=np.int64)
+    if len(maybe):
+        found = texts.mapInArrow(count, "at long, df long").groupBy("at").agg(F.sum("df").alias("df")).toArrow()
+        df[found.column("at").to_numpy()] = found.column("df").to_numpy()
+    reach = df >= floor_ * n
+    return Idf(maybe[reach], 1 + np.log(n / df[reach]), 1 + float(np.log(n / max(1.0, floor_ * n))))
+
+
+@cache
+def _gamma(bits: int) -> np.ndarray:
+    """Quantiles of the gamma distribution of shape 2 in 2**bits steps, from its distribution function 1 - (1 + x) exp(-x)."""
+    x = np.concatenate([np.geomspace(1e-9, 1e-3, 4000), np.linspace(1e-3, 45, 400_000)[1:]])
+    p = -np.expm1(-x) - x * np.exp(-x)
+    return np.interp((np.arange(1 << bits) + 0.5) / (1 << bits), p, x)
+
+
+@cache
+def _log_gamma(bits: int) -> np.ndarray:
+    return np.log(_gamma(bits))
+
+
+def _bands(row: np.ndarray, shingle: np.ndarray, weight: np.ndarray, rows: int, bands: int, each: int, passes: int = PASSES) -> np.ndarray:
+    """rows x bands band keys from improved consistent weighted sampling, with ``bands * each / passes`` bins a pass.
+
+    Within a bin, a shingle is drawn with a probability in proportion to its weight. A text
+    with fewer shingles than bins fills its empty bins from the others of the pass.
+    """
+    bins = bands * each // passes
+    log_weight = np.log(weight)
+    base = row * bins
+    values = np.zeros((rows, passes, bins), dtype=_U)
+    for k in range(passes):
+        x = mix(shingle.astype(_U) + _U((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+        y = x * _U(0xD1342543DE82EF95)
+        r = _gamma(14)[(x >> _U(50)).astype(np.int64)]
+        log_c = _log_gamma(16)[((x >> _U(30)) & _U(0xFFFF)).astype(np.int64)]
+        beta = (y >> _U(40)).astype(np.float64) * (1 / (1 << 24))
+        step = np.floor(log_weight / r + beta)
+        log_a = log_c - r * (step - beta + 1)
+        cell = base + ((y >> _U(8) & _U(0xFFFFFF)) * _U(bins) >> _U(24)).astype(np.int64)
+        least = np.full(rows * bins, np.inf)
+        np.minimum.at(least, cell, log_a)
+        won = np.flatnonzero(log_a == least[cell])
+        value = np.zeros(rows * bins, dtype=_U)
+        value[cell[won]] = mix(x[won] + step[won].astype(np.int64).view(_U)) | _U(1)
+        values[:, k] = value.reshape(rows, bins)
     place = np.arange(bins, dtype=_U)
-    for attempt in range(1, 64 + bins):  # an empty bin borrows from a bin that a hash of its number chooses, or the next ones
-        empty = np.flatnonzero((value == 0).any(axis=1) & (full != 0).any(axis=1))
+    full = values.copy()
+    for attempt in range(1, 16 + bins):  # an empty bin borrows from a bin that a hash of its number chooses, or the next ones
+        empty = np.flatnonzero(((values == 0).any(axis=2) & (full != 0).any(axis=2)).any(axis=1))
         if not len(empty):
             break
-        source = (mix(place + _U(attempt << 20)) % _U(bins)).astype(np.int64) if attempt < 64 else (np.arange(bins) + attempt - 63) % bins
-        own = value[empty]
-        value[empty] = np.where(own == 0, full[empty][:, source], own)
+        source = (mix(place + _U(attempt << 20)) % _U(bins)).astype(np.int64) if attempt < 16 else (np.arange(bins) + attempt - 15) % bins
+        own = values[empty]
+        values[empty] = np.where(own == 0, full[empty][:, :, source], own)
+    value = values.reshape(rows, passes * bins)
     keys = np.zeros((rows, bands), dtype=_U)
     for j in range(each):
         keys = mix(keys * _U(0x2545F4914F6CDD1D) + value[:, j::each])
-    keys = mix(keys ^ (np.arange(1, bands + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)))
-    return keys
+    return mix(keys ^ (np.arange(1, bands + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)))
 
 
-def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def signatures(docs: DataFrame, idf: Idf, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, node, bands): node is a fingerprint of the shingles; bands is empty for texts without a word."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    shift = np.uint32(32 - int(len(idf)).bit_length() + 1)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 row, shingle, count, prints = _shingles(part)
-                keys = _bands(row, shingle, count * shared.value[shingle >> shift], part.num_rows, bands, rows)
+                keys = _bands(row, shingle, count * shared.value.of(shingle), part.num_rows, bands, rows)
                 has = np.bincount(row, minlength=part.num_rows) > 0
                 at = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(keys[has].ravel().view(np.int64)))
@@ -149,66 +230,97 @@ def signatures(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
     return docs.select("doc_id", "text").mapInArrow(run, t.StructType([docs.schema["doc_id"], t.StructField("node", t.BinaryType()), t.StructField("bands", t.ArrayType(t.LongType()))]))
 
 
+def attach(df: DataFrame, groups: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """df joined to one row for each value of ``key``; the rows of one value are dealt to ``salts`` parts.
+
+    The parts that a value has are found with map-side combining, so no task holds a value's
+    rows, and the smaller side has a row for each part that there is, not for each that may be.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    spread = salted.select(key, "_salt").distinct().join(groups, key)
+    return salted.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, grams) of each node in nodes (node, doc_id); grams packs sorted shingles and counts."""
+    """(node, grams) of each node in nodes (node, doc_id); grams packs sorted shingles and counts.
+
+    Texts are not shuffled: a Bloom filter of the doc_ids, of bounded size, tells which texts
+    to read again, and the join with the nodes drops the few that it lets by in vain.
+    """
+    keys = nodes.filter("doc_id IS NOT NULL").select(F.xxhash64("doc_id").alias("key"))
+    shared = docs.sparkSession.sparkContext.broadcast(build_filter(keys, min(keys.count(), MAX_LISTED)))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            known = batch.column("key")
+            picked = batch.filter(pa.array(hit(known.fill_null(0).to_numpy(), shared.value) | np.asarray(known.is_null())))
+            for part in slices(picked, "text"):
                 row, shingle, count, prints = _shingles(part)
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
                 grams = [shingle[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(grams, pa.binary())], names=["node", "grams"])
 
-    # the node comes out of the text, so joining on doc_id first keeps the rest of the texts out of the shuffle; a null doc_id joins nothing, so those rows are all read
-    known, unknown = docs.select("doc_id", "text").filter("doc_id IS NOT NULL"), docs.select("doc_id", "text").filter("doc_id IS NULL")
-    picked = known.join(nodes.select("doc_id").distinct(), "doc_id", "left_semi").unionByName(unknown)
-    made = picked.mapInArrow(run, "node binary, grams binary").dropDuplicates(["node"])
-    return made.join(nodes, "node", "left_semi")
+    keyed = docs.select(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")).alias("key"), "text")
+    return keyed.mapInArrow(run, "node binary, grams binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+
 
+def _unpacked(grams: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(grams, dtype=np.uint32).reshape(2, -1)
+    return both[0], both[1]
 
-def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
+
+def weighted_jaccard(a: bytes, b: bytes, idf: Idf) -> float:
     """Sum of the smaller over sum of the larger weights, over all shingles of two packed sets."""
-    shift = np.uint32(32 - int(len(idf)).bit_length() + 1)
-    xs, ys = (np.frombuffer(v, dtype=np.uint32).reshape(2, -1) for v in (a, b))
-    wx, wy = xs[1] * idf[xs[0] >> shift], ys[1] * idf[ys[0] >> shift]
-    total = float(wx.sum(dtype=np.float64) + wy.sum(dtype=np.float64))
-    if not total:
-        return 1.0 if a == b else 0.0
-    place = np.minimum(np.searchsorted(ys[0], xs[0]), len(ys[0]) - 1)
-    same = ys[0][place] == xs[0]
-    both = float(np.minimum(wx[same], wy[place[same]]).sum(dtype=np.float64))
-    return both / (total - both)
-
-
-def _compare(pairs: DataFrame, grams: DataFrame, idf: np.ndarray) -> DataFrame:
-    """The pairs (a, b) with their weighted Jaccard distance."""
+    (xs, xc), (ys, yc) = _unpacked(a), _unpacked(b)
+    if not len(xs) or not len(ys):
+        return float(a == b)
+    wx, wy = xc * idf.of(xs), yc * idf.of(ys)
+    place = np.minimum(np.searchsorted(ys, xs), len(ys) - 1)
+    same = ys[place] == xs
+    both = float(np.minimum(wx[same], wy[place[same]]).sum())
+    return both / (float(wx.sum()) + float(wy.sum()) - both)
+
+
+def _links(pairs: DataFrame, grams: DataFrame, idf: Idf, similarity: float) -> DataFrame:
+    """The pairs (a, b) of the similarity or more.
+
+    The rows of one a are dealt to parts; each part begins with the shingles of its a, once.
+    """
     shared = pairs.sparkSession.sparkContext.broadcast(idf)
+    salted = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    members = salted.join(grams.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "grams")
+    heads = salted.select("a", "part").distinct().join(grams.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "grams")
 
     def run(batches):
+        head, leader = None, b""
         for batch in batches:
-            xs, ys = batch.column("x"), batch.column("y")
-            apart = [1 - weighted_jaccard(xs[i].as_py(), ys[i].as_py(), shared.value) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.float64())], names=["a", "b", "distance"])
+            out_a, out_b = [], []
+            for a, b, g in zip(*(batch.column(c) for c in ("a", "b", "grams")), strict=True):
+                if not b.is_valid:
+                    head, leader = a.as_py(), g.as_py()
+                elif head == a.as_py() and weighted_jaccard(leader, g.as_py(), shared.value) >= similarity:
+                    out_a.append(head)
+                    out_b.append(b.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
 
-    left, right = (grams.select(F.col("node").alias(n), F.col("grams").alias(g)) for n, g in (("a", "x"), ("b", "y")))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, distance double")
+    return heads.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").isNotNull()).mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for edges (a, b): root is the least node of the component.
 
     Alternating large-star and small-star steps until the edges no longer change; each step is
-    a grouped minimum and a join, and every step's result is checkpointed.
+    grouped minima and joins that split the neighbours of a node, and every step's result is
+    checkpointed.
     """
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") != F.col("v")).distinct())
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = attach(both, least, "u").filter((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
+        joined = large.join(low, "u")  # u's lesser neighbours: one for each star that it is in
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")))
         now = cut(small.distinct())
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -217,52 +329,91 @@ def components(edges: DataFrame) -> DataFrame:
         state = new
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, power: float = IDF_POWER) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, floor: float = FLOOR) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (least doc_id of its class), class_size."""
-    signed, named = _classes(docs, similarity, bands, rows, power)
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
+    signed, named = _classes(docs, similarity, bands, rows, floor)
+    return attach(signed, named, "node").select("doc_id", "class_id", "class_size")
 
 
-def _classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, power: float = IDF_POWER) -> tuple[DataFrame, DataFrame]:
-    """The signatures of docs, and (node, root, class_id, class_size): root is the least node of the class."""
-    df, n = document_frequency(docs)
-    idf = idf_weights(df, n, power)
+def _classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, floor: float = FLOOR) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of docs, and (node, root, class_id, class_size): root is the least node of the class."""
+    idf = inverse_frequency(docs, floor)
     signed = materialize(signatures(docs, idf, bands, rows), "signatures")
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    links = candidate_links(docs, signed, nodes, idf, similarity)
-    roots = components(links)
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
+    roots = class_roots(docs, nodes, idf, similarity)
+    named = nodes.select("node", "doc_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    return signed, named.select("node", "root").join(classes, "root").select("node", "root", "class_id", "class_size")
+    return signed.select("doc_id", "node"), materialize(attach(named.select("node", "root"), classes, "root"), "classes")
 
 
-def candidate_links(docs: DataFrame, signed: DataFrame, nodes: DataFrame, idf: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) that connect all candidates (texts with a band in common) of the similarity or more.
-
-    In each band bucket, the text that shares most with others leads; every member is compared
-    with it. Members that are linked to their leader are in one component. Any other member is
-    compared with the rest of its buckets, but for those that the distances to the leader rule
-    out: the weighted Jaccard distance is a metric, so two texts whose distances to the leader
-    differ by more than the allowed distance are no link. A missing distance rules out nothing.
-    """
-    every = signed.select("node", F.explode("bands").alias("band"))
-    buckets = every.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most")).filter(F.col("least") != F.col("most")).select("band", "n")
-    members = materialize(every.join(buckets, "band").distinct(), "members")
+def class_roots(docs: DataFrame, nodes: DataFrame, idf: Idf, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the nodes that have a link to another, from nodes (node, doc_id, bands)."""
+    every = nodes.select("node", F.explode("bands").alias("band"))
+    sizes = every.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    members = materialize(attach(every, sizes, "band"), "members")
     weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
     leaders = members.join(weights, "node").groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
-    members = materialize(members.join(leaders, "band").select("band", "node", "leader"), "members")
-    pairs = members.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    grams = materialize(_shingle_sets(docs, nodes.join(weights, "node", "left_semi").select("doc_id", "node")), "grams")
-    first = materialize(_compare(pairs, grams, idf), "compared")
-    most = 1 - similarity
-    inside = members.join(first.select(F.col("a").alias("leader"), F.col("b").alias("node"), "distance"), ["leader", "node"], "left").select("band", "node", "leader", "distance").filter(F.col("node") != F.col("leader"))
-    x = inside.filter(F.col("distance").isNull() | (F.col("distance") > most)).select("band", F.col("node").alias("x"), F.col("distance").alias("dx"))
-    y = inside.select("band", F.col("node").alias("y"), F.col("distance").alias("dy"))
-    near = (F.col("x") != F.col("y")) & F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= most + 1e-9, F.lit(True)) & (F.coalesce(F.col("dy") <= most, F.lit(False)) | (F.col("x") < F.col("y")))
-    rest = x.join(y, "band").filter(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    second = _compare(rest, grams, idf)
-    close = lambda df: df.filter(F.col("distance") <= most).select("a", "b")
-    return close(first).unionByName(close(second))
+    members = materialize(attach(members.select("node", "band"), leaders, "band"), "members")
+    grams = materialize(_shingle_sets(docs, nodes.join(weights, "node", "left_semi").select("node", "doc_id")), "grams")
+    pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    first = cut(components(_links(pairs, grams, idf, similarity)))
+    # texts that are in another class than a leader of theirs, and all texts of those buckets
+    known = members.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    led = members.select("leader").distinct().join(first.select(F.col("node").alias("leader"), F.col("root").alias("top")), "leader", "left").select("leader", F.coalesce("top", "leader").alias("top"))
+    known = attach(known, led, "leader").select("node", "band", "root", (F.col("root") != F.col("top")).alias("loose"))
+    open_ = known.filter("loose").select("band").distinct()
+    asked = cut(attach(known, open_, "band").groupBy("node").agg(F.first("root").alias("root"), F.max("loose").alias("loose")))
+    second = _links(prefix_pairs(grams.join(asked, "node"), idf, similarity), grams, idf, similarity)
+    # the second round links classes of the first
+    top = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))
+    ends = second
+    for c in ("a", "b"):
+        ends = ends.join(first.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
+    merged = components(ends.select(top("a").alias("a"), top("b").alias("b")))
+    both = first.join(merged.select(F.col("node").alias("root"), F.col("root").alias("over")), "root", "left").select("node", F.coalesce("over", "root").alias("root"))
+    alone = merged.join(first, "node", "left_anti")  # roots of first, and nodes that only the second round has linked
+    return both.unionByName(alone)
+
+
+def prefix_pairs(sets: DataFrame, idf: Idf, similarity: float) -> DataFrame:
+    """Pairs (a, b) that may have the similarity, of sets (node, grams, root, loose): one of them loose, roots apart.
+
+    Shingles are put in order of rising frequency among these texts. At the first shingle that
+    two texts share, neither can have less weight left than the overlap they need, which is
+    t / (1 + t) of their weights in sum. So a text is looked up by the shingles before which
+    no more than 1 - t of its weight lies (if it is the heavier one) or (1 - t) / (1 + t) (the
+    lighter one), and only among texts of a weight that what is left allows.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast(idf)
+    need = similarity / (1 + similarity)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shingle, count = _unpacked(batch.column("grams")[i].as_py())
+                weight = count * shared.value.of(shingle)
+                same = lambda c, i=i, n=len(shingle): batch.column(c).take(pa.array(np.full(n, i)))
+                yield pa.RecordBatch.from_arrays([same("node"), same("root"), same("loose"), pa.array(shingle.view(np.int32)), pa.array(weight), pa.array(np.full(len(shingle), weight.sum()))], names=["node", "root", "loose", "shingle", "w", "total"])
+
+    posted = materialize(sets.select("node", "root", "loose", "grams").mapInArrow(run, "node binary, root binary, loose boolean, shingle int, w double, total double"), "postings")
+    counts = materialize(posted.groupBy("shingle").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
+    later = Window.partitionBy("node").orderBy(F.desc("n"), F.desc("shingle")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slack = 1 + 1e-9
+    left = posted.join(counts, "shingle").withColumn("left", F.sum("w").over(later) * slack).filter(F.col("left") >= similarity * F.col("total"))
+    prefix = materialize(left.select("node", "root", "loose", "shingle", "left", "total"), "prefixes")
+    size = lambda c: F.floor(F.log(c) / float(np.log1p(0.05)))
+    fits = F.col("left") / need - F.col("total")  # the heaviest partner that what is left allows
+    own = prefix.select(F.col("node").alias("y"), F.col("root").alias("y_root"), F.col("loose").alias("y_loose"), "shingle", F.col("left").alias("y_left"), F.col("total").alias("y_total"), size(F.col("total")).alias("bin"))
+    short = F.col("left") >= 2 * need * F.col("total")
+    found = []
+    for heavier in (True, False):
+        low, high = (similarity * F.col("total") / slack, F.least(F.col("total"), fits)) if heavier else (F.col("total"), F.least(F.col("total") / similarity * slack, fits))
+        asks = prefix.filter(F.col("loose") & (F.lit(True) if heavier else short)).select("node", "root", "shingle", "left", "total", low.alias("low"), (high * slack).alias("high")).filter("high >= low")
+        asks = asks.withColumn("bin", F.explode(F.sequence(size(F.col("low")), size(F.col("high")))))
+        told = own.filter(F.col("y_left") >= 2 * need * F.col("y_total")) if heavier else own.filter(~F.col("y_loose"))
+        apart = (F.col("root") != F.col("y_root")) & F.col("y_total").between(F.col("low"), F.col("high")) & (F.least("left", "y_left") >= need * (F.col("total") + F.col("y_total")))
+        found.append(asks.join(told, ["shingle", "bin"]).filter(apart).select(F.least("node", "y").alias("a"), F.greatest("node", "y").alias("b")))
+    return found[0].unionByName(found[1]).distinct()
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
@@ -271,8 +422,9 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     Of a class whose ids are all null, one row of the least node stays.
     """
     signed, named = _classes(docs, **options)
-    kept = signed.select("doc_id", "node").join(named, "node").filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    one = lambda df, key: df.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter("_row = 1").select(*docs.columns)
-    nameless = extend(docs.filter("doc_id IS NULL"), "text", [t.StructField("_node", t.BinaryType())], lambda part: [pa.array(_shingles(part)[3], pa.binary())])
-    alone = named.filter("class_id IS NULL AND node = root").select(F.col("node").alias("_node"))
-    return one(docs.join(kept, "doc_id", "left_semi"), "doc_id").unionByName(one(nameless.join(alone, "_node", "left_semi"), "_node"))
+    kept = attach(signed, named, "node").filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    number, node = unused(docs, "number"), unused(docs, "node")
+    one = lambda df, key: df.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter(F.col(number) == 1).select(*docs.columns)
+    nameless = extend(docs.filter("doc_id IS NULL"), "text", [t.StructField(node, t.BinaryType())], lambda part: [pa.array(_shingles(part)[3], pa.binary())])
+    alone = named.filter("class_id IS NULL AND node = root").select(F.col("node").alias(node))
+    return one(docs.join(kept, "doc_id", "left_semi"), "doc_id").unionByName(one(nameless.join(alone, node, "left_semi"), node))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
-import pyarrow as pa
+import pytest
 
 from kvspace.llm import neardup
 
@@ -31,21 +34,33 @@ def corpus():
     return [" ".join(t) for t in texts]
 
 
-def brute(docs, idf):
-    batch = pa.RecordBatch.from_arrays([pa.array([t for _, t in docs])], names=["text"])
-    row, shingle, count, prints = neardup._shingles(batch)
-    first = np.searchsorted(row, np.arange(len(docs) + 1))
-    packed = [shingle[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-    root = list(range(len(docs)))
+def brute(docs, similarity=0.8):
+    """Classes from the words alone: all pairs, by the definition."""
+    counted = []
+    for _, text in docs:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        w = re.findall("[0-9a-z\\x80-\U0010ffff]+", low)
+        counted.append(Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter())
+    df = Counter(g for c in counted for g in c)
+    n = len(docs)
+    weigh = lambda c: {g: k * (1 + math.log(n / max(df[g], n / 1000))) for g, k in c.items()}
+    sets = [weigh(c) for c in counted]
+    sums = [sum(x.values()) for x in sets]
+    root = list(range(n))
 
     def top(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in range(len(docs)):
+    for i in range(n):
         for j in range(i):
-            if prints[i] == prints[j] or (packed[i] and packed[j] and neardup.weighted_jaccard(packed[i], packed[j], idf) >= neardup.SIMILARITY):
+            if not sets[i] or not sets[j]:
+                linked = not sets[i] and not sets[j] and (docs[i][1] or "") == (docs[j][1] or "")
+            else:
+                both = sum(min(v, sets[j].get(g, 0)) for g, v in sets[i].items())
+                linked = both >= similarity * (sums[i] + sums[j] - both) - 1e-9
+            if linked:
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     ids = {}
@@ -57,9 +72,7 @@ def brute(docs, idf):
 def test_classes(spark):
     docs = list(enumerate(corpus(), 100)) + [(1, None), (2, ""), (3, "..."), (4, "one two"), (5, "One, two!"), (6, "one"), (7, "rep " * 30_000), (8, "rep " * 30_000)]
     frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'clash' AS node", "0 AS class_id")
-    df, n = neardup.document_frequency(frame)
-    assert n == len(docs)
-    expected = brute(docs, neardup.idf_weights(df, n))
+    expected = brute(docs)
     found = {r.doc_id: (r.class_id, r.class_size) for r in neardup.near_duplicates(frame).collect()}
     assert {k: v[0] for k, v in found.items()} == expected
     sizes = {c: list(expected.values()).count(c) for c in expected.values()}
@@ -73,7 +86,7 @@ def test_null_ids(spark):
     """Every other text has no id, leaders of large buckets among them; classes must not depend on it."""
     texts = corpus()
     frame = spark.createDataFrame([(None if i % 2 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    root = brute(list(enumerate(texts)), neardup.idf_weights(*neardup.document_frequency(frame)))
+    root = brute(list(enumerate(texts)))
     members = {}
     for i, r in root.items():
         members.setdefault(r, []).append(i)
@@ -112,10 +125,57 @@ def test_components(spark):
     assert roots == {i: (0 if i <= 20 else 21) for i in range(41) if i not in (0, 21)}
 
 
-def test_sampling_estimates_similarity():
+@pytest.mark.parametrize("weights", ["equal", "unequal"])
+def test_sampling_estimates_similarity(weights):
+    """Shared boilerplate of little weight, own text of much: the samples follow the weighted similarity."""
     rng = np.random.default_rng(1)
-    a = np.unique(rng.integers(0, 1 << 32, 1000, dtype=np.uint32))
-    b = np.unique(np.concatenate([a[:900], rng.integers(0, 1 << 32, 100, dtype=np.uint32)]))
+    pool = np.unique(rng.integers(0, 1 << 32, 3000, dtype=np.uint32))[:1500]
+    pool = rng.permutation(pool)
+    a, b = np.sort(pool[:1000]), np.sort(np.concatenate([pool[:600], pool[1000:1400]]))
+    of = dict(zip(pool.tolist(), (np.where(np.arange(1500) < 600, 1.0, 8.0) if weights == "unequal" else np.ones(1500)).tolist(), strict=True))
     row = np.concatenate([np.zeros(len(a), int), np.ones(len(b), int)])
-    keys = neardup._bands(row, np.concatenate([a, b]), np.ones(len(a) + len(b)), 2, 600, 1)
-    assert abs((keys[0] == keys[1]).mean() - 900 / 1100) < 0.06
+    shingle = np.concatenate([a, b])
+    w = np.array([of[x] for x in shingle.tolist()])
+    shared = sum(of[x] for x in set(a.tolist()) & set(b.tolist()))
+    expected = shared / (w.sum() - shared)
+    keys = neardup._bands(row, shingle, w, 2, 1200, 1)
+    assert abs((keys[0] == keys[1]).mean() - expected) < 0.06
+    assert expected < 0.15 if weights == "unequal" else abs(expected - 600 / 1400) < 1e-9
+    doubled = np.where(row == 0, 2 * w, w)  # half the weight, the same shingles
+    same = neardup._bands(np.concatenate([np.zeros(len(a), int), np.ones(len(a), int)]), np.concatenate([a, a]), np.concatenate([doubled[row == 0], w[row == 0]]), 2, 1200, 1)
+    assert abs((same[0] == same[1]).mean() - 0.5) < 0.06
+
+
+def test_weights_are_exact(spark):
+    """Counts of all shingles that reach the floor, whatever the blocks; a table of bounded size."""
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words[: rng.choice([2, 3, 40])]) for _ in range(rng.randrange(4, 30))) for _ in range(600)]
+    df = Counter(g for x in texts for g in {tuple(x.split()[i : i + 5]) for i in range(max(1, len(x.split()) - 4))})
+    frame = spark.createDataFrame([(x,) for x in texts], "text string").repartition(7)
+    for floor in (0.001, 0.02):
+        idf = neardup.inverse_frequency(frame, floor)
+        expected = sorted(1 + math.log(600 / v) for v in df.values() if v >= floor * 600)
+        assert np.allclose(np.sort(idf.weights), expected) and abs(idf.rest - 1 - math.log(600 / max(1, floor * 600))) < 1e-9
+    few = neardup.inverse_frequency(frame, 0.001, most=50)
+    assert len(few.shingles) <= 50 and np.allclose(np.sort(few.weights), sorted(1 + math.log(600 / v) for v in df.values())[: len(few.shingles)])
+
+
+def test_large_group(spark):
+    """One text with many more or less changed copies, chains of copies of copies, and a second group near to it."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    change = lambda text, n: [word() if i in set(rng.sample(range(len(text)), n)) else w for i, w in enumerate(text)]
+    base = [word() for _ in range(150)]
+    second = change(base, 5)
+    texts = [base] + [change(base, rng.randrange(1, 8)) for _ in range(150)] + [second] + [change(second, rng.randrange(1, 5)) for _ in range(60)]
+    chain = base
+    for _ in range(12):
+        chain = change(chain, 2)
+        texts.append(chain)
+    texts += [x[: rng.randrange(100, 150)] for x in rng.sample(texts, 40)] + [x + ["tail", *base[:20]] for x in rng.sample(texts, 20)]
+    docs = list(enumerate(" ".join(x) for x in texts))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = brute(docs)
+    assert 5 < len(set(expected.values())) < len(docs) - 50
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(frame, bands=60, rows=4).collect()} == expected
