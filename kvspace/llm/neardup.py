@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from kvspace.llm.ranks import SALTS, attach
 from kvspace.llm.store import cut, materialize
 from kvspace.llm.text import buffers, extend, mix, slices, unused, windows, words
 from kvspace.llm.urls import MAX_LISTED, build_filter, hit
@@ -54,8 +55,6 @@ FLOOR = 0.001
 MAX_FREQUENT = 1 << 20
 #: Shingle occurrences that a task counts at a time.
 BLOCK = 1 << 22
-#: Parts that the rows of one key are dealt to.
-SALTS = 64
 
 _U = np.uint64
 
@@ -110,14 +109,23 @@ def inverse_frequency(docs: DataFrame, floor: float = FLOOR, most: int = MAX_FRE
     leaves at most 2 * most shingles, which are then counted exactly.
     """
 
+    def counted(held):
+        return np.unique(np.concatenate(held), return_counts=True)
+
+    def merged(a, b):
+        shingle, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+        return shingle, np.bincount(at, np.concatenate([a[1], b[1]])).astype(np.int64)
+
     def report(batches):
+        """Blocks of BLOCK occurrences at least, if the task has as many: a rest goes to the block before it."""
         held: list[np.ndarray] = []
+        last, docs_of_last, size_of_last = None, 0, 0
         n = size = 0
 
-        def close():
-            shingle, df = np.unique(np.concatenate(held), return_counts=True)
-            known = df >= floor / 2 * n
-            return pa.RecordBatch.from_arrays([pa.array(np.append(shingle[known].astype(np.int64), -1)), pa.array(np.append(df[known], size))], names=["shingle", "df"])
+        def told():
+            shingle, df = last
+            known = df >= floor / 2 * docs_of_last
+            return pa.RecordBatch.from_arrays([pa.array(np.append(shingle[known].astype(np.int64), -1)), pa.array(np.append(df[known], size_of_last))], names=["shingle", "df"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -125,10 +133,16 @@ def inverse_frequency(docs: DataFrame, floor: float = FLOOR, most: int = MAX_FRE
                 held.append(shingle)
                 n, size = n + part.num_rows, size + len(shingle)
                 if size >= BLOCK:
-                    yield close()
+                    if last is not None:
+                        yield told()
+                    last, docs_of_last, size_of_last = counted(held), n, size
                     held, n, size = [], 0, 0
         if n:
-            yield close()
+            rest = counted(held)
+            last = rest if last is None else merged(last, rest)
+            docs_of_last, size_of_last = docs_of_last + n, size_of_last + size
+        if last is not None:
+            yield told()
 
     texts = docs.select("text")
     n = texts.count()
@@ -230,17 +244,6 @@ def signatures(docs: DataFrame, idf: Idf, bands: int = BANDS, rows: int = ROWS)
     return docs.select("doc_id", "text").mapInArrow(run, t.StructType([docs.schema["doc_id"], t.StructField("node", t.BinaryType()), t.StructField("bands", t.ArrayType(t.LongType()))]))
 
 
-def attach(df: DataFrame, groups: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """df joined to one row for each value of ``key``; the rows of one value are dealt to ``salts`` parts.
-
-    The parts that a value has are found with map-side combining, so no task holds a value's
-    rows, and the smaller side has a row for each part that there is, not for each that may be.
-    """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
-    spread = salted.select(key, "_salt").distinct().join(groups, key)
-    return salted.join(spread, [key, "_salt"]).drop("_salt")
-
-
 def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, grams) of each node in nodes (node, doc_id); grams packs sorted shingles and counts.
 
@@ -309,24 +312,21 @@ def _links(pairs: DataFrame, grams: DataFrame, idf: Idf, similarity: float) -> D
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for edges (a, b): root is the least node of the component.
 
-    Alternating large-star and small-star steps until the edges no longer change; each step is
-    grouped minima and joins that split the neighbours of a node, and every step's result is
-    checkpointed.
+    Alternating large-star and small-star steps until every node but the roots has one edge, to
+    its root; each step is grouped minima and joins that split the neighbours of a node, and
+    every step's result is checkpointed.
     """
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") != F.col("v")).distinct())
-    state = None
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     while True:
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 OR (up = 1 AND down > 0)").isEmpty():
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = attach(both, least, "u").filter((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = attach(both, least, "u").filter("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")  # u's lesser neighbours: one for each star that it is in
-        small = joined.select("u", F.col("m").alias("v")).unionByName(joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")))
-        now = cut(small.distinct())
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = new
+        now = cut(joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct())
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, floor: float = FLOOR) -> DataFrame:
@@ -356,7 +356,7 @@ def class_roots(docs: DataFrame, nodes: DataFrame, idf: Idf, similarity: float =
     members = materialize(attach(members.select("node", "band"), leaders, "band"), "members")
     grams = materialize(_shingle_sets(docs, nodes.join(weights, "node", "left_semi").select("node", "doc_id")), "grams")
     pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = cut(components(_links(pairs, grams, idf, similarity)))
+    first = components(_links(pairs, grams, idf, similarity))
     # texts that are in another class than a leader of theirs, and all texts of those buckets
     known = members.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
     led = members.select("leader").distinct().join(first.select(F.col("node").alias("leader"), F.col("root").alias("top")), "leader", "left").select("leader", F.coalesce("top", "leader").alias("top"))

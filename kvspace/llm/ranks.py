@@ -1,4 +1,4 @@
-"""Gapless numbers within groups of any size, without one task for a group."""
+"""Numbers within groups of any size, and joins to them, without one task for a group."""
 
 from __future__ import annotations
 
@@ -7,6 +7,24 @@ from pyspark.sql import functions as F
 
 #: Parts that each group is numbered in; a group of n rows is at most about n / PARTS rows in a task.
 PARTS = 256
+#: Rows that a part should have at most, where the size of the groups is known.
+PART_ROWS = 100_000
+
+
+#: Parts that the rows of one key are dealt to in a join.
+SALTS = 64
+
+
+def attach(df: DataFrame, groups: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """df joined to one row for each value of ``key``; the rows of one value are dealt to ``salts`` parts.
+
+    The parts that a value has are found with map-side combining, so no task holds a value's
+    rows, and the smaller side has a row for each part that there is, not for each that may be.
+    Rows whose key is null or not in groups are left out.
+    """
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    spread = salted.select(key, "_salt").distinct().join(groups, key)
+    return salted.join(spread, [key, "_salt"]).drop("_salt")
 
 
 def number_within(df: DataFrame, group: str, order: list[str], name: str, part: Column | None = None, parts: int = PARTS) -> DataFrame:
