@@ -1,31 +1,45 @@
 """Main text of web pages by consensus host paths.
 
 First pass: in each page, text that is not in a boilerplate element scores for the containers
-around it, and the page proposes the generalised tag-class path of its best container. Spark
-counts the proposals by host. Second pass: pages are read again with their host's winning
-path; a page that has no element on that path uses its own best container.
+around it, less what is links, and the page proposes the generalised tag-class path of its
+best container. Spark counts the proposals by host. Second pass: pages are read again with
+their host's winning path; a page that has no element on that path uses its own best
+container. Headings and paragraphs that stand beside the container, directly in an element
+around it, belong to the text.
+
+What an element is for is told by its tag, its role, and its class and id. A name that only
+hints at boilerplate does not decide inside an article: there its links have to hold half of
+its text.
 
 Null and empty pages give an empty text. Broken markup is read leniently: unknown ends are
-skipped, open elements end with the page. Repeated rows give repeated results.
+skipped, open elements end with the page. Pages are read in one pass whose time and memory
+follow their length, however deep they nest and whatever is left open. Repeated rows give
+repeated results, an empty table an empty one; columns of other names are not read. Ties of a
+vote go to the higher score, then the greater path.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from dataclasses import dataclass, field
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from kvspace.llm.ranks import attach
 from kvspace.llm.store import cut
 from kvspace.llm.text import extend
 
 #: Hosts whose winning paths are broadcast (about 200 bytes each); with more hosts, they are joined.
 MAX_HOSTS = 100_000
-#: The least share of a page's text that the proposed container holds.
-SHARE = 0.9
+#: The least share of a page's score that the proposed container has; of an article or main element.
+SHARE, MARKED_SHARE = 0.9, 0.5
+#: Links in an element with a hinting name hold at least this share of its text if it is dropped inside an article.
+LINKED = 0.5
 
 # Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -35,187 +49,273 @@ BLOCK = frozenset(
     " h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary"
     " table tbody td tfoot th thead tr ul caption".split()
 )
-DROPPED = frozenset("nav footer aside form script style noscript template iframe button select textarea input svg canvas object head dialog menu search title option label xmp noframes audio video map math fieldset".split())
+DROPPED = frozenset("nav footer aside form script style noscript template iframe button select textarea input svg canvas head dialog menu search title option xmp noframes".split())
 CONTAINERS = frozenset("article main section div td body center".split())
+FRAME = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
+# Words of class names and ids. The first are boilerplate wherever they are, the second hint at it, the third say nothing.
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted menu nav navbar navigation"
-    " breadcrumb breadcrumbs header masthead topbar footer sidebar sidebars aside rail widget widgets cookie cookies consent gdpr notice"
-    " notices notification banner banners popup modal overlay newsletter subscribe subscription signup signin login search share sharing"
-    " social related recommended recommendations comment comments commentlist disqus reply replies respond form toolbar pagination pager"
-    " copyright legal disclaimer skip paywall".split()
+    " breadcrumb breadcrumbs sidebar sidebars cookie cookies consent gdpr notice notices notification notifications popup modal overlay"
+    " newsletter subscribe subscription signup signin login share sharing social comment comments commentlist disqus respond toolbar"
+    " pagination pager".split()
+)
+HINTS = frozenset(
+    "header masthead topbar footer aside rail widget widgets banner banners related recommended recommendations reply replies form"
+    " search copyright legal disclaimer skip paywall".split()
 )
+PLAIN = frozenset("a box boxes wrap wrapper container block section bar area inner outer top bottom left right main site page global list item items link links button buttons icon icons js group row col column unit slot panel content the of".split())
 ENDS_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr option optgroup legend".split())
-ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": (), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
-BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": (), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"), "p": ("p",)}
+BARRIER = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "tbody": ("table",), "tfoot": ("table",), "p": ("td", "th", "button", "table")}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_SPLIT = re.compile(r"[^a-z0-9]+")
+# every alternative goes on to the end of the page if its own end is missing, so no part of a page is read twice; a quote counts only after an equals sign
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_SPLIT = re.compile(r"[^a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _boilerplate(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{tag}(?=[\\s/>])[^>]*+(?:>|\\Z)", re.I)
+
+
+def _named(names: str) -> str:
+    """"drop" if a name is made of boilerplate words (and words that say nothing), "hint" if one hints at it."""
+    out = ""
+    for name in names.split():
+        words = {w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w}
+        rest = words - PLAIN
+        if rest & NAMES and rest <= NAMES | HINTS:
+            return "drop"
+        if rest & (NAMES | HINTS):
+            out = "hint"
+    return out
+
+
+def _kind(tag: str, attrs: dict[str, str], in_article: bool) -> str:
+    """What an element is by itself: "drop", "hint" or ""."""
     if tag in DROPPED:
-        return True
+        return "drop"
     if tag in ("html", "body", "article", "main"):
-        return False
+        return ""
     if tag == "header" and not in_article:
-        return True
+        return "drop"
     if "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", "")):
-        return True
+        return "drop"
     if attrs.get("role", "").lower() in ROLES:
-        return True
-    names = set(_SPLIT.split(_CAMEL.sub("-", attrs.get("class", "") + " " + attrs.get("id", "")).lower())) & NAMES
-    return bool(names) and not (in_article and names == {"header"})
-
-
-def parse(page: str) -> tuple[list[tuple[str, int]], list[tuple[int, str, str]]]:
-    """(blocks, nodes) of a page without boilerplate.
-
-    A block is (text, node it is in); a node is (parent, tag, generalised tag-class step).
-    """
-    nodes: list[tuple[int, str, str]] = [(-1, "", "")]
-    stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, node, dropped
-    blocks: list[tuple[str, int]] = []
+        return "drop"
+    named = _named(attrs.get("class", "") + " " + attrs.get("id", ""))
+    if named == "drop" and tag in FRAME:
+        named = "hint"
+    return "drop" if named == "hint" and not in_article and tag not in FRAME else named
+
+
+@dataclass
+class Page:
+    """Blocks of text and the elements around them; lists of nodes are in page order, so parents come first."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    tag: list[str] = field(default_factory=lambda: [""])
+    step: list[str] = field(default_factory=lambda: [""])
+    hint: list[bool] = field(default_factory=lambda: [False])
+    text: list[str] = field(default_factory=list)
+    node: list[int] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)
+
+    def sums(self, of: list[float]) -> list[float]:
+        """For each node, the sum over the blocks in it."""
+        out = [0.0] * len(self.parent)
+        for n, v in zip(self.node, of, strict=True):
+            out[n] += v
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parent[n]] += out[n]
+        return out
+
+    def below(self, chosen: list[bool]) -> list[bool]:
+        """Nodes that are chosen or in a chosen one."""
+        out = list(chosen)
+        for n in range(1, len(out)):
+            out[n] = out[n] or out[self.parent[n]]
+        return out
+
+    def path(self, n: int) -> str:
+        steps = []
+        while n > 0:
+            steps.append(self.step[n])
+            n = self.parent[n]
+        return "/".join(reversed(steps))
+
+    def on_path(self, path: str) -> list[bool]:
+        """Nodes whose path is ``path``."""
+        steps = path.split("/")
+        reached = [0] + [-1] * (len(self.parent) - 1)  # steps that lead to a node, if all agree
+        for n in range(1, len(reached)):
+            k = reached[self.parent[n]]
+            if 0 <= k < len(steps) and steps[k] == self.step[n]:
+                reached[n] = k + 1
+        return [k == len(steps) for k in reached]
+
+
+def parse(page: str) -> Page:
+    """The page's blocks outside boilerplate."""
+    out = Page()
+    # of each open element: tag, node, whether it is dropped, node of the block around it, in an article, in a link
+    stack: list[tuple[str, int, bool, int, bool, bool]] = [("", 0, False, 0, False, False)]
+    open_at: dict[str, list[int]] = {}  # places in the stack by tag
     run: list[str] = []
-    where = 0
+    where = links = 0
 
     def flush() -> None:
+        nonlocal links
         if run:
             text = _SPACE.sub(" ", _html.unescape("".join(run))).strip()
             if text:
-                blocks.append((text, where))
+                out.text.append(text)
+                out.node.append(where)
+                out.linked.append(min(links, len(text)))
             run.clear()
+        links = 0
+
+    def add(text: str) -> None:
+        nonlocal where, links
+        if not run:
+            where = stack[-1][3]
+        run.append(text)
+        if stack[-1][5]:
+            links += len(text)
+
+    def last(tags) -> int:
+        return max((open_at[x][-1] for x in tags if open_at.get(x)), default=0)
 
     def close(k: int) -> None:
         if any(s[0] in BLOCK for s in stack[k:]):
             flush()
-        del stack[k:]
+        while len(stack) > k:
+            open_at[stack.pop()[0]].pop()
 
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text and not stack[-1][2]:
-            if not run:
-                where = next(n for g, n, _ in reversed(stack) if g in BLOCK or not n)
-            run.append(text)
+            add(text)
         if not m:
             break
         at = m.end()
         if not m[2]:
             if m[0].startswith("<![CDATA[") and not stack[-1][2]:
-                run.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                add(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-            else:
-                if tag in ("p", "br"):
-                    flush() if tag == "p" else run.append(" ")
+            if open_at.get(tag):
+                close(open_at[tag][-1])
+            elif tag == "p":
+                flush()
+            elif tag == "br" and not stack[-1][2]:
+                add(" ")
             continue
-        if tag in ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in ("td", "th", "button", "table"):
-                    break
-        if tag in ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in ENDS[tag]:
-                    close(k)
-                    break
-                if stack[k][0] in BARRIER.get(tag, ()):
-                    break
+        for x in (("p",) if tag in ENDS_P and tag != "p" else ()) + ((tag,) if tag in ENDS else ()):
+            k = last(ENDS[x])
+            if k > last(BARRIER.get(x, ())):
+                close(k)
         if tag == "br":
             if not stack[-1][2]:
-                run.append(" ")
+                add(" ")
             continue
         if tag in BLOCK:
             flush()
         if tag in VOID:
             continue
-        attrs = {a[0].lower(): _html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])} if m[3].strip(" /\n\t\r") else {}
-        dropped = stack[-1][2] or _boilerplate(tag, attrs, any(s[0] in ("article", "main") for s in stack))
+        _, node, above, block, in_article, in_link = stack[-1]
+        kind = "drop" if above else ""
+        attrs: dict[str, str] = {}
+        if not above:
+            attrs = {a[0].lower(): _html.unescape(a[1] or a[2] or a[3]) for a in _ATTR.findall(m[3])} if m[3].strip(" /\n\t\r") else {}
+            kind = _kind(tag, attrs, in_article)
         if tag in RAW:
-            end = re.compile(f"</{tag}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+            end = _raw_end(tag).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag in BLOCK and not dropped:
-            step = ".".join([tag, *sorted({re.sub(r"[0-9]+", "#", c) for c in attrs.get("class", "").lower().split()})])
-            nodes.append((stack[-1][1], tag, step))
-            stack.append((tag, len(nodes) - 1, False))
-        else:
-            if dropped and not stack[-1][2]:
-                flush() if tag in BLOCK else None
-            stack.append((tag, stack[-1][1], dropped))
+        if tag in BLOCK and kind != "drop":
+            out.parent.append(node)
+            out.tag.append(tag)
+            out.step.append(".".join([tag, *sorted({_DIGITS.sub("#", c).replace("/", ":") for c in attrs.get("class", "").lower().split()})]))
+            out.hint.append(kind == "hint")
+            node = block = len(out.parent) - 1
+        open_at.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node, kind == "drop", block, in_article or tag in ("article", "main"), in_link or tag == "a"))
     flush()
-    return blocks, nodes
-
-
-def _path(nodes: list[tuple[int, str, str]], k: int) -> str:
-    steps = []
-    while k > 0:
-        steps.append(nodes[k][2])
-        k = nodes[k][0]
-    return "/".join(reversed(steps))
-
-
-def best_container(blocks: list[tuple[str, int]], nodes: list[tuple[int, str, str]]) -> tuple[int, float]:
-    """(node, score): the deepest container with SHARE of the text; an article or main around it, if there is one."""
-    score = [0.0] * len(nodes)
-    for text, node in blocks:
-        own = len(text) * (1 + text.count(",") / 10)
-        while node > 0:
-            score[node] += own
-            node = nodes[node][0]
-    if not blocks:
+    return _without_hints(out)
+
+
+def _without_hints(page: Page) -> Page:
+    """The page without elements of a hinting name that are mostly links."""
+    if not any(page.hint):
+        return page
+    total, links = page.sums([float(len(x)) for x in page.text]), page.sums([float(x) for x in page.linked])
+    gone = page.below([h and b >= LINKED * a for h, a, b in zip(page.hint, total, links, strict=True)])
+    kept = [k for k, n in enumerate(page.node) if not gone[n]]
+    page.text, page.node, page.linked = ([x[k] for k in kept] for x in (page.text, page.node, page.linked))
+    return page
+
+
+def best_container(page: Page) -> tuple[int, float]:
+    """(node, score): an article or main element with half of the page's score, else the deepest container with SHARE of it.
+
+    A block scores by its length outside links, with a tenth more for each comma. Of nested
+    articles the deepest with SHARE of the best one's score is taken.
+    """
+    if not page.text:
         return 0, 0.0
-    total = sum(len(x) * (1 + x.count(",") / 10) for x, _ in blocks)
-    marked = [k for k in range(1, len(nodes)) if nodes[k][1] in ("article", "main") and score[k] > 0]
+    score = page.sums([max(len(x) - y, 0) * (1 + x.count(",") / 10) + len(x) / 1000 for x, y in zip(page.text, page.linked, strict=True)])
+    total = score[0]
+    marked = [k for k in range(1, len(score)) if page.tag[k] in ("article", "main") and score[k] >= MARKED_SHARE * total]
     if marked:
         most = max(score[k] for k in marked)
-        inner = [k for k in marked if nodes[k][1] == "article" and score[k] >= 0.5 * most]
-        chosen = max(inner or marked, key=lambda k: (score[k], -k))
+        chosen = max(k for k in marked if score[k] >= SHARE * most)
         return chosen, score[chosen]
     chosen = 0
-    for k in range(1, len(nodes)):
-        if nodes[k][1] in CONTAINERS and score[k] >= SHARE * total:
+    for k in range(1, len(score)):
+        if page.tag[k] in CONTAINERS and score[k] >= SHARE * total:
             chosen = k
-    return chosen, score[chosen] if chosen else total
+    return chosen, score[chosen]
 
 
 def propose(page: str | None) -> tuple[str, float]:
-    blocks, nodes = parse(page or "")
-    node, score = best_container(blocks, nodes)
-    return _path(nodes, node), score
+    read = parse(page or "")
+    node, score = best_container(read)
+    return read.path(node), score
 
 
 def extract(page: str | None, path: str | None) -> str:
-    """Text of the elements on the path, else of the page's own best container."""
-    blocks, nodes = parse(page or "")
-    if not blocks:
+    """Text of the elements on the path, else of the page's own best container, with the headings and paragraphs beside it."""
+    read = parse(page or "")
+    if not read.text:
         return ""
-    under = [False] * len(nodes)
-    if path:
-        for k in range(1, len(nodes)):
-            under[k] = under[nodes[k][0]] or _path(nodes, k) == path
-    if not any(under[n] for _, n in blocks):
-        top, _ = best_container(blocks, nodes)
-        for k in range(len(nodes)):
-            under[k] = k == top or (k > 0 and under[nodes[k][0]])
-    return "\n".join(x for x, n in blocks if under[n])
+    under = read.below(read.on_path(path)) if path else [False]
+    tops = read.on_path(path) if path else []
+    if not path or not any(under[n] for n in read.node):
+        top, _ = best_container(read)
+        tops = [k == top for k in range(len(read.parent))]
+        under = read.below(tops)
+    around = [False] * len(read.parent)
+    for k, is_top in enumerate(tops):
+        n = read.parent[k] if is_top and k else -1
+        while n >= 0 and not around[n]:
+            around[n] = True
+            n = read.parent[n]
+    beside = lambda n: read.tag[n] in FRAME and around[read.parent[n]]
+    return "\n".join(x for x, n in zip(read.text, read.node, strict=True) if under[n] or beside(n))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path that most of the host's pages propose; ties go to the higher score, then the lesser path."""
+    """(host, path): the path that most of the host's pages propose; ties go to the higher score, then the greater path."""
 
     def make(part: pa.RecordBatch) -> list[pa.Array]:
         found = [propose(v) for v in part.column("html").to_pylist()]
@@ -223,8 +323,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
     voted = extend(pages.select("host", "html"), "html", [t.StructField("path", t.StringType()), t.StructField("score", t.DoubleType())], make, keep=["host"])
     votes = voted.filter("score > 0").groupBy("host", "path").agg(F.count("*").alias("pages"), F.sum(F.round("score")).alias("score"))
-    best = Window.partitionBy("host").orderBy(F.desc("pages"), F.desc("score"), "path")
-    return votes.withColumn("_k", F.row_number().over(best)).filter("_k = 1").select("host", "path")
+    return votes.groupBy("host").agg(F.max_by("path", F.struct("pages", "score", "path")).alias("path"))
 
 
 def extract_pages(pages: DataFrame, max_hosts: int = MAX_HOSTS) -> DataFrame:
@@ -232,9 +331,11 @@ def extract_pages(pages: DataFrame, max_hosts: int = MAX_HOSTS) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.lit(""))
     hosted = pages.select("page_id", "url", "html", host.alias("host"))
     winners = cut(host_paths(hosted))
+    # every host gets a row, so that the rows of a large host can be dealt to parts
     if winners.count() <= max_hosts:
-        winners = F.broadcast(winners)
-    joined = hosted.join(winners, "host", "left")
+        joined = hosted.join(F.broadcast(winners), "host", "left")
+    else:
+        joined = attach(hosted, hosted.select("host").distinct().join(winners, "host", "left"), "host")
 
     def make(part: pa.RecordBatch) -> list[pa.Array]:
         found = [extract(v, p) for v, p in zip(part.column("html").to_pylist(), part.column("path").to_pylist(), strict=True)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from kvspace.llm import html
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1><nav><a href=/>Home</a></nav></header>
@@ -43,3 +45,49 @@ def test_hosts_vote(spark):
         assert got[5][1] == ("text " * 40).strip()  # the host's path, not the page's longest part
         assert got[6][1:] == ("alone", 5) and got[7][1:] == got[8][1:] == ("", 0)
     assert html.extract_pages(pages.limit(0)).count() == 0
+
+
+def test_nothing_of_an_article_goes_by_one_word():
+    page = "<body><nav>menu</nav><article><p>first<p class=related>second<div class='share-price'>third</div><div class=legal>fourth</div><div class=form-guide>fifth</div><p>x <math>y</math> <label>z</label></p></article>"
+    assert html.extract(page, html.propose(page)[0]) == "first\nsecond\nthird\nfourth\nfifth\nx y z"
+    linked = page.replace("fourth", "<a href=/t>terms of use</a>, <a href=/p>privacy</a>").replace("third", "<a href=/q>quotes</a>")
+    assert html.extract(linked, None) == "first\nsecond\nfifth\nx y z"
+    outside = "<body><div class=legal>terms</div><div class=widget>w</div><div><p>" + "text " * 9 + "</p></div>"
+    assert html.extract(outside, None) == ("text " * 9).strip()
+
+
+def test_headings_beside_the_container():
+    for n in (3, 3000):
+        page = "<body><div class=menu>m</div><h1>Title</h1><p>Lead</p><div class=text>" + "<p>words of the text</p>" * n + "</div><div>other</div>"
+        assert html.extract(page, html.propose(page)[0]).split("\n")[:3] == ["Title", "Lead", "words of the text"]
+    page = "<main><h1>Title</h1><article><p>" + "one " * 30 + "</p></article><p>" + "two " * 25 + "</p></main>"
+    assert html.extract(page, None).split("\n")[0] == "Title" and "two" in html.extract(page, None)
+
+
+def test_time_follows_length():
+    took = {}
+    for name, page in {
+        "quote": "<a " * 350_000 + '"',
+        "equals": "<a =" * 250_000 + '"',
+        "nested": "<div>" * 100_000 + "deep",
+        "closed": "<div>" * 100_000 + "x</b>" * 100_000,
+        "paragraphs": "<table>" + "<div>" * 50_000 + "<p>a" * 50_000,
+        "raw": "<script>" + "</script" * 100_000,
+        "comments": "<!-- " * 200_000,
+        "blocks": "<div class=a><div class=b>" * 40_000 + "<p>t" * 40_000,
+    }.items():
+        begun = time.perf_counter()
+        path, _ = html.propose(page)
+        html.extract(page, path)
+        took[name] = time.perf_counter() - begun
+    assert max(took.values()) < 8, took
+    assert html.extract("<div>" * 100_000 + "deep", html.propose("<div>" * 100_000 + "deep")[0]) == "deep"
+
+
+def test_votes_decide_without_article(spark):
+    """On a page whose comments are longer than its story, the host's other pages tell which is which."""
+    page = "<body><div class=story><p>{}</p></div><div class=below><p>{}</p></div>"
+    rows = [(i, "http://n.org/a", page.format("story " * 60, "short")) for i in range(4)] + [(9, "http://n.org/b", page.format("brief story", "long talk " * 200))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract_pages(pages).collect()}[9] == "brief story"
+    assert {r.host: r.path for r in html.host_paths(pages.selectExpr("html", "'n.org' AS host")).collect()} == {"n.org": "body/div.story"}
