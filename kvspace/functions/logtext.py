@@ -41,19 +41,27 @@ _DB_SIZE = "(?i)\\b(?:db[_ ]?size|database[_ ]?size|size[_ ]?bytes)\\s*[:=]?\\s*
 _FIELDS = ("__REALTIME_TIMESTAMP", "PRIORITY", "LEVEL", "SYSLOG_IDENTIFIER", "_SYSTEMD_UNIT", "MESSAGE")
 
 
-def _any(text: Column, words) -> Column:
-    out = text.contains(words[0])
-    for w in words[1:]:
-        out = out | text.contains(w)
-    return out
+def _first(value: Column, over: Column, found) -> Column:
+    """First element of the array ``over`` that ``found(value, element)`` accepts, else null; value is computed once.
+
+    Rules are data that one expression walks over, so that generated code stays small however
+    many there are.
+    """
+    return F.get(F.transform(F.array(value), lambda v: F.get(F.filter(over, lambda x: found(v, x)), F.lit(0))), F.lit(0))
+
+
+def _holds(text: Column, words: Column) -> Column:
+    return F.exists(words, lambda w: F.contains(text, w))
+
+
+def _words(words) -> Column:
+    return F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")
 
 
 def log_event_type(message: Column) -> Column:
-    low = F.lower(message)
-    out = F.lit("unknown")
-    for name, words, also in reversed(_TYPE_RULES):
-        out = F.when(_any(low, words) & (_any(low, also) if also else F.lit(True)), name).otherwise(out)
-    return out
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), _words(words).alias("any"), _words(also).alias("also")) for name, words, also in _TYPE_RULES])
+    rule = _first(F.lower(message), rules, lambda low, r: _holds(low, r["any"]) & ((F.size(r["also"]) == 0) | _holds(low, r["also"])))
+    return F.coalesce(rule["name"], F.lit("unknown"))
 
 
 def log_event_type_value(value: Column) -> Column:
@@ -73,31 +81,34 @@ def severity_from_priority(value: Column) -> Column:
 
 
 def severity_from_text(message: Column) -> Column:
-    low = F.lower(message)
-    return F.when(_any(low, _ERROR), "ERROR").when(_any(low, _WARN), "WARN").when(message != "", "INFO").otherwise("UNKNOWN")
+    rules = F.array(*[F.struct(F.lit(name).alias("name"), _words(words).alias("any")) for name, words in (("ERROR", _ERROR), ("WARN", _WARN))])
+    rule = _first(F.lower(message), rules, lambda low, r: _holds(low, r["any"]))
+    return F.coalesce(rule["name"], F.when(message != "", "INFO"), F.lit("UNKNOWN"))
 
 
 def source_from_text(message: Column) -> Column:
-    low, out = F.lower(message), F.lit("unknown")
-    for name in reversed(_SOURCES):
-        out = F.when(low.contains(name), name).otherwise(out)
-    return out
+    return F.coalesce(_first(F.lower(message), _words(_SOURCES), F.contains), F.lit("unknown"))
 
 
-def parse_log_time(text: Column) -> Column:
-    """RFC 3339, the two forms with a space, or a count of microseconds."""
-    v = F.trim(F.trim(text, F.lit('"')))
+def parse_log_time(*texts: Column) -> Column:
+    """The first of the texts that is RFC 3339, one of the two forms with a space, or a count of microseconds."""
     day, clock = "[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{2}:[0-9]{2}:[0-9]{2}(?:\\.[0-9]+)?"
-    zoned = v.rlike(f"^{day}[T ]{clock}(?:Z|[+-][0-9]{{2}}:[0-9]{{2}})$")
-    bare = v.rlike(f"^{day} {clock}$")
-    exact = F.regexp_replace(v, "(\\.[0-9]{6})[0-9]+", "$1")
-    return F.when(zoned, F.try_to_timestamp(exact)).when(bare, F.try_to_timestamp(F.concat(exact, F.lit("Z")))).when(v.rlike("^[0-9]+$"), F.timestamp_micros(v.try_cast("bigint")))
+
+    def parsed(v: Column) -> Column:
+        zoned = v.rlike(f"^{day}[T ]{clock}(?:Z|[+-][0-9]{{2}}:[0-9]{{2}})$")
+        bare = v.rlike(f"^{day} {clock}$")
+        exact = F.concat(F.regexp_replace(v, "(\\.[0-9]{6})[0-9]+", "$1"), F.when(bare, "Z").otherwise(""))
+        return F.when(zoned | bare, F.try_to_timestamp(exact)).when(v.rlike("^[0-9]+$"), F.timestamp_micros(v.try_cast("bigint")))
+
+    clean = F.transform(F.array(*texts), lambda v: F.trim(F.trim(v, F.lit('"'))))
+    return F.get(F.filter(F.transform(clean, parsed), lambda x: x.isNotNull()), F.lit(0))
 
 
 def duration_ms(text: Column) -> Column:
-    value, unit = F.regexp_extract(text, _DURATION, 1).try_cast("double"), F.lower(F.regexp_extract(text, _DURATION, 2))
-    scaled = F.floor(value * F.when(unit.isin("s", "second", "seconds"), 1000.0).when(unit.isin("us", "µs"), 0.001).otherwise(1.0))
-    return F.when((scaled >= 0) & (scaled <= MAX_DURATION_MS), scaled)
+    """Milliseconds of the text's first duration."""
+    parts = F.struct(F.regexp_extract(text, _DURATION, 1).try_cast("double").alias("value"), F.lower(F.regexp_extract(text, _DURATION, 2)).alias("unit"))
+    scaled = F.transform(F.array(parts), lambda p: F.floor(p["value"] * F.when(p["unit"].isin("s", "second", "seconds"), 1000.0).when(p["unit"].isin("us", "µs"), 0.001).otherwise(1.0)))
+    return F.get(F.filter(scaled, lambda x: (x >= 0) & (x <= MAX_DURATION_MS)), F.lit(0))
 
 
 def _integer(text: Column, most: int = MAX_INTEGER) -> Column:
@@ -119,7 +130,9 @@ def _json(fields: Column, name: str) -> Column:
 
 def first_safe_int(fields: Column, most: int, *names: str) -> Column:
     """First of the named values (JSON texts by name) that is an integer in range."""
-    return F.coalesce(*[_integer(F.when(F.trim(F.trim(_json(fields, n)), F.lit('"')).rlike("^[+-]?[0-9]+$"), F.trim(F.trim(_json(fields, n)), F.lit('"'))), most) for n in names])
+    bare = F.transform(_words(names), lambda n: F.trim(F.trim(F.try_element_at(fields, n), F.lit('"'))))
+    found = F.transform(F.filter(bare, lambda v: v.rlike("^[+-]?[0-9]+$")), lambda v: v.try_cast("bigint"))
+    return F.get(F.filter(found, lambda v: (v >= 0) & (v <= most)), F.lit(0))
 
 
 def message_fingerprint(message: Column) -> Column:
@@ -127,15 +140,10 @@ def message_fingerprint(message: Column) -> Column:
 
 
 def _field(line: Column, name: str) -> Column:
-    """Value of a journal field: up to the next field of the list."""
-    at = F.instr(line, f"{name}=")
-    value = F.substring(line, at + len(name) + 1, F.char_length(line))
-    for other in _FIELDS:
-        if other != name:
-            value = F.substring_index(value, f" {other}=", 1)
-    value = F.trim(value)
-    quoted = (F.char_length(value) >= 2) & value.startswith('"') & value.endswith('"')
-    return F.when(at > 0, F.when(quoted, F.trim(value, F.lit('"'))).otherwise(value)).otherwise("")
+    """Value of a journal field: up to the next field of the list; without quotes around it, empty if there is none."""
+    others = "|".join(x for x in _FIELDS if x != name)
+    value = F.trim(F.regexp_extract(line, f"(?s){name}=(.*?)(?: (?:{others})=|\\z)", 1))
+    return F.regexp_replace(value, '(?s)^"+(.*?)"+$', "$1")
 
 
 def log_normalize(lines: DataFrame, text: str, column: str = "e") -> DataFrame:
@@ -170,9 +178,9 @@ def log_normalize(lines: DataFrame, text: str, column: str = "e") -> DataFrame:
     journal, json = c("_route") == "journal", c("_route") == "json"
     whole = F.when(c("_rest") == "", c("_body")).otherwise(c("_rest"))
     time_text = F.when(journal, _field(c("_body"), "__REALTIME_TIMESTAMP")).when(c("_route") == "text", c("_stamp"))
-    json_time = F.coalesce(*[parse_log_time(_json(c("_j"), n)) for n in ("ts", "timestamp", "time", "observed_at", "observedAt")], c("_outer"))
+    json_time = F.coalesce(parse_log_time(*[_json(c("_j"), n) for n in ("ts", "timestamp", "time", "observed_at", "observedAt")]), "_outer")
     severity = F.when(json, severity_from_value(named("level", "severity", "priority"))).when(journal, severity_from_priority(_field(c("_body"), "PRIORITY")))
-    unit = F.when(_field(c("_body"), "SYSLOG_IDENTIFIER") != "", _field(c("_body"), "SYSLOG_IDENTIFIER")).otherwise(_field(c("_body"), "_SYSTEMD_UNIT"))
+    unit = F.coalesce(F.nullif(_field(c("_body"), "SYSLOG_IDENTIFIER"), F.lit("")), _field(c("_body"), "_SYSTEMD_UNIT"))
     out = computed_once(out, {
         "_text": F.when(json, c("_message")).when(journal, c("_own")).when(c("_route") == "text", whole).when(c("_route") == "empty", c("_line")).otherwise(c("_body")),
         "_at": F.when(json, json_time).otherwise(parse_log_time(time_text)),

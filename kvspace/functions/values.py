@@ -6,8 +6,12 @@ import hashlib
 import heapq
 import json
 import math
+import re
+from functools import lru_cache
+from itertools import accumulate
+from json.encoder import encode_basestring
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,19 +75,43 @@ def _number(x: float) -> str:
 
 
 _ESCAPES = str.maketrans({"<": "\\u003c", ">": "\\u003e", "&": "\\u0026", " ": "\\u2028", " ": "\\u2029"})
+_ODD = re.compile("[<>&  \b\f]")
 
 
-def canonical(value) -> str:
+def _string(value: str) -> bytes:
+    out = encode_basestring(value)
+    if _ODD.search(value):
+        out = out.replace("\\b", "\\u0008").replace("\\f", "\\u000c").translate(_ESCAPES)
+    return out.encode("utf-8", "replace")
+
+
+@lru_cache(maxsize=1 << 14)
+def _key(key: str) -> tuple[bytes, bytes]:
+    """(bytes that keys are ordered by, the key as JSON)."""
+    return key.encode("utf-8", "surrogatepass"), _string(key)
+
+
+def _joined(parts: dict[str, bytes]) -> bytes:
+    """A JSON object of members that are JSON already."""
+    return b"{" + b",".join(_key(k)[1] + b":" + parts[k] for k in sorted(parts, key=lambda k: _key(k)[0])) + b"}"
+
+
+def canonical(value) -> bytes:
     """JSON with sorted keys, doubles for all numbers, and the signs of markup escaped."""
+    if isinstance(value, str):
+        return _string(value)
     if isinstance(value, dict):
-        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-8", "surrogatepass"))) + "}"
+        return _joined({k: canonical(v) for k, v in value.items()})
     if isinstance(value, list):
-        return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False).replace("\\b", "\\u0008").replace("\\f", "\\u000c").translate(_ESCAPES)
+        return b"[" + b",".join(map(canonical, value)) + b"]"
     if value is None or isinstance(value, bool):
-        return {None: "null", True: "true", False: "false"}[value]
-    return _number(float(value))
+        return {None: b"null", True: b"true", False: b"false"}[value]
+    if isinstance(value, int) and abs(value) < 1 << 53:
+        return str(value).encode()
+    x = float(value)
+    if math.isinf(x):
+        raise OverflowError("number out of range")
+    return _number(x).encode()
 
 
 def type_class(value) -> str:
@@ -114,30 +142,39 @@ def object_fields(text: str | None) -> tuple[str, list[tuple[str, int, str, str]
     if not _within_limits(root):
         return "field_limit_exceeded", []
 
-    def stat(path: str, value) -> tuple[str, int, str, str]:
-        data = canonical(value).encode("utf-8", "replace")
-        return path, len(data), type_class(value), hashlib.sha256(data).hexdigest()
+    selected: dict[str, tuple] = {}
+    others: dict[str, tuple] = {}
 
-    selected, others = {}, {}
-    stack = [(root, "")]
-    while stack:
-        value, path = stack.pop()
+    def walk(value, path: str) -> bytes:
+        """The value as JSON, made once from its members'; records it under its path."""
+        if isinstance(value, dict) and path not in OPAQUE:
+            data = _joined({k: walk(v, f"{path}.{k}" if path else k) for k, v in value.items()})
+        else:
+            data = canonical(value)
         if path and path != "metadata":
             kept = selected if path in SELECTED else others
-            own = stat(path, value)
-            if path not in kept or own[1] > kept[path][1]:  # keys with dots may spell one path twice
-                kept[path] = own
-        if path not in OPAQUE and isinstance(value, dict):
-            stack += [(v, f"{path}.{k}" if path else k) for k, v in value.items()]
-    return "decoded_json", [selected[p] for p in SELECTED if p in selected] + heapq.nsmallest(MORE_FIELDS, others.values(), key=lambda f: (-f[1], f[0]))
+            if path not in kept or len(data) > len(kept[path][2]):  # keys with dots may spell one path twice
+                kept[path] = (path, type_class(value), data)
+        return data
+
+    try:
+        walk(root, "")
+    except OverflowError:
+        return "decode_failed", []
+    largest = heapq.nsmallest(MORE_FIELDS, others.values(), key=lambda f: (-len(f[2]), f[0]))
+    return "decoded_json", [(p, len(data), kind, hashlib.sha256(data).hexdigest()) for p, kind, data in [*(selected[p] for p in SELECTED if p in selected), *largest]]
 
 
 def field_stats(text: Column) -> Column:
     """Struct (status, fields) of JSON text, in Arrow batches: the tree walk has no built-in form of any depth."""
-    @F.pandas_udf(f"struct<status:string,fields:{FIELDS}>")
-    def run(values: pd.Series) -> pd.DataFrame:
-        names = ("path", "byte_size", "type_class", "hash")
-        found = [object_fields(v) for v in values]
-        return pd.DataFrame({"status": [s for s, _ in found], "fields": [[dict(zip(names, f, strict=True)) for f in fs] for _, fs in found]})
+
+    @F.arrow_udf(f"struct<status:string,fields:{FIELDS}>")
+    def run(values: pa.Array) -> pa.Array:
+        found = [object_fields(v) for v in values.to_pylist()]
+        flat = [f for _, fields in found for f in fields]
+        columns = zip(*flat, strict=True) if flat else [[]] * 4
+        field = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["path", "byte_size", "type_class", "hash"])
+        ends = pa.array([0, *accumulate(len(fields) for _, fields in found)], pa.int32())
+        return pa.StructArray.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.ListArray.from_arrays(ends, field)], names=["status", "fields"])
 
     return run(text)

@@ -73,7 +73,7 @@ def test_field_limits():
 
 @pytest.mark.parametrize(("number", "text"), [(0.0, "0"), (1.0, "1"), (1.5, "1.5"), (100.0, "100"), (1e20, "100000000000000000000"), (1e21, "1e+21"), (1.25e-7, "1.25e-07"), (1e-6, "0.000001"), (-2.5, "-2.5"), (123456789.125, "123456789.125"), (0.1, "0.1")])
 def test_numbers(number, text):
-    assert values.canonical(number) == text
+    assert values.canonical(number).decode() == text
 
 
 def test_statuses(spark):
