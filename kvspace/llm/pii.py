@@ -3,17 +3,20 @@
 High-recall generators propose spans that may overlap. The base kinds (email, ip, card,
 phone) are checked by their formats and always stay. The other kinds are judged by boosted
 trees over format and context features; the trees are compiled into a column expression,
-and a span counts when its calibrated probability reaches its kind's threshold.
+and a span counts when its probability reaches its kind's threshold.
 
-No table marks personal data, so the trees learn from rules that are sure where they speak
-(keyed secrets, vendor prefixes, validated formats; plain words and version numbers as
-counter-examples), on a bounded sample of candidates.
+No table marks personal data. The trees learn from planted cases: random values of many
+forms, personal data and look-alikes of each kind (order numbers, versions, digests, file
+names, long words, settings, code), are put into the middle of a bounded sample of the
+corpus' own texts, and the generators' candidates there carry the form's label. The
+thresholds are set on texts that the trees have not seen, for each kind the least
+probability from which on the precision holds.
 
 Null texts count as empty. Very long texts are handled whole; all patterns are linear, and
 the runs of keys, secrets and handles have no upper length (numbers have the lengths of their
-formats).
-Ties between overlapping spans go to the longer one, then to the kind listed first.
-Repeated rows give repeated results.
+formats). Ties between overlapping spans go to the longer one, then to the kind listed first.
+Repeated rows give repeated results. An empty table gives an empty result. Other columns,
+whatever their names, are kept as they are.
 """
 
 from __future__ import annotations
@@ -26,13 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvspace.llm.store import cut
+from kvspace.llm.text import unused
 from kvspace.llm.trees import Node, tree_column, tree_of
 
-#: Candidates that the trees are fitted on, at most, and documents they are looked for in.
-MAX_CANDIDATES, MAX_DOCUMENTS = 4000, 20_000
-ROUNDS, DEPTH = 8, 3
-#: The precision that a kind's threshold must reach on the calibration half.
-PRECISION = 0.95
+#: Texts whose pieces the planted cases are put into, about; one row for each of them and each form is learned from.
+CONTEXTS = 160
+ROUNDS, DEPTH = 12, 4
+#: The precision that a kind's threshold must reach on the texts held out, and the least threshold.
+PRECISION, LEAST = 0.97, 0.3
 
 _MARK = "￿"
 _LOCAL = "A-Za-z0-9._%+-"
@@ -53,7 +57,35 @@ GENERATED = {
     "number": "(?<![0-9A-Za-z.+-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\\(?[0-9]{3}\\)?[ .-][0-9]{3}[ .-][0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})(?![0-9A-Za-z])",
 }
 KINDS = (*BASE, *GENERATED)
-FEATURES = ("length", "digits", "capitals", "smalls", "marks", "variety", "dots", "at", "equals", "mixed", "hint", "quoted", "after_equals", "generator")
+FEATURES = ("length", "digits", "capitals", "smalls", "marks", "variety", "turns", "mixed", "hint", "other", "quoted", "after_equals", "vendor", "domain", "plain", "country", "generator")
+
+# Cues before a value, forms of values, and endings.
+_HINT = "(?i)(key|token|secret|passw|auth|bearer|credential|mail|phone|tel|call|fax|mobile|ssn|iban|account|contact)[^A-Za-z]*$"
+_OTHER = "(?i)(?<![a-z])(order|invoice|ref|version|section|part|serial|model|commit|sha-?[0-9]*|md5|digest|hash|checksum|uuid|isbn|no|page|fig|size|file|path|id|bytes|tracking|build)[.:#=]*\\s*[\"']?$"
+_VENDOR = "^(?:AKIA|ASIA|gh[pousr]_|sk[-_]|xox[abp]-|eyJ)"
+_DOMAIN = "(?i)(?:com|org|net|edu|gov|io|de|fr|es|it|uk|eu|info|biz|co|me|dev|app)$"
+_COUNTRY = "^(?:AT|BE|CH|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)[0-9]{2}"
+#: (kind, personal?, form). Greek letters stand for random signs, see _POOLS.
+FORMS = (
+    ("key", 1, "AKIAκκκκκκκκκκκκκκκκ"), ("key", 1, "ghp_" + "μ" * 36), ("key", 1, "sk-" + "μ" * 32), ("key", 1, "sk-" + "λ" * 24), ("key", 1, "xoxb-" + "δ" * 11 + "-" + "μ" * 24), ("key", 1, "Bearer " + "β" * 44),
+    ("key", 1, "η" * 32), ("key", 1, "η" * 40), ("key", 1, "η" * 64), ("key", 1, "η" * 300), ("key", 1, "μ" * 24), ("key", 1, "μ" * 40), ("key", 1, "β" * 64 + "=="), ("key", 1, "eyJ" + "β" * 120),
+    ("key", 1, "my key is " + "μ" * 20), ("key", 1, "account key " + "κ" * 20), ("key", 1, "β" * 150), ("key", 1, "η" * 128),
+    ("key", 0, "λ" * 16), ("key", 0, "λ" * 19), ("key", 0, "λ" * 24), ("key", 0, "υ" + "λ" * 20), ("key", 0, "λλλλλ_λλλλλλ_λλλλλλ"), ("key", 0, "λλλλ-λλλλλ-λλλ-λλλλλλ"), ("key", 0, "λλλλλλ/λλλλ/λλλλλλλλ"), ("key", 0, "λλλυλλλλλλυλλλλλυλλλ"),
+    ("key", 0, "-" * 24), ("key", 0, "_" * 20), ("key", 0, "commit " + "η" * 40), ("key", 0, "sha256: " + "η" * 64), ("key", 0, "md5 " + "η" * 32), ("key", 0, "uuid ηηηηηηηη-ηηηη-ηηηη-ηηηη-ηηηηηηηηηηηη"), ("key", 0, "δδδδ-δδ-δδ-δδ-δδ-δδ"),
+    ("key", 0, "order " + "δ" * 18), ("key", 0, "δ" * 17), ("key", 0, "isbn δδδ-δ-δδδδ-δδδδ-δ"), ("key", 0, "file λλλλλλλδδ_λλλλλλδδ"), ("key", 0, "λλλλλλλλλλλλλλδδ"), ("key", 0, "λλλλ/λλλδ/λλλλλλ/λλλλδδ"), ("key", 0, "λλλλλλλλ+λλλλλλλλ"),
+    ("key", 0, "λ" * 33), ("key", 0, "λ" * 52), ("key", 0, "υ" + "λ" * 37), ("key", 0, "λλλ/λλλλ/λλλλλλλλλ/λλλλλλλλλ"), ("key", 0, "λλλυλλλλλλυλλλλλλλυλλλλλλλυλλλλλλλ"), ("key", 0, "λλλλλλλλλλλλλλλ_λλ_λλλλλλλ"), ("key", 0, "λλλλλλλλ-λλ-λλλ-λλλ-λλλλλλλλ-λλλλλ"), ("key", 0, "υλλλλλλλυλλλλλλλλυλλλλλλ"),
+    ("secret", 1, 'token = "' + "η" * 40 + '"'), ("secret", 1, "password: μμμμμμμμμ"), ("secret", 1, "pwd=λλλλλδδ"), ("secret", 1, "secret = '" + "μ" * 24 + "'"), ("secret", 1, "api_key=" + "μ" * 32), ("secret", 1, "auth: " + "β" * 28),
+    ("secret", 1, "passwd λλλ password=υλλλλδδ!"), ("secret", 1, "access_key: " + "κ" * 20), ("secret", 1, "token: " + "η" * 201), ("secret", 1, "password = λλλλ-λλλλ-δδδδ"), ("secret", 1, "secret: " + "β" * 600), ("secret", 1, "auth: sk-" + "λ" * 20),
+    ("secret", 0, "password: required"), ("secret", 0, "token = null"), ("secret", 0, "secret: none"), ("secret", 0, "auth: basic"), ("secret", 0, "token: λλλλλ"), ("secret", 0, "password: λλλλλλλ"), ("secret", 0, "secret: λλλλλλλλλλ"), ("secret", 0, "auth = λλλλ"), ("secret", 0, "password: υλλλλλ"),
+    ("secret", 0, "token: λλλλ.λλλλλ()"), ("secret", 0, "password = λλλλ(λλλ)"), ("secret", 0, "auth: λλλλλ-λλλλ"),
+    ("handle", 1, "λλλλ.λλλλλ [at] λλλλλλ [dot] com"), ("handle", 1, "λλλλλδδ(at)λλλλλλ.org"), ("handle", 1, "λλλλλλ {at} λλλλλ {dot} net"), ("handle", 1, "λ.λλλλλλ [at] λλλλ.de"), ("handle", 1, "λλλλ_λλλ [at] λλλλλλλλ [dot] fr"), ("handle", 1, "λ" * 80 + " [at] " + "λ" * 60 + " [dot] io"),
+    ("handle", 0, "λλλλ (at) λλλλ.λλλλλλ"), ("handle", 0, "λλλλλ [at] λλλ.next"), ("handle", 0, "fig (at) λλλλ.λλλλλ"), ("handle", 0, "λλλλλλ{at}λλλλλ.value"), ("handle", 0, "λλλλ [at] λλλλλ.λλλλλλλ"),
+    ("number", 1, "SSN δδδ-δδ-δδδδ"), ("number", 1, "δδδ-δδ-δδδδ"), ("number", 1, "tel. (δδδ) δδδ-δδδδ"), ("number", 1, "(δδδ) δδδ-δδδδ"), ("number", 1, "+1 (δδδ) δδδ-δδδδ"), ("number", 1, "call δδδ-δδδ-δδδδ"), ("number", 1, "phone: δδδ.δδδ.δδδδ"), ("number", 1, "mobile δδδ δδδ δδδδ"),
+    ("number", 1, "IBAN DEδδ" + "δ" * 18), ("number", 1, "FRδδ" + "δ" * 10 + "κ" * 11 + "δδ"), ("number", 1, "account GBδδυυυυ" + "δ" * 14), ("number", 1, "ESδδ" + "δ" * 20),
+    ("number", 0, "order δδδ-δδ-δδδδ"), ("number", 0, "part δδδ-δδδ-δδδδ"), ("number", 0, "invoice no. δδδ-δδδ-δδδδ"), ("number", 0, "version δδδ.δδδ.δδδδ"), ("number", 0, "build δδδ.δδδ.δδδδ"), ("number", 0, "serial υυδδ" + "κ" * 14), ("number", 0, "model υυδδ" + "κ" * 12),
+    ("number", 0, "ref. δδδ δδδ δδδδ"), ("number", 0, "size δδδ δδδ δδδδ"), ("number", 0, "tracking υυδδ" + "κ" * 13), ("number", 0, "no. δδδ-δδ-δδδδ"),
+)
+_POOLS = {"δ": "0123456789", "η": "0123456789abcdef", "λ": "abcdefghijklmnopqrstuvwxyz", "υ": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "κ": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "μ": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "β": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
 def spans_of(text: Column, pattern: str, context: int = 0) -> Column:
@@ -126,31 +158,44 @@ def candidate_spans(text: Column) -> dict[str, Column]:
 def features(kind: Column, value: Column, left: Column) -> list[Column]:
     n = F.greatest(F.char_length(value), F.lit(1)).cast("double")
     less = lambda pattern: (F.char_length(value) - F.char_length(F.regexp_replace(value, pattern, ""))) / n
-    hint = left.rlike("(?i)(key|token|secret|passw|auth|mail|phone|tel|call|ssn|iban|account|contact)")
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    kinds = list(GENERATED)
-    number = F.coalesce(*[F.when(kind == k, F.lit(float(i))) for i, k in enumerate(kinds)], F.lit(-1.0))
+    number = F.coalesce(*[F.when(kind == k, F.lit(float(i))) for i, k in enumerate(GENERATED)], F.lit(-1.0))
+    turned = F.regexp_replace(value, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", "|")
     return [
-        n, less("[0-9]"), less("[A-Z]"), less("[a-z]"), less("[A-Za-z0-9]") * -1 + 1,
-        F.size(F.array_distinct(F.split(value, ""))) / n,
-        less("[.]"), flag(value.contains("@") | value.rlike("(?i)\\bat\\b")), flag(value.rlike("[=:]")),
-        flag(value.rlike("[0-9]") & value.rlike("[A-Za-z]")), flag(hint), flag(left.rlike("[\"']$")), flag(left.rlike("[=:]\\s*[\"']?$")), number,
+        n, less("[0-9]"), less("[A-Z]"), less("[a-z]"), 1 - less("[A-Za-z0-9]"), F.size(F.array_distinct(F.split(value, ""))) / n,
+        (F.char_length(turned) - n) / n, flag(value.rlike("[0-9]") & value.rlike("[A-Za-z]")), flag(left.rlike(_HINT)), flag(left.rlike(_OTHER)), flag(left.rlike("[\"']$")),
+        flag(left.rlike("[=:]\\s*[\"']?$")), flag(value.rlike(_VENDOR)), flag(value.rlike(_DOMAIN)), flag(value.rlike("[:=]\\s*[\"']?[A-Za-z]?[a-z.()-]+$")), flag(value.rlike(_COUNTRY)), number,
     ]
 
 
-def _weak_label(kind: Column, value: Column, left: Column) -> Column:
-    """1 or 0 where a rule is sure, else null."""
-    digit, letter = value.rlike("[0-9]"), value.rlike("[A-Za-z]")
-    keyed = left.rlike("(?i)(key|token|secret|passw\\w*|auth)\\s*[=:]\\s*[\"']?$")
-    return (
-        F.when((kind == "key") & value.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_|^sk[-_]|^xox[abp]-"), 1.0)
-        .when((kind == "key") & keyed & digit & letter, 1.0)
-        .when((kind == "key") & ~(digit & letter), 0.0)
-        .when((kind == "secret") & digit & letter, 1.0)
-        .when((kind == "secret") & value.rlike("[=:]\\s*[\"']?[a-z]+[.,]?$"), 0.0)
-        .when(kind == "handle", 1.0)
-        .when((kind == "number") & (value.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") | left.rlike("(?i)(tel|phone|call|ssn|iban)\\W*$|\\+[0-9]{1,3}[ -]?$")), 1.0)
-    )
+def planted(seed: Column, form: Column) -> Column:
+    """The form with its Greek letters replaced by signs that depend on the seed and their places."""
+
+    def sign(c: Column, i: Column) -> Column:
+        out = c
+        for letter, pool in _POOLS.items():
+            at = F.pmod(F.xxhash64(seed, form, i), F.lit(len(pool))) + 1
+            out = F.when(c == letter, F.substring(F.lit(pool), at.cast("int"), F.lit(1))).otherwise(out)
+        return out
+
+    return F.array_join(F.transform(F.split(form, ""), sign), "")
+
+
+def cases(docs: DataFrame, contexts: int = CONTEXTS, forms=FORMS) -> DataFrame:
+    """(seed, kind, label, value, left, at): the generators' candidates that overlap a value planted in a text.
+
+    Texts are those whose hash lies below the share that gives about ``contexts`` of them, each
+    once; 30 signs from each side of some place in them surround the value.
+    """
+    n = docs.count()
+    part = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    picked = docs.filter(part < (1 << 40) * min(1.0, contexts / max(n, 1))).select(clean(F.col("text")).alias("t")).distinct().limit(4 * contexts)
+    seeded = picked.select("t", F.xxhash64("t").alias("seed")).select("*", F.pmod("seed", F.greatest(F.char_length("t") - 29, F.lit(1))).cast("int").alias("p"))
+    made = F.array(*[F.struct(F.lit(k).alias("form_kind"), F.lit(float(y)).alias("label"), F.lit(f).alias("form")) for k, y, f in forms])
+    rows = seeded.select("seed", F.substring("t", F.col("p") + 1, F.lit(30)).alias("before"), F.substring("t", F.col("p") + 31, F.lit(30)).alias("after"), F.explode(made).alias("m")).select("*", "m.*")
+    filled = rows.select("seed", "label", F.char_length("before").alias("from"), F.concat("before", F.lit(" "), planted(F.col("seed"), F.col("form")), F.lit(" "), "after").alias("text"), F.char_length("form").alias("size"))
+    found = filled.select("seed", "label", "from", "size", F.explode(F.concat(*[F.transform(spans, _named(k)) for k, spans in candidate_spans(F.col("text")).items()])).alias("c"))
+    return found.filter((F.col("c.end") > F.col("from") + 1) & (F.col("c.start") <= F.col("from") + F.col("size"))).select("seed", "c.kind", "label", "c.value", "c.left")
 
 
 class Detector:
@@ -168,7 +213,7 @@ class Detector:
     def chosen(self, kind: str, spans: Column) -> Column:
         """The spans of a generated kind that reach its threshold."""
         if not self.trees:
-            return F.filter(spans, lambda s: F.coalesce(_weak_label(F.lit(kind), s["value"], s["left"]), F.lit(0.0)) > 0)
+            return F.filter(spans, lambda s: F.lit(False))
 
         def passes(s: Column) -> Column:  # features are held in an array, so that each is computed once for a span
             vector = F.transform(F.array(F.array(*[f.cast("double") for f in features(F.lit(kind), s["value"], s["left"])])), lambda v: self.probability([F.get(v, F.lit(i)) for i in range(len(FEATURES))]))
@@ -183,48 +228,45 @@ def clean(text: Column) -> Column:
 
 
 def _named(kind: str):
-    return lambda s: F.struct(F.lit(kind).alias("kind"), s["value"].alias("value"), s["left"].alias("left"))
+    return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["left"].alias("left"))
 
 
-def fit(docs: DataFrame, limit: int = MAX_CANDIDATES, documents: int = MAX_DOCUMENTS) -> Detector:
-    """A detector from the candidates of at most ``documents`` documents (those of least text hash)."""
-    least = docs.select(F.xxhash64("text").alias("h")).distinct().orderBy("h").limit(documents).agg(F.max("h")).first()[0]
-    some = docs.select("text").filter(F.xxhash64("text") <= F.lit(least)) if least is not None else docs.select("text").limit(0)
-    text = F.col("_t")
-    found = some.select(clean(F.col("text")).alias("_t")).select(F.explode(F.concat(*[F.transform(s, _named(k)) for k, s in candidate_spans(text).items()])).alias("c")).select("c.*")
+def fit(docs: DataFrame, contexts: int = CONTEXTS) -> Detector:
+    """A detector from cases planted in about ``contexts`` of the texts: half of them for the trees, half for the thresholds."""
+    known = cases(docs, contexts)
     vector = features(F.col("kind"), F.col("value"), F.col("left"))
-    rows = found.withColumn("label", _weak_label(F.col("kind"), F.col("value"), F.col("left"))).filter("label is not null").distinct().orderBy(F.xxhash64("value", "left"), "kind").limit(limit)
-    half = F.pmod(F.xxhash64("left", "value"), F.lit(2)) == 0
-    sample = cut(rows.select("kind", "label", half.alias("fit"), *[v.cast("double").alias(n) for v, n in zip(vector, FEATURES, strict=True)]).coalesce(2))
-    counts = {r["label"]: r["n"] for r in sample.filter("fit").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2 or min(counts.values()) < 5:
+    sample = cut(known.select("kind", "label", (F.pmod(F.xxhash64("seed"), F.lit(2)) == 0).alias("fit"), *[v.cast("double").alias(n) for v, n in zip(vector, FEATURES, strict=True)]).coalesce(4))
+    halves = {r["fit"] for r in sample.select("fit").distinct().collect()}
+    if not halves:
         return Detector([], {})
-    both = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.filter("fit"))
-    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=2, seed=11).fit(both)
+    half = F.col("fit") if len(halves) == 2 else F.lit(True)  # one text: it has to serve for both
+    both = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.filter(half))
+    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=4, seed=11).fit(both)
     trees = [(tree_of(tree), float(w)) for tree, w in zip(model.trees, model.treeWeights, strict=True)]
     detector = Detector(trees, {})
-    scored = sample.filter("not fit").select("kind", "label", detector.probability([F.col(n) for n in FEATURES]).alias("p"))
-    # least probability from which on the precision holds, on a grid of hundredths; 0.5 without evidence
-    grid = scored.groupBy("kind", F.floor(F.col("p") * 100).alias("g")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    held = sample.filter(~half) if len(halves) == 2 else sample
+    scored = held.select("kind", "label", detector.probability([F.col(n) for n in FEATURES]).alias("p"))
+    grid = scored.groupBy("kind", F.floor(F.col("p") * 100).alias("g")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # 400 rows at most
     for kind in GENERATED:
         own = sorted(((r["g"], r["good"], r["n"]) for r in grid if r["kind"] == kind), reverse=True)
         best, good, n = 0.5, 0.0, 0
         for g, a, b in own:
             good, n = good + a, n + b
             if good / n >= PRECISION:
-                best = max(g / 100, 0.05)
+                best = max(g / 100, LEAST)
         detector.thresholds[kind] = best
     return detector
 
 
 def with_spans(docs: DataFrame, detector: Detector, column: str = "_pii") -> DataFrame:
-    """docs with a struct of the spans of every kind, arrays of (start, end)."""
+    """docs with a struct ``column`` of the spans of every kind, arrays of (start, end)."""
     bare = lambda s: F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    text = F.col("_t")
-    named = docs.withColumn("_t", clean(F.col("text")))
+    name = unused(docs, "clean")
+    text = F.col(name)
+    named = docs.withColumn(name, clean(F.col("text")))
     columns = {k: bare(s) for k, s in base_spans(text).items()}
     columns |= {k: bare(detector.chosen(k, s)) for k, s in candidate_spans(text).items()}
-    return named.withColumn(column, F.struct(*[c.alias(k) for k, c in columns.items()])).drop("_t")
+    return named.withColumn(column, F.struct(*[c.alias(k) for k, c in columns.items()])).drop(name)
 
 
 def _written(kind: str):
@@ -251,8 +293,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     """docs with every span in text replaced by its kind in brackets; overlapping spans become one."""
-    found = with_spans(docs, detector or fit(docs))
-    every = F.concat(*[F.transform(F.col(f"_pii.{k}"), _replaced(k)) for k in KINDS])
+    name = unused(docs, "pii")
+    found = with_spans(docs, detector or fit(docs), name)
+    every = F.concat(*[F.transform(F.col(f"{name}.{k}"), _replaced(k)) for k in KINDS])
     text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
