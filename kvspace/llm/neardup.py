@@ -146,7 +146,8 @@ def inverse_frequency(docs: DataFrame, floor: float = FLOOR, most: int = MAX_FRE
 
     texts = docs.select("text")
     n = texts.count()
-    grouped = cut(texts.mapInArrow(report, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).filter((F.col("shingle") < 0) | (F.col("df") >= floor / 2 * n)))
+    # blocks of few documents would report shingles that one document holds, so small partitions are read together
+    grouped = cut(texts.coalesce(max(1, int(n * floor / 8))).mapInArrow(report, "shingle long, df long").groupBy("shingle").agg(F.sum("df").alias("df")).filter((F.col("shingle") < 0) | (F.col("df") >= floor / 2 * n)))
     total = grouped.filter("shingle < 0").select("df").first()
     if total is None:
         return Idf(np.zeros(0, np.uint32), np.zeros(0), 1.0)
