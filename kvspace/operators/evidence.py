@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kvspace.functions.requests import WRITE_VERBS
 from kvspace.operators.logs import log_counts, timeline_page, window_membership
+from kvspace.session import scratch_dir
 
 #: Rows of a growth set up to which it is broadcast; larger ones are joined by their keys.
 BROADCAST_ROWS = 200_000
@@ -45,10 +46,13 @@ def growth_sets(objects: DataFrame, resources: DataFrame, namespaces: DataFrame)
 def match_growth_sets(events: DataFrame, sets: dict[str, DataFrame], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """events with a flag for each set: in_objects, in_scopes, in_resources, in_namespaces.
 
-    Each set is counted; a small one is broadcast, a large one is left to a join by its key.
+    Sets are stored once, for they come out of diffs of whole snapshots and are read twice: each
+    is counted; a small one is broadcast, a large one is left to a join by its key.
     """
-    out = events
-    for name, df in sets.items():
+    out, folder = events, scratch_dir(events.sparkSession, "sets")
+    for name, found in sets.items():
+        found.write.parquet(f"{folder}/{name}")
+        df = events.sparkSession.read.schema(found.schema).parquet(f"{folder}/{name}")
         keyed = df.withColumn(f"in_{name}", F.lit(True))
         if df.limit(broadcast_rows + 1).count() <= broadcast_rows:
             keyed = F.broadcast(keyed)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from kvspace.functions.logtext import log_normalize, message_fingerprint
 from kvspace.operators.paging import MAX_PAGE
 
+#: Window hours up to which they are broadcast; with more, parts that the events of an hour are dealt to.
+BROADCAST_ROWS, PARTS = 200_000, 32
 _STORED = ("observed_at", "event_type", "severity", "source", "duration_ms", "revision", "db_size_bytes", "parse_status", "message_fingerprint")
 
 
@@ -42,15 +44,22 @@ def window_membership(at: Column, start: datetime, end: datetime, exclusive: boo
     return F.coalesce(lower & (at <= F.lit(end)), F.lit(False))
 
 
-def windows_join(events: DataFrame, windows: DataFrame) -> DataFrame:
+def windows_join(events: DataFrame, windows: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Events of each of many windows (window_id, from_at, to_at], both bounds known.
 
-    Windows are cut into the days they touch, so events meet their windows by an equal day
-    and not by a product of the two sides.
+    Windows are cut into the hours they touch, so events meet their windows by an equal hour
+    and not by a product of the two sides. The hours are counted: few are broadcast, and with
+    many the events of an hour are dealt to parts that each have its windows.
     """
-    days = windows.select("window_id", "from_at", "to_at", F.explode(F.sequence(F.to_date("from_at"), F.to_date("to_at"))).alias("_day"))
-    dated = events.withColumn("_day", F.to_date("observed_at"))
-    return dated.join(days, "_day").filter((F.col("observed_at") > F.col("from_at")) & (F.col("observed_at") <= F.col("to_at"))).drop("_day", "from_at", "to_at")
+    each = F.sequence(F.date_trunc("hour", "from_at"), F.date_trunc("hour", "to_at"), F.expr("INTERVAL 1 HOUR"))
+    hours = windows.filter("from_at <= to_at").select("window_id", "from_at", "to_at", F.explode(each).alias("_hour"))
+    timed, on = events.withColumn("_hour", F.date_trunc("hour", "observed_at")), ["_hour"]
+    if hours.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        hours = F.broadcast(hours)
+    else:
+        timed, on = timed.withColumn("_part", F.pmod(F.xxhash64("observed_at", "line_number"), F.lit(PARTS))), ["_hour", "_part"]
+        hours = hours.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    return timed.join(hours, on).filter((F.col("observed_at") > F.col("from_at")) & (F.col("observed_at") <= F.col("to_at"))).drop(*on, "from_at", "to_at")
 
 
 def log_counts(events: DataFrame) -> DataFrame:

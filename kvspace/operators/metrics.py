@@ -17,6 +17,8 @@ from kvspace.operators.logs import window_membership
 from kvspace.operators.paging import MAX_PAGE
 
 LEAST_GROWTH = float(8 << 20)
+#: Series up to which they are broadcast to their samples.
+BROADCAST_SERIES = 5_000
 _US = 1_000_000
 
 
@@ -80,9 +82,10 @@ def metrics_scan_summary(series: DataFrame) -> DataFrame:
 
 
 def samples_join_series(samples: DataFrame, series: DataFrame) -> DataFrame:
-    """Samples with their series' columns; the series are a dimension of bounded size (MAX_SERIES) and are broadcast."""
+    """Samples with their series' columns. Up to BROADCAST_SERIES series are broadcast; more are joined by their hash."""
     extra = series.select("series_hash", *[c for c in series.columns if c not in samples.columns and c not in ("values", "series_hash")])
-    return samples.join(F.broadcast(extra), "series_hash")
+    few = extra.limit(BROADCAST_SERIES + 1).count() <= BROADCAST_SERIES
+    return samples.join(F.broadcast(extra) if few else extra, "series_hash")
 
 
 def samples_in_window(samples: DataFrame, start: datetime, end: datetime) -> DataFrame:
@@ -269,13 +272,14 @@ def timeline_bounds(samples: DataFrame, start: datetime | None = None, end: date
 
 
 def metrics_timeline(samples: DataFrame, start: datetime | None = None, end: datetime | None = None, metric_type: str | None = None, instance: str | None = None, number: int = 1, size: int = 100) -> DataFrame:
-    """A page of series, each with all its samples in time order."""
+    """The samples of a page of series, by series and time: a row each, so that no series is gathered in one."""
     out = _filtered(samples, start, end, metric_type, instance)
     if number < 1 or not 1 <= size <= MAX_PAGE:
         raise ValueError(f"page must be at least 1 and its size between 1 and {MAX_PAGE}")
     ordered = out.select("metric_type", "instance", "series_hash").distinct().orderBy("metric_type", "instance", "series_hash")
     chosen = (ordered.offset((number - 1) * size) if number > 1 else ordered).limit(size)  # size rows
-    return out.join(F.broadcast(chosen), ["metric_type", "instance", "series_hash"]).groupBy("metric_type", "instance", "series_hash").agg(F.array_sort(F.collect_list(F.struct("observed_at", "value"))).alias("samples")).orderBy("metric_type", "instance", "series_hash")
+    series = ["metric_type", "instance", "series_hash"]
+    return out.join(F.broadcast(chosen), series).select(*series, "observed_at", "value").orderBy(*series, "observed_at")
 
 
 def _filtered(samples: DataFrame, start, end, metric_type, instance) -> DataFrame:

@@ -10,6 +10,8 @@ from kvspace.operators.paging import page, page_total
 
 # Names of fields that hold times.
 TIMESTAMPS = ("creationTimestamp", "deletionTimestamp", "lastTimestamp", "eventTime", "heartbeatTime", "renewTime", "lastTransitionTime", "lastUpdateTime")
+#: Revision numbers of which the neighbours of one key are paired in one task.
+SPAN = 1 << 16
 _LATEST = ("main_revision", "sub_revision")
 CATEGORIES = {"managedFields": "metadata.managedFields", "annotations": "metadata.annotations", "labels": "metadata.labels", "spec": "spec", "status": "status", "data": "data", "binaryData": "binaryData"}
 
@@ -110,10 +112,21 @@ def diff_flags(changed: Column) -> Column:
     )
 
 
-def adjacent_field_diff(objects: DataFrame) -> DataFrame:
-    """Each object revision against the one before it of the same key."""
-    by = Window.partitionBy("key_hash").orderBy(*_LATEST)
-    paired = objects.select("task_id", "key_hash", *_LATEST, "fields", F.lag("fields").over(by).alias("_before"), F.lag("main_revision").over(by).alias("previous_main_revision")).filter(F.col("_before").isNotNull())
+def adjacent_field_diff(objects: DataFrame, span: int = SPAN) -> DataFrame:
+    """Each object revision against the one before it of the same key.
+
+    The revisions of a key are cut into spans of SPAN revision numbers, so that a key that is
+    written all the time is no task of its own: within a span a window pairs neighbours, and a
+    span's first revision gets the last one of the span before it, from one row for each span.
+    """
+    spans = objects.select("task_id", "key_hash", *_LATEST, "fields", F.floor(F.col("main_revision") / span).alias("_span"))
+    by = Window.partitionBy("key_hash", "_span").orderBy(*_LATEST)
+    rows = spans.withColumns({"_before": F.lag("fields").over(by), "previous_main_revision": F.lag("main_revision").over(by), "_last": F.lead("main_revision").over(by).isNull()})
+    ends = rows.filter("_last").select("key_hash", "_span", "fields", "main_revision")
+    over = Window.partitionBy("key_hash").orderBy("_span")
+    carried = ends.select("key_hash", "_span", F.lag("fields").over(over).alias("_before"), F.lag("main_revision").over(over).alias("previous_main_revision")).filter(F.col("_before").isNotNull())
+    starts = rows.filter(F.col("_before").isNull()).drop("_before", "previous_main_revision").join(carried, ["key_hash", "_span"])
+    paired = rows.filter(F.col("_before").isNotNull()).unionByName(starts).drop("_span", "_last")
     diffed = paired.withColumn("d", compare_fields(F.col("_before"), F.col("fields")))
     flags = diff_flags(F.concat("d.added_paths", "d.removed_paths", "d.modified_paths"))
     return diffed.select("task_id", "key_hash", "previous_main_revision", F.col("main_revision").alias("current_main_revision"), "d.*", flags.alias("x")).select("*", "x.*").drop("x")

@@ -58,9 +58,9 @@ def decode_errors(raw: DataFrame) -> DataFrame:
 
 
 def latest_revision(revisions: DataFrame) -> DataFrame:
-    """The last revision of each key."""
-    by = Window.partitionBy("key_hash").orderBy(*[F.desc(c) for c in ORDER])
-    return revisions.withColumn("_k", F.row_number().over(by)).filter("_k = 1").drop("_k")
+    """The last revision of each key: a grouped maximum, so the log is reduced before it is shuffled."""
+    last = revisions.groupBy("key_hash").agg(F.max_by(F.struct(*revisions.columns), F.struct(*ORDER)).alias("last"))
+    return last.select("last.*")
 
 
 def key_records(revisions: DataFrame) -> DataFrame:

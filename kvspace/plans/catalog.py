@@ -13,6 +13,7 @@ from kvspace.operators import audit, diff, evidence, logs, metrics, objects, phy
 from kvspace.plans import domain as d
 from kvspace.session import scratch_dir
 from kvspace.sources import readers
+from kvspace.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,12 +95,14 @@ def read_kv_revisions(spark, sf_dir):
     return readers.read_kv_revisions(spark, path).agg(F.count("*").alias("rows"), F.count_distinct("kv.key").alias("keys"))
 
 
-@query("SELECT count(*) AS lines, CAST(count(*) * (count(*) + 1) / 2 AS BIGINT) AS number_sum, CAST(0 AS BIGINT) AS overlong FROM ev")
+@query("SELECT count(*) AS lines, CAST(0 AS BIGINT) AS overlong, true AS numbered FROM ev")
 def read_log_lines(spark, sf_dir):
+    """A log of many files; in each the numbers go from 1 to the number of lines."""
     path = scratch_dir(spark, "log")
-    d.log_lines(spark, sf_dir).select("line").coalesce(1).write.text(path)
-    lines = readers.read_log_lines(spark, path)
-    return lines.agg(F.count("*").alias("lines"), F.sum("line_number").alias("number_sum"), F.count_if("overlong").alias("overlong"))
+    d.log_lines(spark, sf_dir).select("line").write.option("maxRecordsPerFile", 2000).text(path)
+    files = readers.read_log_lines(spark, path).groupBy("file").agg(F.count("*").alias("n"), F.sum("line_number").alias("s"), F.max("line_number").alias("m"), F.count_distinct("line_number").alias("u"), F.count_if("overlong").alias("o"))
+    good = (F.col("m") == F.col("n")) & (F.col("u") == F.col("n")) & (F.col("s") == F.expr("n * (n + 1) div 2"))
+    return files.agg(F.sum("n").alias("lines"), F.sum("o").alias("overlong"), F.bool_and(good).alias("numbered"))
 
 
 @query("SELECT count(*) AS lines, count(*) FILTER (event_id % 97 = 0) AS bad FROM ev")
@@ -159,6 +162,18 @@ def prefix_stats(spark, sf_dir):
     return revisions.prefix_stats(_records(spark, sf_dir))
 
 
+@query(_PREFIX.format(src=_KR))
+def prefix_stats_stream(spark, sf_dir):
+    """Key records arrive in two batches; the statistics after the last one."""
+    path = scratch_dir(spark, "arriving")
+    own = _records(spark, sf_dir)
+    own.repartition(2, "key_hash").write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    told = streams.run_available(streams.prefix_stats_stream(arriving), path, "complete")
+    last = told.agg(F.max("batch").alias("batch"))
+    return told.join(F.broadcast(last), "batch").drop("batch")
+
+
 @query(_PREFIX.format(src=_KR))
 def prefix_merge(spark, sf_dir):
     """Statistics of two halves of the keys, added up."""
@@ -537,15 +552,15 @@ def diff_kube_summary(spark, sf_dir):
 # --- logs
 
 
-_LOG = """events_of AS (SELECT main_revision AS line_number, ts, iso, event_id % 4 AS f, event_type AS e, event_id AS n,
+_LOG = """events_of AS (SELECT main_revision AS line_number, ts, iso, event_id % 4 AS f, event_type AS e, event_id AS n, event_id % 20 = 0 AS x, event_id % 12 = 0 AND event_id % 20 <> 0 AS odd,
   CASE event_type WHEN 'click' THEN 'compacted revision ' || event_id WHEN 'view' THEN 'apply request took too long took=' || event_id || 'ms' WHEN 'signup' THEN 'leader changed from 1 to 2' WHEN 'purchase' THEN 'mvcc: database space exceeded' ELSE 'hello ' || event_id END AS m FROM ev),
-log AS (SELECT line_number, f = 2 OR e <> 'error' AS recognized,
-  CASE WHEN f = 1 OR (e = 'error' AND f <> 2) THEN NULL ELSE CAST(date_trunc('second', ts) AS TIMESTAMP) END AS observed_at,
-  CASE e WHEN 'click' THEN 'compaction' WHEN 'view' THEN 'slow_apply' WHEN 'signup' THEN 'leader_change' WHEN 'purchase' THEN 'nospace' ELSE 'unknown' END AS event_type,
-  CASE WHEN f = 2 THEN 'ERROR' WHEN e = 'error' THEN 'UNKNOWN' WHEN f = 0 THEN 'WARN' WHEN e IN ('view', 'purchase') THEN 'WARN' ELSE 'INFO' END AS severity,
-  CASE WHEN f = 2 THEN 'etcd' WHEN e = 'error' THEN 'unknown' WHEN f = 0 OR e = 'purchase' THEN 'mvcc' ELSE 'unknown' END AS source,
-  CASE WHEN e = 'view' AND n <= 86400000 THEN n END AS duration_ms, CASE WHEN (f = 0 AND e <> 'error') OR e = 'click' THEN n END AS revision,
-  sha256(CASE WHEN e = 'error' AND f = 0 THEN '{"ts":"' || iso || '","level":"warn","caller":"mvcc","msg":"' || m || '","revision":' || n || '}' ELSE m END) AS message_fingerprint FROM events_of)"""
+log AS (SELECT line_number, f = 2 OR e <> 'error' OR x AS recognized,
+  CASE WHEN f = 1 OR (e = 'error' AND f <> 2 AND NOT x) THEN NULL ELSE CAST(date_trunc('second', ts) AS TIMESTAMP) END AS observed_at,
+  CASE WHEN x THEN 'lease_revoke' ELSE CASE e WHEN 'click' THEN 'compaction' WHEN 'view' THEN 'slow_apply' WHEN 'signup' THEN 'leader_change' WHEN 'purchase' THEN 'nospace' ELSE 'unknown' END END AS event_type,
+  CASE WHEN f = 2 THEN 'ERROR' WHEN e = 'error' AND NOT x THEN 'UNKNOWN' WHEN f = 0 THEN 'WARN' WHEN e IN ('view', 'purchase') THEN 'WARN' ELSE 'INFO' END AS severity,
+  CASE WHEN f = 2 THEN 'etcd' WHEN e = 'error' AND NOT x THEN 'unknown' WHEN f = 0 OR e = 'purchase' THEN 'mvcc' ELSE 'unknown' END AS source,
+  CASE WHEN e = 'view' AND n <= 86400000 THEN n END AS duration_ms, CASE WHEN (f = 0 AND (e <> 'error' OR x)) OR e = 'click' THEN n END AS revision,
+  sha256(CASE WHEN e = 'error' AND f = 0 AND NOT x THEN '{"ts":"' || iso || '","level":"warn","caller":"mvcc","msg":"' || m || CASE WHEN odd THEN '","event_type":"odd' ELSE '' END || '","revision":' || n || '}' ELSE m END) AS message_fingerprint FROM events_of)"""
 _LOGC = ("line_number", "observed_at", "event_type", "severity", "source", "duration_ms", "revision", "message_fingerprint", "recognized")
 _LOGS = "CAST(line_number AS BIGINT) AS line_number, observed_at, event_type, severity, source, CAST(duration_ms AS BIGINT) AS duration_ms, CAST(revision AS BIGINT) AS revision, message_fingerprint, recognized"
 _LIN = _IN.replace("ts ", "observed_at ")
@@ -595,6 +610,15 @@ def window_membership(spark, sf_dir):
     return logs.windows_join(_log(spark, sf_dir), windows).groupBy("window_id").agg(F.count("*").alias("events"))
 
 
+@query(f"WITH {_LOG} SELECT * EXCLUDE (line_number) FROM (SELECT {_LOGS} FROM log)")
+def log_events_stream(spark, sf_dir):
+    """The lines of a folder of files as a stream."""
+    path = scratch_dir(spark, "arriving")
+    d.log_lines(spark, sf_dir).select(F.col("line").alias("value")).write.option("maxRecordsPerFile", 2000).text(f"{path}/in")
+    told = streams.run_available(streams.log_events_stream(spark.readStream.text(f"{path}/in")), path)
+    return told.select(*(c for c in _LOGC if c != "line_number"))
+
+
 # --- requests
 
 
@@ -636,6 +660,17 @@ def audit_timeline(spark, sf_dir):
     return audit.audit_timeline(audit.audit_dedup(_audit(spark, sf_dir)), d.FROM, d.TO, verb="update", namespace="ns2").select(*_AC)
 
 
+@query(f"WITH {_AUD} SELECT {_AS} FROM one")
+def audit_dedup_stream(spark, sf_dir):
+    """Requests that arrive in several files, in an order of their own; one row for each id in the end."""
+    path = scratch_dir(spark, "arriving")
+    own = _audit(spark, sf_dir)
+    own.repartition(4, "audit_id_hash").write.parquet(f"{path}/in")
+    arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
+    told = streams.run_available(streams.audit_dedup_stream(arriving, "60 days"), path, "update")
+    return streams.best_stages(told.drop("batch")).select(*_AC)
+
+
 _SETS = f"""so AS (SELECT key_hash, api_group, resource, namespace FROM {_OD} WHERE total_bytes_delta > 0 OR revision_count_delta > 0),
 sr AS (SELECT DISTINCT api_group, resource FROM {_RD} WHERE total_bytes_delta > 0 OR current_objects_delta > 0),
 sn AS (SELECT DISTINCT namespace FROM {_ND} WHERE total_bytes_delta > 0 OR current_objects_delta > 0)"""
@@ -843,7 +878,7 @@ def timeline_bounds(spark, sf_dir):
 @query(f"WITH {_SAMP} SELECT metric_type, instance, series_hash, count(*) AS samples, arg_max(value, observed_at) AS last_value FROM inside GROUP BY ALL ORDER BY metric_type, instance, series_hash LIMIT 10 OFFSET 10")
 def metrics_timeline(spark, sf_dir):
     own = metrics.metrics_timeline(_samples(spark, sf_dir), d.FROM, d.TO, number=2, size=10)
-    return own.select("metric_type", "instance", "series_hash", F.size("samples").cast("bigint").alias("samples"), F.element_at("samples", -1)["value"].alias("last_value"))
+    return own.groupBy("metric_type", "instance", "series_hash").agg(F.count("*").alias("samples"), F.max_by("value", "observed_at").alias("last_value"))
 
 
 @query(f"WITH {_SAMP} SELECT series_hash, observed_at, value FROM inside WHERE instance = 'm1' ORDER BY observed_at, series_hash LIMIT 200")
@@ -851,7 +886,14 @@ def metric_data(spark, sf_dir):
     return metrics.metric_data(_samples(spark, sf_dir), d.FROM, d.TO, instance="m1", size=200).select("series_hash", "observed_at", "value")
 
 
-@query()
+@query(f"""WITH {_SAMP}, {_RATE}, {_HIST}, walk AS (SELECT observed_at, le, count, coalesce(lag(le) OVER s, 0) AS lower, coalesce(lag(count) OVER s, 0) AS before, last_value(count) OVER (PARTITION BY observed_at ORDER BY le ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) * 0.99::DOUBLE AS target FROM merged WINDOW s AS (PARTITION BY observed_at ORDER BY le)),
+curves AS (SELECT metric_type, observed_at, max(value) AS value FROM inside WHERE metric_type IN ('db_total_bytes', 'db_in_use_bytes') GROUP BY 1, 2
+UNION ALL SELECT metric_type, observed_at, min(value) FROM inside WHERE metric_type = 'quota_bytes' GROUP BY 1, 2
+UNION ALL SELECT metric_type, observed_at, max(rise / (gap / 1000000)) FROM steps JOIN meds USING (series_hash) WHERE metric_type IN ('put_total', 'delete_total') AND rise > 0 AND gap <= 3 * m AND observed_at {_W} GROUP BY 1, 2
+UNION ALL SELECT 'backend_commit_seconds', observed_at, CASE WHEN le = 'Infinity'::DOUBLE THEN lower WHEN count <= before THEN le ELSE lower + (le - lower) * (target - before) / (count - before) END FROM walk WHERE target > 0 AND count >= target QUALIFY row_number() OVER (PARTITION BY observed_at ORDER BY le) = 1),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY metric_type ORDER BY observed_at) - 1 AS i, count(*) OVER (PARTITION BY metric_type) AS n FROM curves),
+runs AS (SELECT *, CASE WHEN n <= 600 THEN i ELSE ((i + 1) * 300 - 1) // n END AS r FROM numbered)
+SELECT metric_type, observed_at, value FROM runs QUALIFY row_number() OVER (PARTITION BY metric_type, r ORDER BY value, observed_at) = 1 OR row_number() OVER (PARTITION BY metric_type, r ORDER BY value DESC, observed_at) = 1""")
 def metric_curves(spark, sf_dir):
     return metrics.metric_curves(_stored_samples(spark, sf_dir), d.FROM, d.TO)
 

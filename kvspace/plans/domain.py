@@ -72,7 +72,8 @@ def snapshots(revs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(line_number, line) in four formats by turns."""
+    """(line_number, line) in four formats by turns; some JSON lines have an explicit type, known or not."""
+    explicit = F.when(F.col("event_id") % 20 == 0, '","event_type":"LEASE-revoke').when(F.col("event_id") % 12 == 0, '","event_type":"odd').otherwise("")
     n = F.col("event_id").cast("string")
     kind = F.col("event_type")
     message = (
@@ -84,7 +85,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turn = F.col("event_id") % 4
     line = (
-        F.when(turn == 0, F.concat(F.lit('{"ts":"'), "iso", F.lit('","level":"warn","caller":"mvcc","msg":"'), message, F.lit('","revision":'), n, F.lit("}")))
+        F.when(turn == 0, F.concat(F.lit('{"ts":"'), "iso", F.lit('","level":"warn","caller":"mvcc","msg":"'), message, explicit, F.lit('","revision":'), n, F.lit("}")))
         .when(turn == 1, F.concat("iso", F.lit(" stdout F "), message))
         .when(turn == 2, F.concat(F.lit("__REALTIME_TIMESTAMP="), "iso", F.lit(" PRIORITY=3 SYSLOG_IDENTIFIER=etcd MESSAGE="), message))
         .otherwise(F.concat("iso", F.lit(" "), message))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from kvspace.functions.logtext import log_normalize
 from kvspace.operators.revisions import prefix_merge, prefix_parts
@@ -16,10 +17,11 @@ def log_events_stream(lines: DataFrame, text: str = "value") -> DataFrame:
 
 
 def audit_dedup_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """The best stage seen of each audit id, in update mode.
+    """The best stage seen of each audit id and span of ``delay``, in update mode.
 
-    Ids are kept for hours of event time up to ``delay`` behind the newest event; later rows
-    drop, so the state stays bounded.
+    Ids are kept up to ``delay`` of event time behind the newest event; later rows drop, so the
+    state stays bounded. An id whose stages lie on both sides of a span's border is told in both
+    spans, and each batch tells the ids that changed anew: ``best_stages`` makes one row of them.
     """
     rest = [c for c in events.columns if c not in ("audit_id_hash", "observed_at")]
     timed = events.withWatermark("observed_at", delay)
@@ -27,6 +29,28 @@ def audit_dedup_stream(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return best.select("audit_id_hash", "r.*")
 
 
+def best_stages(updates: DataFrame) -> DataFrame:
+    """One row for each audit id of the rows that ``audit_dedup_stream`` has told so far."""
+    rest = [c for c in updates.columns if c != "audit_id_hash"]
+    return updates.groupBy("audit_id_hash").agg(F.max_by(F.struct(*rest), F.struct("stage_rank", -F.col("line_number"))).alias("r")).select("audit_id_hash", "r.*")
+
+
+def run_available(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now and returns all that it told, with its batch number ``batch``.
+
+    Each batch is a folder of its own that is written anew if the batch is run again, so a
+    batch that is repeated after a failure leaves its rows once.
+    """
+
+    def store(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(store).start()
+    query.awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(StructType([*stream.schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/out")
+
+
 def prefix_stats_stream(records: DataFrame) -> DataFrame:
     """Running prefix statistics over arriving key records, in complete or update mode."""
     return prefix_merge(prefix_parts(records))

@@ -150,7 +150,7 @@ def test_median_and_runs(spark):
 
 def test_pages(spark):
     own = minutes(spark, put_total__m1=[1, 2], put_total__m2=[3], db_total_bytes__m1=[5])
-    assert [(r.metric_type, r.instance, len(r.samples)) for r in M.metrics_timeline(own, number=2, size=2).collect()] == [("put_total", "m2", 1)]
+    assert [(r.metric_type, r.instance) for r in M.metrics_timeline(own, number=2, size=2).collect()] == [("put_total", "m2")]
     assert [r.value for r in M.metric_data(own, metric_type="put_total", size=2).collect()] == [1.0, 3.0]
     gauge = minutes(spark, quota_bytes__a=[0, 7, -1], quota_bytes__b=[5, 0, 0])
     assert [r.value for r in M.cluster_gauge(gauge, "quota_bytes", False).orderBy("observed_at").collect()] == [5.0, 7.0, 0.0]

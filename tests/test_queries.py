@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"metric_curves"}
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
 
 
 def test_entry(spark):
