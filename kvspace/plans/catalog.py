@@ -113,7 +113,7 @@ def read_audit_lines(spark, sf_dir):
     return rows.agg(F.count("*").alias("lines"), F.count_if(F.col("e").isNull()).alias("bad"))
 
 
-@query("SELECT CAST(3 * 11 AS BIGINT) AS series, CAST(11 * count(*) AS BIGINT) AS samples FROM grid")
+@query("SELECT CAST(count(DISTINCT instance) * 11 AS BIGINT) AS series, CAST(11 * count(*) AS BIGINT) AS samples FROM grid")
 def read_metric_matrix(spark, sf_dir):
     raw = d.raw_series(spark, sf_dir)
     each = raw.groupBy(F.col("metric")["instance"].alias("instance")).agg(F.collect_list(F.struct("metric", "values")).alias("result"))
@@ -418,11 +418,14 @@ def top_buckets(spark, sf_dir):
     return physical.top_buckets(d.buckets_inv(spark, sf_dir), 5).select("bucket_path", "total_bytes")
 
 
-@query(f"WITH {_PAGES}, half AS (SELECT * FROM inv WHERE page_id % 2 = 0) SELECT true AS physical_available, '' AS physical_unavailable_reason, CAST((SELECT sum(span) FROM inv) - (SELECT sum(span) FROM half) AS BIGINT) AS page_count_delta, CAST((SELECT count(*) FROM inv WHERE page_type = 'free') - (SELECT count(*) FROM half WHERE page_type = 'free') AS BIGINT) AS free_pages_delta")
+_SPACE_ALL = f"(SELECT {', '.join(f'coalesce({c}, 0) AS {c}' for c in _SPACES)}, 4096 AS page_size, physical_file_size - free_page_bytes AS in_use_page_bytes, free_page_bytes / physical_file_size AS fragmentation_ratio FROM ({_SPACE}))"
+
+
+@query(f"WITH {_PAGES}, half AS {_SPACE_ALL.replace('FROM inv', 'FROM (SELECT * FROM inv WHERE page_id % 2 = 0)')}, whole AS {_SPACE_ALL} SELECT true AS physical_available, '' AS physical_unavailable_reason, " + ", ".join(f"CAST(w.{c} - h.{c} AS {'DOUBLE' if c == 'fragmentation_ratio' else 'BIGINT'}) AS {c}_delta" for c in diff.PHYSICAL) + " FROM half h, whole w")
 def diff_physical(spark, sf_dir):
     own = d.pages_inv(spark, sf_dir)
     base, target = (physical.space_summary(p, d.PAGE_SIZE) for p in (own.filter("page_id % 2 = 0"), own))
-    return diff.diff_physical(base, target).select("physical_available", "physical_unavailable_reason", "page_count_delta", "free_pages_delta")
+    return diff.diff_physical(base, target)
 
 
 # --- differences of snapshots
@@ -534,11 +537,14 @@ def top_namespace_deltas(spark, sf_dir):
     return diff.top_namespace_deltas(diff_namespaces(spark, sf_dir), 4)
 
 
-@query(f"SELECT true AS mvcc_available, CAST(t.r - b.r AS BIGINT) AS revision_count_delta, CAST(t.h - b.h AS BIGINT) AS historical_bytes_delta, CAST({SECONDS} AS BIGINT) AS observation_window_seconds, (t.r - b.r) / {SECONDS} AS average_revisions_per_second FROM (SELECT sum(revision_count) AS r, sum(historical_bytes) AS h FROM {_BASE_KR}) b, (SELECT sum(revision_count) AS r, sum(historical_bytes) AS h FROM {_TARGET_KR}) t")
+_MVCC_SUMS = {"revision_count": "sum(revision_count)", "current_key_count": "count(*) FILTER (present)", "current_stored_bytes": "sum(current_stored_bytes)", "historical_versions": "sum(historical_versions)", "historical_bytes": "sum(historical_bytes)", "tombstone_count": "sum(tombstone_count)", "tombstone_bytes": "sum(tombstone_bytes)", "key_count": "count(*)"}
+_MVCC_SIDE = "(SELECT " + ", ".join(f"{v} AS {c}" for c, v in _MVCC_SUMS.items()) + " FROM {src})"
+
+
+@query("SELECT true AS mvcc_available, " + ", ".join(f"CAST(t.{c} - b.{c} AS BIGINT) AS {c}_delta" for c in diff.MVCC) + f", CAST({SECONDS} AS BIGINT) AS observation_window_seconds, (t.revision_count - b.revision_count) / {SECONDS} AS average_revisions_per_second FROM {_MVCC_SIDE.format(src=_BASE_KR)} b, {_MVCC_SIDE.format(src=_TARGET_KR)} t")
 def diff_mvcc_summary(spark, sf_dir):
     base, target = (revisions.mvcc_summary(r) for r in _snapshots(spark, sf_dir))
-    out = diff.diff_mvcc_summary(base, target, "3.4.13", "3.4.15", SECONDS)
-    return out.select("mvcc_available", "revision_count_delta", "historical_bytes_delta", "observation_window_seconds", "average_revisions_per_second")
+    return diff.diff_mvcc_summary(base, target, "3.4.13", "3.4.15", SECONDS)
 
 
 @query(f"SELECT true AS kube_available, CAST(t.n - b.n AS BIGINT) AS current_objects_delta, CAST(t.c - b.c AS BIGINT) AS current_bytes_delta, CAST(t.h - b.h AS BIGINT) AS historical_bytes_delta FROM (SELECT count(*) FILTER (present) AS n, sum(current_bytes) AS c, sum(historical_bytes) AS h FROM {_BOR}) b, (SELECT count(*) FILTER (present) AS n, sum(current_bytes) AS c, sum(historical_bytes) AS h FROM {_TOR}) t")
@@ -595,7 +601,7 @@ def log_timeline(spark, sf_dir):
     return logs.log_timeline(_log(spark, sf_dir), d.FROM, d.TO, severity="WARN").select(*_LOGC)
 
 
-@query(f"WITH {_LOG} SELECT count(*) AS total, 'full' AS coverage, 'unverified' AS source_compatibility, true AS evidence_only FROM log WHERE {_LIN}")
+@query(f"WITH {_LOG} SELECT count(*) AS total, (SELECT CASE WHEN a IS NULL OR b IS NULL THEN 'unknown' WHEN b <= TIMESTAMP '{d.FROM}' OR a > TIMESTAMP '{d.TO}' THEN 'none' WHEN a <= TIMESTAMP '{d.FROM}' AND b >= TIMESTAMP '{d.TO}' THEN 'full' ELSE 'partial' END FROM (SELECT min(observed_at) AS a, max(observed_at) AS b FROM log WHERE recognized)) AS coverage, 'unverified' AS source_compatibility, true AS evidence_only FROM log WHERE {_LIN}")
 def log_evidence(spark, sf_dir):
     own = _log(spark, sf_dir)
     return evidence.log_evidence(own, logs.log_scan_summary(own), d.FROM, d.TO)["head"]
@@ -710,7 +716,7 @@ def audit_candidates(spark, sf_dir):
     return _evidence(spark, sf_dir)["candidates"].select("username", "source_ip_hash", "writes", "request_object_bytes", "highest_match_level", "exact_object_matches", "resource_matches", "namespace_matches")
 
 
-@query(f"WITH {_AUD} SELECT count(*) AS total, 'full' AS coverage FROM one WHERE verb <> 'get' AND {_LIN}")
+@query(f"WITH {_AUD} SELECT count(*) AS total, (SELECT CASE WHEN a IS NULL OR b IS NULL THEN 'unknown' WHEN b <= TIMESTAMP '{d.FROM}' OR a > TIMESTAMP '{d.TO}' THEN 'none' WHEN a <= TIMESTAMP '{d.FROM}' AND b >= TIMESTAMP '{d.TO}' THEN 'full' ELSE 'partial' END FROM (SELECT min(observed_at) AS a, max(observed_at) AS b FROM req)) AS coverage FROM one WHERE verb <> 'get' AND {_LIN}")
 def audit_evidence(spark, sf_dir):
     return _evidence(spark, sf_dir)["head"]
 
@@ -746,7 +752,7 @@ def _inside(spark, sf_dir) -> DataFrame:
     return metrics.samples_in_window(_samples(spark, sf_dir), d.FROM, d.TO)
 
 
-@query("SELECT 'm' || i AS instance, name, kept FROM (SELECT unnest(range(3)) AS i), (VALUES " + ", ".join(f"('{n}', '{le}', {str(k).lower()})" for (n, le, _), k in zip(d.SERIES, (True, False, True, True, True, True, True, True, True, False, False), strict=True)) + ") t(name, le, kept) WHERE (SELECT count(*) FROM grid) > 0")
+@query("SELECT instance, name, kept FROM (SELECT DISTINCT instance FROM grid), (VALUES " + ", ".join(f"('{n}', '{le}', {str(k).lower()})" for (n, le, _), k in zip(d.SERIES, (True, False, True, True, True, True, True, True, True, False, False), strict=True)) + ") t(name, le, kept)")
 def normalize_metric(spark, sf_dir):
     return _series(spark, sf_dir).select("instance", F.col("source_metric_name").alias("name"), "kept")
 
@@ -758,7 +764,7 @@ def sample_dedup(spark, sf_dir):
     return own.groupBy("instance", "metric_type", le.alias("le"), "series_hash").agg(F.count("*").alias("samples"), F.sum("value").cast("bigint").alias("total"))
 
 
-@query(f"WITH {_SAMP} SELECT CAST(33 AS BIGINT) AS total_series, CAST(24 AS BIGINT) AS supported_series, CAST(6 AS BIGINT) AS unsupported_series, CAST((SELECT 11 * count(*) FROM grid) AS BIGINT) AS total_samples, CAST(3 AS BIGINT) AS instances, 'backend_commit_seconds,db_in_use_bytes,db_total_bytes,delete_total,put_total,quota_bytes' AS metric_types, count(*) AS valid_samples, (SELECT count(*) FROM grid WHERE hour(h) = 0) AS discarded_samples, min(observed_at) AS first_observed_at, max(observed_at) AS last_observed_at FROM samples")
+@query(f"WITH {_SAMP} SELECT (SELECT count(DISTINCT instance) * 11 FROM grid) AS total_series, (SELECT count(DISTINCT (instance, metric_type, le)) FROM samples) AS supported_series, (SELECT count(DISTINCT instance) * 2 FROM grid) AS unsupported_series, CAST((SELECT 11 * count(*) FROM grid) AS BIGINT) AS total_samples, count(DISTINCT instance) AS instances, (SELECT string_agg(metric_type, ',' ORDER BY metric_type) FROM (SELECT DISTINCT metric_type FROM samples)) AS metric_types, count(*) AS valid_samples, (SELECT count(*) FROM grid WHERE hour(h) = 0) AS discarded_samples, min(observed_at) AS first_observed_at, max(observed_at) AS last_observed_at FROM samples")
 def metrics_scan_summary(spark, sf_dir):
     return metrics.metrics_scan_summary(_series(spark, sf_dir)).withColumn("metric_types", F.array_join("metric_types", ","))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -10,6 +11,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHARED = "spark.checkpoint.dir"
 _shipped: set[str] = set()
 
 
@@ -31,10 +33,21 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for a table, in the folder that the cluster shares (spark.checkpoint.dir), or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared_base(spark: SparkSession) -> str:
+    """The folder that the cluster shares, named in ``spark.checkpoint.dir``.
+
+    Where a session of one machine names none (as in tests), a temporary folder is set for it;
+    a cluster's session has to name one.
+    """
+    base = spark.conf.get(_SHARED, None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{_SHARED} names no folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/kvspace-{name}-{uuid.uuid4().hex}"
+        spark.conf.set(_SHARED, base)
+    return base.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for a table, in the folder that the cluster shares."""
+    return f"{shared_base(spark)}/kvspace-{name}-{uuid.uuid4().hex}"

@@ -78,7 +78,8 @@ def test_windows(spark):
     assert [r.line_number for r in logs.log_timeline(own, start, end, event_type="nospace").collect()] == [4, 3, 1]
     assert [r.line_number for r in logs.log_timeline(own, size=2, number=3).collect()] == [1, 6]
     many = spark.createDataFrame([("a", start, end), ("b", T(2026, 8, 2, 23), T(2026, 8, 4, 1)), ("c", end, end)], "window_id string, from_at timestamp, to_at timestamp")
-    assert {r.window_id: r["count"] for r in logs.windows_join(own, many).groupBy("window_id").count().collect()} == {"a": 3, "b": 5}
+    for few in (1000, 0):  # broadcast, and dealt to parts
+        assert {r.window_id: r["count"] for r in logs.windows_join(own, many, few).groupBy("window_id").count().collect()} == {"a": 3, "b": 5}
     with pytest.raises(ValueError):
         logs.log_timeline(own, size=0)
 

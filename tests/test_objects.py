@@ -114,6 +114,15 @@ def test_aggregates(cluster):
     assert [(d.key_hash, d.previous_main_revision, d.current_main_revision, d.modified_paths, d.status_only) for d in diff] == [("pod", 1, 2, ["status"], True)]
 
 
+def test_busy_keys_are_cut(spark):
+    """Pairs of neighbours do not depend on the spans that a key's revisions are cut into."""
+    field = "array<struct<path:string,byte_size:bigint,type_class:string,hash:string>>"
+    data = [("t", key, rev, sub, [("spec", 5 + rev % 3, "object", f"h{rev % 4}")]) for key in ("a", "b") for rev, sub in [(1, 0), (2, 0), (2, 1), (9, 0), (10, 0), (31, 0), (32, 0), (95, 0)] if key == "a" or rev > 8]
+    own = spark.createDataFrame(data, f"task_id string, key_hash string, main_revision bigint, sub_revision bigint, fields {field}")
+    told = lambda span: sorted(map(str, O.adjacent_field_diff(own, span).collect()))
+    assert len(told(1 << 16)) == 7 + 4 and told(1 << 16) == told(10) == told(1)
+
+
 def test_queries(cluster):
     own, records = cluster
     assert [r.key_hash for r in O.query_objects(records, own, category="status").collect()] == ["pod"]
