@@ -12,8 +12,9 @@ A record of a member that fails its checksum or is cut short has the member's fa
 reason: its block matches its digest, its headers could not be checked. Without a digest its
 kind is "unverified".
 
-Null html counts as an empty payload. Rows that repeat a page_id with an equal payload of
-the largest page_id are all responses.
+Null html counts as an empty payload, a null url as an empty one. Rows that repeat a page_id
+with an equal payload of the largest page_id are all responses. Payloads of any length are
+written and read whole. An empty table gives no archive; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvspace.llm.store import materialize, shared_dir
+from kvspace.llm.store import materialize
+from kvspace.llm.urls import MAX_LISTED, build_filter, maybe_listed
 
 #: Bytes of an archive before the next one begins; a reader's task holds one archive.
 ARCHIVE_BYTES = 4 << 20
@@ -238,14 +240,25 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return read_archives(spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), "content"))
 
 
+def gap_log(found: DataFrame) -> DataFrame:
+    """(archive, offset, length, reason) of the quarantined spans of what a reader has found."""
+    return found.filter("kind = 'gap'").select("archive", "offset", "length", "reason")
+
+
 def write_archives(pages: DataFrame) -> DataFrame:
-    """(archive, content): the pages as archives of compressed records, in a table of the shared folder."""
-    spark = pages.sparkSession
-    shared_dir(spark)
+    """(archive, content): the pages as archives of compressed records, in a table of the shared folder.
+
+    Payloads that are large enough and repeated are found by their digests alone. A Bloom
+    filter of these digests, of bounded size, keeps all other pages out of the join.
+    """
     html = F.coalesce("html", F.lit(""))
-    known = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
-    copies = known.filter(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    known = known.join(copies, "digest", "left")
+    sized = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
+    sized = sized.withColumn("key", F.when(F.octet_length("html") >= REVISIT_BYTES, F.xxhash64("digest")))
+    copies = materialize(sized.filter("key IS NOT NULL").groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "copies")
+    words = build_filter(copies.select(F.xxhash64("digest").alias("key")), min(copies.count(), MAX_LISTED))
+    tested = sized.withColumn("maybe", maybe_listed(F.col("key"), words, pages.sparkSession))
+    again = tested.filter("maybe").join(copies, "digest", "left")
+    known = tested.filter("NOT maybe").withColumn("first", F.lit(None).cast(copies.schema["first"].dataType)).unionByName(again)
 
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0

@@ -6,8 +6,10 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from kvspace.llm import warc
 
@@ -125,5 +127,28 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "b.warc").write_bytes(b"".join(archive(False)[1])[7:])
     rows = warc.read_files(spark, str(tmp_path)).collect()
     assert sum(r.kind == "record" for r in rows) == 59
-    gap = [(r.offset, r.length) for r in rows if r.kind == "gap"]
-    assert gap == [(0, len(archive(False)[1][0]) - 7)]
+    gap = [(r.archive.rsplit("/", 1)[1], r.offset, r.length, r.reason) for r in warc.gap_log(warc.read_files(spark, str(tmp_path))).collect()]
+    assert gap == [("b.warc", 0, len(archive(False)[1][0]) - 7, "no version line")]
+
+
+def test_damaged_archives_of_pages(spark):
+    """Every archive loses a byte in its middle: the records around it are all there, the gap is told."""
+    rng = random.Random(5)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", rng.randbytes(400).hex()) for i in range(300)], "page_id long, url string, html string")
+    archives = warc.write_archives(pages.repartition(3))
+    middle = F.expr("length(content) div 2")
+    broken = archives.select("archive", F.overlay(F.col("content"), F.lit(b"\x00\xff\x00\xff"), middle.cast("int"), F.lit(4)).alias("content"))
+    found = warc.read_archives(broken)
+    n, gaps = found.filter("kind <> 'gap'").select("record_id").distinct().count(), warc.gap_log(found).collect()
+    assert n >= 300 - 2 * archives.count() and {g.archive for g in gaps} == {r.archive for r in archives.collect()} and all(g.length > 0 and g.reason for g in gaps)
+
+
+def test_time_follows_length():
+    _, records = archive(True, 400)
+    took = []
+    for times in (20, 80):
+        data = b"".join(records) * times
+        begun = time.perf_counter()
+        assert sum(f.kind == "record" for f in warc.salvage(data)) == 400 * times
+        took.append(time.perf_counter() - begun)
+    assert took[1] < 8 * took[0]
