@@ -1,7 +1,10 @@
 """Benchmark decontamination by a broadcast hash set of normalised test n-grams.
 
-Null and word-less texts have no windows and are clean. Repeated rows are scanned one by
-one. Columns of the input that have the name of an added column are replaced.
+Null and word-less texts have no windows and are clean; a null item_id is the item "null".
+Very long texts are scanned whole. Items with equal windows are all told. Repeated rows are
+scanned one by one. Without a benchmark all documents are clean; an empty table gives an
+empty result. Documents keep all their columns; only ``find`` replaces a column that has the
+name it is asked to add.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from kvspace.llm.store import materialize
-from kvspace.llm.text import count_before, extend, windows, words
+from kvspace.llm.text import count_before, extend, unused, windows, words
 
 #: Words of a window; a shorter item is one window.
 WINDOW = 10
@@ -166,13 +169,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
 
     A cut span leaves one line break, so that the words around it do not join.
     """
-    found = find(docs, benchmark, column="_found")
+    name = unused(docs, "found")
+    found = find(docs, benchmark, column=name)
     if mode == "documents":
-        return found.filter(F.size("_found.hits") == 0).select(*docs.columns)
+        return found.filter(F.size(f"{name}.hits") == 0).select(*docs.columns)
     if mode != "spans":
         raise ValueError(f"mode is documents or spans, not {mode}")
     text = F.col("text")
-    cuts = F.transform(F.col("_found.hits"), lambda s: F.struct(s["start"].cast("int").alias("a"), s["end"].cast("int").alias("b")))
+    cuts = F.transform(F.col(f"{name}.hits"), lambda s: F.struct(s["start"].cast("int").alias("a"), s["end"].cast("int").alias("b")))
     begun = F.aggregate(
         cuts,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),

@@ -5,8 +5,10 @@ one or two logical streams; the granule position counts samples of 8 bits. Readi
 page's checksum is verified, packets are put together from the lacing values over page
 borders, streams are told apart by serial number, and times come from granule positions.
 
-Null texts count as empty. Equal payloads give equal bytes. Damaged pages are skipped, and
-packets that a lost page cuts are dropped; lost pages and cut packets are counted.
+Null texts count as empty. Equal payloads give equal bytes. Texts of any length are stored
+whole. Damaged pages are skipped, and packets that a lost page cuts are dropped; lost pages
+and cut packets are counted. Repeated rows give repeated results, an empty table an empty
+one. Added columns replace those of their names; others are kept or not as asked.
 """
 
 from __future__ import annotations

@@ -5,9 +5,12 @@ labelled rows give conjunctive rules over these statistics; a lasso logistic reg
 the rules keeps few of them; the rules and weights are compiled into one column expression
 that scores every document.
 
-Null texts count as empty; a text without words has statistics of 0. Labels that are null
-are left out, of several labels of a document the largest counts. With no label, or labels
-of one class, the score is that class's share. Repeated documents are scored one by one.
+Null texts count as empty; a text without words has statistics of 0 for its words. Very long
+texts are read whole. Labels that are null are left out, of several labels of a document the
+largest counts, and of several texts of a labelled doc_id that of least hash. With no label,
+or labels of one class, the score is that class's share. Repeated documents are scored one
+by one. An empty table gives an empty result; documents keep all their columns, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -55,7 +58,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         "capitals": share(_CAPITALS),
         "digits": share("0123456789"),
         "breaks": share("\n"),
-        "word_length": n / words,
+        "word_length": F.when(F.size("_w") > 0, n / words).otherwise(0.0),
         "variety": F.size(F.array_distinct("_w")) / words,
         "repeats": F.size(F.filter("_w", lambda w, i: w == F.get(F.col("_w"), i + 1))) / words,
         "same_lines": 1 - F.size(F.array_distinct("_l")) / lines,
@@ -93,7 +96,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING)
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return cut(with_statistics(picked, ["label"]).limit(2 * limit).coalesce(4))
+    one = picked.groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), "text")).alias("one")).select("one.*")
+    return cut(with_statistics(one, ["label"]).coalesce(4))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> Ensemble:

@@ -2,7 +2,10 @@
 
 The shard of a row depends on its key and the number of shards alone; adding a shard moves
 about 1/(n+1) of the keys, all of them into the new shard. Integer keys are used as they
-are, other keys by their 64-bit hash; a null key counts as 0. Repeated keys share a shard.
+are, other keys by their 64-bit hash; a null key counts as 0. Repeated keys share a shard,
+and rows that tie in all columns get slots of their own in some order. Texts of any length are
+read whole for their checksums. An empty table gives an empty result. Columns named shard,
+grown_shard or slot are replaced, others kept.
 """
 
 from __future__ import annotations

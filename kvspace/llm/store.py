@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_KEY = "spark.checkpoint.dir"
+from kvspace.session import scratch_dir, shared_base
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``.
-
-    Where the session names none (tests on one machine), a temporary folder is set for it.
-    """
-    base = spark.conf.get(_KEY, None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(_KEY, base)
+    """The folder named in ``spark.checkpoint.dir``, where checkpoints go too."""
+    base = shared_base(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return base
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,7 +22,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     and nothing before it is recomputed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kvspace-{name}-{uuid.uuid4().hex}"
+    path = scratch_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,9 @@ which removes the filter's false positives. The filter's size is bounded: a long
 dealt by hash into parts, each with a filter of its own.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule, and is not
-listed. Repeated rows are judged one by one.
+listed. URLs of any length are read whole. Of two rules of equal length that both fit, the
+later of the list decides. Repeated rows are judged one by one. An empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

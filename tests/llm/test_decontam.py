@@ -55,11 +55,11 @@ def test_blocks_give_the_same(spark):
 
 def test_modes_and_clashing_columns(spark):
     docs, items = table(spark)
-    docs = docs.selectExpr("doc_id", "text", "'keep' AS hits", "1 AS n_words")
+    docs = docs.selectExpr("doc_id", "text", "'keep' AS hits", "1 AS n_words", "2 AS found", "3 AS _found")
     clean = {r.doc_id for r in decontam.decontaminate(docs, items).collect()}
     assert clean == {i for i, t in DOCS if not brute(t, ITEMS)[4]}
     cut = {r.doc_id: r for r in decontam.decontaminate(docs, items, "spans").collect()}
-    assert cut[1].text == "before \n after" and cut[1].hits == "keep"
+    assert cut[1].text == "before \n after" and (cut[1].hits, cut[1].found, cut[1]._found) == ("keep", 2, 3)
     assert cut[3].text == "x \n y" and cut[4].text is None
 
 

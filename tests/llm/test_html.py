@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from html.parser import HTMLParser
 
 from kvspace.llm import html
 
@@ -91,3 +92,37 @@ def test_votes_decide_without_article(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in html.extract_pages(pages).collect()}[9] == "brief story"
     assert {r.host: r.path for r in html.host_paths(pages.selectExpr("html", "'n.org' AS host")).collect()} == {"n.org": "body/div.story"}
+
+
+class Article(HTMLParser):
+    """The blocks of the article element, by the standard library's parser; enough for the pages of the test tables."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("p", "h1", "h2", "ul", "li", "div"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("p", "h1", "h2", "ul", "li", "div"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_pages_against_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r.page_id: r.text for r in html.extract_pages(pages).collect()}
+    for r in pages.collect():
+        own = Article()
+        own.feed(r.html or "")
+        own.close()
+        assert found[r.page_id] == "\n".join(x for x in (" ".join(b.split()) for b in own.blocks) if x), r.page_id

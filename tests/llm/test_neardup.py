@@ -115,7 +115,8 @@ def test_null_id_leader(spark):
 def test_repeated_rows_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words are in this one"), (2, "A b, c d e f")], "doc_id long, text string")
     assert sorted(r.class_id for r in neardup.near_duplicates(docs).collect()) == [1, 1, 1, 1]
-    assert neardup.deduplicate(docs).count() == 1
+    named = docs.selectExpr("*", "1 AS number", "'x' AS node", "2 AS _number", "3 AS root", "4 AS part")
+    assert [tuple(r)[2:] for r in neardup.deduplicate(named).collect()] == [(1, "x", 2, 3, 4)]
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 

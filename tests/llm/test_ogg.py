@@ -71,3 +71,38 @@ def test_table(spark):
         assert r.media_sha256 == hashlib.sha256(ogg.encode(payload)).hexdigest() and r.media_bytes == len(ogg.encode(payload))
     assert found[1].feature == found[5].feature and found[2].media_sha256 == found[3].media_sha256
     assert ogg.media_table(docs).count() == 7 and ogg.media_table(docs.limit(0)).count() == 0
+
+
+def pages_of(data):
+    """(serial, flags, granule, lacing, body) of each page, straight from the format's description."""
+    at = 0
+    while at < len(data):
+        assert data[at : at + 5] == b"OggS\0"
+        n = data[at + 26]
+        lacing = data[at + 27 : at + 27 + n]
+        end = at + 27 + n + sum(lacing)
+        assert slow_crc(data[at : at + 22] + bytes(4) + data[at + 26 : end]) == int.from_bytes(data[at + 22 : at + 26], "little")
+        yield int.from_bytes(data[at + 14 : at + 18], "little"), data[at + 5], int.from_bytes(data[at + 6 : at + 14], "little", signed=True), lacing, data[at + 27 + n : end]
+        at = end
+
+
+@pytest.mark.parametrize("n", [0, 5, 64, 5000, 20_000])
+def test_stored_form_and_features(n):
+    text = random.Random(n).randbytes(n)
+    payload = text + bytes((-n) % 64) if n else bytes(64)
+    data, streams, granules = ogg.encode(payload), {}, {}
+    for serial, _, granule, lacing, body in pages_of(data):
+        packets = streams.setdefault(serial, [b""])
+        granules.setdefault(serial, []).append(granule)
+        for size in lacing:
+            packets[-1], body = packets[-1] + body[:size], body[size:]
+            if size < 255:
+                packets.append(b"")
+    assert len(streams) == 2
+    sound = next(p for p in streams.values() if p[0].startswith(b"PCM8"))
+    assert b"".join(sound[1:]) == payload and max(g for own in granules.values() for g in own) == len(payload)
+    high = [x >= 128 for x in payload]
+    feature = dict(x.split("=") for x in ogg.describe(ogg.decode(data)).split(";"))
+    assert int(feature["pages"]) == len(list(pages_of(data))) and feature["bad"] == "0" and int(feature["packets"]) == sum(len(p) - 1 for p in streams.values())
+    assert feature["seconds"] == f"{len(payload) / 8000:.6f}" and feature["mean"] == f"{sum(payload) / len(payload):.6f}" and feature["power"] == f"{sum(x * x for x in payload) / len(payload):.6f}"
+    assert int(feature["crossings"]) == sum(a != b for a, b in zip(high, high[1:], strict=False))

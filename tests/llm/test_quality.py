@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
 
 import pytest
@@ -43,3 +45,36 @@ def test_labels_missing_or_of_one_class(spark, tables):
     assert quality.score_documents(docs.limit(0), labels).count() == 0
     noisy = labels.selectExpr("doc_id", "cast(null as int) quality").unionByName(labels.select("doc_id", "quality"))
     assert quality.training_rows(docs, noisy).count() == quality.training_rows(docs, labels).count()
+
+
+def statistics(text):
+    """The statistics by their definition, one text at a time."""
+    text = text or ""
+    n = max(len(text), 1)
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+    lines = [x for x in text.split("\n") if x]
+    share = lambda signs: sum(c in signs for c in text) / n
+    return {
+        "log_chars": math.log1p(len(text)), "signs": share(quality._SIGNS), "bangs": share("!"), "bars": share("|"), "capitals": share(quality._CAPITALS), "digits": share("0123456789"), "breaks": share("\n"),
+        "word_length": n / len(words) if words else 0.0, "variety": len(set(words)) / max(len(words), 1), "repeats": sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(len(words), 1), "same_lines": 1 - len(set(lines)) / max(len(lines), 1),
+    }
+
+
+def test_scores_against_rules_one_by_one(spark, tables):
+    docs, labels = tables
+    model = quality.fit(docs, labels)
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, " " * 1000), (-4, "A a a\n\nA a a\n!|#")], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(odd)
+    found = {r.doc_id: r.score for r in quality.score_documents(every, labels).collect()}
+    for r in every.collect():
+        own = statistics(r.text)
+        held = lambda rule: all((own[quality.STATISTICS[f]] > v) if greater else (own[quality.STATISTICS[f]] <= v) for f, greater, v in rule)  # noqa: B023, E731
+        total = model.bias + sum(w for rule, w in model.rules if held(rule))
+        assert abs(found[r.doc_id] - 1 / (1 + math.exp(-total))) < 1e-9, r.doc_id
+
+
+def test_texts_of_one_labelled_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, "a"), (2, "c d"), (3, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3)], "doc_id long, quality int")
+    rows = quality.training_rows(docs, labels)
+    assert rows.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2, 3))
