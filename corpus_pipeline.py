@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: five stages, each over all that the stage before kept."""
+"""A training corpus from raw documents: five stages, each over all that the stage before kept.
+
+Null texts count as empty and null ids as ids of their own; very long texts are read whole;
+repeated rows are near-duplicates of each other, and ties there go to the least doc_id. All
+stages but the last keep the columns of documents, whatever their names. An empty table gives
+an empty result.
+"""
 
 from __future__ import annotations
 
