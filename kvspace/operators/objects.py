@@ -122,11 +122,11 @@ def adjacent_field_diff(objects: DataFrame, span: int = SPAN) -> DataFrame:
     spans = objects.select("task_id", "key_hash", *_LATEST, "fields", F.floor(F.col("main_revision") / span).alias("_span"))
     by = Window.partitionBy("key_hash", "_span").orderBy(*_LATEST)
     rows = spans.withColumns({"_before": F.lag("fields").over(by), "previous_main_revision": F.lag("main_revision").over(by), "_last": F.lead("main_revision").over(by).isNull()})
-    ends = rows.filter("_last").select("key_hash", "_span", "fields", "main_revision")
     over = Window.partitionBy("key_hash").orderBy("_span")
-    carried = ends.select("key_hash", "_span", F.lag("fields").over(over).alias("_before"), F.lag("main_revision").over(over).alias("previous_main_revision")).filter(F.col("_before").isNotNull())
-    starts = rows.filter(F.col("_before").isNull()).drop("_before", "previous_main_revision").join(carried, ["key_hash", "_span"])
-    paired = rows.filter(F.col("_before").isNotNull()).unionByName(starts).drop("_span", "_last")
+    # all columns of a row are carried, so that both uses of ``rows`` have the same shuffle, which is then made once
+    carried = rows.filter("_last").select("key_hash", "_span", F.lag(F.struct("task_id", *_LATEST, "fields")).over(over).alias("_carried"))
+    joined = rows.join(carried, ["key_hash", "_span"])
+    paired = joined.withColumns({"_before": F.coalesce("_before", "_carried.fields"), "previous_main_revision": F.coalesce("previous_main_revision", "_carried.main_revision")}).filter(F.col("_before").isNotNull())
     diffed = paired.withColumn("d", compare_fields(F.col("_before"), F.col("fields")))
     flags = diff_flags(F.concat("d.added_paths", "d.removed_paths", "d.modified_paths"))
     return diffed.select("task_id", "key_hash", "previous_main_revision", F.col("main_revision").alias("current_main_revision"), "d.*", flags.alias("x")).select("*", "x.*").drop("x")

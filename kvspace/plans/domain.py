@@ -23,8 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: what follows works long on each row, and a small table is one split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def events(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e = spread(e) if heavy else e
     user, kind = F.col("user_id"), F.col("user_id") % 5
     ns, name = F.concat(F.lit("ns"), (user % 7).cast("string")), F.concat(F.lit("obj-"), user.cast("string"))
     folder = F.when(kind == 4, "example.io/widgets").otherwise(F.get(F.array(*[F.lit(k) for k in KINDS]), kind.cast("int")))
@@ -39,7 +46,7 @@ def value_text() -> Column:
 
 
 def revisions(spark: SparkSession, sf_dir: str, with_value: bool = False) -> DataFrame:
-    e = events(spark, sf_dir)
+    e = events(spark, sf_dir, with_value)
     size = F.when(F.col("tombstone"), F.lit(0).cast("bigint")).otherwise(F.col("amount"))
     main = (F.col("event_id") + 1).cast("bigint")
     columns = [
@@ -90,12 +97,12 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(turn == 2, F.concat(F.lit("__REALTIME_TIMESTAMP="), "iso", F.lit(" PRIORITY=3 SYSLOG_IDENTIFIER=etcd MESSAGE="), message))
         .otherwise(F.concat("iso", F.lit(" "), message))
     )
-    return events(spark, sf_dir).select((F.col("event_id") + 1).cast("bigint").alias("line_number"), line.alias("line"))
+    return events(spark, sf_dir, True).select((F.col("event_id") + 1).cast("bigint").alias("line_number"), line.alias("line"))
 
 
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(line_number, line): of every three requests two share an id; one line in 97 is broken."""
-    e, kind, three = events(spark, sf_dir), F.col("user_id") % 5, F.col("event_id") % 3
+    e, kind, three = events(spark, sf_dir, True), F.col("user_id") % 5, F.col("event_id") % 3
     pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), kind.cast("int"))
     audit = F.col("event_id") - F.when(three == 1, 1).otherwise(0)
     verb = F.col("event_type")
