@@ -358,12 +358,13 @@ def class_roots(docs: DataFrame, nodes: DataFrame, idf: Idf, similarity: float =
     grams = materialize(_shingle_sets(docs, nodes.join(weights, "node", "left_semi").select("node", "doc_id")), "grams")
     pairs = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = components(_links(pairs, grams, idf, similarity))
-    # texts that are in another class than a leader of theirs, and all texts of those buckets
-    known = members.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    led = members.select("leader").distinct().join(first.select(F.col("node").alias("leader"), F.col("root").alias("top")), "leader", "left").select("leader", F.coalesce("top", "leader").alias("top"))
-    known = attach(known, led, "leader").select("node", "band", "root", (F.col("root") != F.col("top")).alias("loose"))
-    open_ = known.filter("loose").select("band").distinct()
-    asked = cut(attach(known, open_, "band").groupBy("node").agg(F.first("root").alias("root"), F.max("loose").alias("loose")))
+    # texts that are in another class than a leader of theirs, and all texts with such a leader, and the leader
+    rooted = weights.select("node").join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    led = members.select("leader", "node").distinct().join(rooted, "node")
+    tops = led.filter("leader = node").select("leader", F.col("root").alias("top"))
+    known = materialize(attach(led, tops, "leader").select("leader", "node", "root", (F.col("root") != F.col("top")).alias("loose")), "led")
+    open_ = known.filter("loose").select("leader").distinct()
+    asked = attach(known, open_, "leader").groupBy("node").agg(F.first("root").alias("root"), F.max("loose").alias("loose"))
     second = _links(prefix_pairs(grams.join(asked, "node"), idf, similarity), grams, idf, similarity)
     # the second round links classes of the first
     top = lambda c: F.coalesce(F.col(f"{c}_root"), F.col(c))

@@ -34,7 +34,7 @@ from kvspace.llm.trees import Node, tree_column, tree_of
 
 #: Texts whose pieces the planted cases are put into, about; one row for each of them and each form is learned from.
 CONTEXTS = 160
-ROUNDS, DEPTH = 12, 4
+ROUNDS, DEPTH = 8, 4
 #: The precision that a kind's threshold must reach on the texts held out, and the least threshold.
 PRECISION, LEAST = 0.97, 0.3
 
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, contexts: int = CONTEXTS) -> Detector:
     """A detector from cases planted in about ``contexts`` of the texts: half of them for the trees, half for the thresholds."""
     known = cases(docs, contexts)
     vector = features(F.col("kind"), F.col("value"), F.col("left"))
-    sample = cut(known.select("kind", "label", (F.pmod(F.xxhash64("seed"), F.lit(2)) == 0).alias("fit"), *[v.cast("double").alias(n) for v, n in zip(vector, FEATURES, strict=True)]).coalesce(4))
+    sample = cut(known.select("kind", "label", (F.pmod(F.xxhash64("seed"), F.lit(2)) == 0).alias("fit"), *[v.cast("double").alias(n) for v, n in zip(vector, FEATURES, strict=True)]).coalesce(1))  # some 20,000 rows
     halves = {r["fit"] for r in sample.select("fit").distinct().collect()}
     if not halves:
         return Detector([], {})

@@ -97,7 +97,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING)
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     one = picked.groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), "text")).alias("one")).select("one.*")
-    return cut(with_statistics(one, ["label"]).coalesce(4))
+    return cut(with_statistics(one, ["label"]).coalesce(1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> Ensemble:
