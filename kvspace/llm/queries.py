@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvspace.llm import decontam, html, neardup, ogg, packing, pii, quality, sharding, urls, warc
+from kvspace.llm import decontam, fim, html, neardup, ogg, packing, pii, quality, resample, sharding, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op3_html_text, op4_warc, op5_ogg, op6_pii, op7_packing, op8_near_duplicates, op9_jump_shards, op10_url_filter)
+    f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op3_html_text, op4_warc, op5_ogg, op6_pii, op7_packing, op8_near_duplicates, op9_jump_shards, op10_url_filter, op11_fill_in_middle, op13_importance_resampling)
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -69,7 +77,44 @@ _CANONICAL = "CASE WHEN host <> '' THEN regexp_replace(regexp_replace(regexp_rep
 _RULES = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
 _FITS = [(k, h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for k, h, p in _RULES]
 
+# crc32 by bytes: a table of 256 steps, then one step for each byte of a word.
+_CRC = """
+steps AS (
+  SELECT list(list_reduce(list_prepend(CAST(i AS BIGINT), range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS step FROM range(256) AS r(i)),
+crc AS (
+  SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, octet_length(encode(w)) + 1), lambda k: CAST('0x' || substr(hex(encode(w)), 2 * k - 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, step[xor(c & 255, b) + 1])), 4294967295) AS crc
+  FROM (SELECT DISTINCT w FROM (SELECT unnest(w) AS w FROM own UNION ALL SELECT unnest(w) AS w FROM aim)), steps)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_fill_in_middle": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS s, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT doc_id, s, length(s) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(s, '<P>') OR contains(s, '<S>') OR contains(s, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, substring(s, 1, a) AS prefix, substring(s, a + 1, b - a) AS middle, substring(s, b + 1, n - b) AS suffix FROM cuts)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN s WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(s) AS restored_sha256
+FROM parts""",
+    "op13_importance_resampling": f"""
+WITH own AS (SELECT doc_id, {_WORDS} AS w FROM documents), aim AS (SELECT {_WORDS} AS w FROM benchmark),{_CRC},
+s AS (SELECT crc % 10000 AS bucket, count(*) AS s FROM (SELECT unnest(w) AS w FROM own) JOIN crc USING (w) GROUP BY 1),
+t AS (SELECT crc % 10000 AS bucket, count(*) AS t FROM (SELECT unnest(w) AS w FROM aim) JOIN crc USING (w) GROUP BY 1),
+gain AS (
+  SELECT w, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * ((SELECT CAST(sum(s) AS DOUBLE) FROM s) + 10000) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * ((SELECT CAST(sum(t) AS DOUBLE) FROM t) + 10000)))) AS BIGINT) AS gain
+  FROM crc LEFT JOIN s ON s.bucket = crc % 10000 LEFT JOIN t ON t.bucket = crc % 10000),
+weight AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM (SELECT doc_id, unnest(w) AS w FROM own) JOIN gain USING (w) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM own LEFT JOIN weight USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (n_features >= 20) OVER () AS n FROM scored)
+SELECT CAST(doc_id AS BIGINT) AS doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank
+FROM ranked""",
     "op2_decontaminate": f"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
 known AS (
