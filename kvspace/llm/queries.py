@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvspace.llm import decontam, fim, html, neardup, ogg, packing, pii, quality, resample, sharding, urls, warc
+from kvspace.llm import decontam, fim, html, neardup, ogg, packing, pii, quality, resample, sharding, suffixes, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,12 +64,16 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.report(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op3_html_text, op4_warc, op5_ogg, op6_pii, op7_packing, op8_near_duplicates, op9_jump_shards, op10_url_filter, op11_fill_in_middle, op13_importance_resampling)
+    f.__name__: f for f in (op1_quality_rules, op2_decontaminate, op3_html_text, op4_warc, op5_ogg, op6_pii, op7_packing, op8_near_duplicates, op9_jump_shards, op10_url_filter, op11_fill_in_middle, op12_suffix_dedup, op13_importance_resampling)
 }
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -100,6 +104,19 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a EN
   sha256(CASE form WHEN 'plain' THEN s WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
   sha256(s) AS restored_sha256
 FROM parts""",
+    "op12_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, doc_id, j, length(h) // 2 AS n, substr(h, 1024 * j + 1, 1122) AS h FROM (SELECT *, unnest(range(0, (length(h) + 1023) // 1024)) AS j FROM d)),
+b AS (
+  SELECT r, doc_id, 512 * j + k AS i, substr(h, 2 * k - 1, 2) AS byte, CASE WHEN 512 * j + k + 49 <= n THEN substr(h, 2 * k - 1, 100) END AS s
+  FROM (SELECT *, unnest(range(1, least(512, n - 512 * j) + 1)) AS k FROM c)),
+least_of AS (SELECT s, min(doc_id) AS least FROM b WHERE s IS NOT NULL GROUP BY s),
+hits AS (SELECT r, doc_id, i, byte, doc_id > least AS hit FROM b LEFT JOIN least_of USING (s)),
+marks AS (SELECT r, i, byte, coalesce(bool_or(hit) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM hits),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS begins FROM marks),
+told AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM edges GROUP BY r)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN told USING (r)""",
     "op13_importance_resampling": f"""
 WITH own AS (SELECT doc_id, {_WORDS} AS w FROM documents), aim AS (SELECT {_WORDS} AS w FROM benchmark),{_CRC},
 s AS (SELECT crc % 10000 AS bucket, count(*) AS s FROM (SELECT unnest(w) AS w FROM own) JOIN crc USING (w) GROUP BY 1),
