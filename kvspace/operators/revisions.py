@@ -63,26 +63,41 @@ def latest_revision(revisions: DataFrame) -> DataFrame:
     return last.select("last.*")
 
 
-def key_records(revisions: DataFrame) -> DataFrame:
-    """One row for each key: its latest revision, and what it holds now, held before and deleted.
+#: Of a key's latest revision these are kept, and of all its revisions these are added up.
+KEPT = ("task_id", "key_text", "key_bytes", "create_revision", "mod_revision", "version", "lease_id", "value_bytes", "stored_bytes", "tombstone")
+SHARES = {
+    "puts": "int(NOT tombstone)",
+    "put_bytes": "if(tombstone, 0L, stored_bytes)",
+    "tombstone_count": "int(tombstone)",
+    "tombstone_bytes": "if(tombstone, stored_bytes, 0L)",
+    "revision_count": "1",
+}
+
+
+def shares() -> list[Column]:
+    """What each revision adds to its key's sums."""
+    return [F.expr(sql).cast("bigint").alias(n) for n, sql in SHARES.items()]
+
 
-    A grouped maximum finds the latest revision, so that the log is reduced before it is
-    shuffled. History is every put other than a live latest one.
+def key_totals(revisions: DataFrame) -> DataFrame:
+    """One row for each key: its latest revision as ``last``, and sums over all of them.
+
+    A grouped maximum finds the latest revision, so that the log is reduced before it is shuffled.
     """
-    put = ~F.col("tombstone")
-    kept = ["task_id", "key_text", "key_bytes", "create_revision", "mod_revision", "version", "lease_id", "value_bytes", "stored_bytes", "tombstone"]
-    grouped = revisions.groupBy("key_hash").agg(
-        F.max_by(F.struct(*kept), F.struct(*ORDER)).alias("last"),
-        F.count_if(put).alias("puts"),
-        F.coalesce(F.sum(F.when(put, F.col("stored_bytes"))), F.lit(0)).alias("put_bytes"),
-        F.count_if(F.col("tombstone")).alias("tombstone_count"),
-        F.coalesce(F.sum(F.when(F.col("tombstone"), F.col("stored_bytes"))), F.lit(0)).alias("tombstone_bytes"),
-        F.count("*").alias("revision_count"),
-    )
+    return revisions.groupBy("key_hash").agg(F.max_by(F.struct(*KEPT), F.struct(*ORDER)).alias("last"), *[F.sum(F.expr(sql)).cast("bigint").alias(n) for n, sql in SHARES.items()])
+
+
+def key_records(revisions: DataFrame) -> DataFrame:
+    """One row for each key: its latest revision, and what it holds now, held before and deleted."""
+    return records_of(key_totals(revisions))
+
+
+def records_of(totals: DataFrame, *more: str) -> DataFrame:
+    """Key records of key totals, with the columns ``more``. History is every put other than a live latest one."""
     live = ~F.col("last.tombstone")
     now = lambda c: F.when(live, F.col(f"last.{c}")).otherwise(F.lit(0).cast("bigint"))
     history = F.col("put_bytes") - now("stored_bytes")
-    return grouped.select(
+    return totals.select(
         F.col("last.task_id").alias("task_id"),
         "key_hash",
         F.col("last.key_text").alias("key_text"),
@@ -98,12 +113,16 @@ def key_records(revisions: DataFrame) -> DataFrame:
         "tombstone_bytes",
         "revision_count",
         (history / F.greatest(now("stored_bytes"), F.lit(1))).alias("historical_amplification"),
+        *more,
     )
 
 
-def prefix_parts(records: DataFrame) -> DataFrame:
-    """Each key's share of each of its ancestors; grouped sums of any split of it add up (prefix_merge)."""
-    own = records.select(F.posexplode(keys.key_ancestors(F.col("key_text"))).alias("at", "prefix"), "present", "current_value_bytes", "historical_bytes", "tombstone_count", "revision_count")
+PREFIX_SUMS = ("current_key_count", "current_bytes", "historical_bytes", "tombstone_count")
+
+
+def prefix_parts(records: DataFrame, *more: str) -> DataFrame:
+    """Each key's share of each of its ancestors, with the columns ``more``; grouped sums of any split of it add up (prefix_merge)."""
+    own = records.select(F.posexplode(keys.key_ancestors(F.col("key_text"))).alias("at", "prefix"), "present", "current_value_bytes", "historical_bytes", "tombstone_count", *more)
     return own.select(
         "prefix",
         (F.col("at") + 1).cast("bigint").alias("depth"),
@@ -112,13 +131,14 @@ def prefix_parts(records: DataFrame) -> DataFrame:
         "historical_bytes",
         "tombstone_count",
         F.col("current_value_bytes").alias("max_value_bytes"),
+        *more,
     )
 
 
 def prefix_merge(parts: DataFrame) -> DataFrame:
     """Partial prefix statistics added up: sums add, the largest value stays."""
     return parts.groupBy("prefix", "depth").agg(
-        *[F.sum(c).cast("bigint").alias(c) for c in ("current_key_count", "current_bytes", "historical_bytes", "tombstone_count")],
+        *[F.sum(c).cast("bigint").alias(c) for c in PREFIX_SUMS],
         F.max("max_value_bytes").alias("max_value_bytes"),
     )
 

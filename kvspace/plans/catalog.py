@@ -164,14 +164,13 @@ def prefix_stats(spark, sf_dir):
 
 @query(_PREFIX.format(src=_KR))
 def prefix_stats_stream(spark, sf_dir):
-    """Key records arrive in two batches; the statistics after the last one."""
+    """Revisions arrive in four batches, several of a key in each; the statistics after the last one."""
     path = scratch_dir(spark, "arriving")
-    own = _records(spark, sf_dir)
-    own.repartition(2, "key_hash").write.parquet(f"{path}/in")
+    own = d.revisions(spark, sf_dir).drop("ts")
+    own.repartition(4, F.pmod("main_revision", F.lit(4))).write.parquet(f"{path}/in")
     arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    told = streams.run_available(streams.prefix_stats_stream(arriving), path, "complete")
-    last = told.agg(F.max("batch").alias("batch"))
-    return told.join(F.broadcast(last), "batch").drop("batch")
+    told = streams.run_available(streams.prefix_stats_stream(arriving), path, "update", streams.prefix_differences)
+    return streams.prefix_current(told)
 
 
 @query(_PREFIX.format(src=_KR))
@@ -668,13 +667,14 @@ def audit_timeline(spark, sf_dir):
 
 @query(f"WITH {_AUD} SELECT {_AS} FROM one")
 def audit_dedup_stream(spark, sf_dir):
-    """Requests that arrive in several files, in an order of their own; one row for each id in the end."""
+    """Requests that arrive in several files, stages of an id in different ones; each id is told once."""
     path = scratch_dir(spark, "arriving")
     own = _audit(spark, sf_dir)
-    own.repartition(4, "audit_id_hash").write.parquet(f"{path}/in")
-    arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/in")
-    told = streams.run_available(streams.audit_dedup_stream(arriving, "60 days"), path, "update")
-    return streams.best_stages(told.drop("batch")).select(*_AC)
+    own.repartition(4, "line_number").write.parquet(f"{path}/in/events")
+    streams.end_of_events(own).write.parquet(f"{path}/in/last")  # newest file, so read last
+    arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+    told = streams.run_available(streams.audit_dedup_stream(arriving, "60 days"), path)
+    return told.select(*_AC)
 
 
 _SETS = f"""so AS (SELECT key_hash, api_group, resource, namespace FROM {_OD} WHERE total_bytes_delta > 0 OR revision_count_delta > 0),

@@ -104,28 +104,3 @@ def test_window_and_counts(spark):
     inside = own.filter(F.col("verb").isin(*requests.WRITE_VERBS) & (F.col("observed_at") > F.lit(datetime(2026, 8, 3, 10))) & (F.col("observed_at") <= F.lit(datetime(2026, 8, 3, 10, 3))))
     assert {(r.dimension, r.value): r["count"] for r in A.audit_counts(inside).collect()}["username", "alice"] == 2
     assert [r.line_number for r in A.audit_timeline(own, datetime(2026, 8, 3, 10, 2), None, verb="update").collect()] == [4, 3]
-
-
-def test_stream(spark, tmp_path):
-    from kvspace.streaming.streams import audit_dedup_stream, best_stages, prefix_stats_stream, run_available
-
-    cases = [line(stage="RequestReceived"), line(responseStatus={"code": 204}), line(auditID="b")]
-    own = events(spark, *cases)[1]
-    own.write.parquet(str(tmp_path / "in"))
-    stream = audit_dedup_stream(spark.readStream.schema(own.schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("audit_stream").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {(r.audit_id_hash, r.response_code) for r in spark.table("audit_stream").collect()} == {(sha("a1"), 204), (sha("b"), 200)}
-    # stages on both sides of a span's border, in two batches: two rows are told, one is left
-    sides = [line(auditID="c", stage="RequestReceived", stageTimestamp="2026-08-03T23:59:59Z", responseStatus={"code": 0}), line(auditID="c", stageTimestamp="2026-08-04T00:00:01Z", responseStatus={"code": 201})]
-    for k, x in enumerate(sides):
-        events(spark, x)[1].write.parquet(str(tmp_path / f"border/{k}"))
-    arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "border"))
-    told = run_available(audit_dedup_stream(arriving), str(tmp_path / "run"), "update")
-    assert told.count() == 2 and [(r.audit_id_hash, r.response_code) for r in best_stages(told.drop("batch")).collect()] == [(sha("c"), 201)]
-    records = spark.createDataFrame([("/a/x", True, 5, 1, 0, 2), ("/a/y", False, 0, 7, 1, 2)], "key_text string, present boolean, current_value_bytes bigint, historical_bytes bigint, tombstone_count bigint, revision_count bigint")
-    records.write.parquet(str(tmp_path / "keys"))
-    running = prefix_stats_stream(spark.readStream.schema(records.schema).parquet(str(tmp_path / "keys")))
-    q = running.writeStream.format("memory").queryName("prefix_stream").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {r.prefix: (r.current_key_count, r.historical_bytes) for r in spark.table("prefix_stream").collect()} == {"/a": (1, 8), "/a/x": (1, 1), "/a/y": (0, 7)}
