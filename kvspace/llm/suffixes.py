@@ -457,7 +457,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
     buckets = max(16, min(1 << 23, -(-size // BUCKET_BYTES)))
     parts = min(buckets, MAX_PARTS)
-    dealt = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    # buckets are of about equal size, so they are dealt by number and not by a hash of it
+    dealt = lambda df: df.repartitionById(parts, F.pmod("bucket", F.lit(parts))).sortWithinPartitions("bucket")
     rows = _slices(docs.withColumn(order, F.coalesce(F.col(key).cast("long"), F.lit(_LAST))), text)
     shared = _shared_rows(dealt(_anchor_rows(rows, text, buckets, width))).groupBy("home").agg(F.collect_list(F.struct("bucket", "bits")).alias("shared"))
     hits = _hit_rows(dealt(_piece_rows(rows.join(shared, "home", "left"), text, order, buckets, width)), width)
