@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from kvspace.functions.logtext import log_normalize
 from kvspace.operators import revisions as R
+from kvspace.streaming import state as keyed
 from kvspace.streaming.state import STORE, BestOnce, Differences
 
+cloudpickle.register_pickle_by_value(keyed)  # a stream's planning worker gets no files of the application
+
 
 def log_events_stream(lines: DataFrame, text: str = "value") -> DataFrame:
     """Events of arriving log lines; without state. Line numbers are not known in a stream."""
@@ -75,9 +79,9 @@ def key_changes_stream(revisions: DataFrame) -> DataFrame:
     arrive in any number of batches and in any order.
     """
     own = _stated(revisions).select("key_hash", *R.ORDER, *R.KEPT, *R.shares())
-    state = StructType([f for f in own.schema.fields if f.name != "key_hash"])
+    totals = StructType([f for f in own.schema.fields if f.name != "key_hash"])
     out = StructType([*own.schema.fields, StructField("sign", IntegerType())])
-    return own.groupBy("key_hash").transformWithState(Differences(state, out, R.ORDER, R.KEPT, tuple(R.SHARES)), out, "update", "None")
+    return own.groupBy("key_hash").transformWithState(Differences(totals, out, R.ORDER, R.KEPT, tuple(R.SHARES)), out, "update", "None")
 
 
 def prefix_stats_stream(revisions: DataFrame) -> DataFrame:
