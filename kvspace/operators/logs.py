@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kvspace.functions.logtext import log_normalize, message_fingerprint
 from kvspace.operators.paging import MAX_PAGE
+from kvspace.operators.segments import unused
 
 #: Window hours up to which they are broadcast; with more, parts that the events of an hour are dealt to.
 BROADCAST_ROWS, PARTS = 200_000, 32
@@ -52,14 +53,15 @@ def windows_join(events: DataFrame, windows: DataFrame, broadcast_rows: int = BR
     many the events of an hour are dealt to parts that each have its windows.
     """
     each = F.sequence(F.date_trunc("hour", "from_at"), F.date_trunc("hour", "to_at"), F.expr("INTERVAL 1 HOUR"))
-    hours = windows.filter("from_at <= to_at").select("window_id", "from_at", "to_at", F.explode(each).alias("_hour"))
-    timed, on = events.withColumn("_hour", F.date_trunc("hour", "observed_at")), ["_hour"]
+    hour, part, start, end = unused(events, "_hour", "_part", "_start", "_end")
+    hours = windows.filter("from_at <= to_at").select("window_id", F.col("from_at").alias(start), F.col("to_at").alias(end), F.explode(each).alias(hour))
+    timed, on = events.withColumn(hour, F.date_trunc("hour", "observed_at")), [hour]
     if hours.limit(broadcast_rows + 1).count() <= broadcast_rows:
         hours = F.broadcast(hours)
     else:
-        timed, on = timed.withColumn("_part", F.pmod(F.xxhash64("observed_at", "line_number"), F.lit(PARTS))), ["_hour", "_part"]
-        hours = hours.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
-    return timed.join(hours, on).filter((F.col("observed_at") > F.col("from_at")) & (F.col("observed_at") <= F.col("to_at"))).drop(*on, "from_at", "to_at")
+        timed, on = timed.withColumn(part, F.pmod(F.xxhash64("observed_at", "line_number"), F.lit(PARTS))), [hour, part]
+        hours = hours.withColumn(part, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    return timed.join(hours, on).filter((F.col("observed_at") > F.col(start)) & (F.col("observed_at") <= F.col(end))).drop(*on, start, end)
 
 
 def log_counts(events: DataFrame) -> DataFrame:
@@ -69,9 +71,20 @@ def log_counts(events: DataFrame) -> DataFrame:
 
 
 def grouped_counts(events: DataFrame, dimensions: list[tuple[str, str]]) -> DataFrame:
-    """Counts by each dimension alone; the dimensions of a row are exploded before one grouped count."""
-    spread = events.select(F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.col(c).alias("value")) for n, c in dimensions])).alias("d")).select("d.*")
-    return spread.groupBy("dimension", "value").agg(F.count("*").alias("count")).orderBy("dimension", F.desc("count"), "value")
+    """Counts by each dimension alone, the most frequent first.
+
+    Events are counted by all dimensions at once, which map tasks combine, and only these counts are
+    grouped by each dimension alone: grouping sets multiply the few rows, not the events.
+    """
+    names = [n for n, _ in dimensions]
+    together = events.groupBy(*[F.col(c).alias(n) for n, c in dimensions]).agg(F.count("*").alias("n"))
+    sets = together.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(F.sum("n").alias("count"), F.grouping_id(*names).alias("id"))
+    # of a grouping id's bits, the first dimension's is the highest, and is unset where it is grouped by
+    ids = {(1 << len(names)) - 1 - (1 << (len(names) - 1 - k)): n for k, n in enumerate(names)}
+    name = value = F.lit(None).cast("string")
+    for k, n in ids.items():
+        name, value = F.when(F.col("id") == k, F.lit(n)).otherwise(name), F.when(F.col("id") == k, F.col(n)).otherwise(value)
+    return sets.select(name.alias("dimension"), value.alias("value"), "count").orderBy("dimension", F.desc("count"), "value")
 
 
 def filter_timeline(events: DataFrame, start: datetime | None = None, end: datetime | None = None, exclusive: bool = False, **equal: str | None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from kvspace.functions import keys
 from kvspace.operators import audit, diff, evidence, logs, metrics, objects, physical, report, revisions
 from kvspace.plans import domain as d
-from kvspace.session import scratch_dir
+from kvspace.session import scratch_dir, stored
 from kvspace.sources import readers
 from kvspace.streaming import streams
 
@@ -162,14 +162,20 @@ def prefix_stats(spark, sf_dir):
     return revisions.prefix_stats(_records(spark, sf_dir))
 
 
+def _state_parts(rows: DataFrame) -> int:
+    """Parts of keyed state: one for each core, or for 500,000 rows."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // 500_000))
+
+
 @query(_PREFIX.format(src=_KR))
 def prefix_stats_stream(spark, sf_dir):
     """Revisions arrive in four batches, several of a key in each; the statistics after the last one."""
     path = scratch_dir(spark, "arriving")
     own = d.revisions(spark, sf_dir).drop("ts")
     own.repartition(4, F.pmod("main_revision", F.lit(4))).write.parquet(f"{path}/in")
+    parts = _state_parts(spark.read.schema(own.schema).parquet(f"{path}/in"))
     arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    told = streams.run_available(streams.prefix_stats_stream(arriving), path, "update", streams.prefix_differences)
+    told = streams.run_available(streams.prefix_stats_stream(arriving), path, "update", streams.prefix_differences, parts)
     return streams.prefix_current(told)
 
 
@@ -673,7 +679,8 @@ def audit_dedup_stream(spark, sf_dir):
     own.repartition(4, "line_number").write.parquet(f"{path}/in/events")
     streams.end_of_events(own).write.parquet(f"{path}/in/last")  # newest file, so read last
     arriving = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", "true").parquet(f"{path}/in")
-    told = streams.run_available(streams.audit_dedup_stream(arriving, "60 days"), path)
+    parts = _state_parts(spark.read.schema(own.schema).parquet(f"{path}/in/events"))
+    told = streams.run_available(streams.audit_dedup_stream(arriving, "60 days"), path, partitions=parts)
     return told.select(*_AC)
 
 
@@ -743,13 +750,11 @@ def _samples(spark, sf_dir) -> DataFrame:
 
 def _stored_samples(spark, sf_dir) -> DataFrame:
     """The samples as a stored table, for operators that read them many times."""
-    path = scratch_dir(spark, "samples")
-    _samples(spark, sf_dir).write.parquet(path)
-    return spark.read.parquet(path)
+    return stored(_samples(spark, sf_dir), "samples")
 
 
 def _inside(spark, sf_dir) -> DataFrame:
-    return metrics.samples_in_window(_samples(spark, sf_dir), d.FROM, d.TO)
+    return metrics.samples_in_window(_stored_samples(spark, sf_dir), d.FROM, d.TO)
 
 
 @query("SELECT instance, name, kept FROM (SELECT DISTINCT instance FROM grid), (VALUES " + ", ".join(f"('{n}', '{le}', {str(k).lower()})" for (n, le, _), k in zip(d.SERIES, (True, False, True, True, True, True, True, True, True, False, False), strict=True)) + ") t(name, le, kept)")
@@ -816,7 +821,7 @@ meds AS (SELECT series_hash, quantile_disc(gap, 0.5) AS m FROM steps WHERE gap >
 
 @query(f"WITH {_SAMP}, {_RATE} SELECT observed_at, max(rise / (gap / 1000000)) AS value FROM steps JOIN meds USING (series_hash) WHERE metric_type = 'put_total' AND rise > 0 AND gap <= 3 * m AND observed_at {_W} GROUP BY 1")
 def counter_rate(spark, sf_dir):
-    return metrics.counter_rate(metrics.boundary_union(_samples(spark, sf_dir), d.FROM, d.TO), "put_total", d.FROM, d.TO)
+    return metrics.counter_rate(metrics.boundary_union(_stored_samples(spark, sf_dir), d.FROM, d.TO), "put_total", d.FROM, d.TO)
 
 
 @query(f"WITH {_SAMP} SELECT series_hash, observed_at, value FROM samples WHERE observed_at < TIMESTAMP '{d.FROM}' QUALIFY row_number() OVER (PARTITION BY series_hash ORDER BY observed_at DESC) = 1")
@@ -824,6 +829,14 @@ def predecessor_sample(spark, sf_dir):
     return metrics.predecessor_sample(_samples(spark, sf_dir), d.FROM).select("series_hash", "observed_at", "value")
 
 
+@query(f"WITH {_SAMP}, days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM ev) SELECT CAST(day AS VARCHAR) AS window_id, series_hash, max(observed_at) AS observed_at, arg_max(value, observed_at) AS value FROM days JOIN samples ON observed_at < day + INTERVAL 6 HOUR GROUP BY 1, 2")
+def predecessors(spark, sf_dir):
+    """Of each series the last sample before each of many windows, one a day."""
+    days = d.events(spark, sf_dir).select(F.to_date("ts").alias("day")).distinct()
+    windows = days.select(F.col("day").cast("string").alias("window_id"), (F.col("day").cast("timestamp") + F.expr("INTERVAL 6 HOURS")).alias("from_at"))
+    return metrics.predecessors(_stored_samples(spark, sf_dir), windows).select("window_id", "series_hash", "observed_at", "value")
+
+
 @query(f"WITH {_SAMP}, {_RATE} SELECT count(*) AS samples, count(DISTINCT series_hash) AS series FROM reach")
 def boundary_union(spark, sf_dir):
     return metrics.boundary_union(_samples(spark, sf_dir), d.FROM, d.TO).agg(F.count("*").alias("samples"), F.count_distinct("series_hash").alias("series"))
@@ -872,8 +885,8 @@ def reclaimable_max(spark, sf_dir):
 
 @query(f"WITH {_SAMP}, {_CURVE}, {_GAPS} SELECT CASE WHEN min(observed_at) <= TIMESTAMP '{d.FROM}' AND max(observed_at) >= TIMESTAMP '{d.TO}' AND NOT bool_or(gap > 3 * m) THEN 'full' ELSE 'partial' END AS coverage FROM gaps, med")
 def metrics_coverage(spark, sf_dir):
-    samples = _samples(spark, sf_dir)
-    return metrics.metrics_coverage(_curve(spark, sf_dir), samples, _series(spark, sf_dir), d.FROM, d.TO)
+    samples = _stored_samples(spark, sf_dir)
+    return metrics.metrics_coverage(metrics.cluster_gauge(metrics.samples_in_window(samples, d.FROM, d.TO), "db_total_bytes"), samples, _series(spark, sf_dir), d.FROM, d.TO)
 
 
 @query(f"WITH {_SAMP} SELECT TIMESTAMP '{d.FROM}' AS a, least(min(observed_at), TIMESTAMP '{d.FROM}') AS from_at, greatest(max(observed_at), TIMESTAMP '{d.TO}') AS to_at FROM samples")

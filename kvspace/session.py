@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHARED = "spark.checkpoint.dir"
 _shipped: set[str] = set()
@@ -51,3 +51,10 @@ def shared_base(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder for a table, in the folder that the cluster shares."""
     return f"{shared_base(spark)}/kvspace-{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: what reads it several times does not compute it again."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

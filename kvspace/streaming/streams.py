@@ -17,6 +17,9 @@ from kvspace.streaming.state import STORE, BestOnce, Differences
 cloudpickle.register_pickle_by_value(keyed)  # a stream's planning worker gets no files of the application
 
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
 def log_events_stream(lines: DataFrame, text: str = "value") -> DataFrame:
     """Events of arriving log lines; without state. Line numbers are not known in a stream."""
     good = lines.filter(F.is_valid_utf8(text) & (F.octet_length(text) <= 1 << 20)).select(F.col(text).alias("line"))
@@ -54,21 +57,28 @@ def end_of_events(events: DataFrame) -> DataFrame:
     return events.sparkSession.range(1).select(*[names.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields])
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append", reduce: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, folder: str, mode: str = "append", reduce: Callable[[DataFrame], DataFrame] | None = None, partitions: int | None = None) -> DataFrame:
     """Runs a stream over what is there now and returns all that it told, with its batch number ``batch``.
 
     Each batch is a folder of its own that is written anew if the batch is run again, so a
     batch that is repeated after a failure leaves its rows once. ``reduce`` is applied to
-    each batch before it is written.
+    each batch before it is written. ``partitions`` is how many parts keyed state has, for as long
+    as the stream's folder is used; by default as many as a shuffle.
     """
+    spark = stream.sparkSession
+    usual = spark.conf.get(_PARTITIONS)
+    if partitions is not None:
+        spark.conf.set(_PARTITIONS, partitions)
     schema = (reduce(stream) if reduce else stream).schema
 
     def store(rows: DataFrame, batch: int) -> None:
         (reduce(rows) if reduce else rows).write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
 
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(store).start()
+    try:  # a query takes the settings of its start
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(store).start()
+    finally:
+        spark.conf.set(_PARTITIONS, usual)
     query.awaitTermination()
-    spark = stream.sparkSession
     return spark.read.schema(StructType([*schema.fields, StructField("batch", IntegerType())])).parquet(f"{folder}/out")
 
 
