@@ -373,11 +373,32 @@ def top_fields(spark, sf_dir):
     return objects.top_fields(*_objects(spark, sf_dir), 20).select("key_hash", "display_name", "path", "byte_size")
 
 
-@query(f"SELECT key_hash, CASE WHEN resource = 'secrets' THEN '/registry/secrets/' || namespace || '/' || display_name ELSE key_text END AS key_text, CAST(historical_bytes AS BIGINT) AS historical_bytes FROM (SELECT * FROM {_KR} ORDER BY historical_bytes DESC, key_hash LIMIT 20) JOIN ident USING (key_hash, key_text)")
+def _section_sql(name: str, source: str) -> str:
+    columns, order = report.SECTIONS[name]
+    ranks = ", ".join(f"{c[1:]} DESC" if c.startswith("-") else c for c in order)
+    sizes = ("current_stored_bytes", "historical_bytes", "revision_count", "current_key_count", "current_bytes", "current_objects", "byte_size")
+    body = ", ".join(f"'{c}': " + (f"CAST({c} AS BIGINT)" if c in sizes else c) for c in columns)
+    return f"SELECT '{name}' AS section, CAST(r AS INTEGER) AS rank, CAST(to_json({{{body}}}) AS VARCHAR) AS row FROM (SELECT *, row_number() OVER (ORDER BY {ranks}) AS r FROM ({source})) WHERE r <= {report.ROWS}"
+
+
+_KEY_SECTION = "SELECT key_hash, CASE WHEN resource = 'secrets' THEN '/registry/secrets/' || namespace || '/' || display_name ELSE key_text END AS key_text, current_stored_bytes, historical_bytes, revision_count FROM kr JOIN ident USING (key_hash, key_text)"
+_SECTION_ROWS = {
+    "keys_by_current": _KEY_SECTION,
+    "keys_by_history": _KEY_SECTION,
+    # no prefix down to the third part names a secret; below it the name is redacted
+    "prefixes": "SELECT CASE WHEN starts_with(prefix, '/registry/secrets/') AND depth > 3 THEN '/registry/secrets/' || split_part(prefix, '/', 4) || '/redacted:' ELSE prefix END AS prefix, current_key_count, current_bytes, historical_bytes FROM (" + _PREFIX.format(src="kr") + ")",
+    "resources": "SELECT api_group, resource, count(*) FILTER (present) AS current_objects, sum(current_bytes) AS current_bytes, sum(historical_bytes) AS historical_bytes FROM obj GROUP BY 1, 2",
+    "namespaces": "SELECT namespace, count(*) FILTER (present) AS current_objects, sum(current_bytes) AS current_bytes, sum(historical_bytes) AS historical_bytes FROM obj GROUP BY 1",
+    "objects": "SELECT key_hash, display_name, current_bytes, historical_bytes, revision_count FROM obj",
+    "fields": "SELECT f.key_hash, o.display_name, f.path, f.byte_size FROM obj o JOIN fields f ON f.key_hash = o.key_hash AND f.main_revision = o.last_main WHERE o.present",
+}
+
+
+@query(f"WITH kr AS (SELECT * FROM {_KR}), obj AS (SELECT * FROM {_OR}) " + " UNION ALL ".join(_section_sql(n, s) for n, s in _SECTION_ROWS.items()))
 def report_sections(spark, sf_dir):
+    """All seven sections of a report."""
     own, records = _objects(spark, sf_dir)
-    found = _records(spark, sf_dir)
-    return report.report_sections(found, revisions.prefix_stats(found), records, own)["keys_by_history"].select("key_hash", "key_text", "historical_bytes")
+    return report.report_table(_records(spark, sf_dir), records, own)
 
 
 # --- physical
