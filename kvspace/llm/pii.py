@@ -32,12 +32,14 @@ from kvspace.llm.store import cut
 from kvspace.llm.text import unused
 from kvspace.llm.trees import Node, tree_column, tree_of
 
-#: Texts whose pieces the planted cases are put into, about; one row for each of them and each form is learned from.
-CONTEXTS = 160
+#: Texts whose pieces the planted cases are put into, at most, and cases of each form without a text around them.
+CONTEXTS, BARE = 160, 16
 ROUNDS, DEPTH = 8, 4
 #: The precision that a kind's threshold must reach on the texts held out, and the least threshold.
 PRECISION, LEAST = 0.97, 0.3
 
+#: Items of an array that are scanned at a time.
+BLOCK = 64
 _MARK = "￿"
 _LOCAL = "A-Za-z0-9._%+-"
 
@@ -88,6 +90,37 @@ FORMS = (
 _POOLS = {"δ": "0123456789", "η": "0123456789abcdef", "λ": "abcdefghijklmnopqrstuvwxyz", "υ": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "κ": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "μ": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "β": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
 
 
+def once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with the value computed once however often it is used: it is bound as a lambda's argument."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def scanned(items: Column, begin: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The states (of type ``kind``) after each item, from the state ``begin`` on.
+
+    An array that grows by one is copied each time, so items are scanned in blocks of BLOCK and
+    only the blocks' arrays are gathered: the copying stays below a few dozen entries for each item.
+    """
+    none, blocks = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, item: Column) -> Column:
+        return once(step(acc["s"], item), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out")))
+
+    def block(acc: Column, at: Column) -> Column:
+        inner = F.aggregate(F.slice(items_, at * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["s"].alias("s"), none.alias("out")), one)
+        return once(inner, lambda x: F.struct(x["s"].alias("s"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+
+    items_: Column
+
+    def all_of(bound: Column) -> Column:
+        nonlocal items_
+        items_ = bound
+        many = F.sequence(F.lit(0), ((F.greatest(F.size(bound), F.lit(1)) - 1) / BLOCK).cast("int"))
+        return F.flatten(F.aggregate(many, F.struct(begin.alias("s"), blocks.alias("out")), block)["out"])
+
+    return once(items, all_of)
+
+
 def spans_of(text: Column, pattern: str, context: int = 0) -> Column:
     """Array of (start, end, value, left): leftmost non-overlapping matches, code points, end exclusive.
 
@@ -95,20 +128,13 @@ def spans_of(text: Column, pattern: str, context: int = 0) -> Column:
     marks give the positions.
     """
     parts = F.split(F.regexp_replace(text, F.lit(f"(?s){pattern}" if not pattern.startswith("(?") else pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string>>")
 
-    def step(acc: Column, part: Column) -> Column:
-        size = F.char_length(part)
-        one = F.struct(acc["at"].alias("start"), (acc["at"] + size).alias("end"), part.alias("value"), acc["left"].alias("left"))
-        return F.struct(
-            (acc["at"] + size).cast("int").alias("at"),
-            F.when(acc["odd"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"),
-            F.right(part, F.lit(context)).alias("left") if context else F.lit("").alias("left"),
-            (~acc["odd"]).alias("odd"),
-        )
+    def step(acc: Column, part: Column) -> Column:  # every second part is a match; the one before it is its left side
+        before = F.right(acc["value"], F.lit(context)) if context else F.lit("")
+        return F.struct(acc["end"].alias("start"), (acc["end"] + F.char_length(part)).cast("int").alias("end"), part.alias("value"), before.alias("left"))
 
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("out"), F.lit("").alias("left"), F.lit(False).alias("odd"))
-    return F.aggregate(parts, begin, step, lambda acc: acc["out"])
+    begin = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("value"), F.lit("").alias("left"))
+    return F.filter(scanned(parts, begin, step, "struct<start:int,end:int,value:string,left:string>"), lambda s, i: i % 2 == 1)
 
 
 def _digits(value: Column) -> Column:
@@ -184,13 +210,15 @@ def planted(seed: Column, form: Column) -> Column:
 def cases(docs: DataFrame, contexts: int = CONTEXTS, forms=FORMS) -> DataFrame:
     """(seed, kind, label, value, left, at): the generators' candidates that overlap a value planted in a text.
 
-    Texts are those whose hash lies below the share that gives about ``contexts`` of them, each
-    once; 30 signs from each side of some place in them surround the value.
+    Texts are the ``contexts`` of least hash, each once however often it is repeated, and BARE
+    empty ones; 30 signs from each side of some place in them surround the value.
     """
-    n = docs.count()
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    picked = docs.filter(part < (1 << 40) * min(1.0, contexts / max(n, 1))).select(clean(F.col("text")).alias("t")).distinct().limit(4 * contexts)
-    seeded = picked.select("t", F.xxhash64("t").alias("seed")).select("*", F.pmod("seed", F.greatest(F.char_length("t") - 29, F.lit(1))).cast("int").alias("p"))
+    hashed = docs.select(F.xxhash64("text").alias("seed"), clean(F.col("text")).alias("t"))
+    least = [r["seed"] for r in hashed.select("seed").distinct().orderBy("seed").limit(contexts).collect()]
+    picked = hashed.filter(F.col("seed").isin(least)).groupBy("seed").agg(F.min("t").alias("t"))
+    # the values alone, so that there are cases whatever the texts are
+    bare = docs.sparkSession.range(BARE).select(F.col("id").alias("seed"), F.lit("").alias("t"))
+    seeded = picked.unionByName(bare).select("t", "seed", F.pmod("seed", F.greatest(F.char_length("t") - 29, F.lit(1))).cast("int").alias("p"))
     made = F.array(*[F.struct(F.lit(k).alias("form_kind"), F.lit(float(y)).alias("label"), F.lit(f).alias("form")) for k, y, f in forms])
     rows = seeded.select("seed", F.substring("t", F.col("p") + 1, F.lit(30)).alias("before"), F.substring("t", F.col("p") + 31, F.lit(30)).alias("after"), F.explode(made).alias("m")).select("*", "m.*")
     filled = rows.select("seed", "label", F.char_length("before").alias("from"), F.concat("before", F.lit(" "), planted(F.col("seed"), F.col("form")), F.lit(" "), "after").alias("text"), F.char_length("form").alias("size"))
@@ -211,7 +239,7 @@ class Detector:
         return 1 / (1 + F.exp(-2 * total))
 
     def chosen(self, kind: str, spans: Column) -> Column:
-        """The spans of a generated kind that reach its threshold."""
+        """The spans of a generated kind that reach its threshold; none of a detector without trees, which ``fit`` never gives."""
         if not self.trees:
             return F.filter(spans, lambda s: F.lit(False))
 
@@ -232,19 +260,16 @@ def _named(kind: str):
 
 
 def fit(docs: DataFrame, contexts: int = CONTEXTS) -> Detector:
-    """A detector from cases planted in about ``contexts`` of the texts: half of them for the trees, half for the thresholds."""
+    """A detector from cases planted in ``contexts`` of the texts at most: half of them for the trees, half for the thresholds."""
     known = cases(docs, contexts)
     vector = features(F.col("kind"), F.col("value"), F.col("left"))
     sample = cut(known.select("kind", "label", (F.pmod(F.xxhash64("seed"), F.lit(2)) == 0).alias("fit"), *[v.cast("double").alias(n) for v, n in zip(vector, FEATURES, strict=True)]).coalesce(1))  # some 20,000 rows
-    halves = {r["fit"] for r in sample.select("fit").distinct().collect()}
-    if not halves:
-        return Detector([], {})
-    half = F.col("fit") if len(halves) == 2 else F.lit(True)  # one text: it has to serve for both
+    half = F.col("fit")  # the bare cases fall on both sides
     both = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.filter(half))
     model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.3, minInstancesPerNode=4, seed=11).fit(both)
     trees = [(tree_of(tree), float(w)) for tree, w in zip(model.trees, model.treeWeights, strict=True)]
     detector = Detector(trees, {})
-    held = sample.filter(~half) if len(halves) == 2 else sample
+    held = sample.filter(~half)
     scored = held.select("kind", "label", detector.probability([F.col(n) for n in FEATURES]).alias("p"))
     grid = scored.groupBy("kind", F.floor(F.col("p") * 100).alias("g")).agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()  # 400 rows at most
     for kind in GENERATED:
@@ -298,12 +323,16 @@ def redact(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     every = F.concat(*[F.transform(F.col(f"{name}.{k}"), _replaced(k)) for k in KINDS])
     text = F.col("text")
 
-    def step(acc: Column, s: Column) -> Column:
-        end = -s["back"]
-        apart = s["start"] >= acc["at"]
-        kept = F.when(apart, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["name"])).otherwise(acc["out"])
-        return F.struct(kept.alias("out"), F.greatest(acc["at"], end).alias("at"))
-
-    done = F.aggregate(F.array_sort(every), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    new = F.concat(done["out"], F.substring(text, done["at"] + 1, F.char_length(text)))
+    def step(acc: Column, s: Column) -> Column:  # before: where the last span ended
+        end = F.greatest(acc["end"], -s["back"]).cast("int")
+        return F.struct((s["start"] >= acc["end"]).alias("apart"), acc["end"].alias("before"), s["start"].alias("start"), end.alias("end"), s["name"].alias("name"))
+
+    begin = F.struct(F.lit(False).alias("apart"), F.lit(0).alias("before"), F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("name"))
+    ranked = scanned(F.array_sort(every), begin, step, "struct<apart:boolean,before:int,start:int,end:int,name:string>")
+    # the text's signs are split once and cut by slices; a substring would count from the text's start for each span
+    piece = lambda signs, a, b: F.array_join(F.slice(signs, a + 1, b - a), "")
+    new = once(F.struct(F.split(text, "").alias("signs"), ranked.alias("spans")), lambda x: F.concat(
+        F.array_join(F.transform(F.filter(x["spans"], lambda s: s["apart"]), lambda s: F.concat(piece(x["signs"], s["before"], s["start"]), s["name"])), ""),
+        piece(x["signs"], F.element_at(x["spans"], -1)["end"], F.char_length(text)),
+    ))
     return found.withColumn("text", F.when(F.size(every) > 0, new).otherwise(text)).select(*docs.columns)

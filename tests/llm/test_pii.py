@@ -140,3 +140,33 @@ def test_no_python_in_the_plan(spark):
     plan = pii.with_spans(docs, pii.Detector([], {}))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert pii.luhn(F.lit("4111111111111111")) is not None
+
+
+def test_repeated_rows_are_redacted(spark):
+    """However often a text is repeated, there are cases to learn from."""
+    text = "the token = 'ab12cd34ef56ab12cd34ef56ab12cd34ef56ab12' and call +1 (212) 555-0199 now"
+    for rows in (1, 500):
+        docs = spark.createDataFrame([(k, text) for k in range(rows)], "doc_id long, text string")
+        detector = pii.fit(docs)
+        assert detector.trees and set(detector.thresholds) == set(pii.GENERATED)
+        assert {r.text for r in pii.redact(docs, detector).collect()} == {"the [SECRET]' and call [PHONE] now"}
+
+
+def test_scans_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    sizes = [0, 1, 63, 64, 65, 128, 1000]
+    df = spark.createDataFrame([(n, list(range(n))) for n in sizes], "n int, v array<int>")
+    total = pii.scanned(F.col("v"), F.struct(F.lit(0).alias("t")), lambda a, x: F.struct((a["t"] + x).cast("int").alias("t")), "struct<t:int>")
+    for r in df.select("n", total.alias("s")).collect():
+        assert [x.t for x in r.s] == [k * (k + 1) // 2 for k in range(r.n)]
+
+
+def test_many_spans_in_one_text(spark):
+    """A text of 6,000 addresses, some of them inside longer spans."""
+    text = "é ".join(f"u{k}@ex.com" for k in range(6000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    detector = pii.fit(docs)
+    spans = pii.with_spans(docs, detector).select("_pii.email").first()[0]
+    assert [text[s.start : s.end] for s in spans] == [f"u{k}@ex.com" for k in range(6000)]
+    assert pii.redact(docs, detector).first().text == "é ".join(["[EMAIL]"] * 6000)
