@@ -40,6 +40,8 @@ MAX_HOSTS = 100_000
 SHARE, MARKED_SHARE = 0.9, 0.5
 #: Links in an element with a hinting name hold at least this share of its text if it is dropped inside an article.
 LINKED = 0.5
+#: An element whose name speaks of boilerplate among other words is content all the same if it holds this share of the page's text.
+WHOLE = 0.8
 
 # Element names by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,11 +57,14 @@ FRAME = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 # Words of class names and ids. The first are boilerplate wherever they are, the second hint at it, the third say nothing.
 NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted menu nav navbar navigation"
+    "ad ads adsbygoogle adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion promoted menu nav navbar navigation"
     " breadcrumb breadcrumbs sidebar sidebars cookie cookies consent gdpr notice notices notification notifications popup modal overlay"
     " newsletter subscribe subscription signup signin login share sharing social comment comments commentlist disqus respond toolbar"
     " pagination pager".split()
 )
+# Of these the first are no article's name even among other words; the second name articles too.
+SURE = frozenset("comment comments commentlist disqus sidebar sidebars cookie cookies gdpr advert adverts advertisement advertising adsbygoogle".split())
+WEAK = frozenset("social notice notices login signin signup share sharing toolbar subscribe subscription promotion sponsor sponsors".split())
 HINTS = frozenset(
     "header masthead topbar footer aside rail widget widgets banner banners related recommended recommendations reply replies form"
     " search copyright legal disclaimer skip paywall".split()
@@ -85,20 +90,23 @@ def _raw_end(tag: str) -> re.Pattern:
 
 
 def _named(names: str) -> str:
-    """"drop" if a name is made of boilerplate words (and words that say nothing), "hint" if one hints at it."""
-    out = ""
+    """"drop" if a name is made of boilerplate words (and words that say nothing), "weak" if articles may have it too,
+    "sure" or "hint" if it has other words beside them."""
+    found = set()
     for name in names.split():
         words = {w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w}
         rest = words - PLAIN
         if rest & NAMES and rest <= NAMES | HINTS:
-            return "drop"
-        if rest & (NAMES | HINTS):
-            out = "hint"
-    return out
+            found.add("weak" if rest <= WEAK else "drop")
+        elif rest & SURE:
+            found.add("sure")
+        elif rest & (NAMES | HINTS):
+            found.add("hint")
+    return next((k for k in ("drop", "weak", "sure", "hint") if k in found), "")
 
 
 def _kind(tag: str, attrs: dict[str, str], in_article: bool) -> str:
-    """What an element is by itself: "drop", "hint" or ""."""
+    """What an element is by itself: "drop", "weak" (unless it holds the page's text), "hint" (if it is mostly links) or ""."""
     if tag in DROPPED:
         return "drop"
     if tag in ("html", "body", "article", "main"):
@@ -110,9 +118,15 @@ def _kind(tag: str, attrs: dict[str, str], in_article: bool) -> str:
     if attrs.get("role", "").lower() in ROLES:
         return "drop"
     named = _named(attrs.get("class", "") + " " + attrs.get("id", ""))
-    if named == "drop" and tag in FRAME:
-        named = "hint"
-    return "drop" if named == "hint" and not in_article and tag not in FRAME else named
+    if not named:
+        return ""
+    if tag in FRAME:
+        return "hint"
+    if tag not in BLOCK:
+        return "" if named == "hint" and in_article else "drop"
+    if in_article:
+        return {"sure": "drop"}.get(named, named)
+    return "drop" if named == "drop" else "weak"
 
 
 @dataclass
@@ -122,7 +136,7 @@ class Page:
     parent: list[int] = field(default_factory=lambda: [-1])
     tag: list[str] = field(default_factory=lambda: [""])
     step: list[str] = field(default_factory=lambda: [""])
-    hint: list[bool] = field(default_factory=lambda: [False])
+    kind: list[str] = field(default_factory=lambda: [""])
     text: list[str] = field(default_factory=list)
     node: list[int] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
@@ -193,7 +207,8 @@ def parse(page: str) -> Page:
         return max((open_at[x][-1] for x in tags if open_at.get(x)), default=0)
 
     def close(k: int) -> None:
-        if any(s[0] in BLOCK for s in stack[k:]):
+        # what lies inside a dropped element breaks no block around it
+        if any(stack[i][0] in BLOCK and not stack[i - 1][2] for i in range(k, len(stack))):
             flush()
         while len(stack) > k:
             open_at[stack.pop()[0]].pop()
@@ -215,7 +230,7 @@ def parse(page: str) -> Page:
         if m[1]:
             if open_at.get(tag):
                 close(open_at[tag][-1])
-            elif tag == "p":
+            elif tag == "p" and not stack[-1][2]:
                 flush()
             elif tag == "br" and not stack[-1][2]:
                 add(" ")
@@ -228,7 +243,7 @@ def parse(page: str) -> Page:
             if not stack[-1][2]:
                 add(" ")
             continue
-        if tag in BLOCK:
+        if tag in BLOCK and not stack[-1][2]:
             flush()
         if tag in VOID:
             continue
@@ -246,7 +261,7 @@ def parse(page: str) -> Page:
             out.parent.append(node)
             out.tag.append(tag)
             out.step.append(".".join([tag, *sorted({_DIGITS.sub("#", c).replace("/", ":") for c in attrs.get("class", "").lower().split()})]))
-            out.hint.append(kind == "hint")
+            out.kind.append(kind)
             node = block = len(out.parent) - 1
         open_at.setdefault(tag, []).append(len(stack))
         stack.append((tag, node, kind == "drop", block, in_article or tag in ("article", "main"), in_link or tag == "a"))
@@ -255,11 +270,12 @@ def parse(page: str) -> Page:
 
 
 def _without_hints(page: Page) -> Page:
-    """The page without elements of a hinting name that are mostly links."""
-    if not any(page.hint):
+    """The page without elements of a hinting name that are mostly links, or of a weak one that don't hold the page's text."""
+    if not any(page.kind):
         return page
     total, links = page.sums([float(len(x)) for x in page.text]), page.sums([float(x) for x in page.linked])
-    gone = page.below([h and b >= LINKED * a for h, a, b in zip(page.hint, total, links, strict=True)])
+    mostly_links = [b >= LINKED * a for a, b in zip(total, links, strict=True)]
+    gone = page.below([k == "hint" and m or k == "weak" and (m or a < WHOLE * total[0]) for k, m, a in zip(page.kind, mostly_links, total, strict=True)])
     kept = [k for k, n in enumerate(page.node) if not gone[n]]
     page.text, page.node, page.linked = ([x[k] for k in kept] for x in (page.text, page.node, page.linked))
     return page

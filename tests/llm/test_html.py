@@ -5,6 +5,8 @@ from __future__ import annotations
 import time
 from html.parser import HTMLParser
 
+import pytest
+
 from kvspace.llm import html
 
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1><nav><a href=/>Home</a></nav></header>
@@ -126,3 +128,27 @@ def test_pages_against_another_parser(spark):
         own.feed(r.html or "")
         own.close()
         assert found[r.page_id] == "\n".join(x for x in (" ".join(b.split()) for b in own.blocks) if x), r.page_id
+
+
+BODY = "A long paragraph of the article, with commas, that is long enough to be its text. " * 3
+
+
+@pytest.mark.parametrize("name", ["user-comments", "article-comments", "comment-thread", "comment-body", "post-sidebar", "cookie-law-info", "adsbygoogle", "readerComments"])
+def test_comments_and_sidebars_inside_articles(name):
+    for mark in (f'class="{name}"', f'id="{name}"'):
+        page = f"<body><article><h1>T</h1><p>{BODY}</p><div {mark}><p>Somebody said, at length, that it is so.</p></div><p>The end, {BODY}</p></article></body>"
+        assert html.extract(page, None) == f"T\n{BODY.strip()}\nThe end, {BODY.strip()}"
+
+
+@pytest.mark.parametrize("name", ["social", "notice", "login", "has-sidebar", "single comments-open"])
+def test_names_that_articles_have_too(name):
+    """A weak name is boilerplate beside the text, and none around it."""
+    around = f'<body><div class="{name}"><h1>T</h1><p>{BODY}</p><p>{BODY}</p></div></body>'
+    assert html.extract(around, None) == "\n".join(["T", BODY.strip(), BODY.strip()])
+    beside = f'<body><div><h1>T</h1><p>{BODY}</p><div class="{name}"><p>Log in or follow us.</p></div></div></body>'
+    assert "follow" not in html.extract(beside, None)
+
+
+def test_dropped_elements_break_no_block():
+    page = f"<body><article><p>{BODY}a<select><option>x<option>y</select>c</p><p>b<button><div>z</div></button>d</p></article></body>"
+    assert html.extract(page, None) == f"{BODY}ac\nbd"
