@@ -86,13 +86,17 @@ class Found:
     payload: bytes = b""
 
 
+#: Headers end with an empty line; a version line before it begins another record, so no byte is searched twice.
+_HEADERS_END = re.compile(rb"\r?\n\r?\n|\n(WARC/[0-9]+\.[0-9]+\r?\n)")
+
+
 def _plain(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     """The record at ``at`` of uncompressed bytes: headers, block, end; or why there is none."""
     m = _VERSION.match(data, at)
     if not m:
         return "no version line"
-    stop = re.compile(rb"\r?\n\r?\n").search(data, m.end() - 2)
-    if not stop:
+    stop = _HEADERS_END.search(data, m.end() - 2)
+    if not stop or stop[1]:
         return "headers do not end"
     headers = {}
     for line in data[m.end() : stop.start()].decode("utf-8", "replace").splitlines():

@@ -152,3 +152,13 @@ def test_time_follows_length():
         assert sum(f.kind == "record" for f in warc.salvage(data)) == 400 * times
         took.append(time.perf_counter() - begun)
     assert took[1] < 8 * took[0]
+
+
+def test_many_broken_headers():
+    """A megabyte of version lines whose headers never end is searched once, and a record behind it is found."""
+    good = warc.record("response", "urn:x", "http://a/", b"payload", compress=False)
+    broken = b"WARC/1.1\r\nX: y\r\n" * 65_536
+    began = time.thread_time()
+    found = list(warc.salvage(broken + good))
+    assert time.thread_time() - began < 5
+    assert [f.kind for f in found] == ["gap", "record"] and found[0].length == len(broken) and found[1].payload == b"payload"
