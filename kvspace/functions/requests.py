@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,24 +30,30 @@ def stage_rank(stage: Column) -> Column:
     return out
 
 
-def mask_v6(address: str | None) -> str:
-    try:
-        found = ipaddress.ip_address(address or "")
-    except ValueError:
-        return "unknown"
-    if found.version == 4:
-        return str(ipaddress.ip_network((int(found) >> 8 << 8, 24)))
-    return str(ipaddress.IPv6Network((int(found) >> 64 << 64, 64)))
+def _v6_network(ip: Column) -> Column:
+    """The first 64 bits of an IPv6 address in their shortest form, with ``::/64``; null if it is none.
+
+    The second half of a network is zero, so it always is the longest run of zeros and takes
+    the double colon with the zero groups before it.
+    """
+    address, scope = F.substring_index(ip, "%", 1), F.substring_index(ip, "%", -1)
+    scoped = ~ip.contains("%") | ((F.regexp_count(ip, F.lit("%")) == 1) & (scope != ""))
+    dotted = F.contains(address, F.lit("."))
+    tail = ~dotted | F.substring_index(address, ":", -1).rlike(_V4)
+    even = F.when(dotted, F.regexp_replace(address, "[^:]+$", "0:0")).otherwise(address)
+    short = F.contains(even, F.lit("::"))
+    groups = lambda side: F.filter(F.split(side, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(even, "::", 1)), groups(F.when(short, F.substring_index(even, "::", -1)).otherwise(""))
+    given = F.size(left) + F.size(right)
+    shaped = F.when(short, even.rlike("^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?$") & (given <= 7)).otherwise(even.rlike("^(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}$"))
+    whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(8 - given, F.lit(0))), right)
+    first = F.array_join(F.transform(F.slice(whole, 1, 4), lambda g: F.regexp_replace(F.lower(g), "^0+(?=.)", "")), ":")
+    return F.when(scoped & tail & shaped, F.concat(F.regexp_replace(first, "(?:^|:)0(?::0)*$", ""), F.lit("::/64")))
 
 
 def mask_network(ip: Column) -> Column:
     """Struct (network, hash): the first 24 bits of an IPv4 address, 64 of an IPv6 address, else ``unknown``."""
-    @F.pandas_udf("string")
-    def v6(values: pd.Series) -> pd.Series:
-        return values.map(mask_v6)
-
-    is_v4 = ip.rlike(_V4)
-    network = F.when(is_v4, F.concat(F.regexp_replace(ip, "[0-9]+$", "0"), F.lit("/24"))).when(ip.contains(":"), v6(F.when(~is_v4 & ip.contains(":"), ip))).otherwise("unknown")
+    network = F.when(ip.rlike(_V4), F.concat(F.regexp_replace(ip, "[0-9]+$", "0"), F.lit("/24"))).when(ip.contains(":"), F.coalesce(_v6_network(ip), F.lit("unknown"))).otherwise("unknown")
     return F.struct(F.when(ip.isNull(), "").otherwise(network).alias("network"), F.coalesce(F.sha2(ip, 256), F.lit("")).alias("hash"))
 
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from kvspace.functions import keys, values
 from kvspace.operators.paging import page, page_total
+from kvspace.session import stored
 
 # Names of fields that hold times.
 TIMESTAMPS = ("creationTimestamp", "deletionTimestamp", "lastTimestamp", "eventTime", "heartbeatTime", "renewTime", "lastTransitionTime", "lastUpdateTime")
-#: Revision numbers of which the neighbours of one key are paired in one task.
-SPAN = 1 << 16
+#: Revisions up to which the neighbours of one key are paired in one task, and busier keys up to which they are broadcast.
+SPAN, BROADCAST_KEYS = 1 << 16, 200_000
 _LATEST = ("main_revision", "sub_revision")
 CATEGORIES = {"managedFields": "metadata.managedFields", "annotations": "metadata.annotations", "labels": "metadata.labels", "spec": "spec", "status": "status", "data": "data", "binaryData": "binaryData"}
 
@@ -115,19 +116,31 @@ def diff_flags(changed: Column) -> Column:
 def adjacent_field_diff(objects: DataFrame, span: int = SPAN) -> DataFrame:
     """Each object revision against the one before it of the same key.
 
-    The revisions of a key are cut into spans of SPAN revision numbers, so that a key that is
-    written all the time is no task of its own: within a span a window pairs neighbours, and a
-    span's first revision gets the last one of the span before it, from one row for each span.
+    A window of each key pairs neighbours. Keys of more than ``span`` revisions are found first
+    (a count of keys alone, which reads no fields; at most one in ``span`` rows is one), and are
+    cut into spans of revision numbers, so that a key that is written all the time is no task
+    of its own: a span's first revision gets the last one of the span before it. Other keys carry
+    nothing.
     """
-    spans = objects.select("task_id", "key_hash", *_LATEST, "fields", F.floor(F.col("main_revision") / span).alias("_span"))
+    busy = stored(objects.groupBy("key_hash").agg(F.count("*").alias("n")).filter(F.col("n") > span).select("key_hash"), "busy")
+    some = busy.limit(BROADCAST_KEYS + 1).count()
+    kept = ["task_id", "key_hash", *_LATEST, "fields"]
+    if some:
+        marked = busy.withColumn("_busy", F.lit(True))
+        joined = objects.join(F.broadcast(marked) if some <= BROADCAST_KEYS else marked, "key_hash", "left")
+        spans = joined.select(*kept, F.when(F.col("_busy"), F.floor(F.col("main_revision") / span)).alias("_span"))
+    else:
+        spans = objects.select(*kept, F.lit(None).cast("bigint").alias("_span"))
     by = Window.partitionBy("key_hash", "_span").orderBy(*_LATEST)
-    rows = spans.withColumns({"_before": F.lag("fields").over(by), "previous_main_revision": F.lag("main_revision").over(by), "_last": F.lead("main_revision").over(by).isNull()})
-    over = Window.partitionBy("key_hash").orderBy("_span")
-    # all columns of a row are carried, so that both uses of ``rows`` have the same shuffle, which is then made once
-    carried = rows.filter("_last").select("key_hash", "_span", F.lag(F.struct("task_id", *_LATEST, "fields")).over(over).alias("_carried"))
-    joined = rows.join(carried, ["key_hash", "_span"])
-    paired = joined.withColumns({"_before": F.coalesce("_before", "_carried.fields"), "previous_main_revision": F.coalesce("previous_main_revision", "_carried.main_revision")}).filter(F.col("_before").isNotNull())
-    diffed = paired.withColumn("d", compare_fields(F.col("_before"), F.col("fields")))
+    rows = spans.withColumns({"_before": F.lag("fields").over(by), "previous_main_revision": F.lag("main_revision").over(by)})
+    if some:
+        rows = rows.withColumn("_last", F.lead("main_revision").over(by).isNull() & F.col("_span").isNotNull())
+        over = Window.partitionBy("key_hash").orderBy("_span")
+        # all columns of a row are carried, so that both uses of ``rows`` have the same shuffle, which is then made once
+        carried = rows.filter("_last").select("key_hash", "_span", F.lag(F.struct("task_id", *_LATEST, "fields")).over(over).alias("_carried"))
+        joined = rows.join(carried, ["key_hash", "_span"], "left")
+        rows = joined.withColumns({"_before": F.coalesce("_before", "_carried.fields"), "previous_main_revision": F.coalesce("previous_main_revision", "_carried.main_revision")})
+    diffed = rows.filter(F.col("_before").isNotNull()).withColumn("d", compare_fields(F.col("_before"), F.col("fields")))
     flags = diff_flags(F.concat("d.added_paths", "d.removed_paths", "d.modified_paths"))
     return diffed.select("task_id", "key_hash", "previous_main_revision", F.col("main_revision").alias("current_main_revision"), "d.*", flags.alias("x")).select("*", "x.*").drop("x")
 

@@ -59,6 +59,31 @@ def test_networks(spark):
     assert {r.ip: r.m.network for r in df.collect()} == cases | {None: ""}
 
 
+def test_network_of_any_address(spark):
+    """Addresses in all spellings, and broken ones, against the standard library."""
+    import ipaddress
+    import random
+
+    rng = random.Random(3)
+    made = ["::", "::1", "1::", "fe80::1%eth0", "fe80::1%", "a%b%c", "::ffff:1.2.3.4", "1.2.3.4::", "::1.2.3", "::01.2.3.4", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8", "1::2::3", ":1::", "1:2:3:4:5:6:7", "12345::", "g::", "1:2:3:4:5:6:1.2.3.4", "0:0:1:2:0:0:0:0", "2001:DB8:0:0::", "%::", "::%x"]
+    for _ in range(400):
+        groups = [rng.choice(["0", "0", "00", "1", "A0", "0db8", "ffff"]) for _ in range(8)]
+        a, b = sorted(rng.sample(range(9), 2))
+        text = ":".join(groups) if rng.random() < 0.3 else ":".join(groups[:a]) + "::" + ":".join(groups[b:])
+        made.append(text[: rng.choice([len(text)] * 4 + [len(text) - 1])] + rng.choice([""] * 6 + [":", ":1", "."]))
+
+    def want(ip):
+        try:
+            found = ipaddress.ip_address(ip)
+        except ValueError:
+            return "unknown"
+        return str(ipaddress.IPv6Network((int(found) >> 64 << 64, 64)))
+
+    cases = [m for m in set(made) if ":" in m]
+    df = spark.createDataFrame([(c,) for c in cases], "ip string").select("ip", requests.mask_network(F.col("ip"))["network"].alias("n"))
+    assert {r.ip: r.n for r in df.collect()} == {c: want(c) for c in cases}
+
+
 def test_object_keys(spark):
     cases = [(("", "secrets", "default", "db-password"), "/registry/secrets/default/db-password"), (("", "services", "d", "a"), "/registry/services/specs/d/a"), (("", "endpoints", "d", "a"), "/registry/services/endpoints/d/a"), (("apps", "deployments", "d", "a"), "/registry/deployments/d/a"), (("x.io", "ws", "", "a"), "/registry/x.io/ws/a"), (("rbac", "roles", "d", "a"), "/registry/rbac/roles/d/a"), (("", "pods", "d", ""), None)]
     df = spark.createDataFrame([(i, *c) for i, (c, _) in enumerate(cases)], "i int, g string, r string, n string, o string")
