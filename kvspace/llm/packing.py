@@ -2,17 +2,15 @@
 
 What decides a packing is how many pieces have each length, at most one count for every
 length up to the capacity. The search therefore runs over that table, whatever the number
-of documents: around the largest length left, branch and bound goes through the numbers of
-pieces of each length that fill the bin, the most of the largest first. The best-fit filling
-is the incumbent; a branch is cut when the sums that the lengths behind it can reach show
-that it wastes no less. These bounds are exact, so the search for a bin needs no limit. A
-filling is used for as many bins as the counts allow at once.
-
-The filling found wastes least and, of those, has the largest lengths first, so none
-dominates it: no one or two lengths left could take the place of members that they are at
-least as large as. Bins are completed one after the other, and the packings of several waste
-allowances and the best-fit packing are compared until one has no more sequences than a
-proven bound (``lower_bound``); the least one is used.
+of documents. Incumbents come first: bins are completed one after the other around the largest
+length left, each by the filling that wastes least (or a little more, if its lengths are
+larger), and best fit in falling order is tried too. Where none of these reaches a proven bound
+(``lower_bound``), branch and bound goes on from the best one: around the largest length left
+it enumerates the undominated fillings, least waste first, and cuts branches whose waste
+exceeds what a better packing can have. A filling is used for as many bins as the counts allow,
+then for one. The sums that lengths can reach rule out all dead ends of the enumeration. Small
+tables are searched to the end; for others the effort is bounded (EFFORT), and ``planned`` tells
+the gap that is left to the bound.
 
 Pieces are then numbered within their length and looked up in the list of fillings.
 
@@ -30,6 +28,8 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache, partial
 
 import numpy as np
@@ -46,6 +46,9 @@ CAPACITY = 2048
 END = 0
 #: Tokens by which a filling may waste more than it must for larger lengths in it, tried in this order.
 ALLOWANCES = (0, 8, 32, 64, 128)
+#: What branch and bound may spend: each filling that it tries costs as much as there are lengths left; and the number
+#: of lengths up to which it bounds what is left anew for each filling.
+EFFORT, FEW = 60_000, 64
 #: Words remembered by a worker, about 200 bytes each.
 MEMORY = 300_000
 
@@ -241,17 +244,138 @@ def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
     return best
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
-    """(number of bins, lengths of each) for the pieces counted in ``histogram``: the least of the packings tried."""
+def undominated(largest: int, counts: dict[int, int], lengths: list[int], capacity: int, waste: int) -> Iterator[list[int]]:
+    """The undominated fillings around ``largest`` that waste at most ``waste``, the least waste first, each when it is asked for.
+
+    A filling is dominated if a length left fits beside it, or fits in the place of one or two
+    members that it is at least as large as (and larger than one).
+    """
+    space = capacity - largest
+    own = counts | {largest: counts[largest] - 1}
+    usable = [x for x in lengths[: bisect_right(lengths, space)] if own[x]]
+    reach = _reachable(usable, own, space)
+
+    def of_sum(k: int, total: int) -> Iterator[list[int]]:
+        if not total:
+            yield []
+            return
+        for j in range(bisect_right(usable, total, 0, k) - 1, -1, -1):
+            x = usable[j]
+            for n in range(min(own[x], total // x), 0, -1):
+                if reach[j] >> (total - n * x) & 1:
+                    for rest in of_sum(j, total - n * x):
+                        yield [x] * n + rest
+
+    for total in range(reach[-1].bit_length() - 1, max(space - waste, 0) - 1, -1):
+        if not reach[-1] >> total & 1:
+            continue
+        spare = space - total
+        for filling in of_sum(len(usable), total):
+            used = Counter(filling)
+            left = [x for x in usable if own[x] > used[x]]
+            beyond = lambda low, high, left=left: bisect_right(left, high) > bisect_right(left, low)  # noqa: E731  is there one left in (low, high]?
+            if beyond(0, spare) or any(beyond(x, x + spare) for x in used):
+                continue
+            kinds = sorted(used)
+            if any(beyond(x + y - 1, x + y + spare) for a, x in enumerate(kinds) for y in kinds[a:] if x != y or used[x] > 1):
+                continue
+            yield filling
+
+
+def branch(histogram: dict[int, int], best: int, bound: int, capacity: int = CAPACITY, effort: int = EFFORT) -> tuple[list[tuple[int, list[int]]] | None, bool]:
+    """(a packing of less than ``best`` bins or None, whether no smaller one is left to find).
+
+    Bins are completed around the largest length left. Each undominated filling is a branch,
+    used for as many bins as the counts allow and then for one; a branch is cut when the waste
+    of its bins is more than a packing better than the incumbent can have, when the lengths left
+    are known to need too many bins, or when the same lengths were left after no more bins
+    before. ``effort`` is the sum of the lengths left over all fillings that are tried, at most.
+    """
+    size = sum(x * n for x, n in histogram.items())
+    found, tried, spent = None, 0, False
+    seen: dict[tuple, int] = {}
+    counts = {k: v for k, v in histogram.items() if v > 0}
+
+    def spare(bins: int, left: int) -> int:
+        """Waste that the bins to come may have in all, in a packing of less than best."""
+        return (best - 1 - bins) * capacity - left
+
+    def children(bins: int, left: int) -> Iterator[tuple[int, list[int]]]:
+        lengths = sorted(counts)
+        for filling in undominated(lengths[-1], counts, lengths, capacity, spare(bins, left)):
+            whole = [lengths[-1], *filling]
+            need = Counter(whole)
+            times = min(counts[x] // n for x, n in need.items())
+            for n in dict.fromkeys((times, 1)):
+                yield n, whole
+
+    def put(times: int, filling: list[int]) -> None:
+        for x in filling:
+            counts[x] = counts.get(x, 0) + times
+            if not counts[x]:
+                del counts[x]
+
+    path: list[tuple[int, list[int]]] = []
+    stack = [children(0, size)] if counts else []
+    bins, left = 0, size
+    while stack:
+        step = next(stack[-1], None)
+        if step is None or tried >= effort or best <= bound:
+            spent = spent or (step is not None and tried >= effort)
+            stack.pop()
+            if path:
+                times, filling = path.pop()
+                put(times, filling)
+                bins, left = bins - times, left + times * sum(filling)
+            continue
+        tried += len(counts)
+        times, filling = step
+        put(-times, filling)
+        bins, left = bins + times, left - times * sum(filling)
+        path.append(step)
+        if not counts:
+            if bins < best:
+                best, found = bins, list(path)
+            stack.append(iter(()))
+            continue
+        state = tuple(sorted(counts.items()))
+        hopeless = spare(bins, left) < 0 or seen.get(state, best) <= bins or len(counts) <= FEW and bins + lower_bound(counts, capacity) >= best
+        seen[state] = min(bins, seen.get(state, bins))
+        stack.append(iter(()) if hopeless else children(bins, left))
+    return found, best <= bound or not spent
+
+
+@dataclass
+class Plan:
+    """Bins as (number, lengths of each), a bound that no packing goes below, and whether none of fewer bins exists."""
+
+    bins: list[tuple[int, list[int]]]
+    bound: int
+    proven: bool
+
+    @property
+    def gap(self) -> int:
+        """Sequences that a better packing could save at most."""
+        return 0 if self.proven else sum(n for n, _ in self.bins) - self.bound
+
+
+def planned(histogram: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> Plan:
+    """The least of the packings tried: greedy completions and best fit as incumbents, then branch and bound below them."""
     bound = lower_bound(histogram, capacity)
-    best = None
+    best: list[tuple[int, list[int]]] | None = None
     for make in (*(partial(complete_bins, allowance=a) for a in ALLOWANCES), best_fit_bins):
         found = make(histogram, capacity)
         if best is None or sum(n for n, _ in found) < sum(n for n, _ in best):
             best = found
         if sum(n for n, _ in best) <= bound:
-            break
-    return best
+            return Plan(best, bound, True)
+    better, proven = branch(histogram, sum(n for n, _ in best), bound, capacity, effort)
+    return Plan(better or best, bound, proven)
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
+    """(number of bins, lengths of each) for the pieces counted in ``histogram``."""
+    return planned(histogram, capacity).bins
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:

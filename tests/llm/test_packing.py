@@ -116,28 +116,53 @@ def test_completion_against_all_fillings():
 def test_packings_of_small_sets():
     """Against the least number of bins, by search over all placements."""
 
-    def least(items, bins, best):
+    def least(items, bins, best, capacity):
         if len(bins) >= best:
             return best
         if not items:
             return len(bins)
         for k in sorted({b: k for k, b in enumerate(bins)}.values()):
-            if bins[k] + items[0] <= 30:
+            if bins[k] + items[0] <= capacity:
                 bins[k] += items[0]
-                best = least(items[1:], bins, best)
+                best = least(items[1:], bins, best, capacity)
                 bins[k] -= items[0]
-        return least(items[1:], [*bins, items[0]], best)
+        return least(items[1:], [*bins, items[0]], best, capacity)
 
     rng = random.Random(6)
-    more = 0
-    for _ in range(60):
-        items = sorted((rng.randrange(3, 26) for _ in range(9)), reverse=True)
-        exact = least(items, [], 10)
-        bound, found = packing.lower_bound(Counter(items), 30), sum(n for n, _ in packing.plan(Counter(items), 30))
-        assert bound <= exact <= found
-        more += found - exact
-        assert sum(n * len(f) for n, f in packing.best_fit_bins(Counter(items), 30)) == len(items)
-    assert more <= 2
+    for _ in range(500):
+        capacity = rng.choice([30, 50, 100])
+        items = sorted((rng.randrange(capacity // 10, capacity * 17 // 20) for _ in range(rng.randrange(5, 12))), reverse=True)
+        found = packing.planned(Counter(items), capacity)
+        total = sum(n for n, _ in found.bins)
+        exact = least(items, [], 12, capacity)
+        assert found.bound <= exact == total and found.proven and found.gap == 0
+        assert sorted(x for n, f in found.bins for x in f * n) == sorted(items) and all(sum(f) <= capacity for _, f in found.bins)
+        assert sum(n * len(f) for n, f in packing.best_fit_bins(Counter(items), capacity)) == len(items)
+    assert sum(n for n, _ in packing.plan(Counter([42, 36, 53, 39, 31, 23, 44, 43, 15, 15, 48]), 100)) == 4
+
+
+def test_undominated_fillings():
+    """All fillings that nothing dominates are enumerated, the least waste first."""
+    rng = random.Random(8)
+    for _ in range(120):
+        capacity = rng.randrange(20, 50)
+        pieces = Counter(rng.randrange(1, capacity) for _ in range(rng.randrange(2, 8)))
+        lengths = sorted(pieces)
+        own = pieces - Counter([lengths[-1]])
+        space = capacity - lengths[-1]
+        found = [tuple(f) for f in packing.undominated(lengths[-1], dict(pieces), lengths, capacity, space)]
+        every = {tuple(sorted(f, reverse=True)) for f in fillings(sorted(own.items()), space)}
+        assert len(set(found)) == len(found) and set(found) <= every
+        fits = lambda f: min((own - Counter(f)).elements(), default=space + 1) <= space - sum(f)
+        assert {f for f in every if not fits(f) and not dominated(f, own, space)} <= set(found)
+        assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+
+
+def test_gap_of_large_tables():
+    rng = random.Random(1)
+    found = packing.planned(Counter(rng.randrange(300, 1100) for _ in range(3000)), effort=2000)
+    total = sum(n for n, _ in found.bins)
+    assert found.gap == (0 if found.proven else total - found.bound) and total - found.bound <= 25
 
 
 def test_bound_is_reached_on_texts_of_usual_lengths():
