@@ -28,7 +28,7 @@ import zlib
 from array import array
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache, partial
 
@@ -244,11 +244,12 @@ def lower_bound(histogram: dict[int, int], capacity: int = CAPACITY) -> int:
     return best
 
 
-def undominated(largest: int, counts: dict[int, int], lengths: list[int], capacity: int, waste: int) -> Iterator[list[int]]:
+def undominated(largest: int, counts: dict[int, int], lengths: list[int], capacity: int, waste: int, spend: Callable[[int], bool] = lambda n: True) -> Iterator[list[int]]:
     """The undominated fillings around ``largest`` that waste at most ``waste``, the least waste first, each when it is asked for.
 
     A filling is dominated if a length left fits beside it, or fits in the place of one or two
-    members that it is at least as large as (and larger than one).
+    members that it is at least as large as (and larger than one). ``spend`` is told the lengths
+    that each filling was chosen from, dominated ones too, and may end the enumeration.
     """
     space = capacity - largest
     own = counts | {largest: counts[largest] - 1}
@@ -271,6 +272,8 @@ def undominated(largest: int, counts: dict[int, int], lengths: list[int], capaci
             continue
         spare = space - total
         for filling in of_sum(len(usable), total):
+            if not spend(len(usable) + 1):
+                return
             used = Counter(filling)
             left = [x for x in usable if own[x] > used[x]]
             beyond = lambda low, high, left=left: bisect_right(left, high) > bisect_right(left, low)  # noqa: E731  is there one left in (low, high]?
@@ -300,9 +303,14 @@ def branch(histogram: dict[int, int], best: int, bound: int, capacity: int = CAP
         """Waste that the bins to come may have in all, in a packing of less than best."""
         return (best - 1 - bins) * capacity - left
 
+    def spend(n: int) -> bool:
+        nonlocal tried
+        tried += n
+        return tried < effort
+
     def children(bins: int, left: int) -> Iterator[tuple[int, list[int]]]:
         lengths = sorted(counts)
-        for filling in undominated(lengths[-1], counts, lengths, capacity, spare(bins, left)):
+        for filling in undominated(lengths[-1], counts, lengths, capacity, spare(bins, left), spend):
             whole = [lengths[-1], *filling]
             need = Counter(whole)
             times = min(counts[x] // n for x, n in need.items())
@@ -321,14 +329,13 @@ def branch(histogram: dict[int, int], best: int, bound: int, capacity: int = CAP
     while stack:
         step = next(stack[-1], None)
         if step is None or tried >= effort or best <= bound:
-            spent = spent or (step is not None and tried >= effort)
+            spent = spent or tried >= effort
             stack.pop()
             if path:
                 times, filling = path.pop()
                 put(times, filling)
                 bins, left = bins - times, left + times * sum(filling)
             continue
-        tried += len(counts)
         times, filling = step
         put(-times, filling)
         bins, left = bins + times, left - times * sum(filling)
