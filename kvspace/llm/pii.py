@@ -238,14 +238,18 @@ class Detector:
             total = total + tree_column(node, lambda i: vector[i]) * weight
         return 1 / (1 + F.exp(-2 * total))
 
-    def chosen(self, kind: str, spans: Column) -> Column:
-        """The spans of a generated kind that reach its threshold; none of a detector without trees, which ``fit`` never gives."""
+    def chosen(self, spans: Column) -> Column:
+        """The spans of the generated kinds that reach their kind's threshold; none of a detector without trees, which ``fit`` never gives.
+
+        All kinds are judged in one pass, so that the trees stand in the plan once.
+        """
         if not self.trees:
             return F.filter(spans, lambda s: F.lit(False))
 
         def passes(s: Column) -> Column:  # features are held in an array, so that each is computed once for a span
-            vector = F.transform(F.array(F.array(*[f.cast("double") for f in features(F.lit(kind), s["value"], s["left"])])), lambda v: self.probability([F.get(v, F.lit(i)) for i in range(len(FEATURES))]))
-            return F.get(vector, F.lit(0)) >= self.thresholds[kind]
+            vector = F.transform(F.array(F.array(*[f.cast("double") for f in features(s["kind"], s["value"], s["left"])])), lambda v: self.probability([F.get(v, F.lit(i)) for i in range(len(FEATURES))]))
+            least = F.coalesce(*[F.when(s["kind"] == k, F.lit(p)) for k, p in self.thresholds.items()])
+            return F.get(vector, F.lit(0)) >= least
 
         return F.filter(spans, passes)
 
@@ -286,12 +290,18 @@ def fit(docs: DataFrame, contexts: int = CONTEXTS) -> Detector:
 def with_spans(docs: DataFrame, detector: Detector, column: str = "_pii") -> DataFrame:
     """docs with a struct ``column`` of the spans of every kind, arrays of (start, end)."""
     bare = lambda s: F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    name = unused(docs, "clean")
+    name, judged = unused(docs, "clean"), unused(docs, "judged")
     text = F.col(name)
-    named = docs.withColumn(name, clean(F.col("text")))
+    every = F.concat(*[F.transform(s, _named(k)) for k, s in candidate_spans(text).items()])
+    # the kinds' arrays read the judged spans several times, so these are a column of their own
+    named = docs.withColumn(name, clean(F.col("text"))).withColumn(judged, detector.chosen(every))
     columns = {k: bare(s) for k, s in base_spans(text).items()}
-    columns |= {k: bare(detector.chosen(k, s)) for k, s in candidate_spans(text).items()}
-    return named.withColumn(column, F.struct(*[c.alias(k) for k, c in columns.items()])).drop(name)
+    columns |= {k: bare(F.filter(judged, _of_kind(k))) for k in GENERATED}
+    return named.withColumn(column, F.struct(*[c.alias(k) for k, c in columns.items()])).drop(name, judged)
+
+
+def _of_kind(kind: str):
+    return lambda s: s["kind"] == kind
 
 
 def _written(kind: str):
