@@ -84,3 +84,49 @@ def test_prefix_statistics_follow_revisions(spark, tmp_path, seed):
     raw = S.run_available(S.prefix_stats_stream(arriving(spark, each, tmp_path / "again")), str(tmp_path / "run2"), "update")
     assert {r.sign for r in raw.select("sign").distinct().collect()} == {-1, 1}
     assert rows(S.prefix_current(raw.drop("batch"))) == rows(S.prefix_current(told))
+
+
+class _Held:
+    """A handle and its one value, counting what is asked of them."""
+
+    def __init__(self):
+        self.value, self.calls, self.timers = None, 0, []
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.append(at)
+
+
+class _Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.now
+
+
+def test_state_is_asked_for_parts_and_not_for_ids():
+    from pyspark.sql.types import StructType
+
+    from kvspace.streaming.state import BestOnce
+
+    own, held = BestOnce(StructType.fromDDL("task string, id string, at bigint, rank int"), ("task", "id"), "at", ("rank",), 10), _Held()
+    own.init(held)
+    arrived = [("t", f"i{k % 500}", 100 + k % 500 % 3, k // 500, 0) for k in range(1000)] + [("t", None, 100, 9, 0)]
+    assert list(own.handleInputRows((0,), iter(arrived), _Clock(0))) == []
+    assert held.calls == 3 and held.timers == [110]
+    told = list(own.handleExpiredTimer((0,), _Clock(111), None))
+    assert held.calls <= 6 and sorted((r.id, r["rank"]) for r in told) == sorted((f"i{k}", 1) for k in range(500) if k % 3 < 2)
