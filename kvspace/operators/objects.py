@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvspace.functions import keys, values
+from kvspace.functions.steps import computed_once
 from kvspace.operators.paging import page, page_total
 from kvspace.session import stored
 
@@ -17,13 +18,15 @@ _LATEST = ("main_revision", "sub_revision")
 CATEGORIES = {"managedFields": "metadata.managedFields", "annotations": "metadata.annotations", "labels": "metadata.labels", "spec": "spec", "status": "status", "data": "data", "binaryData": "binaryData"}
 
 
-def object_revisions(revisions: DataFrame) -> DataFrame:
+def object_revisions(revisions: DataFrame, *more: str) -> DataFrame:
     """Object revisions of puts (revisions with ``value``), with identity, status and fields, without the value.
 
-    Only values that classify as JSON objects reach the Python worker.
+    Only values that classify as JSON objects reach the Python worker. The parts of a key, its
+    identity and its value's class are each computed once for a row. ``more`` names columns to keep.
     """
-    own = revisions.filter(~F.col("tombstone")).withColumn("_i", keys.registry_identity(F.col("key_text"), F.col("key_hash"))).filter(F.col("_i").isNotNull())
-    classed = own.withColumn("_c", values.classify_value(F.col("value"), F.col("_i")))
+    puts = computed_once(revisions.filter(~F.col("tombstone")), {"_p": keys.registry_parts(F.col("key_text"))})
+    own = computed_once(puts, {"_i": keys.registry_identity(F.col("key_text"), F.col("key_hash"), F.col("_p"))}).filter(F.col("_i").isNotNull())
+    classed = computed_once(own, {"_c": values.classify_value(F.col("value"), F.col("_i"))})
     is_json = F.col("_c.decode_status") == "decoded_json"
     done = classed.withColumn("_f", values.field_stats(F.when(is_json, F.col("value").cast("string"))))
     return done.select(
@@ -33,6 +36,7 @@ def object_revisions(revisions: DataFrame) -> DataFrame:
         F.when(is_json, F.col("_f.status")).otherwise(F.col("_c.decode_status")).alias("decode_status"),
         F.octet_length("value").cast("bigint").alias("value_bytes"),
         F.when(is_json, F.col("_f.fields")).otherwise(F.array().cast("array<struct<path:string,byte_size:bigint,type_class:string,hash:string>>")).alias("fields"),
+        *more,
     )
 
 
@@ -43,6 +47,11 @@ def largest_field(fields: Column) -> Column:
     return F.struct(F.coalesce(first["path"], F.lit("")).alias("path"), F.coalesce(-first["b"], F.lit(0).cast("bigint")).alias("byte_size"))
 
 
+def with_largest(objects: DataFrame) -> DataFrame:
+    """objects with their largest field in a column of its own, so that what reads no other field may leave ``fields`` out."""
+    return objects.withColumn("largest", largest_field(F.col("fields")))
+
+
 def revisions_left_join_fields(objects: DataFrame) -> DataFrame:
     """One row for each field of each object revision; a revision without fields has one row of nulls."""
     return objects.select("key_hash", *_LATEST, F.explode_outer("fields").alias("f")).select("key_hash", *_LATEST, "f.*")
@@ -51,7 +60,8 @@ def revisions_left_join_fields(objects: DataFrame) -> DataFrame:
 def object_records(objects: DataFrame, revisions: DataFrame) -> DataFrame:
     """One row for each object, from its latest revision of each kind; each side is one grouped aggregate by key."""
     kept = ["task_id", *_LATEST, "storage_prefix", "api_group", "resource", "namespace", "object_name", "display_name", "crd", "cluster_scoped", "sensitive", "decode_status", "value_bytes"]
-    semantic = objects.withColumn("_largest", largest_field(F.col("fields"))).groupBy("key_hash").agg(F.max_by(F.struct(*kept, "_largest"), F.struct(*_LATEST)).alias("s"), F.sum("value_bytes").alias("all_bytes"))
+    largest = F.col("largest") if "largest" in objects.columns else largest_field(F.col("fields"))
+    semantic = objects.withColumn("_largest", largest).groupBy("key_hash").agg(F.max_by(F.struct(*kept, "_largest"), F.struct(*_LATEST)).alias("s"), F.sum("value_bytes").alias("all_bytes"))
     mvcc = revisions.groupBy("key_hash").agg(F.max_by(F.struct(*_LATEST, "tombstone"), F.struct(*_LATEST)).alias("m"), F.count("*").alias("revision_count"))
     live = ~F.col("m.tombstone")
     same = live & (F.col("s.main_revision") == F.col("m.main_revision")) & (F.col("s.sub_revision") == F.col("m.sub_revision"))
@@ -140,9 +150,12 @@ def adjacent_field_diff(objects: DataFrame, span: int = SPAN) -> DataFrame:
         carried = rows.filter("_last").select("key_hash", "_span", F.lag(F.struct("task_id", *_LATEST, "fields")).over(over).alias("_carried"))
         joined = rows.join(carried, ["key_hash", "_span"], "left")
         rows = joined.withColumns({"_before": F.coalesce("_before", "_carried.fields"), "previous_main_revision": F.coalesce("previous_main_revision", "_carried.main_revision")})
-    diffed = rows.filter(F.col("_before").isNotNull()).withColumn("d", compare_fields(F.col("_before"), F.col("fields")))
-    flags = diff_flags(F.concat("d.added_paths", "d.removed_paths", "d.modified_paths"))
-    return diffed.select("task_id", "key_hash", "previous_main_revision", F.col("main_revision").alias("current_main_revision"), "d.*", flags.alias("x")).select("*", "x.*").drop("x")
+    own = rows.filter(F.col("_before").isNotNull()).select("task_id", "key_hash", "previous_main_revision", F.col("main_revision").alias("current_main_revision"), "_before", "fields")
+    # the comparison walks over both arrays several times, so it and the flags are not repeated for each column of theirs
+    diffed = computed_once(own, {"d": compare_fields(F.col("_before"), F.col("fields"))}).drop("_before", "fields").select("*", "d.*").drop("d")
+    changed = F.concat("added_paths", "removed_paths", "modified_paths")
+    flagged = computed_once(computed_once(diffed, {"_changed": changed}), {"x": diff_flags(F.col("_changed"))})
+    return flagged.drop("_changed").select("*", "x.*").drop("x")
 
 
 OBJECT_SORTS = {"name": "display_name", "current_bytes": "current_bytes", "historical_bytes": "historical_bytes", "revision_count": "revision_count", "largest_field": "largest_field_bytes"}
