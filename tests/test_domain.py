@@ -47,3 +47,10 @@ def test_values_are_taken_apart_once(spark, name):
 
 def test_field_comparison_stands_in_the_plan_once(spark):
     assert _plan(catalog.QUERIES["adjacent_field_diff"](spark, SF)).count("array_except(") <= 4
+
+
+def test_audit_lines_are_parsed_once_for_the_head(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(catalog, "_sets", lambda *a: made.append(a))
+    head = catalog.audit_evidence(spark, SF)
+    assert "from_json" not in _plan(head) and not made and head.count() == 1
