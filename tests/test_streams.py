@@ -118,7 +118,7 @@ class _Clock:
         return self.now
 
 
-def test_state_is_asked_for_parts_and_not_for_ids():
+def test_state_is_asked_for_parts_and_not_for_ids(spark):
     from pyspark.sql.types import StructType
 
     from kvspace.streaming.state import BestOnce
