@@ -40,7 +40,7 @@ from pyspark.sql import types as t
 
 from kvspace.llm.ranks import PART_ROWS, PARTS, number_within
 from kvspace.llm.store import materialize
-from kvspace.llm.text import extend
+from kvspace.llm.text import buffers, extend
 
 CAPACITY = 2048
 END = 0
@@ -49,10 +49,15 @@ ALLOWANCES = (0, 8, 32, 64, 128)
 #: What branch and bound may spend: each filling that it tries costs as much as there are lengths left; and the number
 #: of lengths up to which it bounds what is left anew for each filling.
 EFFORT, FEW = 60_000, 64
-#: Words remembered by a worker, about 200 bytes each.
+#: Words remembered by a worker, about 200 bytes each; the half that was asked for last outlives the other. The words of one slice of texts may come on top.
 MEMORY = 300_000
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[0x09:0x0E] = _SPACE[0x20] = True
+
 _PLAIN = re.compile("[^\x00-\x1b\x20-ɏ]|[İŉǰ]")
+#: Bytes of which no sign that _PLAIN looks for consists; texts of them alone need no search.
+_FINE = bytes({*range(0xC0)} - {*range(0x1C, 0x20)} | {0xC2, 0xC3, 0xC6, 0xC8})
 
 
 #: ASCII marks that the tokenizer keeps in one run; the apostrophe is apart.
@@ -80,7 +85,7 @@ _SPLITTER = {
 
 @cache
 def _tokenizer(path: str):
-    """(tokenizer, ids by word, whether texts may be taken apart)."""
+    """(tokenizer, ids by word asked for lately and before that, whether texts may be taken apart)."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -90,39 +95,85 @@ def _tokenizer(path: str):
     tok = Tokenizer.from_file(path)
     state = lambda part: json.loads(part.__getstate__()) if part else None
     known = isinstance(tok.model, BPE) and state(tok.normalizer) == _NORMALIZER and state(tok.pre_tokenizer) == _SPLITTER and not tok.truncation and not tok.padding
-    return tok, {}, known and all(x.content.startswith("<|") for x in tok.get_added_tokens_decoder().values())
+    return tok, [{}, {}], known and all(x.content.startswith("<|") for x in tok.get_added_tokens_decoder().values())
 
 
 def token_bytes(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers.
 
     A tokenizer of the settings above drops white space and never joins across it, so a
-    text's ids are those of its parts between white space one after the other. Parts of plain
-    letters are remembered in lower case, with marks after them told apart. Texts with other
-    characters, and all texts for other tokenizers, go to the tokenizer whole.
+    text's ids are those of its parts between white space one after the other. Each distinct
+    part of the texts is looked up once, in lower case; plain letters are remembered, with
+    marks after them told apart. Texts with other characters, and all texts for other
+    tokenizers, go to the tokenizer whole.
     """
     tok, memory, apart = _tokenizer(path)
-    pack = lambda ids: array("I", ids).tobytes()
     if not apart:
-        return [pack(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
-    if len(memory) > MEMORY:
-        memory.clear()
-    parts: list[list[str] | None] = [None if _PLAIN.search(x) or "<|" in x else x.lower().split() for x in texts]
-    unknown = set().union(*(x for x in parts if x is not None)).difference(memory)
-    asked = []
-    for p in unknown:
+        return [_packed(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    out = [_packed(tok.encode(x, add_special_tokens=False).ids) if (x.encode("utf-8", "replace").translate(None, _FINE) and _PLAIN.search(x)) or "<|" in x else None for x in texts]
+    plain = [k for k, v in enumerate(out) if v is None]
+    for k, v in zip(plain, _of_parts([texts[k].lower().replace("\x85", " ").replace("\xa0", " ") for k in plain], tok, memory), strict=True):
+        out[k] = v
+    return out
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def _of_parts(texts: list[str], tok, memory: list[dict[str, bytes]]) -> list[bytes]:
+    """Ids of lower-case texts, from those of their distinct parts between ASCII white space."""
+    data, at = buffers(pa.array(texts, pa.large_string()))
+    at = at - at[0]
+    inside = ~_SPACE[data[: at[-1]]]
+    fresh = np.append(True, ~inside)
+    fresh[at] = True
+    starts = np.flatnonzero(inside & fresh[:-1])
+    first = np.searchsorted(starts, at)
+    kept = data[: at[-1]][inside]
+    offsets = np.append(np.cumsum(inside)[starts] - 1, len(kept))
+    parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept)).dictionary_encode()
+    known = _ids_of(parts.dictionary.to_pylist(), tok, memory)
+    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    begin = np.cumsum(size) - size
+    code = parts.indices.to_numpy()
+    end = np.cumsum(size[code])
+    place = np.repeat(begin[code] - end + size[code], size[code])
+    place += np.arange(len(place))
+    ids = np.frombuffer(b"".join(known), np.uint32)[place]
+    bounds = np.append(0, end)[first]
+    return [ids[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _ids_of(parts: list[str], tok, memory: list[dict[str, bytes]]) -> list[bytes]:
+    """Ids of each part. Letters, and the marks after them, are a unit of the model each, and are remembered."""
+    if len(memory[0]) > MEMORY // 2:
+        memory[:] = {}, memory[0]  # what was asked for lately stays
+    recent, before = memory
+    model = tok.model
+
+    def of(unit: str) -> bytes:
+        ids = recent.get(unit)
+        if ids is None:
+            ids = before.get(unit)
+            if ids is None:
+                ids = _packed([y.id for y in model.tokenize(unit if unit.isascii() else "".join(map(_byte_signs().__getitem__, unit.encode())))])
+            recent[unit] = ids
+        return ids
+
+    out, asked = [], []
+    for k, p in enumerate(parts):
         stem = p.rstrip(_MARKS)
         if stem and not stem.isalpha():
-            asked.append(p)
-            continue
-        for x in (stem, p[len(stem) :]):  # a run of letters and a run of marks are a unit of the model each
-            if x and x not in memory:
-                memory[x] = pack([y.id for y in tok.model.tokenize(x if x.isascii() else "".join(map(_byte_signs().__getitem__, x.encode())))])
-        if stem and stem != p:
-            memory[p] = memory[stem] + memory[p[len(stem) :]]
-    for a, e in zip(asked, tok.encode_batch(asked, add_special_tokens=False), strict=True):
-        memory[a] = pack(e.ids)
-    return [pack(tok.encode(x, add_special_tokens=False).ids) if p is None else b"".join(map(memory.__getitem__, p)) for x, p in zip(texts, parts, strict=True)]
+            asked.append(k)
+            out.append(b"")
+        elif len(stem) == len(p) or not stem:
+            out.append(of(p))
+        else:
+            out.append(of(stem) + of(p[len(stem) :]))
+    for k, e in zip(asked, tok.encode_batch([parts[k] for k in asked], add_special_tokens=False), strict=True):
+        out[k] = _packed(e.ids)
+    return out
 
 
 _PIECE = t.ArrayType(t.StructType([t.StructField("piece", t.IntegerType()), t.StructField("start", t.LongType()), t.StructField("length", t.LongType()), t.StructField("ids_crc32", t.LongType())]))

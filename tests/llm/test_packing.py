@@ -26,6 +26,39 @@ def test_tokens():
     assert [np.frombuffer(b, "<u4").tolist() + [0] for b in found] == [ids_of(t) for t in ODD]
 
 
+def test_frequent_words_stay_remembered(monkeypatch):
+    """However many words of one text come by, words of every text are asked for once, and memory is bounded."""
+    real, memory, _ = packing._tokenizer.__wrapped__(PATH)
+    asked = Counter()
+
+    class Counting:
+        model = property(lambda self: self)
+
+        def tokenize(self, unit):
+            asked[unit] += 1
+            return real.model.tokenize(unit)
+
+        def encode_batch(self, texts, **kw):
+            return real.encode_batch(texts, **kw)
+
+    monkeypatch.setattr(packing, "MEMORY", 300)
+    monkeypatch.setattr(packing, "_tokenizer", lambda path: (Counting(), memory, True))
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    for k in range(12):
+        text = " ".join([f"often{letters(i)}" for i in range(60)] + [f"once{letters(100 * k + i)}." for i in range(60)] + ["12a3"])
+        assert np.frombuffer(packing.token_bytes([text], PATH)[0], "<u4").tolist() + [0] == ids_of(text)
+    assert asked["oftena"] == 1 and max(asked.values()) == 1
+    assert sum(map(len, memory)) <= 300 + 2 * 121
+
+
+def test_white_space_and_signs_of_any_kind():
+    rng = random.Random(5)
+    signs = "aBé\u00c0\u00df '\t\n\x0b\x0c\r\x1b\x1c\x1f\x00\x85\xa0.,-_12!<|>s\u0100\u0130\u0149\u01c5\u01f0\u024f\u0250\u4e00\u2003"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    own = Tokenizer.from_file(PATH)
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.token_bytes(texts, PATH)] == [own.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_placement(spark):
     rng = random.Random(4)
     texts = ODD + ["word " * rng.choice([3, 50, 400, 1500, 2047, 2048, 5000]) + f"end {i}" for i in range(60)] + ["same text"] * 40
