@@ -18,20 +18,27 @@ _LATEST = ("main_revision", "sub_revision")
 CATEGORIES = {"managedFields": "metadata.managedFields", "annotations": "metadata.annotations", "labels": "metadata.labels", "spec": "spec", "status": "status", "data": "data", "binaryData": "binaryData"}
 
 
+_IDENTITY = (("storage_prefix", "storage_prefix"), ("api_group", "api_group"), ("resource", "resource"), ("namespace", "namespace"), ("name", "object_name"), ("display_name", "display_name"), ("crd", "crd"), ("cluster_scoped", "cluster_scoped"), ("sensitive", "sensitive"))
+
+
+def _identified(revisions: DataFrame) -> DataFrame:
+    """The puts of registry objects, with their identity ``_i``."""
+    puts = computed_once(revisions.filter(~F.col("tombstone")), {"_p": keys.registry_parts(F.col("key_text"))})
+    return computed_once(puts, {"_i": keys.registry_identity(F.col("key_text"), F.col("key_hash"), F.col("_p"))}).filter(F.col("_i").isNotNull())
+
+
 def object_revisions(revisions: DataFrame, *more: str) -> DataFrame:
     """Object revisions of puts (revisions with ``value``), with identity, status and fields, without the value.
 
     Only values that classify as JSON objects reach the Python worker. The parts of a key, its
     identity and its value's class are each computed once for a row. ``more`` names columns to keep.
     """
-    puts = computed_once(revisions.filter(~F.col("tombstone")), {"_p": keys.registry_parts(F.col("key_text"))})
-    own = computed_once(puts, {"_i": keys.registry_identity(F.col("key_text"), F.col("key_hash"), F.col("_p"))}).filter(F.col("_i").isNotNull())
-    classed = computed_once(own, {"_c": values.classify_value(F.col("value"), F.col("_i"))})
+    classed = computed_once(_identified(revisions), {"_c": values.classify_value(F.col("value"), F.col("_i"))})
     is_json = F.col("_c.decode_status") == "decoded_json"
     done = classed.withColumn("_f", values.field_stats(F.when(is_json, F.col("value").cast("string"))))
     return done.select(
         "task_id", "key_hash", "main_revision", "sub_revision",
-        *[F.col(f"_i.{a}").alias(b) for a, b in (("storage_prefix", "storage_prefix"), ("api_group", "api_group"), ("resource", "resource"), ("namespace", "namespace"), ("name", "object_name"), ("display_name", "display_name"), ("crd", "crd"), ("cluster_scoped", "cluster_scoped"), ("sensitive", "sensitive"))],
+        *[F.col(f"_i.{a}").alias(b) for a, b in _IDENTITY],
         F.col("_c.content_type").alias("content_type"),
         F.when(is_json, F.col("_f.status")).otherwise(F.col("_c.decode_status")).alias("decode_status"),
         F.octet_length("value").cast("bigint").alias("value_bytes"),
@@ -40,6 +47,15 @@ def object_revisions(revisions: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def object_sizes(revisions: DataFrame, *more: str) -> DataFrame:
+    """What object_revisions tells without looking into values: identity and size. Status and largest field are null, and there are no fields.
+
+    Records for diffs need no more, and no value is parsed or reaches a Python worker.
+    """
+    unseen = [F.lit(None).cast("string").alias("decode_status"), F.lit(None).cast("struct<path:string,byte_size:bigint>").alias("largest")]
+    return _identified(revisions).select("task_id", "key_hash", "main_revision", "sub_revision", *[F.col(f"_i.{a}").alias(b) for a, b in _IDENTITY], *unseen, F.octet_length("value").cast("bigint").alias("value_bytes"), *more)
+
+
 def largest_field(fields: Column) -> Column:
     """(path, byte_size) of the largest field; the least path of equals."""
     ordered = F.array_sort(F.transform(fields, lambda f: F.struct((-f["byte_size"]).alias("b"), f["path"].alias("path"))))

@@ -53,6 +53,16 @@ def test_stages(spark):
     assert {(r.audit_id_hash, r.response_code, r.line_number) for r in own.collect()} == {(sha("a1"), 204, 2), (sha("b"), 200, 5)}
 
 
+def test_window_without_all_events_normalized(spark):
+    """The same as normalizing everything first: a read that comes last, or a write outside, decides over its id."""
+    cases = [line(), line(stage="RequestReceived", verb="get"), line(auditID="b", verb="get"), line(auditID="b", stage="RequestReceived"), line(auditID="c", stageTimestamp="2026-08-03T12:00:00Z"), line(auditID="c", stage="Panic"), line(auditID="", verb="patch"), "{bad", "[]", line(auditID="d", verb="PATCH", sourceIPs=None)]
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate(cases, 1)], "line_number bigint, line string")
+    wanted = lambda e: E.audit_writes(e, datetime(2026, 8, 3, 9), datetime(2026, 8, 3, 11))
+    whole = wanted(A.audit_dedup(events(spark, *cases)[1]))
+    found = A.audit_window(lines, "t", wanted)
+    assert found.schema == whole.schema and sorted(found.collect()) == sorted(whole.collect()) and {r.line_number for r in found.collect()} == {1, 7, 10}
+
+
 def test_networks(spark):
     cases = {"172.18.9.200": "172.18.9.0/24", "2001:db8:aa:7::9": "2001:db8:aa:7::/64", "::1": "::/64", "no ip": "unknown", "300.1.1.1": "unknown", "01.2.3.4": "unknown", "a:b": "unknown"}
     df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "ip string").select("ip", requests.mask_network(F.col("ip")).alias("m"))

@@ -153,3 +153,16 @@ def test_field_diffs(spark):
     for r, (_, _, expected, flags) in zip(found, DIFFS, strict=True):
         assert (r.d.added_paths, r.d.removed_paths, r.d.modified_paths, r.d.byte_delta) == expected
         assert {n for n in ("managed_fields_only", "status_only", "timestamp_only") if r.f[n]} == flags
+
+
+def test_sizes_without_values_taken_apart(spark):
+    """Records for diffs are those of whole object revisions, and no value reaches a Python worker."""
+    from kvspace.plans import domain as d
+
+    revs = d.revisions(spark, "/root/testdata/sf0.001", with_value=True)
+    light, whole = O.object_sizes(revs), O.with_largest(O.object_revisions(revs))
+    plan = light._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "ArrowEval" not in plan
+    unseen = ("decode_status", "largest_field_path", "largest_field_bytes")
+    a, b = (O.object_records(o, revs.drop("value")).drop(*unseen).select(sorted(set(O.object_records(o, revs.drop("value")).columns) - set(unseen))).collect() for o in (light, whole))
+    assert len(a) > 10 and sorted(a) == sorted(b)
