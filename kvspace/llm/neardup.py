@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from kvspace.llm.ranks import SALTS, attach
-from kvspace.llm.store import cut, materialize
-from kvspace.llm.text import buffers, extend, mix, slices, unused, windows, words
+from kvspace.llm.store import cut, materialize, small_batches
+from kvspace.llm.text import SMALL, buffers, extend, mix, slices, unused, windows, words
 from kvspace.llm.urls import MAX_LISTED, build_filter, hit
 
 SHINGLE = 5
@@ -110,7 +110,12 @@ def inverse_frequency(docs: DataFrame, floor: float = FLOOR, most: int = MAX_FRE
     """
 
     def counted(held):
-        return np.unique(np.concatenate(held), return_counts=True)
+        """As np.unique with counts, in 32 bits and without copies; held is emptied."""
+        every = np.concatenate(held)
+        held.clear()
+        every.sort()
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])).astype(np.int32)
+        return every[first], np.diff(first, append=np.int32(len(every)))
 
     def merged(a, b):
         shingle, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
@@ -128,7 +133,7 @@ def inverse_frequency(docs: DataFrame, floor: float = FLOOR, most: int = MAX_FRE
             return pa.RecordBatch.from_arrays([pa.array(np.append(shingle[known].astype(np.int64), -1)), pa.array(np.append(df[known], size_of_last))], names=["shingle", "df"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL):
                 _, shingle, _, _ = _shingles(part, prints=False)
                 held.append(shingle)
                 n, size = n + part.num_rows, size + len(shingle)
@@ -159,7 +164,7 @@ def inverse_frequency(docs: DataFrame, floor: float = FLOOR, most: int = MAX_FRE
         known = shared.value
         df = np.zeros(len(known), dtype=np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL):
                 _, shingle, _, _ = _shingles(part, prints=False)
                 place = np.minimum(np.searchsorted(known, shingle), len(known) - 1)
                 df += np.bincount(place[known[place] == shingle], minlength=len(known))
@@ -234,7 +239,7 @@ def signatures(docs: DataFrame, idf: Idf, bands: int = BANDS, rows: int = ROWS)
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SMALL):
                 row, shingle, count, prints = _shingles(part)
                 keys = _bands(row, shingle, count * shared.value.of(shingle), part.num_rows, bands, rows)
                 has = np.bincount(row, minlength=part.num_rows) > 0
@@ -258,7 +263,7 @@ def _shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             known = batch.column("key")
             picked = batch.filter(pa.array(hit(known.fill_null(0).to_numpy(), shared.value) | np.asarray(known.is_null())))
-            for part in slices(picked, "text"):
+            for part in slices(picked, "text", SMALL):
                 row, shingle, count, prints = _shingles(part)
                 first = np.searchsorted(row, np.arange(part.num_rows + 1))
                 grams = [shingle[a:b].tobytes() + count[a:b].astype(np.uint32).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
@@ -338,13 +343,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
 def _classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, floor: float = FLOOR) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of docs, and (node, root, class_id, class_size): root is the least node of the class."""
-    idf = inverse_frequency(docs, floor)
-    signed = materialize(signatures(docs, idf, bands, rows), "signatures")
-    nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
-    roots = class_roots(docs, nodes, idf, similarity)
-    named = nodes.select("node", "doc_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    return signed.select("doc_id", "node"), materialize(attach(named.select("node", "root"), classes, "root"), "classes")
+    with small_batches(docs.sparkSession):
+        idf = inverse_frequency(docs, floor)
+        signed = materialize(signatures(docs, idf, bands, rows), "signatures")
+        nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
+        roots = class_roots(docs, nodes, idf, similarity)
+        named = nodes.select("node", "doc_id", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        classes = named.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
+        return signed.select("doc_id", "node"), materialize(attach(named.select("node", "root"), classes, "root"), "classes")
 
 
 def class_roots(docs: DataFrame, nodes: DataFrame, idf: Idf, similarity: float = SIMILARITY) -> DataFrame:
@@ -427,6 +433,6 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     kept = attach(signed, named, "node").filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
     number, node = unused(docs, "number"), unused(docs, "node")
     one = lambda df, key: df.withColumn(number, F.row_number().over(Window.partitionBy(key).orderBy("text"))).filter(F.col(number) == 1).select(*docs.columns)
-    nameless = extend(docs.filter("doc_id IS NULL"), "text", [t.StructField(node, t.BinaryType())], lambda part: [pa.array(_shingles(part)[3], pa.binary())])
+    nameless = extend(docs.filter("doc_id IS NULL"), "text", [t.StructField(node, t.BinaryType())], lambda part: [pa.array(_shingles(part)[3], pa.binary())], most=SMALL)
     alone = named.filter("class_id IS NULL AND node = root").select(F.col("node").alias(node))
     return one(docs.join(kept, "doc_id", "left_semi"), "doc_id").unionByName(one(nameless.join(alone, node, "left_semi"), node))

@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from kvspace.llm.ranks import PART_ROWS, PARTS, number_within
-from kvspace.llm.store import materialize
-from kvspace.llm.text import buffers, extend
+from kvspace.llm.store import materialize, small_batches
+from kvspace.llm.text import SMALL, buffers, extend
 
 CAPACITY = 2048
 END = 0
@@ -191,7 +191,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
             out.append([{"piece": k, "start": a, "length": min(capacity, n - a), "ids_crc32": zlib.crc32(ids[4 * a : 4 * (a + capacity)])} for k, a in enumerate(range(0, n, capacity))])
         return [pa.array(out, arrow)]
 
-    return extend(docs.select("doc_id", "text"), "text", [t.StructField("_pieces", _PIECE)], make, keep=["doc_id"]).select("doc_id", F.inline("_pieces"))
+    return extend(docs.select("doc_id", "text"), "text", [t.StructField("_pieces", _PIECE)], make, keep=["doc_id"], most=SMALL).select("doc_id", F.inline("_pieces"))
 
 
 def _reachable(lengths: list[int], counts: dict[int, int], space: int) -> list[int]:
@@ -472,4 +472,6 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
-    return pack(materialize(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        cut = materialize(pieces(docs, tokenizer, capacity), "pieces")
+    return pack(cut, capacity)

@@ -92,12 +92,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING)
     """(label, statistics) of at most ``limit`` labelled documents outside the held-out fold.
 
     The document ids are chosen first, and their bounded list is broadcast to the documents.
+    Statistics are made where the texts are read: no text goes to the one task that gathers the rows.
     """
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    one = picked.groupBy("doc_id").agg(F.min_by(F.struct("label", "text"), F.struct(F.xxhash64("text"), "text")).alias("one")).select("one.*")
-    return cut(with_statistics(one, ["label"]).coalesce(1))
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("hash", F.xxhash64("text"))
+    made = with_statistics(picked, ["doc_id", "label", "hash"])
+    one = made.groupBy("doc_id").agg(F.min(F.struct("hash", "label", *STATISTICS)).alias("one")).select("one.label", *[f"one.{k}" for k in STATISTICS])
+    return cut(one.coalesce(1))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> Ensemble:

@@ -19,6 +19,8 @@ import pyarrow as pa
 CHUNK = 1 << 19
 #: Text bytes per slice of a batch that the operators work on at a time.
 SLICE = 4 << 20
+#: Text bytes per slice where arrays of many times its size are made of it; a worker keeps what it once took.
+SMALL = 1 << 20
 
 _U = np.uint64
 _IS_WORD = np.zeros(256, dtype=bool)
@@ -61,14 +63,14 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about SLICE bytes of text, one row at least."""
+def slices(batch: pa.RecordBatch, column: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``most`` (SLICE) bytes of text, one row at least."""
     if not batch.num_rows:
         return
     _, at = buffers(batch.column(column))
     begin = 0
     while begin < batch.num_rows:
-        end = int(np.searchsorted(at, at[begin] + SLICE, "right")) - 1
+        end = int(np.searchsorted(at, at[begin] + (most or SLICE), "right")) - 1
         end = min(max(end, begin + 1), batch.num_rows)
         yield batch.slice(begin, end - begin)
         begin = end
@@ -157,10 +159,10 @@ def unused(df, name: str) -> str:
     return name
 
 
-def extend(df, column: str, fields, make, keep: list[str] | None = None):
+def extend(df, column: str, fields, make, keep: list[str] | None = None, most: int | None = None):
     """df (or its columns ``keep``) with the columns ``fields`` that ``make`` adds.
 
-    ``make`` gets a record batch of about SLICE bytes of ``column`` and returns one Arrow
+    ``make`` gets a record batch of about ``most`` (SLICE) bytes of ``column`` and returns one Arrow
     array for each field. Columns of df that have a field's name are replaced.
     """
     from pyspark.sql import types as t
@@ -173,7 +175,7 @@ def extend(df, column: str, fields, make, keep: list[str] | None = None):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, most):
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + make(part), names=titles)
 
     return df.select(*carried).mapInArrow(run, schema)

@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from kvspace.llm import packing
@@ -218,3 +219,32 @@ def test_completion_finds_the_exact_filling():
     assert sum(packing.completion(1000, counts, sorted(counts), 2048)) == 1048  # best fit alone would take 700 and 348
     counts = {1000: 1, 699: 1, 524: 2}
     assert sorted(packing.completion(1000, counts, sorted(counts), 2048)) == [524, 524]
+
+
+def test_workers_get_little_text_at_once(spark, monkeypatch):
+    """A worker keeps the memory that it once took: texts are looked up a MB at a time, and batches are bounded in bytes."""
+    import pyarrow as pa
+
+    from kvspace.llm.store import BATCH, small_batches
+
+    class Caught:
+        def select(self, *columns):
+            return self
+
+        schema = {"doc_id": T.StructField("doc_id", T.LongType())}
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            self.run = run
+            return self
+
+    asked = []
+    monkeypatch.setattr(packing, "token_bytes", lambda texts, path: asked.append(sum(map(len, texts))) or [b""] * len(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(800)), pa.array(["some words " * 1000] * 800)], names=["doc_id", "text"])
+    assert sum(b.num_rows for b in packing.pieces(Caught(), PATH).run([batch])) == 800
+    assert sum(asked) == 800 * 11_000 and max(asked) <= 1 << 20
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat('some words ', 1000) AS text")
+    sizes = lambda: [r.n for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long").collect()]
+    with small_batches(spark):
+        assert max(sizes()) < BATCH + 20_000
+    assert max(sizes()) > 4 * BATCH  # what a session sets is left as it was

@@ -78,3 +78,15 @@ def test_texts_of_one_labelled_id(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in (1, 2, 3)], "doc_id long, quality int")
     rows = quality.training_rows(docs, labels)
     assert rows.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in (1, 2, 3))
+
+
+def test_no_text_goes_to_the_gathering_task(spark, tables, monkeypatch):
+    """The task that gathers all training rows gets numbers alone, however long the texts are."""
+    monkeypatch.setattr(quality, "cut", lambda df: df)
+    docs, labels = tables
+    plan = quality.training_rows(docs, labels)._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Aggregate":
+        plan = plan.children().head()
+    into = plan.children().head().output()
+    names = [into.apply(i).name() for i in range(into.size())]
+    assert set(quality.STATISTICS) <= set(names) and "text" not in names
