@@ -114,7 +114,7 @@ def inverse_frequency(docs: DataFrame, floor: float = FLOOR, most: int = MAX_FRE
         every = np.concatenate(held)
         held.clear()
         every.sort()
-        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])).astype(np.int32)
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])[: len(every)]).astype(np.int32)
         return every[first], np.diff(first, append=np.int32(len(every)))
 
     def merged(a, b):
