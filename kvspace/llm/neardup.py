@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from kvspace.llm.ranks import SALTS, attach
-from kvspace.llm.store import cut, materialize, small_batches
+from kvspace.llm.store import cut, materialize, shuffled_joins, small_batches
 from kvspace.llm.text import SMALL, buffers, extend, mix, slices, unused, windows, words
 from kvspace.llm.urls import MAX_LISTED, build_filter, hit
 
@@ -343,7 +343,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
 
 def _classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, floor: float = FLOOR) -> tuple[DataFrame, DataFrame]:
     """(doc_id, node) of docs, and (node, root, class_id, class_size): root is the least node of the class."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession), shuffled_joins(docs.sparkSession):
         idf = inverse_frequency(docs, floor)
         signed = materialize(signatures(docs, idf, bands, rows), "signatures")
         nodes = materialize(signed.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")

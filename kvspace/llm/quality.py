@@ -3,7 +3,8 @@
 Statistics of whole texts are Spark columns. Small trees fitted on a bounded sample of the
 labelled rows give conjunctive rules over these statistics; a lasso logistic regression over
 the rules keeps few of them; the rules and weights are compiled into one column expression
-that scores every document.
+that scores every document. The regression runs in the task that holds the sample: as a job for
+each of its steps it would leave the driver 8 MB of broadcasts a step.
 
 Null texts count as empty; a text without words has statistics of 0 for its words. Very long
 texts are read whole. Labels that are null are left out, of several labels of a document the
@@ -18,7 +19,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,6 +105,86 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING)
     return cut(one.coalesce(1))
 
 
+def held_rules(statistics: np.ndarray, rules: list[Rule]) -> np.ndarray:
+    """Rows x rules: 1 where the rule holds."""
+    out = np.ones((len(statistics), len(rules)))
+    for k, rule in enumerate(rules):
+        for f, greater, threshold in rule:
+            x = statistics[:, f]
+            out[:, k] *= (x > threshold) if greater else (x <= threshold)
+    return out
+
+
+def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float = LASSO) -> tuple[float, np.ndarray]:
+    """As ``descend`` for columns of 0 and 1; columns that are equal, or each other's opposite, share their weight evenly."""
+    turned = x[0] == 1
+    kinds, kind, size = np.unique(np.where(turned, 1 - x, x), axis=1, return_inverse=True, return_counts=True)
+    intercept, weights = descend(kinds, y, penalty)
+    share = (weights / size)[kind.reshape(-1)]
+    return intercept + float(share[turned].sum()), np.where(turned, -share, share)
+
+
+def descend(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 60, tol: float = 1e-7) -> tuple[float, np.ndarray]:
+    """(intercept, weights) of the least mean logistic loss plus penalty * sum |weight|, where y has both classes.
+
+    Proximal Newton steps, each solved by coordinate descent and shortened until the loss falls;
+    the intercept is the last coordinate and has no penalty.
+    """
+    n = len(y)
+    x = np.column_stack([x, np.ones(n)])
+    least = np.append(np.full(x.shape[1] - 1, penalty), 0.0)
+    w = np.zeros(x.shape[1])
+    w[-1] = math.log(y.sum() / (n - y.sum()))
+    loss = lambda w: float(np.mean(np.logaddexp(0, x @ w) - y * (x @ w)) + least @ np.abs(w))
+    now = loss(w)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        slope = x.T @ (p - y) / n
+        bend = (x * (np.maximum(p * (1 - p), 1e-6) / n)[:, None]).T @ x
+        d, moved = np.zeros_like(w), np.zeros_like(w)  # the step, and bend @ step
+
+        def swept(at, w=w, slope=slope, bend=bend, d=d, moved=moved) -> float:
+            most = 0.0
+            for j in at:
+                a, z = bend[j, j], w[j] + d[j]
+                u = a * z - slope[j] - moved[j]
+                change = math.copysign(max(abs(u) - least[j], 0.0), u) / a - z
+                if change:
+                    d[j] += change
+                    moved += change * bend[:, j]
+                    most = max(most, abs(change) * math.sqrt(a))
+            return most
+
+        every = np.flatnonzero(np.diag(bend) > 0)
+        for _ in range(100):
+            if swept(every) < tol:
+                break
+            for _ in range(100):
+                if swept(every[(w + d)[every] != 0]) < tol:
+                    break
+        fall = float(slope @ d + least @ (np.abs(w + d) - np.abs(w)))
+        t = 1.0
+        while t > 1e-6 and (after := loss(w + t * d)) > now + 1e-4 * t * fall:
+            t /= 2
+        if t <= 1e-6 or now - after < tol * tol:
+            break
+        w, now = w + t * d, after
+    return float(w[-1]), w[:-1]
+
+
+def weights_of(rows: DataFrame, rules: list[Rule]) -> tuple[float, list[float]]:
+    """(intercept, weight of each rule), fitted in one task on the bounded rows (label, statistics)."""
+
+    def run(batches):
+        table = [np.column_stack([batch.column(c).to_numpy() for c in ("label", *STATISTICS)]) for batch in batches]
+        both = np.concatenate(table) if table else np.zeros((0, len(STATISTICS) + 1))
+        intercept, weights = lasso_logistic(held_rules(both[:, 1:], rules), both[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array([intercept]), pa.array([weights.tolist()])], names=["intercept", "weights"])
+
+    found = rows.select("label", *STATISTICS).coalesce(1).mapInArrow(run, "intercept double, weights array<double>").collect()[0]
+    return found["intercept"], found["weights"]
+
+
 def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> Ensemble:
     rows = training_rows(docs, labels, limit)
     n, good = rows.agg(F.count("*"), F.sum("label")).first()
@@ -113,10 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING) -> Ensemb
     balance = F.when(F.col("label") > 0, n / (2 * good)).otherwise(n / (2 * (n - good)))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, minInstancesPerNode=5, seed=7, weightCol="w", featureSubsetStrategy="onethird").fit(both.withColumn("w", balance))
     rules = sorted(set().union(*(rules_of(tree_of(tree)) for tree in forest.trees)))
-    held = rows.select("label", *[rule_column(r).cast("double").alias(f"r{k}") for k, r in enumerate(rules)])
-    vectors = VectorAssembler(inputCols=held.columns[1:], outputCol="features").transform(held).select("label", "features")
-    line = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, maxIter=60, standardization=False).fit(vectors)
-    return Ensemble(float(line.intercept), [(r, float(w)) for r, w in zip(rules, line.coefficients.toArray(), strict=True) if w])
+    intercept, weights = weights_of(rows, rules)
+    return Ensemble(intercept, [(r, w) for r, w in zip(rules, weights, strict=True) if w])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAINING, threshold: float = THRESHOLD) -> DataFrame:

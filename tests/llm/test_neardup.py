@@ -180,3 +180,19 @@ def test_large_group(spark):
     expected = brute(docs)
     assert 5 < len(set(expected.values())) < len(docs) - 50
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(frame, bands=60, rows=4).collect()} == expected
+
+
+def test_small_tables_are_not_sent_through_the_driver(spark, monkeypatch):
+    """Inside, joins of small tables are shuffled; afterwards the session's threshold is what it was."""
+    key, seen = "spark.sql.autoBroadcastJoinThreshold", []
+    real = neardup.class_roots
+    monkeypatch.setattr(neardup, "class_roots", lambda docs, *more: seen.append(spark.conf.get(key)) or real(docs, *more))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 3}x{k}" for k in range(30))) for i in range(9)], "doc_id long, text string")
+    for before in ("300k", None):
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        default = spark.conf.get(key)
+        try:
+            assert sorted(r.class_id for r in neardup.near_duplicates(docs).collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+            assert seen.pop() == "-1" and spark.conf.get(key) == default
+        finally:
+            spark.conf.unset(key)

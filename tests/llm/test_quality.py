@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from kvspace.llm import quality
@@ -90,3 +91,29 @@ def test_no_text_goes_to_the_gathering_task(spark, tables, monkeypatch):
     into = plan.children().head().output()
     names = [into.apply(i).name() for i in range(into.size())]
     assert set(quality.STATISTICS) <= set(names) and "text" not in names
+
+
+def test_lasso_reaches_the_optimum():
+    """The conditions of the least loss hold for every weight, with equal, opposite and constant columns too."""
+    rng = np.random.default_rng(5)
+    for n, k in ((400, 12), (3000, 60)):
+        x = (rng.random((n, k)) < rng.random(k)).astype(float)
+        y = (rng.random(n) < 1 / (1 + np.exp(2 - 3 * x[:, 0] + 2 * x[:, 1] - x[:, 2] * x[:, 3]))).astype(float)
+        x = np.column_stack([x, x[:, 0], 1 - x[:, 0], np.ones(n), np.zeros(n)])
+        bias, w = quality.lasso_logistic(x, y)
+        slope = x.T @ (1 / (1 + np.exp(-(bias + x @ w))) - y) / n
+        assert abs(np.mean(1 / (1 + np.exp(-(bias + x @ w))) - y)) < 1e-6
+        on = w != 0
+        assert on.any() and np.abs(slope[on] + quality.LASSO * np.sign(w[on])).max() < 1e-6 and np.abs(slope[~on]).max() <= quality.LASSO + 1e-6
+        assert w[0] == w[k] == -w[k + 1] != 0 and w[k + 2] == w[k + 3] == 0
+
+
+def test_fit_runs_few_jobs(spark, tables):
+    """The regression is no job a step: each would leave broadcasts of some MB in the driver."""
+    sc = spark.sparkContext
+    sc.setJobGroup("quality-fit", "counted")
+    try:
+        quality.fit(*tables)
+        assert len(sc.statusTracker().getJobIdsForGroup("quality-fit")) < 40
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
